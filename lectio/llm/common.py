@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd multiplier of the rolling polynomial, modulo 2**64.
@@ -19,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset, as
-    in tests on one machine, a temporary folder is made.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -106,11 +107,3 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(line)]))
     k = min(n, len(words))
     return np.unique(range_hash(prefix, starts[: len(starts) - k + 1], ends[k - 1 :]))
-
-
-def large_batches(df: DataFrame) -> DataFrame:
-    return df
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import fingerprints, language, licences, pieces, pseudonyms, secrets, sharding
+from lectio.llm import decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, secrets, sharding
 from lectio.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link_components(table(spark, sf_dir, "documents"))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_licences, op4_language, op6_pseudonyms, op8_sharding, op9_pieces, op10_secrets)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op8_sharding, op9_pieces, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
