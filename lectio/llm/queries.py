@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, secrets, sharding
+from lectio.llm import decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, repeats, secrets, sharding
 from lectio.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op8_sharding, op9_pieces, op10_secrets)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op7_repeats, op8_sharding, op9_pieces, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
