@@ -2,23 +2,26 @@
 
 Suffixes are sorted by external induction from sampled ones:
 
-1. Samples are minimisers: of the K-byte strings in each window of WINDOW bytes the one of least hash.
-   Equal windows have equal samples at equal offsets. Spark counts the documents of each sample hash,
-   and a bit set of bounded size keeps the hashes that more than one document has.
-2. The sampled suffixes that are left are sorted by Spark's external sort, with spilled runs on disk:
-   rows carry the sample's hash, its text to the right and to the left, and its document.
+1. Samples are minimisers: of the K-byte strings in each window of WINDOW bytes the one of least hash,
+   the first of equals. It owns that window; equal windows have equal owners at equal offsets. Spark
+   counts the documents of each sample's hash, and a bit set of bounded size keeps the hashes that more
+   than one document has.
+2. The suffixes at the samples that are left are sorted by Spark's external sort, with spilled runs on
+   disk: rows carry the sample's hash, its text to the right and to the left, and its document.
 3. In blocks of whole sample groups, the order of the suffixes that start l bytes before the samples is
    induced from that of l - 1 by a stable sort on one more byte, for l up to WINDOW - K, and the common
    prefixes of neighbours are carried along as one more than the least on the way. Neighbours with a
    common prefix of WINDOW bytes are equal windows; the least doc_id of such a run decides.
 
-Samples that more than HOT documents have would make groups without bound. Their windows are counted
-one by one instead, each with the least doc_id from pre-aggregated rows.
+Samples that more than HOT documents have are dealt out over SALTS groups. Inside a group all but the
+least document of each window are settled; the windows of those least ones meet, by their hash, in rows
+of which there is one for each group and different window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,49 +29,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import BYTE_VALUES, cut, map_arrow, prefix_hash, range_hash
+from lectio.llm.common import BASE, BYTE_VALUES, POWERS, checkpoint_folder, cut, map_arrow, mix, prefix_hash
 
 WINDOW, K = 50, 16
 #: Offsets of a window's start before its sample.
 BEFORE = WINDOW - K
-#: Documents of a sample whose group is sorted as a block.
-HOT = 2_000
+#: Documents of a sample whose group stays together; groups that larger ones are dealt out over.
+HOT, SALTS = 10_000, 256
 #: Most bits of the set of shared hashes, and rows that a block aims at.
 MOST_BITS, BLOCK_ROWS = 1 << 27, 40_000
-ID = np.uint64((1 << 48) - 1)
-
-
-def samples(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(48-bit hash, place) of each sample of a text, and the text's prefix hash; one place for each run of windows."""
-    values = np.frombuffer(data, np.uint8)
-    prefix = prefix_hash(BYTE_VALUES[values])
-    start = np.arange(len(values) - K + 1)
-    h = range_hash(prefix, start, start + K)
-    least, span, width = h, 1, BEFORE + 1
+#: Bits of a place in a chunk of text; the rest of a key is a sample's hash.
+PLACE_BITS = 20
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _chunk_samples(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, windows) of each sample of a chunk with this prefix hash: its key, and the run of windows that it owns."""
+    _, down = POWERS.upto(len(prefix))
+    n = len(prefix) - K
+    key = (prefix[K:] - prefix[:-K]) * down[:n]
+    key *= SPREAD
+    key >>= np.uint64(PLACE_BITS)
+    key <<= np.uint64(PLACE_BITS)
+    key |= np.arange(n, dtype=np.uint64)
+    span, width = 1, BEFORE + 1
     while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
+        key = np.minimum(key[:-span], key[span:])
         span *= 2
-    n = len(h) - width + 1
-    least = np.minimum(least[:n], least[width - span : width - span + n])
-    # Where the least changes a new run of windows begins; its sample is the first equal hash in the window.
-    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    value = least[first]
-    place = np.full(len(first), -1)
-    for step in range(width):
-        at = first + step
-        todo = (place < 0) & (h[np.minimum(at, len(h) - 1)] == value)
-        place[todo] = at[todo]
-        if (place >= 0).all():
+    if span < width:
+        rest = width - span
+        key = np.minimum(key[:-rest], key[rest:])
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], first, np.diff(np.append(first, len(key)))
+
+
+def samples(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, least offset, largest offset) of each sample: offsets are how far before it the windows start that it owns."""
+    out: list[tuple[np.ndarray, ...]] = []
+    step = 1 << PLACE_BITS
+    for low in range(0, len(data) - WINDOW + 1, step - WINDOW):
+        part = np.frombuffer(data, np.uint8)[low : low + step]
+        if len(part) < WINDOW:
+            break
+        key, first, windows = _chunk_samples(prefix_hash(BYTE_VALUES[part]))
+        place = (key & np.uint64(step - 1)).astype(np.int64)
+        out.append(((key >> np.uint64(PLACE_BITS)).astype(np.int64), place + low, place - first - windows + 1, place - first))
+        if low + step >= len(data):
             break
-    # A run may go on over several places of one repeated string; each of its windows holds one of them.
-    length = np.diff(np.append(first, n))
-    more = np.flatnonzero(place + 1 < first + length)
-    if len(more):
-        extra = [(value[r], q) for r in more for q in range(place[r] + 1, min(first[r] + length[r] + width - 1, len(h))) if h[q] == value[r]]
-        if extra:
-            value = np.append(value, np.array([v for v, _ in extra], np.uint64))
-            place = np.append(place, np.array([q for _, q in extra]))
-    return (value & ID).astype(np.int64), place, prefix
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if len(out) != 1 else out[0]
 
 
 class Bits:
@@ -109,74 +117,81 @@ def sample_counts(texts: DataFrame) -> DataFrame:
 
 
 def shared_samples(texts: DataFrame, shared: Bits, hot: Bits) -> DataFrame:
-    """Rows (hash, doc_id, place, right, left) of shared samples that aren't hot; right: from the sample on; left: reversed, before it."""
+    """Rows (part, doc_id, place, context) of shared samples.
+
+    part: the sample's hash, and for hot ones a salt from the document; place: where it stands and the
+    offsets that it owns; context: the BEFORE bytes before it, last one first, after the WINDOW from it on.
+    """
+    around = np.concatenate((BEFORE + np.arange(WINDOW), BEFORE - 1 - np.arange(BEFORE)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, ids, places, contexts = [], [], [], []
+        parts, ids, places, contexts = [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = text.encode("utf-8", "replace")
             if len(data) < WINDOW:
                 continue
-            value, place, _ = samples(data)
-            good = shared.has(value) & ~hot.has(value)
-            value, place = value[good], place[good]
-            if not len(value):
+            value, place, low, high = samples(data)
+            good = shared.has(value)
+            if not good.any():
                 continue
+            value, place, low, high = value[good], place[good], low[good], high[good]
             padded = np.zeros(len(data) + BEFORE + WINDOW, np.uint8)
             padded[BEFORE : BEFORE + len(data)] = np.frombuffer(data, np.uint8)
-            contexts.append(padded[place[:, None] + np.arange(BEFORE + WINDOW)[None, :]])
-            hashes.append(value)
-            # How much text there is on both sides, as far as windows reach.
+            contexts.append(padded[place[:, None] + around[None, :]])
+            salt = int(mix(np.array([doc_id], np.int64).view(np.uint64))[0]) % SALTS
+            parts.append(np.where(hot.has(value), value << 9 | 256 | salt, value << 9))
             ids.append(np.full(len(value), doc_id))
-            places.append(place | np.minimum(len(data) - place, WINDOW) << 40)
-        if not hashes:
+            places.append(place | low << 40 | high << 46)
+        if not parts:
             contexts = [np.zeros((0, BEFORE + WINDOW), np.uint8)]
-            hashes = ids = places = [np.zeros(0, np.int64)]
+            parts = ids = places = [np.zeros(0, np.int64)]
         table = np.concatenate(contexts)
         offsets = pa.py_buffer((np.arange(len(table) + 1) * (BEFORE + WINDOW)).astype(np.int32).tobytes())
         binary = pa.Array.from_buffers(pa.binary(), len(table), [None, offsets, pa.py_buffer(table.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), binary], ["hash", "doc_id", "place", "context"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), binary], ["part", "doc_id", "place", "context"])
 
-    return map_arrow(texts, run, "hash bigint, doc_id bigint, place bigint, context binary")
+    return map_arrow(texts, run, "part bigint, doc_id bigint, place bigint, context binary")
 
 
-def induce(context: np.ndarray, doc_id: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """For samples that are sorted by their text to the right: [sample, l] true if the window that starts l bytes before the sample also starts in a smaller document.
+def induce(context: np.ndarray, doc_id: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For samples whose equal beginnings of contexts stand together: [sample, l], the least document with the window that starts l bytes before the sample.
 
-    context: BEFORE + WINDOW bytes around each sample; place: where it stands; room: bytes from there to the end.
+    Only windows that their sample owns (low <= l <= high) count; elsewhere there is no document (FAR).
     """
     n = len(context)
-    out = np.zeros((n, BEFORE + 1), bool)
+    out = np.full((n, BEFORE + 1), FAR)
     order = np.arange(n)
-    right = context[:, BEFORE:]
-    same = right[1:] == right[:-1]
+    same = context[1:, :WINDOW] == context[:-1, :WINDOW]
     prefix = np.zeros(n, np.int16)
     prefix[1:] = np.where(same.all(1), WINDOW, same.argmin(1))
-    far = np.iinfo(np.int64).max
     for before in range(BEFORE + 1):
         if before:
             # Induction: the suffixes one byte further left, by that byte and the order so far.
-            byte = context[order, BEFORE - before]
-            carried = np.empty(n, np.int16)
-            for b in np.unique(byte):
-                at = np.flatnonzero(byte == b)
-                carried[at[0]] = -1
-                if len(at) > 1:
-                    carried[at[1:]] = np.minimum.reduceat(prefix, at[:-1] + 1)[: len(at) - 1] if at[-1] + 1 >= n else np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1)
+            byte = context[order, WINDOW - 1 + before]
             put = np.argsort(byte, kind="stable")
-            order, prefix = order[put], np.minimum(carried[put] + 1, WINDOW).astype(np.int16)
+            moved = byte[put]
+            # The common prefix of new neighbours: the least between their old places, and one more.
+            head = np.flatnonzero(np.concatenate(([True], moved[1:] != moved[:-1])))
+            carried = np.empty(n, np.int16)
+            for a, b in zip(head, np.append(head[1:], n), strict=True):
+                carried[a] = -1
+                if b - a > 1:
+                    at = put[a:b]
+                    carried[a + 1 : b] = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1)
+            order, prefix = order[put], np.minimum(carried + 1, WINDOW).astype(np.int16)
         start = np.flatnonzero(prefix < WINDOW)  # runs of equal windows
-        if not len(start) or start[0] != 0:
+        if not len(start) or start[0]:
             start = np.insert(start, 0, 0)
-        valid = (place[order] >= before) & (room[order] >= WINDOW - before)
-        docs = np.where(valid, doc_id[order], far)
-        least = np.repeat(np.minimum.reduceat(docs, start), np.diff(np.append(start, n)))
-        out[order, before] = valid & (least < docs)
+        docs = np.where((low[order] <= before) & (before <= high[order]), doc_id[order], FAR)
+        out[order, before] = np.repeat(np.minimum.reduceat(docs, start), np.diff(np.append(start, n)))
     return out
 
 
+FAR = np.iinfo(np.int64).max
+
+
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (hash, right); blocks hold whole groups of a hash."""
+    """Rows come sorted by (part, context); blocks hold whole parts."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -187,8 +202,8 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if size < BLOCK_ROWS:
             continue
         rows = pa.Table.from_batches(held)
-        hashes = rows["hash"].to_numpy()
-        end = int(np.searchsorted(hashes, hashes[-1], side="left"))
+        parts = rows["part"].to_numpy()
+        end = int(np.searchsorted(parts, parts[-1], side="left"))
         if end:
             yield from _resolve(rows.slice(0, end))
             rest = rows.slice(end)
@@ -198,39 +213,49 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Spans (window null), and of hot samples the windows that are still open, with their hash."""
     n, width = rows.num_rows, BEFORE + WINDOW
+    part, doc_id, packed = (rows[c].to_numpy() for c in ("part", "doc_id", "place"))
+    place, low, high = packed & ((1 << 40) - 1), packed >> 40 & 63, packed >> 46
     context = np.frombuffer(b"".join(rows["context"].to_pylist()), np.uint8).reshape(n, width)
-    packed = rows["place"].to_numpy()
-    place, room = packed & ((1 << 40) - 1), packed >> 40
-    doc_id = rows["doc_id"].to_numpy()
-    hit = induce(context, doc_id, place, room)
-    # Runs of consecutive l in a row become one span.
-    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, first = np.nonzero(edge == 1)
-    _, last = np.nonzero(edge == -1)
+    # Equal rows of a part stand together, and one with the least document stands for them.
+    new = np.concatenate(([True], (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (context[1:] != context[:-1]).any(1)))
+    first = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    least_doc = np.minimum.reduceat(doc_id, first)
+    # A part of one text needs no sorting.
+    opens = np.concatenate(([True], part[first][1:] != part[first][:-1]))
+    alone = opens & np.append(opens[1:], True)
+    least = np.where((low[first, None] <= OFFSETS) & (OFFSETS <= high[first, None]), least_doc[:, None], FAR)
+    several = np.flatnonzero(~alone)
+    if len(several):
+        at = first[several]
+        # Parts of different hash have no equal windows, so one induction serves all parts of the block.
+        least[several] = induce(context[at], least_doc[several], low[at], high[at])
+    hit = least[of] < doc_id[:, None]
+    row, l_first, l_last = _runs(hit)
     if len(row):
-        yield pa.RecordBatch.from_arrays([pa.array(doc_id[row]), pa.array(place[row] - last + 1), pa.array(place[row] - first + WINDOW)], ["doc_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[row]), pa.array(place[row] - l_last), pa.array(place[row] - l_first + WINDOW), pa.nulls(len(row), pa.int64())], ["doc_id", "start", "end", "window"])
+    hot = np.flatnonzero(part & 256)
+    if len(hot):
+        left = (least[of[hot]] == doc_id[hot, None]) & (low[hot, None] <= OFFSETS) & (OFFSETS <= high[hot, None])
+        row, l = np.nonzero(left)  # noqa: E741
+        row = hot[row]
+        straight = np.concatenate((context[:, WINDOW:][:, ::-1], context[:, :WINDOW]), 1)
+        window = np.zeros(len(row), np.uint64)
+        for j in range(WINDOW):
+            window = window * np.uint64(BASE) + BYTE_VALUES[straight[row, BEFORE - l + j]]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[row]), pa.array(place[row] - l), pa.array(place[row] - l + WINDOW), pa.array(mix(window).view(np.int64))], ["doc_id", "start", "end", "window"])
 
 
-def _hot_windows(texts: DataFrame, hot: Bits) -> DataFrame:
-    """Rows (window, doc_id, start) of the windows around hot samples."""
+OFFSETS = np.arange(BEFORE + 1)[None, :]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[], [], []]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = text.encode("utf-8", "replace")
-            if len(data) < WINDOW:
-                continue
-            value, place, prefix = samples(data)
-            place = place[hot.has(value)]
-            start = np.unique((place[:, None] - np.arange(BEFORE + 1)[None, :]).ravel())
-            start = start[(start >= 0) & (start + WINDOW <= len(data))]
-            out[0].append(range_hash(prefix, start, start + WINDOW).view(np.int64))
-            out[1].append(np.full(len(start), doc_id))
-            out[2].append(start)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["window", "doc_id", "start"])
 
-    return map_arrow(texts, run, "window bigint, doc_id bigint, start bigint")
+def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of true columns."""
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -238,17 +263,17 @@ def spans(docs: DataFrame) -> DataFrame:
     texts = _texts(docs).filter("doc_id is not null")
     counts = cut(sample_counts(texts).filter("n > 1"))
     shared = bit_set(counts.select("hash"))
-    hot_counts = counts.filter(F.col("n") > HOT)
-    hot = bit_set(hot_counts.select("hash"))
-    rows = shared_samples(texts, shared, hot)
-    parts = rows.repartition("hash").sortWithinPartitions("hash", F.substring("context", BEFORE + 1, WINDOW))
-    found = parts.mapInArrow(_sorted_blocks, "doc_id bigint, start bigint, end bigint")
-    if hot.words.any():
-        windows = _hot_windows(texts, hot)
-        least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "least")
-        repeated = windows.join(least, "window").filter("least < doc_id")
-        found = found.unionByName(repeated.select("doc_id", "start", (F.col("start") + WINDOW).alias("end")))
-    return found
+    hot = bit_set(counts.filter(F.col("n") > HOT).select("hash"))
+    parts = shared_samples(texts, shared, hot).repartition("part").sortWithinPartitions("part", "context")
+    folder = f"{checkpoint_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
+    parts.mapInArrow(_sorted_blocks, "doc_id bigint, start bigint, end bigint, window bigint").write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
+    settled = found.filter("window is null").select("doc_id", "start", "end")
+    if not hot.words.any():
+        return settled
+    left = found.filter("window is not null")
+    least = left.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "least")
+    return settled.unionByName(left.join(least, "window").filter("least < doc_id").select("doc_id", "start", "end"))
 
 
 def _cut_out(data: bytes, found: list[dict] | None) -> tuple[int, int, str, bytes]:
