@@ -6,10 +6,12 @@ One definition serves both stored tokens and query literals.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code-point ranges and letter tables.
 DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۨ-ۭ]"
@@ -76,14 +78,18 @@ def fold_further(c: Column) -> Column:
     return fold(F.translate(c, "ىٰ", ""))
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+def _by_value(c: Column, fn: Callable[[str], str | None]) -> Column:
+    """A vectorised function of strings; null gives null."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else fn(x))
+
+    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR)(c)
 
 
 def nfc(c: Column) -> Column:
     """Canonical composition; apply it to distinct forms."""
-    return _nfc(c)
+    return _by_value(c, lambda x: unicodedata.normalize("NFC", x))
 
 
 def spaced_root(c: Column) -> Column:
@@ -126,14 +132,9 @@ def romanise_word(word: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def _romanise(s: pd.Series) -> pd.Series:
-    return s.map(romanise_word)
-
-
 def romanise(c: Column) -> Column:
     """romanise_word; apply it to distinct forms."""
-    return _romanise(c)
+    return _by_value(c, romanise_word)
 
 
 def decode_keys(c: Column) -> Column:

@@ -571,3 +571,166 @@ def r10_supporters(spark, sf_dir):
 def r11_parity(spark, sf_dir):
     t = {n: table(spark, sf_dir, n) for n in ("orders", "part", "events")}
     return validate.compare_counts({"orders": t["orders"], "part": t["part"]}, {"orders": t["orders"].filter("o_orderkey % 2 = 0"), "part": t["part"], "events": t["events"]}).fillna(0, ["a", "b"])
+
+
+# Audit: benchmark passages as quotes, documents' lines as verses
+
+
+def blob(c):
+    """A text's consonants in order."""
+    return F.regexp_replace(F.lower(c), "[^bcdfghjklmnpqrstvwxyz]", "")
+
+
+BLOB = "regexp_replace(lower(text), '[^bcdfghjklmnpqrstvwxyz]', '', 'g')"
+BIGRAMS = f"""q AS (SELECT item_id AS quote_id, b[i:i + 1] AS g, count(*) AS nq FROM (SELECT item_id, {BLOB} AS b FROM benchmark), unnest(range(1, length(b))) AS u(i) GROUP BY 1, 2),
+v AS (SELECT division, slot, b[i:i + 1] AS g, count(*) AS nv FROM (SELECT division, slot, {BLOB} AS b FROM verses), unnest(range(1, length(b))) AS u(i) GROUP BY 1, 2, 3),
+c AS (SELECT q.quote_id, v.division, v.slot, CAST(sum(least(nq, nv)) AS DOUBLE) AS hits FROM q JOIN v ON q.g = v.g GROUP BY 1, 2, 3), t AS (SELECT quote_id, sum(nq) AS total FROM q GROUP BY 1)"""
+
+
+@query(
+    f"WITH {VERSES}, {BIGRAMS} SELECT quote_id, division || ':' || slot AS verse_id, round(cover, 6) AS coverage FROM (SELECT c.quote_id, division, slot, hits / total AS cover, row_number() OVER (PARTITION BY c.quote_id ORDER BY hits DESC, division, slot) AS r FROM c JOIN t ON c.quote_id = t.quote_id) WHERE r = 1 AND cover >= 0.85"
+)
+def u6_best_verse(spark, sf_dir):
+    from lectio.operators import audit
+
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), blob(F.col("text")).alias("blob"))
+    v = verses(spark, sf_dir).select(F.concat_ws(":", "division", "slot").alias("verse_id"), F.struct("division", "slot").alias("seq"), blob(F.col("text")).alias("blob"))
+    return audit.best_verse(quotes, v).withColumn("coverage", F.round("coverage", 6))
+
+
+WORDS = "regexp_replace(lower(w), '[^\\p{L}]', '', 'g')"
+
+
+@query(
+    f"""WITH {TOKENS}, vocabulary AS (SELECT DISTINCT form, regexp_replace(form, '[aeiou]', '', 'g') AS skeleton FROM tokens WHERE division % 3 = 0), prints AS (SELECT DISTINCT skeleton FROM vocabulary WHERE length(skeleton) >= 2),
+w AS (SELECT item_id, {WORDS} AS form FROM benchmark, unnest(regexp_split_to_array(text, '\\s+')) AS u(w)), k AS (SELECT item_id, length(form) >= 3 AND form NOT IN (SELECT form FROM vocabulary) AND regexp_replace(form, '[aeiou]', '', 'g') NOT IN (SELECT skeleton FROM prints) AS absent FROM w WHERE form <> ''),
+s AS (SELECT item_id, count(*) AS words, count(*) FILTER (absent) AS absent FROM k GROUP BY 1) SELECT item_id AS quote_id, words, absent, CASE WHEN absent = 0 THEN 'verified' ELSE 'flagged' END AS status, CASE WHEN absent = 0 THEN 'low' WHEN absent = words THEN 'high' ELSE 'medium' END AS severity FROM s"""
+)
+def u7_loose_quotes(spark, sf_dir):
+    from lectio.operators import audit
+
+    forms = lambda df: df.withColumn("skeleton", audit.skeleton(F.col("form"), "aeiou", ""))
+    vocabulary = forms(tokens(spark, sf_dir, handles=False).filter("division % 3 = 0").select("form").distinct())
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.explode(F.split("text", r"\s+")).alias("w")).select("quote_id", plain(F.col("w")).alias("form")).filter("form != ''")
+    return audit.verify_loose(forms(words), vocabulary)
+
+
+@query(
+    f"""WITH {TOKENS}, {BIGRAMS}, w AS (SELECT item_id, w AS word, {WORDS} AS form FROM benchmark, unnest(regexp_split_to_array(text, '\\s+')) AS u(w)), own AS (SELECT *, division AS item_id, regexp_replace(form, '[aeiou]', '', 'g') AS skeleton FROM tokens WHERE slot = 1),
+k AS (SELECT w.item_id, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.item_id = w.item_id AND o.word = w.word) THEN 1 WHEN EXISTS (SELECT 1 FROM own o WHERE o.item_id = w.item_id AND o.form = w.form) THEN 2 WHEN length(regexp_replace(w.form, '[aeiou]', '', 'g')) >= 2 AND EXISTS (SELECT 1 FROM own o WHERE o.item_id = w.item_id AND o.skeleton = regexp_replace(w.form, '[aeiou]', '', 'g')) THEN 3 ELSE 4 END AS l FROM w WHERE form <> ''),
+s AS (SELECT item_id, count(*) AS words, count(*) FILTER (l < 4) AS matched, max(l) AS worst FROM k GROUP BY 1), d AS (SELECT s.*, matched / words AS ratio, coalesce(c.hits / t.total, 0) AS cover FROM s LEFT JOIN c ON c.quote_id = item_id AND c.division = item_id AND c.slot = 1 LEFT JOIN t ON t.quote_id = item_id)
+SELECT item_id AS quote_id, words, matched, round(ratio, 6) AS ratio, round(cover, 6) AS coverage, CASE WHEN ratio < 0.85 AND cover < 0.85 THEN 'none' WHEN worst >= 3 OR ratio < 0.85 THEN 'orthographic' WHEN worst = 2 THEN 'normalised' ELSE 'canonical' END AS level, CASE WHEN ratio < 0.85 AND cover < 0.85 THEN 'flagged' ELSE 'verified' END AS status FROM d"""
+)
+def u5_quotes(spark, sf_dir):
+    from lectio.operators import audit
+
+    items = table(spark, sf_dir, "benchmark")
+    forms = lambda df: df.withColumn("skeleton", audit.skeleton(F.col("form"), "aeiou", ""))
+    words = items.select(F.col("item_id").alias("quote_id"), F.col("item_id").alias("verse_id"), F.explode(F.split("text", r"\s+")).alias("word")).withColumn("form", plain(F.col("word"))).filter("form != ''")
+    v = verses(spark, sf_dir).filter("slot = 1")
+    own = tokens(spark, sf_dir, handles=False, of=v).select(F.col("division").alias("verse_id"), "word", "form")
+    quotes = items.select(F.col("item_id").alias("quote_id"), F.col("item_id").alias("own"), blob(F.col("text")).alias("blob"))
+    cover = audit.coverage(quotes, v.select(F.col("division").alias("verse_id"), F.col("division").alias("own"), blob(F.col("text")).alias("blob")), ["own"])
+    out = audit.verify_quotes(forms(words), forms(own), cover.select("quote_id", "coverage"))
+    return out.withColumns({c: F.round(c, 6) for c in ("ratio", "coverage")})
+
+
+@query(
+    "SELECT CAST(doc_id % 50 AS VARCHAR) AS article, count(*) AS checked, count(*) FILTER (quality = 1 AND toxic = 0) AS verified, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (quality = 0 AND toxic = 0) AS unchecked, CAST(sum(CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 5 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS work FROM labels GROUP BY 1"
+)
+def u10_report(spark, sf_dir):
+    from lectio.operators import audit
+
+    k = F.col("doc_id") % 3
+    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "verified").otherwise("unchecked")
+    findings = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).cast("string").alias("article"), status.alias("status"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("severity"))
+    return audit.audit_report(findings)
+
+
+@query()
+def u13_draft_claims(spark, sf_dir):
+    from lectio.operators import audit
+
+    return audit.extract_draft_claims(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article"), "text"))
+
+
+@query()
+def u4_names(spark, sf_dir):
+    from lectio.operators import audit
+
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("canonical"))
+    claimed = table(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("number")).select(F.concat(F.lit("An-"), F.translate("canonical", "AEIOU", "EIOUA")).alias("name"), "number").distinct()
+    return audit.verify_names(claimed, names).withColumns({c: F.round(c, 6) for c in ("score", "best_score")})
+
+
+# Annotation
+
+
+@query(
+    f"WITH {TOKENS}, c AS (SELECT root, lemma, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1, 2) SELECT root, CAST(sum(n) AS BIGINT) AS occurrences, string_agg(lemma, ',' ORDER BY n DESC, lemma) AS lemmas FROM c GROUP BY 1"
+)
+def a10_roots(spark, sf_dir):
+    from lectio.operators import annotate
+
+    return annotate.build_roots(tokens(spark, sf_dir, handles=False)).withColumn("lemmas", F.array_join("lemmas", ","))
+
+
+@query(f"WITH {TOKENS}, c AS (SELECT root, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1) SELECT t.token_id, coalesce(c.n, 0) AS root_occurrences FROM tokens t LEFT JOIN c ON t.root = c.root")
+def a11_root_occurrences(spark, sf_dir):
+    from lectio.operators import annotate
+
+    return annotate.with_root_occurrences(tokens(spark, sf_dir, handles=False)).select("token_id", F.coalesce("root_occurrences", F.lit(0)).alias("root_occurrences"))
+
+
+@query(f"WITH {TOKENS} SELECT token_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY handle) AS r FROM tokens) WHERE r <= 15 ORDER BY handle LIMIT 40")
+def a13_pos_sample(spark, sf_dir):
+    from lectio.operators import annotate
+
+    return annotate.pos_sample(tokens(spark, sf_dir).withColumn("gloss", F.col("word")), 15, 40).select("token_id", "pos")
+
+
+@query(
+    """WITH a AS (SELECT p_partkey AS seq, p_name AS key, regexp_replace(lower(p_name), '[^bcdfghjklmnpqrstvwxyz]', '', 'g')[1:3] AS print FROM part), f AS (SELECT print, arg_min(key, seq) AS key FROM a WHERE print <> '' GROUP BY 1),
+r AS (SELECT DISTINCT lower(n_name) AS root, regexp_replace(lower(n_name), '[^bcdfghjklmnpqrstvwxyz]', '', 'g')[1:3] AS print FROM nation UNION SELECT DISTINCT lower(c_name)[1:5] || c_nationkey, print || print[-1:] FROM customer JOIN a ON c_custkey = seq)
+SELECT root, coalesce(d.key, g.key) AS key, CASE WHEN d.key IS NOT NULL THEN 'direct' WHEN g.key IS NOT NULL THEN 'geminate' ELSE 'missing' END AS match FROM r LEFT JOIN f d ON r.print = d.print LEFT JOIN f g ON length(r.print) >= 2 AND r.print[-1:] = r.print[-2:-2] AND r.print[:-2] = g.print"""
+)
+def a15_lexicon(spark, sf_dir):
+    from lectio.operators import annotate
+
+    hard = lambda c: F.substring(F.regexp_replace(F.lower(c), "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3)
+    articles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("key"), hard(F.col("p_name")).alias("print"))
+    roots = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("root"), hard(F.col("n_name")).alias("print"))
+    own = table(spark, sf_dir, "customer").join(articles, F.col("c_custkey") == F.col("seq")).select(F.concat(F.left(F.lower("c_name"), F.lit(5)), "c_nationkey").alias("root"), F.concat("print", F.right("print", F.lit(1))).alias("print"))
+    return annotate.match_lexicon(roots.unionByName(own).distinct(), articles)
+
+
+@query()
+def a5_alignment(spark, sf_dir):
+    from lectio.operators import annotate
+
+    t = tokens(spark, sf_dir, handles=False)
+    # The words of the same verses with a few joined, lost and changed ones.
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("division", "slot").orderBy("position")
+    key = F.pmod(F.xxhash64("token_id"), F.lit(97))
+    kind = F.when((F.lag(key).over(w) == 0), "gone").when((key == 0) & F.lead("form").over(w).isNotNull(), "joined").when(key == 1, "changed").otherwise("same")
+    surface = F.when(F.col("kind") == "joined", F.concat("form", F.lead("form").over(w))).when(F.col("kind") == "changed", F.lit("?")).otherwise(F.col("form"))
+    words = t.withColumn("kind", kind).withColumn("surface", surface).filter("kind != 'gone'").select("division", "slot", F.col("position").alias("word"), "surface")
+    return annotate.alignment_stats(annotate.align(t.select("division", "slot", "position", F.col("form").alias("word")), words))
+
+
+@query()
+def n19_render(spark, sf_dir):
+    from lectio.operators import render
+
+    t = tokens(spark, sf_dir, handles=False)
+    return render.render_edition(N.resolve_decisions(t, decisions(t))).select("segment_id", "text", "words", F.size("undecided").alias("undecided"))
+
+
+@query()
+def r8_admission(spark, sf_dir):
+    from lectio.streaming import events
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("subject"), "event_id", "ts")
+    return events.admit(e, 3, 24 * 3600)
