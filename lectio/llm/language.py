@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.llm.common import map_arrow
+from lectio.llm.common import free_name, map_arrow
 
 #: The training sample's bounds: documents of each language, lines of each of them.
 TRAIN_DOCS, TRAIN_LINES = 600, 6
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double"
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(free_name(docs, "_text")))
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import map_arrow
+from lectio.llm.common import free_name, map_arrow
 
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: str = "*") -> DataFrame:
         decoded = pa.array([t.decode(np.frombuffer(x, "<i4").tolist()) for x in tokens], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns[:at], ids, decoded], [*kept, "tokens", "decoded"])
 
-    text = F.col("text").cast("string").alias("_text") if "text" in docs.columns else F.lit(None).cast("string").alias("_text")
+    text = F.col("text").cast("string").alias(free_name(docs, "_text"))
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept], text), run, schema)
 
 

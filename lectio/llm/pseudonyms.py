@@ -113,7 +113,7 @@ class Pseudonyms:
 
     def _value(self, kind: str, text: str) -> str | None:
         digits = re.sub(r"\D", "", text) if kind != "iban" else ""
-        f = Feistel(self.key, f"{kind}/{len(digits)}")
+        f = Feistel(self.key, kind if kind == "ip" else f"{kind}/{len(digits)}")
         if kind == "card":
             if luhn_digit(digits[:-1]) != digits[-1] or not int(digits):
                 return None

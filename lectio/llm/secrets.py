@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import cut, map_arrow
+from lectio.llm.common import cut, free_name, map_arrow
 
 #: At most so many labelled findings of each class train the forest.
 TRAINING_ROWS = 5_000
@@ -122,10 +122,11 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = "[secret]") -> DataFrame:
     """Documents with the secrets of ``found`` masked; other columns stay."""
-    spans = found.filter("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias("_spans"))
-    put = F.aggregate("_spans", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mask), F.substring(t, s["start"] + s["length"] + 1, F.length(t))))
-    joined = docs.join(spans, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(put)).select(docs.columns)
+    name, key = free_name(docs, "_spans"), free_name(docs, "_doc")
+    spans = found.filter("secret").groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias(name))
+    put = F.aggregate(name, F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mask), F.substring(t, s["start"] + s["length"] + 1, F.length(t))))
+    joined = docs.join(spans, F.col("doc_id") == F.col(key), "left")
+    return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(put)).select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
