@@ -54,5 +54,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op7_repeats, op8_sharding, op9_pieces, op10_secrets)}
 
 
+SQL = {
+    "op2_near_duplicates": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT x AS doc_id, y AS other FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+least_ AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least_ l ON d.doc_id = l.doc_id""",
+    # The checksum is folded over the bytes with a table that the first steps make.
+    "op8_sharding": """WITH RECURSIVE steps AS (SELECT CAST(range AS BIGINT) AS n, CAST(range AS BIGINT) AS c, 0 AS i FROM range(256)
+UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE i = 8),
+bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+sums AS (SELECT doc_id, CAST(octet_length(encode(body)) + 1 AS BIGINT) AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM bodies, crc),
+costs AS (SELECT doc_id, s, -ln((CAST('0x' || substr(md5(doc_id || '/' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS cost FROM documents, range(17) AS r(s)),
+placed AS (SELECT doc_id, CAST(arg_min(s, cost) FILTER (s < 16) AS INTEGER) AS shard, CAST(arg_min(s, cost) AS INTEGER) AS grown_shard FROM costs GROUP BY 1)
+SELECT s.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(CAST(s.doc_id AS VARCHAR)), 1, 13) AS BIGINT), s.doc_id) - 1 AS slot, grown_shard FROM sums s JOIN placed p ON s.doc_id = p.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
