@@ -13,7 +13,7 @@ Suffixes are sorted by external induction from sampled ones:
    prefixes of neighbours are carried along as one more than the least on the way. Neighbours with a
    common prefix of WINDOW bytes are equal windows; the least doc_id of such a run decides.
 
-Samples that more than HOT documents have are dealt out over SALTS groups. Inside a group all but the
+Samples with more than HOT places are dealt out over SALTS groups. Inside a group all but the
 least document of each window are settled; the windows of those least ones meet, by their hash, in rows
 of which there is one for each group and different window.
 """
@@ -34,7 +34,7 @@ from lectio.llm.common import BASE, BYTE_VALUES, POWERS, checkpoint_folder, cut,
 WINDOW, K = 50, 16
 #: Offsets of a window's start before its sample.
 BEFORE = WINDOW - K
-#: Documents of a sample whose group stays together; groups that larger ones are dealt out over.
+#: Rows of a sample whose group stays together; groups that larger ones are dealt out over.
 HOT, SALTS = 10_000, 256
 #: Most bits of the set of shared hashes, and rows that a block aims at.
 MOST_BITS, BLOCK_ROWS = 1 << 27, 40_000
@@ -107,13 +107,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def sample_counts(texts: DataFrame) -> DataFrame:
-    """hash, n: how many documents have a sample of that hash."""
+    """hash, n, places: how many documents have a sample of that hash, and how many samples there are."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [np.unique(samples(data)[0]) for t in batch.column(0).to_pylist() if len(data := t.encode("utf-8", "replace")) >= WINDOW]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["hash"])
+        out = [np.unique(samples(data)[0], return_counts=True) for t in batch.column(0).to_pylist() if len(data := t.encode("utf-8", "replace")) >= WINDOW]
+        columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32))], ["hash", "places"])
 
-    return map_arrow(texts.select("text"), run, "hash bigint").groupBy("hash").agg(F.count("*").alias("n"))
+    return map_arrow(texts.select("text"), run, "hash bigint, places int").groupBy("hash").agg(F.count("*").alias("n"), F.sum("places").alias("places"))
 
 
 def shared_samples(texts: DataFrame, shared: Bits, hot: Bits) -> DataFrame:
@@ -123,6 +124,8 @@ def shared_samples(texts: DataFrame, shared: Bits, hot: Bits) -> DataFrame:
     offsets that it owns; context: the BEFORE bytes before it, last one first, after the WINDOW from it on.
     """
     around = np.concatenate((BEFORE + np.arange(WINDOW), BEFORE - 1 - np.arange(BEFORE)))
+    ahead = np.concatenate((np.arange(WINDOW), np.zeros(BEFORE, int)))[None, :]
+    behind = np.concatenate((np.zeros(WINDOW, int), 1 + np.arange(BEFORE)))[None, :]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts, ids, places, contexts = [], [], [], []
@@ -137,7 +140,10 @@ def shared_samples(texts: DataFrame, shared: Bits, hot: Bits) -> DataFrame:
             value, place, low, high = value[good], place[good], low[good], high[good]
             padded = np.zeros(len(data) + BEFORE + WINDOW, np.uint8)
             padded[BEFORE : BEFORE + len(data)] = np.frombuffer(data, np.uint8)
-            contexts.append(padded[place[:, None] + around[None, :]])
+            rows = padded[place[:, None] + around[None, :]]
+            # Bytes that no owned window has stay out, so that rows compress better and more of them are equal.
+            rows[(ahead >= WINDOW - low[:, None]) | (behind > high[:, None])] = 0
+            contexts.append(rows)
             salt = int(mix(np.array([doc_id], np.int64).view(np.uint64))[0]) % SALTS
             parts.append(np.where(hot.has(value), value << 9 | 256 | salt, value << 9))
             ids.append(np.full(len(value), doc_id))
@@ -263,7 +269,7 @@ def spans(docs: DataFrame) -> DataFrame:
     texts = _texts(docs).filter("doc_id is not null")
     counts = cut(sample_counts(texts).filter("n > 1"))
     shared = bit_set(counts.select("hash"))
-    hot = bit_set(counts.filter(F.col("n") > HOT).select("hash"))
+    hot = bit_set(counts.filter(F.col("places") > HOT).select("hash"))
     parts = shared_samples(texts, shared, hot).repartition("part").sortWithinPartitions("part", "context")
     folder = f"{checkpoint_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
     parts.mapInArrow(_sorted_blocks, "doc_id bigint, start bigint, end bigint, window bigint").write.parquet(folder)
