@@ -35,7 +35,7 @@ WINDOW, K = 50, 16
 #: Offsets of a window's start before its sample.
 BEFORE = WINDOW - K
 #: Rows of a sample whose group stays together; groups that larger ones are dealt out over.
-HOT, SALTS = 10_000, 256
+HOT, SALTS = 10_000, 32
 #: Most bits of the set of shared hashes, and rows that a block aims at.
 MOST_BITS, BLOCK_ROWS = 1 << 27, 40_000
 #: Bits of a place in a chunk of text; the rest of a key is a sample's hash.
