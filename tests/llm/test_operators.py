@@ -262,6 +262,44 @@ def test_decontamination_finds_what_brute_force_finds(spark, docs, rows):
     assert sum(bool(got[d]) for d in clean) <= 0.01 * len(clean)
 
 
+def test_decontamination_compares_every_window_that_can_be_accepted(spark, docs, rows):
+    """Rewordings that swap the rarest words, with 0.7 of an item's words left, or 0.55 and the answer."""
+    items = sorted((r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect())
+    index = decontamination.build(docs.select("doc_id", "text"), items)
+    other = [decontamination.words_of(t)[:60] for _, t in rows if len(decontamination.words_of(t)) >= 60]
+
+    def brute_force(words):
+        padded = np.append(index.term_ids(words), np.full(index.window, len(index.terms)))
+        windows = padded[np.arange(len(words))[:, None] + np.arange(index.window)]
+        vectors = (index.space[windows] * index.idf[windows][:, :, None]).sum(1)
+        near = vectors @ index.passages.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        found, held = {}, set()
+        for k, own in enumerate(index.words):
+            for start in range(len(words)):
+                region = words[max(0, start - len(own)) : start + index.window + len(own)]
+                share = decontamination.common(own, region) / len(own)
+                answer = index.answers[k]
+                if share >= 0.7 or share >= 0.55 and answer and decontamination.common(answer, region) >= 0.8 * len(answer):
+                    held.add(index.ids[k])
+                    if near[start, index.owner == k].max() >= decontamination.COSINE:
+                        found[index.ids[k]] = max(share, found.get(index.ids[k], 0))
+        return found, held
+
+    asked = got_own = 0
+    for k, (item, own) in enumerate(zip(index.ids, index.words, strict=True)):
+        rarest = np.argsort(-index.idf[index.term_ids(own)], kind="stable")
+        for least, fixed in ((0.7, set()), (0.55, set(index.answers[k]))):
+            many = next(m for m in range(len(own) + 1) if m / len(own) >= least)
+            swapped = set([int(j) for j in rarest if own[j] not in fixed][: len(own) - many])
+            words = other[k % len(other)] + [f"swapped{j}" if j in swapped else w for j, w in enumerate(own)] + other[(k + 1) % len(other)]
+            found, held = brute_force(words)
+            got = {i: share for i, _, share in decontamination.matches(index, " ".join(words))}
+            assert got == {i: round(share, 6) for i, share in found.items()} and item in held
+            asked, got_own = asked + 1, got_own + (item in got)
+    print(f"reworded copies found: {got_own} of {asked}")
+    assert got_own >= 0.95 * asked
+
+
 def test_decontamination_edges(spark, odd):
     items = frame(spark, ["a b c d e f g h", None, "", "unseen words only here"]).withColumnRenamed("doc_id", "item_id")
     got = every(decontamination.contaminated(odd, items))
