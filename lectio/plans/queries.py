@@ -243,7 +243,7 @@ PAIRS = f"WITH {TOKENS}, pairs AS (SELECT DISTINCT segment_id AS verse, root FRO
 
 @query(PAIRS + " SELECT root, verses FROM dfs WHERE verses >= 100")
 def n7_stoplist(spark, sf_dir):
-    return N.stoplist(N.verse_roots(tokens(spark, sf_dir, handles=False)), 100)
+    return N.stoplist(N.verse_roots(tokens(spark, sf_dir, handles=False)))
 
 
 @query(
@@ -254,7 +254,7 @@ scored AS (SELECT a, b, s, x.n + y.n - s AS u FROM shared JOIN sizes x ON a = x.
 SELECT a AS verse, b AS other, s AS shared, u AS "union", round(s / u, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY CAST(s AS DOUBLE) / u DESC, s DESC, b) AS r FROM scored) WHERE r <= 8"""
 )
 def n8_similar_verses(spark, sf_dir):
-    return N.similar_verses(N.verse_roots(tokens(spark, sf_dir, handles=False)), 8, 40).withColumn("score", F.round("score", 6))
+    return N.similar_verses(N.verse_roots(tokens(spark, sf_dir, handles=False))).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -263,7 +263,7 @@ def n8_similar_verses(spark, sf_dir):
 SELECT c.root, d.verses, c.other, c.shared, CAST(c.r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY shared DESC, other) AS r FROM counts) c JOIN dfs d ON c.root = d.root WHERE r <= 12"""
 )
 def n9_co_occurrence(spark, sf_dir):
-    return N.co_occurrence(N.verse_roots(tokens(spark, sf_dir, handles=False)), 12, 100)
+    return N.co_occurrence(N.verse_roots(tokens(spark, sf_dir, handles=False)))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)

@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import tempfile
 
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lectio.operators import analytics as N
 from lectio.operators import audit, render, research
+from lectio.plans import queries
+from lectio.plans.views import tokens
 from lectio.streaming import events as E
 
 
@@ -18,6 +21,28 @@ def test_similar_verses(spark):
     assert sorted(shared["shared_roots"]) == ["salah", "zakah"]
 
 
+def test_registered_verse_queries_keep_roots_of_fewer_than_500_verses(spark, sf):
+    sets = collections.defaultdict(set)
+    for r in N.verse_roots(tokens(spark, sf, handles=False)).collect():
+        sets[r["verse"]].add(r["root"])
+    df = collections.Counter(root for own in sets.values() for root in own)
+    assert {(r["root"], r["verses"]) for r in queries.n7_stoplist(spark, sf).collect()} == {x for x in df.items() if x[1] >= 500}
+    kept = {v: {r for r in own if df[r] < 500} for v, own in sets.items()}
+    assert any(40 <= n < 500 for n in df.values())
+    got, together = collections.defaultdict(dict), collections.defaultdict(dict)
+    for r in queries.n8_similar_verses(spark, sf).collect():
+        got[r["verse"]][r["rank"]] = (r["other"], r["shared"], r["union"])
+    for r in queries.n9_co_occurrence(spark, sf).collect():
+        together[r["root"]][r["rank"]] = (r["other"], r["shared"])
+    for v in sorted(kept)[::7]:
+        pairs = [(o, len(kept[v] & own), len(kept[v] | own)) for o, own in kept.items() if o != v and kept[v] & own]
+        best = sorted(pairs, key=lambda x: (-x[1] / x[2], -x[1], x[0]))[:8]
+        assert got.get(v, {}) == dict(enumerate(best, 1))
+    for root in sorted(df)[::7]:
+        counts = collections.Counter(o for own in sets.values() if root in own for o in own if o != root and df[o] < 500)
+        assert together.get(root, {}) == dict(enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:12], 1))
+
+
 def test_co_occurrence(spark):
     pairs = spark.createDataFrame([(v, r) for v, rs in {"1": "s z", "2": "s z p", "3": "s q"}.items() for r in rs.split()], "verse string, root string")
     got = [(r["other"], r["shared"]) for r in N.co_occurrence(pairs).filter("root = 's'").orderBy("rank").collect()]
