@@ -2,13 +2,15 @@
 
 The forest reads a candidate's length, character transitions, share covered by dictionary words, path
 looks and neighbouring words. It is trained from labelled findings; where none are given, findings on
-a fixed part of the documents are labelled by rules that need both a typical form and an assignment.
+a fixed part of the documents are labelled by rules: a known form, or a typical one that is assigned to a
+telling name, is a secret, and what has neither a typical form nor such a name is none.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -20,8 +22,12 @@ from lectio.llm.common import cut, free_name, map_arrow
 
 #: At most so many labelled findings of each class train the forest.
 TRAINING_ROWS = 5_000
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z0-9_+/=.@-]*[0-9])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.@-]{14,254}(?![A-Za-z0-9_+/=.@-])")
-NAMES = re.compile(r"(?i)\b(?:api|access|auth|bearer|client|credential|key|passphrase|passwd|password|private|pwd|secret|token)\b")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z0-9_+/=.@-]*[0-9])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.@-]{14,}(?![A-Za-z0-9_+/=.@-])")
+#: An assignment sign inside a run; '=' at the end of a value is padding.
+ASSIGNMENT = re.compile(r"=(?=[^=])")
+#: Names between other characters than letters, or as parts of names like clientSecret.
+NAMES = re.compile(r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:api|access|auth|bearer|client|credential|key|passphrase|passwd|password|private|pwd|secret|token)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
+KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}")
 TYPICAL = re.compile(r"(?:[0-9a-f]{32,128}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})")
 #: Parts of common words, for dictionary coverage.
 WORDS = re.compile(r"(?i)access|account|admin|agent|animation|application|array|border|button|cache|client|color|config|content|context|control|count|data|default|demo|dev|document|dummy|element|error|event|example|field|file|font|format|function|group|handle|header|http|image|index|input|item|label|layer|layout|list|load|local|manager|message|model|module|name|node|number|object|option|output|package|page|param|path|person|point|port|project|property|query|record|release|request|response|result|sample|script|server|service|session|source|state|static|string|style|system|table|target|template|test|text|title|type|update|user|value|version|video|view|window|world|write|[aeiou][bcdfghlmnprst][aeiou]|tion|the|ing|ent|and|est")
@@ -51,6 +57,7 @@ def features(found: str, before: str, after: str) -> list[float]:
         float(found.count(".")),
         float(bool(re.search(r"\.\w{1,4}$", found))),
         float(bool(re.fullmatch(r"[0-9a-fA-F-]+", found))),
+        float(bool(KNOWN.fullmatch(found))),
         float(bool(NAMES.search(before[-40:]))),
         float(bool(re.search(r"""[=:]\s*["'`]?$""", before))),
         float(bool(re.search(r"""["'`]$""", before)) and bool(re.match(r"""["'`]""", after))),
@@ -58,9 +65,18 @@ def features(found: str, before: str, after: str) -> list[float]:
 
 
 def rule(found: str, before: str) -> int | None:
-    """A label for training: 1 with a typical form that is assigned to a telling name, 0 with neither."""
+    """A label for training: 1 with a known form, or a typical one that is assigned to a telling name, 0 with neither."""
     typical, named = bool(TYPICAL.fullmatch(found)), bool(NAMES.search(before[-40:]) and re.search(r"""[=:]\s*["'`]?$""", before))
-    return 1 if typical and named else 0 if not named else None
+    return 1 if KNOWN.fullmatch(found) or typical and named else 0 if not typical and not named else None
+
+
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(start, candidate); a run with an assignment gives its sides that are candidates by themselves, if there are any."""
+    for m in CANDIDATE.finditer(text):
+        signs = [x.start() for x in ASSIGNMENT.finditer(m[0])]
+        bounds = zip([0, *(x + 1 for x in signs)], [*signs, len(m[0])], strict=True)
+        sides = [(m.start() + a, m[0][a:b]) for a, b in bounds if CANDIDATE.fullmatch(m[0][a:b])]
+        yield from sides or [(m.start(), m[0])]
 
 
 def findings(docs: DataFrame) -> DataFrame:
@@ -69,9 +85,9 @@ def findings(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for m in CANDIDATE.finditer(text):
-                found, before, after = m[0], text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 20]
-                rows.append((doc_id, m.start(), len(found), found, before, rule(found, before), features(found, before, after)))
+            for start, found in candidates(text):
+                before, after = text[max(0, start - 60) : start], text[start + len(found) : start + len(found) + 20]
+                rows.append((doc_id, start, len(found), found, before, rule(found, before), features(found, before, after)))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "candidate", "before", "label", "features"])
@@ -96,8 +112,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     """Findings with the forest's score and whether they are kept: doc_id, start, length, candidate, score, secret.
 
     ``labelled`` has candidate, before, after, label and trains the forest. Without it, findings of
-    documents whose hash is even are labelled by rule(). If only one class has labels, the score is 1
-    where rule() says so, else 0. Null and empty texts have no findings; repeated rows have theirs
+    documents whose hash is even are labelled by rule(), and the score is 1 where rule() says so. If only
+    one class has labels, it is 0 elsewhere. Null and empty texts have no findings; repeated rows have theirs
     each. Start counts code points. Columns beyond doc_id and text are not read.
     """
     found = cut(findings(docs))
@@ -117,6 +133,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     else:
         vectors = found.withColumn("vector", array_to_vector("features"))
         scored = model.transform(vectors).withColumn("score", F.element_at(vector_to_array("probability"), 2))
+        if labelled is None:
+            # Known forms can be too few to be learned; what the rules take for a secret stays one.
+            scored = scored.withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
     return scored.select("doc_id", "start", "length", "candidate", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("secret"))
 
 

@@ -492,6 +492,25 @@ def test_secrets_learn_from_given_findings(spark):
     assert got == {0: True, 1: False}
 
 
+def test_forms_of_secrets(spark, docs):
+    digest, mixed = hashlib.sha1(b"x").hexdigest(), "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    assigned = [(f'{name} = "', value, '"') for name in ("token", "api_key", "client_secret", "access_token", "aws_secret_access_key", "AUTH_TOKEN_2", "clientSecret") for value in (digest, mixed)]
+    assigned += [("API_KEY=", digest, "\n"), ("export AWS_SECRET_ACCESS_KEY=", mixed + "/+aB==", "\n"), ("client_secret: '", mixed, "'")]
+    known = [("see ", "AKIA" + "ABCDEFGH12345678", " there"), ("", "ghp_" + "a1B2c3" * 6, "\n"), ("at ", "xoxb-1234567890-abcdef", ",")]
+    for before, value, after in assigned + known:
+        text = before + value + after
+        assert list(secrets.candidates(text)) == [(len(before), value)], text
+        assert secrets.rule(value, before) == 1, text
+    assert secrets.rule(digest, "commit ") is None and secrets.rule("section-12-of-the-book", "see ") == 0
+    run = "a1B2c3D4" * 500
+    assert list(secrets.candidates(f'x "{run}"')) == [(3, run)]
+    assert list(secrets.candidates("first_value_2024=x")) == [(0, "first_value_2024")] and list(secrets.candidates("some=value=10=abcd")) == [(0, "some=value=10=abcd")]
+    texts = [b + v + a for b, v, a in assigned + known]
+    got = every(secrets.scan(docs.select("doc_id", "text").unionByName(frame(spark, texts, False, 10_000).select("doc_id", "text"))).filter("secret"))
+    found = {r["doc_id"]: r["candidate"] for r in got if r["doc_id"] >= 10_000}
+    assert found == {10_000 + k: v for k, (_, v, _) in enumerate(assigned + known)}
+
+
 def test_secret_edges(odd):
     got = every(secrets.report(odd))
     assert len(got) >= odd.count() and all(r["n_secrets"] == 0 for r in got)
