@@ -2,7 +2,8 @@
 
 Every shingle of SHINGLE code points is hashed to 32 bits and its hash is retained if it lies below
 2**32 / SCALE. The retained set grows with the document, so sketches of very unequal documents still
-estimate containment, and the sketch of a union is the union of the sketches.
+estimate containment, and the sketch of a union is the union of the sketches. A text of which no hash
+lies below has its least hash for a sketch; in a union that one stays only if none lies below.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ def code_points(text: str) -> np.ndarray:
 
 
 def sketch(points: np.ndarray, scale: int = SCALE, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct retained hashes of a text's code points; a text shorter than k is one shingle."""
+    """Sorted distinct retained hashes of a text's code points, or else the least; a text shorter than k is one shingle."""
     if not len(points):
         return np.zeros(0, np.uint32)
     prefix = prefix_hash(mix(points.astype(np.uint64) + np.uint64(1)))
     start = np.arange(max(1, len(points) - k + 1))
     hashes = (range_hash(prefix, start, np.minimum(start + k, len(points))) >> np.uint64(32)).astype(np.uint32)
-    return np.unique(hashes[hashes < 2**32 // scale])
+    kept = np.unique(hashes[hashes < 2**32 // scale])
+    return kept if len(kept) else hashes.min(keepdims=True)
 
 
 def as_text(hashes: np.ndarray) -> str:
@@ -44,9 +46,11 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u4").astype(np.uint32)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of two documents together."""
-    return np.union1d(a, b)
+    both = np.union1d(a, b)
+    kept = both[both < 2**32 // scale]
+    return kept if len(kept) else both[:1]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
@@ -59,6 +63,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return both / min(len(a), len(b)), both / (len(a) + len(b) - both)
 
 
+def compare(points: np.ndarray, own: np.ndarray, other_points: np.ndarray, other: np.ndarray) -> tuple[float, float]:
+    """likeness of two texts by their sketches; where one of them is only a least hash, by all shingles."""
+    if any(len(s) == 1 and s[0] >= 2**32 // SCALE for s in (own, other)):
+        return likeness(sketch(points, 1), sketch(other_points, 1))
+    return likeness(own, other)
+
+
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of range and descending doc_id; each is finished when the next one is seen."""
     last = None
@@ -78,8 +89,9 @@ def _finish(row: tuple, following: tuple) -> dict:
     _, doc_id, text, _, points, own = row
     cut_at = len(text) - len(text) // 3
     edited = text[:cut_at] + following[2][: len(text) // 3]
-    changed = sketch(code_points(edited))
-    near_edited, near_next = likeness(own, changed), likeness(own, following[5])
+    edited_points = code_points(edited)
+    changed = sketch(edited_points)
+    near_edited, near_next = compare(points, own, edited_points, changed), compare(points, own, following[4], following[5])
     return {
         "doc_id": doc_id,
         "n_chars": len(text),

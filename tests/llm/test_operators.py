@@ -73,6 +73,21 @@ def test_fingerprint_estimates_containment_and_merges():
     assert np.array_equal(fingerprints.merge(x, y), np.union1d(x, y))
 
 
+def test_fingerprints_of_short_texts(spark):
+    # In descending doc_id each is followed by the next; no hash of the short ones lies below the threshold.
+    texts = ["one", "two", "a short one", "a short one too", "", LONG[:4000] + "a short one", "a short one"]
+    assert all(fingerprints.sketch(fingerprints.code_points(t)).min() >= 2**32 // 16 for t in texts if 0 < len(t) < 20)
+    got = {-r["doc_id"]: r for r in every(fingerprints.fingerprint(spark.createDataFrame([(-k, t) for k, t in enumerate(texts)], "doc_id long, text string")))}
+    assert all(bool(r["fingerprint"]) == bool(texts[k]) for k, r in got.items())
+    shingles = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} if t else set() for t in texts]
+    for k in (0, 1, 2, 3, 4, 5, 6):
+        a, b = shingles[k], shingles[(k + 1) % len(texts)]
+        assert got[k]["near_next"] == pytest.approx(len(a & b) / min(len(a), len(b)) if a and b else 0.0), k
+        assert got[k]["jaccard_next"] == pytest.approx(len(a & b) / len(a | b)), k
+    x, y, z = (fingerprints.sketch(fingerprints.code_points(t)) for t in ("one", "two", LONG))
+    assert np.array_equal(fingerprints.merge(x, y), [min(x[0], y[0])]) and np.array_equal(fingerprints.merge(x, z), z)
+
+
 def test_fingerprint_edges(spark, odd):
     got = every(fingerprints.fingerprint(odd))
     assert len(got) == odd.count()
