@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd multiplier of the rolling polynomial, modulo 2**64.
@@ -19,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests on one machine, a temporary one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset on one machine, as in tests, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -44,13 +49,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow over record batches; a batch may give nothing."""
+#: Rows, of two numbers each at most, that may be broadcast (some 50 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Mark rows of one or two numbers for a broadcast if there are at most BROADCAST_ROWS; their lineage is cut."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 10_000) -> DataFrame:
+    """mapInArrow over record batches, cut to at most ``rows``; a batch may give nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for k in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(k, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

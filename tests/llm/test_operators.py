@@ -165,10 +165,37 @@ def test_near_duplicate_edges(odd):
     assert every(near_duplicates.link_components(odd.limit(0))) == []
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7)]
-    got = {r["node"]: r["root"] for r in every(components.components(spark.createDataFrame(chain, "u long, v long")))}
-    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 103: 100}
+def test_near_duplicates_branch_at_the_default_node_size(spark, monkeypatch):
+    """2,200 texts that share half of their words, so that roots of one token have nodes above NODE; of 300 near copies at least 90 % are found."""
+    monkeypatch.setattr(near_duplicates, "LEVELS", 1)
+    branched, branches = [], near_duplicates._branches
+    monkeypatch.setattr(near_duplicates, "_branches", lambda *a: branched.append(1) or branches(*a))
+    rng = np.random.default_rng(8)
+    texts = [" ".join([*(f"s{i}" for i in range(80)), *(f"t{k}x{i}" for i in range(60))]) for k in range(2200)]
+    copies = []
+    for k in range(300):
+        words = texts[k].split()
+        words[int(rng.integers(80, 130))] = f"n{k}"
+        copies.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in every(near_duplicates.link_components(frame(spark, texts + copies, extra=False)))}
+    assert branched
+    assert all(got[k] == k for k in range(2200))
+    assert sum(got[2200 + k] == k for k in range(300)) >= 270
+
+
+@pytest.mark.parametrize("piece", [1, 7, 200_000])
+def test_components(spark, monkeypatch, piece):
+    monkeypatch.setattr(components, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    order = rng.permutation(200).tolist()
+    edges = [(order[i], order[i + 1]) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(0, 200, (60, 2))] + [(7, 7), (7, 7)]
+    edges += [(b, a) for a, b in edges[:20]]
+    want = {i: i for i in range(200)}
+    for _ in range(200):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["node"]: r["root"] for r in every(components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)))}
+    assert got == {i: r for i, r in want.items() if i != r}
 
 
 # Licences
