@@ -407,9 +407,12 @@ def brute_repeats(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [10_000, 3])
-def test_repeats(spark, docs, rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, bits, copies", [(10_000, 1 << 27, 1_000_000), (2, 1 << 27, 1_000_000), (3, 8, 1), (10_000, 8, 1)])
+def test_repeats(spark, docs, rows, monkeypatch, hot, bits, copies):
+    """Hot samples or none, a bit set or a join, copies apart or among the others: the same results."""
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MOST_BITS", bits)
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", copies)
     more = [(30_000 + i, t) for i, t in enumerate(["é" * 60, "x" + "é" * 60, "ab" * 100, "ba" * 100 + "\x00" * 60, "q" + "\x00" * 55, LONG[:2000], LONG[997:3000], "0123456789" * 4 + "012345678", "0123456789" * 5])]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in every(repeats.remove_repeats(both))}
