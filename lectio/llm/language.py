@@ -8,31 +8,58 @@ their letter-weighted mean over the text gives the document's language.
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.llm.common import free_name, map_arrow
+from lectio.llm.common import few, free_name, mix, prefix_hash, range_hash
 
-#: The training sample's bounds: documents of each language, lines of each of them.
-TRAIN_DOCS, TRAIN_LINES = 600, 6
-#: Hash buckets of features; the most words in one chain, longer lines being several chains.
-BUCKETS, CHAIN = 1 << 16, 128
-WIDTH = 40
-MEMORY = 500_000
+#: The training sample's bounds: documents of each language, pieces of lines of each of them, words of a piece.
+TRAIN_DOCS, TRAIN_LINES, TRAIN_WORDS = 600, 6, 200
+#: Hash buckets of features.
+BUCKETS = 1 << 16
+#: Tokens whose emissions a worker remembers; words that are tagged at a time, about.
+MEMORY, TAGGED = 100_000, 200_000
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a word in lower case: itself, prefixes, suffixes, 2- and 3-grams."""
-    marked = f"<{word}>"
-    found = {"w" + word} | {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
-    found |= {marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)}
-    return [zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in sorted(found)][:WIDTH]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words in lower case, one word's after the other's, and where each begins.
+
+    A word has itself, its prefixes of 1 to 3 letters, its suffixes of 1 to 4 and its 2- and 3-grams with
+    both ends marked: a feature for each kind and place, all of them however long the word is.
+    """
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    prefix = prefix_hash(mix(points.astype(np.uint64) + np.uint64(1)))
+    first = np.cumsum(size) - size
+    who, start, end, kind = [], [], [], []
+
+    def add(own: np.ndarray, a: np.ndarray, b: np.ndarray, name: int) -> None:
+        who.append(own), start.append(a), end.append(b), kind.append(np.full(len(own), name, np.uint64))
+
+    every = np.arange(len(words))
+    add(every, first, first + size, 0)
+    for k in (1, 2, 3, 4):
+        own = np.flatnonzero(size - 2 >= k)
+        if k < 4:
+            add(own, first[own] + 1, first[own] + 1 + k, 1)
+        add(own, first[own] + size[own] - 1 - k, first[own] + size[own] - 1, 2)
+    for k in (2, 3):
+        many = size - k + 1
+        own = np.repeat(every, many)
+        at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        add(own, at, at + k, 3)
+    owner = np.concatenate(who)
+    order = np.argsort(owner, kind="stable")
+    hashed = mix(range_hash(prefix, np.concatenate(start), np.concatenate(end)) ^ np.concatenate(kind))[order]
+    count = np.bincount(owner, minlength=len(words))
+    return (hashed % np.uint64(BUCKETS)).astype(np.int64), np.cumsum(count) - count
 
 
 def letters_of(token: str) -> str:
@@ -41,14 +68,16 @@ def letters_of(token: str) -> str:
 
 @dataclass
 class Model:
-    """Learned weights; row BUCKETS of emit is padding and stays 0."""
+    """Learned weights."""
 
     langs: list[str]
     emit: np.ndarray
     move: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.emit[word_features(word)].sum(0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The emission scores of words, a row each."""
+        flat, start = word_features(words)
+        return np.add.reduceat(self.emit[flat], start, 0)
 
 
 def forward_backward(scores: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +110,19 @@ def forward_backward(scores: np.ndarray, start: np.ndarray, length: np.ndarray,
 
 
 def learn(lines: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, batch: int = 128, seed: int = 5) -> Model:
-    """Fit the field to (line, language) pairs by AdaGrad on the conditional likelihood."""
+    """Fit the field to (line, language) pairs by AdaGrad on the conditional likelihood; a line is a chain."""
     langs = sorted({lang for _, lang in lines})
     index = {lang: i for i, lang in enumerate(langs)}
     rng = np.random.default_rng(seed)
-    emit, move = np.zeros((BUCKETS + 1, len(langs))), np.zeros((len(langs), len(langs)))
+    emit, move = np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs)))
     seen_e, seen_m = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
     ids: dict[str, int] = {}
-    rows: list[list[int]] = []
     chains = []
     for line, lang in lines:
-        words = [w for t in line.lower().split() if (w := letters_of(t))]
-        for k in range(0, len(words), CHAIN):
-            for w in words[k : k + CHAIN]:
-                if w not in ids:
-                    ids[w] = len(rows)
-                    rows.append(f := word_features(w))
-                    f += [BUCKETS] * (WIDTH - len(f))
-            chains.append((np.array([ids[w] for w in words[k : k + CHAIN]]), index[lang]))
-    table = np.array(rows or np.zeros((0, WIDTH)), np.int64).reshape(-1, WIDTH)
+        if words := [w for t in line.lower().split() if (w := letters_of(t))]:
+            chains.append((np.array([ids.setdefault(w, len(ids)) for w in words]), index[lang]))
+    flat, first = word_features(list(ids)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    count = np.diff(np.append(first, len(flat)))
     for _ in range(epochs):
         order = rng.permutation(len(chains))
         for k in range(0, len(order), batch):
@@ -107,17 +130,18 @@ def learn(lines: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, batc
             words, length = np.concatenate([c[0] for c in own]), np.array([len(c[0]) for c in own])
             gold = np.repeat([c[1] for c in own], length)
             unique, inverse = np.unique(words, return_inverse=True)
-            scores = emit[table[unique]].sum(1)[inverse]
+            many = count[unique]
+            begin = np.cumsum(many) - many
+            used = flat[np.repeat(first[unique] - begin, many) + np.arange(many.sum())]
+            scores = np.add.reduceat(emit[used], begin, 0)[inverse]
             start = np.cumsum(length) - length
             marginal, pair = forward_backward(scores, start, length, move)
             marginal[np.arange(len(gold)), gold] -= 1
-            per_word = np.zeros((len(unique), len(langs)))
-            np.add.at(per_word, inverse, marginal)
+            step = 1e-5 * emit
+            for i in range(len(langs)):
+                per_word = np.bincount(inverse, marginal[:, i], len(unique))
+                step[:, i] += np.bincount(used, np.repeat(per_word, many), BUCKETS) / len(own)
             np.add.at(pair, ([c[1] for c in own], [c[1] for c in own]), -(length - 1.0))
-            step = np.zeros_like(emit)
-            np.add.at(step, table[unique], per_word[:, None, :])
-            step = step / len(own) + 1e-5 * emit
-            step[BUCKETS] = 0
             seen_e += step**2
             emit -= rate * step / np.sqrt(seen_e)
             pair /= len(own)
@@ -135,101 +159,106 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, per_doc: int = TRAIN_LINE
     """Learn from a bounded sample of labelled documents outside the held-out fold; None if there are none.
 
     At most ``per_lang`` documents of each language, by the hash of their doc_id, and ``per_doc``
-    lines of each, by the hash of the line, cut after 2,000 characters, come to the driver.
+    pieces of TRAIN_WORDS words or less of their lines, by the pieces' hash, come to the driver.
     """
     known = docs.filter(training_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # The partial limit by lang and partition keeps a language with most rows from meeting in one task.
-    part = W.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    few = known.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= per_lang)
-    few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_lang)
-    ids = few.select("doc_id").distinct()
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").filter(F.col("lang").isNotNull())
-    lines = texts.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") > 1)
+    # About three times as many documents as are asked for go on, so that no language's rows meet in one task.
+    share = F.col("n") * F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
+    near = known.join(few(known.groupBy("lang").agg(F.count("*").alias("n"))), "lang").filter(share < 3 * per_lang + 50)
+    picked = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_lang)
+    texts = docs.select("doc_id", "lang", "text").join(few(picked.select("doc_id").distinct()), "doc_id").filter(F.col("lang").isNotNull())
+    words = texts.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") > 1).select("doc_id", "lang", F.split("line", "[ \t\r]+").alias("words"))
+    cuts = F.sequence(F.lit(1), F.size("words"), F.lit(TRAIN_WORDS))
+    lines = words.select("doc_id", "lang", F.explode(F.transform(cuts, lambda i: F.array_join(F.slice("words", i, TRAIN_WORDS), " "))).alias("line"))
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("line"), "line"))
-    got = lines.withColumn("r", nth).filter(F.col("r") <= per_doc).select("lang", F.substring("line", 1, 2000).alias("line")).collect()
+    got = lines.withColumn("r", nth).filter(F.col("r") <= per_doc).select("lang", "line").collect()
     pairs = sorted((r["line"], r["lang"]) for r in got)
     return learn(pairs) if pairs else None
 
 
 class Tagger:
-    """A model with the emissions of the words that a task has met."""
+    """A model with the emissions of words that the worker has met."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[str, int] = {"": -1}
-        self.letters, self.used = [], 0
-        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
-
-    def add(self, token: str) -> int:
-        word = letters_of(token)
-        if not word:
-            i = -1
-        else:
-            i = self.used
-            if i == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[i] = self.model.emission(word)
-            self.letters.append(len(word))
-            self.used += 1
-        self.ids[token] = i
-        return i
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.model.langs)))
+        self.letters = np.zeros(0)
 
     def tag(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
+        """(language, score) of each text; lines are chains, however long."""
         if len(self.ids) > MEMORY:
             self.reset()
-        ids, add = self.ids, self.add
-        words: list[np.ndarray] = []
+        ids, new = self.ids, []
+        known = len(self.table)
+        words: list[int] = []
         owner, length = [], []
         for k, text in enumerate(texts):
             for line in (text or "").lower().split("\n"):
-                own = [i if (i := ids.get(t)) is not None else add(t) for t in line.split()]
-                own = [i for i in own if i >= 0]
-                for j in range(0, len(own), CHAIN):
-                    words.append(np.array(own[j : j + CHAIN]))
+                before = len(words)
+                for t in line.split():
+                    i = ids.get(t)
+                    if i is None:
+                        if word := letters_of(t):
+                            i = known + len(new)
+                            new.append(word)
+                        else:
+                            i = -1
+                        ids[t] = i
+                    if i >= 0:
+                        words.append(i)
+                if len(words) > before:
                     owner.append(k)
-                    length.append(min(CHAIN, len(own) - j))
+                    length.append(len(words) - before)
+        if new:
+            self.table = np.concatenate((self.table, self.model.emissions(new)))
+            self.letters = np.concatenate((self.letters, [len(w) for w in new]))
         if not words:
             return [("und", 0.0)] * len(texts)
-        order = np.argsort(-np.array(length), kind="stable")
-        all_words = np.concatenate([words[i] for i in order])
-        size = np.array(length)[order]
-        marginal, _ = forward_backward_light(self.table[all_words].astype(np.float64), np.cumsum(size) - size, size, self.model.move)
-        whose = np.repeat(np.array(owner)[order], size)
-        weight = np.array(self.letters, np.float64)[all_words]
+        size = np.array(length)
+        order = np.argsort(-size, kind="stable")
+        start = np.cumsum(size) - size
+        all_words = np.array(words)
+        marginal = marginals(self.table[all_words].T, start[order], size[order], self.model.move)
+        whose = np.repeat(np.array(owner), size)
+        weight = self.letters[all_words]
         langs = self.model.langs
-        total = np.stack([np.bincount(whose, marginal[:, i] * weight, len(texts)) for i in range(len(langs))], 1)
+        total = np.stack([np.bincount(whose, m * weight, len(texts)) for m in marginal], 1)
         sums = total.sum(1)
         return [(langs[int(t.argmax())], float(t.max() / s)) if s > 0 else ("und", 0.0) for t, s in zip(total, sums, strict=True)]
 
 
-def forward_backward_light(scores: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, None]:
-    """The marginals of forward_backward alone, over rows that are laid out by step."""
+def marginals(scores: np.ndarray, start: np.ndarray, length: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The marginals of forward_backward alone, [language, word]; chains come longest first, wherever they start."""
     steps = int(length.max())
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # chains longer than t
-    offset = np.concatenate(([0], np.cumsum(active)))
-    place = np.concatenate([start[: active[t]] + t for t in range(steps)])
-    weight = np.exp(scores - scores.max(1, keepdims=True))[place]
+    offset = np.concatenate(([0], np.cumsum(active))).tolist()
+    # Rows are laid out by step, so that each step works on a slice.
+    place = start[np.arange(offset[-1]) - np.repeat(offset[:-1], active)] + np.repeat(np.arange(steps), active)
+    weight = np.exp(scores - scores.max(0))[:, place]
     trans = np.exp(move)
-    fore, back = np.empty_like(weight), np.full_like(weight, 1.0)
-    here = weight[: active[0]]
-    fore[: active[0]] = here / here.sum(1, keepdims=True)
+    fore, back = np.empty_like(weight), np.ones_like(weight)
+    fore[:, : offset[1]] = weight[:, : offset[1]] / weight[:, : offset[1]].sum(0)
+    forth = np.ascontiguousarray(trans.T)
     for t in range(1, steps):
-        a, b = offset[t], offset[t + 1]
-        here = (fore[offset[t - 1] : offset[t - 1] + b - a] @ trans) * weight[a:b]
-        fore[a:b] = here / here.sum(1, keepdims=True)
+        a, b, c = offset[t - 1], offset[t], offset[t + 1]
+        here = forth @ fore[:, a : a + c - b]
+        here *= weight[:, b:c]
+        here /= here.sum(0)
+        fore[:, b:c] = here
     for t in range(steps - 2, -1, -1):
-        a, b = offset[t + 1], offset[t + 2]
-        here = (back[a:b] * weight[a:b]) @ trans.T
-        back[offset[t] : offset[t] + b - a] = here / here.sum(1, keepdims=True)
-    both = fore * back
-    both /= both.sum(1, keepdims=True)
-    out = np.empty_like(both)
-    out[place] = both
-    return out, None
+        a, b, c = offset[t], offset[t + 1], offset[t + 2]
+        here = trans @ (back[:, b:c] * weight[:, b:c])
+        here /= here.sum(0)
+        back[:, a : a + c - b] = here
+    fore *= back
+    fore /= fore.sum(0)
+    out = np.empty_like(fore)
+    out[:, place] = fore
+    return out
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -247,19 +276,25 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = len(kept)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tagger = _taggers.get(sent.value.emit.tobytes()[:64] + sent.value.move.tobytes())
-        if tagger is None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = hash((sent.value.emit.tobytes(), sent.value.move.tobytes()))
+        if key not in _taggers:
             _taggers.clear()
-            tagger = _taggers[sent.value.emit.tobytes()[:64] + sent.value.move.tobytes()] = Tagger(sent.value)
-        texts = batch.column(at).to_pylist()
-        got = [x for k in range(0, len(texts), 500) for x in tagger.tag(texts[k : k + 500])]
-        return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, "lang_pred", "score"])
+            _taggers[key] = Tagger(sent.value)
+        tagger = _taggers[key]
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)) // (6 * TAGGED)
+            for part in np.unique(size):
+                first, last = np.searchsorted(size, (part, part + 1))
+                own = batch.slice(first, last - first)
+                got = tagger.tag(own.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*own.columns[:at], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, "lang_pred", "score"])
 
-    return map_arrow(rows, run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-_taggers: dict[bytes, Tagger] = {}
+#: The tagger of the last model that this worker has had.
+_taggers: dict[int, Tagger] = {}
 
 
 def report(docs: DataFrame) -> DataFrame:

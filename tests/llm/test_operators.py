@@ -235,7 +235,7 @@ def test_forward_backward_is_exact():
     lengths = [5, 3, 1]
     scores = rng.normal(size=(sum(lengths), 3))
     start = np.cumsum(lengths) - lengths
-    fast, _ = language.forward_backward_light(scores, start, np.array(lengths), move)
+    fast = language.marginals(scores.T, start, np.array(lengths), move).T
     full, pair = language.forward_backward(scores, start, np.array(lengths), move)
     assert np.allclose(fast, full)
     moves = np.zeros((3, 3))
@@ -253,6 +253,27 @@ def test_forward_backward_is_exact():
     assert np.allclose(pair, moves)
 
 
+def test_words_have_all_their_features_and_lines_are_whole():
+    """Words of 60 letters differ by any of them, alone or among others; a line of 500 words is one chain."""
+    long = "".join("abcdefghij"[i % 10] + "xyz"[i % 3] for i in range(30))
+    words = ["a", long, long[:-1] + "q", "q" + long[1:], long[:30] + "q" + long[31:], "é漢"]
+    flat, start = language.word_features(words)
+    parts = np.split(flat, start[1:])
+    for w, own in zip(words, parts, strict=True):
+        alone, _ = language.word_features([w])
+        n = len(w)
+        assert sorted(alone) == sorted(own) and len(own) == 1 + min(n, 3) + min(n, 4) + (n + 1) + n
+    assert len({tuple(sorted(p)) for p in parts}) == len(words)
+    model = language.learn([("uno dos tres cuatro", "es"), ("one two three four", "en")] * 20)
+    tagger = language.Tagger(model)
+    line = " ".join(["one", "two"] * 250 + ["uno"])
+    scores = model.emissions(line.split()).astype(float)
+    want, _ = language.forward_backward(scores, np.array([0]), np.array([501]), model.move)
+    weight = np.array([len(w) for w in line.split()], float)
+    (lang, score), (other, _) = tagger.tag([line, "dos uno"])
+    assert (lang, other) == ("en", "es") and np.isclose(score, (want * weight[:, None]).sum(0).max() / weight.sum())
+
+
 def test_language(docs, odd):
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     got = every(language.report(docs))
