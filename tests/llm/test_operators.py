@@ -137,6 +137,7 @@ def test_near_duplicates(docs, rows):
 def test_near_duplicates_in_large_nodes(spark, monkeypatch, cluster, part):
     """Small limits make blocks, branching, the last exhaustive level, parts of clusters and their nodes work; chains hang together."""
     monkeypatch.setattr(near_duplicates, "NODE", 3)
+    monkeypatch.setattr(near_duplicates, "SQUARE", 2)
     monkeypatch.setattr(near_duplicates, "CLUSTER", cluster)
     monkeypatch.setattr(near_duplicates, "PART", part)
     monkeypatch.setattr(near_duplicates, "DEPTH", 1)
@@ -171,6 +172,7 @@ def test_near_duplicate_edges(odd):
 def test_near_duplicates_branch_at_the_default_node_size(spark, monkeypatch):
     """2,200 texts that share half of their words, so that roots of one token have nodes above NODE; of 300 near copies at least 90 % are found."""
     monkeypatch.setattr(near_duplicates, "LEVELS", 1)
+    monkeypatch.setattr(near_duplicates, "SQUARE", 1)
     branched, branches = [], near_duplicates._branches
     monkeypatch.setattr(near_duplicates, "_branches", lambda *a: branched.append(1) or branches(*a))
     rng = np.random.default_rng(8)
