@@ -261,18 +261,18 @@ def marginals(scores: np.ndarray, start: np.ndarray, length: np.ndarray, move: n
     return out
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Add lang_pred and score to documents; all other columns stay (existing ones of these names are replaced).
+def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add lang_pred and score, under these or given names, to documents; all other columns stay (existing ones of these names are replaced).
 
     lang_pred is a learned language, or ``und`` with score 0 if the text is null, empty or has no
-    letter, or if nothing was learned. Equal texts get equal results. An empty table gives an empty
-    result. Texts are read whole, however long.
+    letter, or if nothing was learned. Equal texts get equal results, also repeated rows. An empty table
+    gives an empty result. Texts are read whole, however long.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double"
+    kept = [c for c in docs.columns if c not in (pred, score)]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{pred}` string, `{score}` double"
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(free_name(docs, "_text")))
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("und").alias(pred), F.lit(0.0).alias(score))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = len(kept)
 
@@ -288,7 +288,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 first, last = np.searchsorted(size, (part, part + 1))
                 own = batch.slice(first, last - first)
                 got = tagger.tag(own.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*own.columns[:at], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:at], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, pred, score])
 
     return rows.mapInArrow(run, schema)
 
@@ -298,6 +298,11 @@ _taggers: dict[int, Tagger] = {}
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document, learned from the other fold."""
+    """doc_id, held_out, lang_pred and score of each document, learned from the other fold.
+
+    Null and empty texts, texts without letters and, if nothing is labelled, all texts are ``und`` with
+    score 0. A null doc_id counts as an empty one in the fold. Repeated rows come out as often as they
+    went in; other columns are not read.
+    """
     rows = identify(docs.select("doc_id", "text"), train(docs))
     return rows.select("doc_id", (~training_fold()).alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))

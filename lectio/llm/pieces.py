@@ -32,7 +32,7 @@ from lectio.llm.common import free_name, map_arrow
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts and neighbour tests that a task remembers.
-MEMORY = 800_000
+MEMORY = 300_000
 PARTS = re.compile(" *[^ ]+| +")
 PACK = [struct.Struct(f"<{n}i").pack for n in range(41)]
 #: Of a character without a piece, in a unigram model.
@@ -249,30 +249,30 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str = MODEL, keep: str = "*") -> DataFrame:
-    """Add tokens (array<int>) and decoded (the text that the tokens give back) to documents.
+def encode(docs: DataFrame, path: str = MODEL, keep: str = "*", ids: str = "tokens", decoded: str = "decoded") -> DataFrame:
+    """Add tokens (array<int>) and decoded (the text that the tokens give back), under these or given names, to documents.
 
-    ``keep``: "*" keeps all columns, whatever their names (existing tokens and decoded are replaced).
+    ``keep``: "*" keeps all columns, whatever their names (existing ones of the new names are replaced).
     Null and empty texts have no tokens and decode to an empty text. A text with a real U+2581, which
     the model can't tell from a space, decodes to a space there; any other text comes back unchanged.
     Repeated rows get equal results; an empty table gives an empty one. Texts are encoded whole; a
     part without any space is composed whole too, at a cost in proportion to its length.
     """
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
-    kept = [c for c in docs.columns if c not in ("tokens", "decoded")] if keep == "*" else [keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", tokens array<int>, decoded string"
+    kept = [c for c in docs.columns if c not in (ids, decoded)] if keep == "*" else [keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{ids}` array<int>, `{decoded}` string"
     at = len(kept)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = compiled(model.value)
         tokens = [t.encode_bytes(x) for x in batch.column(at).to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in tokens]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(tokens), "<i4")))
-        decoded = pa.array([t.decode(np.frombuffer(x, "<i4").tolist()) for x in tokens], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns[:at], ids, decoded], [*kept, "tokens", "decoded"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(tokens), "<i4")))
+        texts = pa.array([t.decode(np.frombuffer(x, "<i4").tolist()) for x in tokens], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], lists, texts], [*kept, ids, decoded])
 
     text = F.col("text").cast("string").alias(free_name(docs, "_text"))
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept], text), run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept], text), run, schema, rows=500)
 
 
 def digest(tokens: list[int]) -> str:
@@ -281,7 +281,10 @@ def digest(tokens: list[int]) -> str:
 
 
 def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_tokens, n_bytes (byte-fallback tokens), ids_sha256, decoded_sha256, round_trip for each document."""
+    """doc_id, n_chars, n_tokens, n_bytes (byte-fallback tokens), ids_sha256, decoded_sha256, round_trip for each document.
+
+    A null text counts as empty; repeated rows come out as often as they went in; other columns are not read.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     coded = encode(rows, path)
     model = Transducer(read_model(path))

@@ -27,7 +27,7 @@ NUMBERS = re.compile(
     r"(?<![\w.+-])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?P<phone>(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}-\d{4}|(?:\+1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){3,5})(?![\w-])"
+    r"|(?P<phone>(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}-\d{4}|(?:\+1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}|\+[1-9]\d{0,2}(?:[ .-]?\d{2,4}){3,5})(?![\w-])"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<iso>\d{4}-\d{2}-\d{2})(?![\d-])"
     r"|(?P<day>\d{2}(?P<s>[/.])\d{2}(?P=s)\d{4})(?!\w)"
@@ -69,6 +69,17 @@ class Feistel:
                 return value
 
 
+#: The country calling codes of one and two digits; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def calling_code(digits: str) -> str | None:
+    """The country calling code that an international number begins with; None if no zone is behind it."""
+    if digits[:1] in ("", "0"):
+        return None
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 def luhn_digit(body: str) -> str:
     """The check digit that makes a number valid."""
     total = 0
@@ -126,7 +137,10 @@ class Pseudonyms:
             out = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 16, 1 << 16, self.back)
             return ".".join(map(str, out.to_bytes(4, "big")))
         if kind == "phone":
-            country = "1" if text.startswith("+1") else ""
+            country = calling_code(digits) if text.startswith("+") else ""
+            if country is None or not 7 <= len(digits) - len(country) or len(digits) > 15:
+                return None
+            f = Feistel(self.key, f"phone/{country}/{len(digits)}")
             return _laid_out(text, country + f.digits(digits[len(country) :], self.back))
         if kind == "ssn":
             ok = lambda n: (s := f"{n:09d}")[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
@@ -189,17 +203,17 @@ class Pseudonyms:
         return NUMBERS.sub(number, text), found
 
 
-def pseudonymise(docs: DataFrame, key: str = "a key that production takes from its key store", back: bool = False) -> DataFrame:
-    """Replace text, and add pii (how many of each kind, as map<string,int>).
+def pseudonymise(docs: DataFrame, key: str = "a key that production takes from its key store", back: bool = False, counts: str = "pii") -> DataFrame:
+    """Replace text, and add pii (how many of each kind, as map<string,int>), under this or a given name.
 
-    All columns stay, whatever their names (an existing pii is replaced). Kinds: card (Luhn), ip,
+    All columns stay, whatever their names (an existing one of that name is replaced). Kinds: card (Luhn), ip,
     phone, ssn, iban, date (dd before mm where both are possible) and email (the part before the @;
     letters stay letters, digits digits). Numbers that aren't valid for a kind stay. Null texts stay
     null and have no pii; empty texts stay empty. Repeated rows get equal results; an empty table
     gives an empty one. Texts are scanned whole, however long.
     """
-    kept = [c for c in docs.columns if c != "pii"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", pii map<string,int>"
+    kept = [c for c in docs.columns if c != counts]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{counts}` map<string,int>"
     at, secret = kept.index("text"), key.encode()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,7 +221,7 @@ def pseudonymise(docs: DataFrame, key: str = "a key that production takes from i
         got = [(None, Counter()) if x is None else p.text(x) for x in batch.column(at).to_pylist()]
         columns = list(batch.columns)
         columns[at] = pa.array([t for t, _ in got], batch.schema.field(at).type)
-        return pa.RecordBatch.from_arrays([*columns, pa.array([list(n.items()) for _, n in got], pa.map_(pa.string(), pa.int32()))], [*kept, "pii"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([list(n.items()) for _, n in got], pa.map_(pa.string(), pa.int32()))], [*kept, counts])
 
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept]), run, schema)
 
@@ -216,7 +230,10 @@ _held: dict[tuple[bytes, bool], Pseudonyms] = {}
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_found, the kinds with their counts, the text and its SHA-256, for each document."""
+    """doc_id, n_found, the kinds with their counts, the text and its SHA-256, for each document.
+
+    A null text counts as empty; repeated rows come out as often as they went in; other columns are not read.
+    """
     out = pseudonymise(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     entries = F.array_sort(F.map_entries("pii"))
     return out.select(

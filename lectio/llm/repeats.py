@@ -181,7 +181,7 @@ def shared_hashes(texts: DataFrame, bucket_bits: int) -> DataFrame:
         hashes = low[first[good]].astype(np.int64) << bucket_bits | bucket
         return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.add.reduceat(places, first)[good])], ["hash", "places"])
 
-    packed = map_arrow(texts.select("text"), pack, "bucket int, once binary, more binary")
+    packed = map_arrow(texts.select("text"), pack, "bucket int, once binary, more binary", rows=10_000)
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "hash bigint, places bigint")
 
 

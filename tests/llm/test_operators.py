@@ -368,6 +368,24 @@ def test_decontamination_compares_every_window_that_can_be_accepted(spark, docs,
     assert got_own >= 0.95 * asked
 
 
+def test_decontamination_by_blocks_and_rows(spark, docs, monkeypatch):
+    """Blocks of items give what one index gives, and every row has its own findings."""
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    first = [r["text"] for r in items.orderBy("item_id").limit(2).collect()]
+    same = spark.createDataFrame([(7, first[0], "x"), (7, "nothing of note here", "x"), (None, first[1], "x"), (None, "clean words", "x")], "doc_id long, text string, found string")
+    both = docs.select("doc_id", "text").unionByName(same.select("doc_id", "text"))
+    key = lambda df: sorted((str(r["doc_id"]), r["n_items"], r["item_ids"]) for r in every(df.join(both.select("doc_id").distinct(), "doc_id", "left")))
+    want = key(decontamination.contaminated(both, items))
+    monkeypatch.setattr(decontamination, "BLOCK", 6)
+    got = key(decontamination.contaminated(both, items))
+    agree = sum(a == b for a, b in zip(got, want, strict=True))
+    # Other blocks have other spaces, so a cosine near the limit may fall on its other side.
+    assert agree >= 0.99 * len(want)
+    left = every(decontamination.drop_contaminated(same, items))
+    assert sorted(r["text"] for r in left) == ["clean words", "nothing of note here"] and all(r["found"] == "x" for r in left)
+    assert every(decontamination.drop_contaminated(same.limit(0), items)) == []
+
+
 def test_decontamination_edges(spark, odd):
     items = frame(spark, ["a b c d e f g h", None, "", "unseen words only here"]).withColumnRenamed("doc_id", "item_id")
     got = every(decontamination.contaminated(odd, items))
@@ -404,6 +422,18 @@ def test_pseudonyms_keep_formats_and_come_back():
     assert pseudonyms.Pseudonyms(b"other").text(text)[0] != out
 
 
+def test_phones_keep_their_country_and_come_back():
+    p, q = pseudonyms.Pseudonyms(b"key"), pseudonyms.Pseudonyms(b"key", back=True)
+    rng = np.random.default_rng(4)
+    for code in ("1", "7", "44", "49", "20", "351", "972", "880"):
+        for _ in range(40):
+            number = f"+{code} {rng.integers(200, 999)} {rng.integers(100, 999)} {rng.integers(1000, 9999)}"
+            out, found = p.text(f"call {number} now")
+            assert found == {"phone": 1} and out.startswith(f"call +{code} ") and out != f"call {number} now"
+            assert q.text(out)[0] == f"call {number} now"
+    assert p.text("+0 123 456 7890 and +20 12 34 56")[1] == {}
+
+
 def test_pseudonym_frames(spark, docs, odd):
     out = every(pseudonyms.report(docs))
     assert len(out) == docs.count() and sum(r["n_found"] for r in out) > 0
@@ -612,3 +642,30 @@ def test_queries_and_pipeline(spark, tmp_path):
     assert {c for c in want.values() if c not in holds} == set(groups)
     p = pseudonyms.Pseudonyms(b"a key that production takes from its key store")
     assert all(kept[i]["text"] == p.text(before[i]["text"])[0] and kept[i]["n_chars"] == len(kept[i]["text"]) for i in kept)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stage_edges(spark, odd, stage):
+    """Null, empty, long and repeated texts, null ids, clashing names and empty tables: each stage keeps the columns and what it should."""
+    import corpus_pipeline
+
+    _, f = corpus_pipeline.STAGES[stage]
+    base = "/root/testdata/sf0.001"
+    extra = odd.withColumns({"lang_pred": F.lit("p"), "pii": F.lit("q"), "decoded": F.lit("d"), "round_trip": F.lit("r"), "found": F.lit(1), "_gone": F.lit(2), "Text_": F.lit("T")})
+    out = f(spark, extra, base)
+    rows = every(out)
+    assert out.columns[: len(extra.columns)] == extra.columns if stage == 4 else out.columns == extra.columns
+    assert all((r["lang_pred"], r["pii"], r["decoded"], r["round_trip"], r["score"], r["_gone"]) == ("p", "q", "d", "r", "y", 2) for r in rows)
+    texts = collections.Counter(r["text"] for r in rows)
+    before = collections.Counter(r["text"] for r in every(extra))
+    letters = {t for t in before if t and any(c.isalpha() for c in t)}
+    if stage == 0:
+        assert texts == {t: n for t, n in before.items() if t in letters}
+        bare = extra.withColumn("lang", F.lit(None).cast("string"))
+        assert collections.Counter(r["text"] for r in every(f(spark, bare, base))) == texts
+    elif stage == 1:
+        # Ids repeat in the input; of ids 6 and 7, 8 and 9 only the smaller stays.
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in every(extra)} - {7, 9}
+    else:
+        assert texts == before
+    assert every(f(spark, extra.limit(0), base)) == []
