@@ -163,7 +163,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, per_doc: int = TRAIN_LINE
     """
     known = docs.filter(training_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # About three times as many documents as are asked for go on, so that no language's rows meet in one task.
-    share = F.col("n") * F.shiftrightunsigned("h", 11) / F.lit(2.0**53)
+    share = F.shiftrightunsigned("h", 11) / F.lit(2.0**53) * F.col("n")
     near = known.join(few(known.groupBy("lang").agg(F.count("*").alias("n"))), "lang").filter(share < 3 * per_lang + 50)
     picked = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_lang)
     texts = docs.select("doc_id", "lang", "text").join(few(picked.select("doc_id").distinct()), "doc_id").filter(F.col("lang").isNotNull())
