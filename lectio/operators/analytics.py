@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
+from lectio.operators.order import running_before
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -62,10 +64,11 @@ def root_occurrences(tokens: DataFrame, root: str, page: int, per_page: int) ->
     """A page of the segments with a root, with their tokens; a page past the end is the last one."""
     own = tokens.filter(F.col("root") == root)
     segments = own.groupBy("segment_id").agg(F.min("handle").alias("first"), F.array_sort(F.collect_list(F.struct("handle", "token_id")))["token_id"].alias("token_ids"))
-    total = segments.count()
+    total = own.agg(F.count_distinct("segment_id")).first()[0]
     pages = max(1, -(-total // per_page))
     number = min(max(1, page), pages)
-    return segments.orderBy("first").offset((number - 1) * per_page).limit(per_page).withColumn("page", F.lit(number)).withColumn("pages", F.lit(pages))
+    numbered = running_before(segments, "first", F.lit(1), "_nth").filter(F.col("_nth").between((number - 1) * per_page, number * per_page - 1)).drop("_nth")
+    return numbered.orderBy("first").withColumn("page", F.lit(number)).withColumn("pages", F.lit(pages))
 
 
 def gloss_index(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
@@ -77,18 +80,22 @@ def gloss_index(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
     return best.join(roots, "key").withColumn("slug", X.gloss_slug(F.col("key")))
 
 
-def gloss_groups(tokens: DataFrame, gloss: str = "gloss", refs: int = 50) -> DataFrame:
-    """(key, root, lemma, count, root_total, refs): the reverse gloss; refs are the first ``refs`` tokens of each group."""
-    keyed = tokens.withColumn("key", X.gloss_key(F.col(gloss))).filter("key != ''").select("key", "root", "lemma", "handle", "token_id")
+def gloss_groups(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
+    """(key, root, lemma, count, root_total, rank): the reverse gloss; gloss_occurrences has the tokens of each group."""
+    keyed = tokens.withColumn("key", X.gloss_key(F.col(gloss))).filter("key != ''").select("key", "root", "lemma")
     counts = keyed.groupBy("key", "root", "lemma").agg(F.count("*").alias("count"))
     totals = counts.groupBy("key", "root").agg(F.sum("count").alias("root_total"))
-    first = top(keyed, ["key", "root", "lemma"], [F.col("handle")], refs).groupBy("key", "root", "lemma").agg(F.array_join(F.array_sort(F.collect_list(F.struct("handle", "token_id")))["token_id"], ",").alias("refs"))
     same = lambda a, b, *cs: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in cs))
-    out = counts.alias("c").join(totals.alias("t"), same("c", "t", "key", "root")).select("c.*", "t.root_total").alias("u").join(first.alias("f"), same("u", "f", "key", "root", "lemma")).select("u.*", "f.refs")
+    out = counts.alias("c").join(totals.alias("t"), same("c", "t", "key", "root")).select("c.*", "t.root_total")
     order = W.partitionBy("key").orderBy(F.col("root").isNull(), F.desc("root_total"), "root", F.desc("count"), F.col("lemma"))
     return out.withColumn("rank", F.row_number().over(order))
 
 
+def gloss_occurrences(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
+    """(key, root, lemma, token_id, handle): every token of the reverse gloss's groups, a row each."""
+    return tokens.withColumn("key", X.gloss_key(F.col(gloss))).filter("key != ''").select("key", "root", "lemma", "token_id", "handle")
+
+
 def verse_roots(tokens: DataFrame) -> DataFrame:
     """Distinct (verse, root) pairs; formula tokens and missing roots don't count."""
     return tokens.filter("root is not null and not is_formula").select(F.col("segment_id").alias("verse"), "root").distinct()
@@ -168,8 +175,18 @@ def verse_editions(lines: DataFrame, chosen: Sequence[str]) -> DataFrame:
 
 def frames(tokens: DataFrame) -> DataFrame:
     """(root, following, count): the forms that follow a root's tokens, '—' at a verse's end."""
+    return frame_refs(tokens).groupBy("root", "following").agg(F.count("*").alias("count"))
+
+
+def frame_refs(tokens: DataFrame) -> DataFrame:
+    """(root, following, segment_id, token_id): each token of a root with the form that follows it, '—' at a verse's end."""
     after = F.coalesce(F.lead("form").over(W.partitionBy("segment_id").orderBy("position")), F.lit("—"))
-    return tokens.withColumn("following", after).filter("root is not null").groupBy("root", "following").agg(F.count("*").alias("count"))
+    return tokens.withColumn("following", after).filter("root is not null").select("root", "following", "segment_id", "token_id")
+
+
+def lemma_counts(tokens: DataFrame) -> DataFrame:
+    """(root, lemma, pos, count) of an evidence pack."""
+    return tokens.filter("root is not null").groupBy("root", "lemma", "pos").agg(F.count("*").alias("count"))
 
 
 def contrast_lines(tokens: DataFrame, words: Sequence[str], k: int = 10) -> DataFrame:
@@ -183,14 +200,15 @@ def contrast_lines(tokens: DataFrame, words: Sequence[str], k: int = 10) -> Data
 def collisions(tokens: DataFrame, weak: str, k: int = 14) -> DataFrame:
     """(root, form): forms that hold a root's radicals in order, with only weak letters between, but belong to another root.
 
-    Distinct forms meet distinct roots on the form's hard letters: each run of 2 to 4 of them is a key,
-    so no root is compared with all forms.
+    Distinct forms meet distinct roots on the form's hard letters: each run of them that is no longer than
+    the longest root's is a key, so no root is compared with all forms.
     """
     forms = tokens.filter("root is not null").select("form", F.col("root").alias("other")).distinct()
     strip = lambda c: F.regexp_replace(c, f"[{weak}]", "")
     roots = tokens.filter("root is not null").select("root").distinct().withColumn("core", F.regexp_replace("root", r"[\s-]", "")).withColumn("hard", strip(F.col("core")))
     hard = strip(F.col("form"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hard), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: hard.substr(i, n))))
+    longest = roots.agg(F.max(F.length("hard"))).first()[0] or 1
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hard), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: hard.substr(i, n))))
     keyed = forms.withColumn("hard", F.explode(F.array_distinct(spans)))
     joined = roots.filter("length(core) >= 2").join(keyed, "hard").filter("root != other")
     wanted = F.array_join(F.filter(F.split("core", ""), lambda x: x != ""), f"[{weak}]*")
@@ -217,14 +235,20 @@ def decision_keys() -> list[Column]:
 
 
 def resolve_decisions(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """Add key, english and grade: the first key of a token whose decision has an english text."""
+    """Add key, english and grade: the first key of a token whose decision has an english text.
+
+    Keys are looked up once for each different (root, lemma, pos, form).
+    """
+    parts = ["root", "lemma", "pos", "form"]
     known = table.filter("english is not null and english != ''").select("key", "english", "grade")
     keys = decision_keys()
     keys = [F.when(F.col("root").isNotNull(), k) for k in keys[:3]] + [F.when(F.col("root").isNull(), k) for k in keys[3:]]
     items = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), k.alias("key")) for i, k in enumerate(keys)]), lambda s: s["key"].isNotNull())
-    asked = tokens.select("token_id", F.explode(items).alias("s")).select("token_id", "s.i", "s.key")
-    found = asked.join(known, "key").groupBy("token_id").agg(F.min(F.struct("i", "key", "english", "grade")).alias("d"))
-    return tokens.join(found.select("token_id", "d.key", "d.english", "d.grade"), "token_id", "left")
+    asked = tokens.select(*parts).distinct().select(*parts, F.explode(items).alias("s")).select(*parts, "s.i", "s.key")
+    found = asked.join(known, "key").groupBy(*parts).agg(F.min(F.struct("i", "key", "english", "grade")).alias("d"))
+    found = found.select(*[F.col(p).alias(f"_{p}") for p in parts], "d.key", "d.english", "d.grade")
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts])
+    return tokens.join(found, same, "left").drop(*[f"_{p}" for p in parts])
 
 
 def decision_init(tokens: DataFrame, table: DataFrame) -> DataFrame:

@@ -136,16 +136,25 @@ def bigrams(c: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: c.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def coverage(quotes: DataFrame, verses: DataFrame, on: list[str] | None = None) -> DataFrame:
+def coverage(quotes: DataFrame, verses: DataFrame, on: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """(quote_id, verse_id, coverage): the share of a quote's bigrams, as a multiset, that a verse has.
 
     quotes: quote_id, blob; verses: verse_id, blob; ``on`` names columns that must agree too. Only pairs
-    that share a bigram come out: an inverted index on bigrams makes them.
+    that share a bigram come out: an inverted index on bigrams makes them. With ``least``, pairs below
+    it may be missing: a verse is compared only if it has one of so many of a quote's rarest bigrams
+    that the others alone fall short.
     """
     on = on or []
     q = quotes.select("quote_id", *on, F.explode(bigrams(F.col("blob"))).alias("b")).groupBy("quote_id", *on, "b").agg(F.count("*").alias("nq"))
     v = verses.select("verse_id", *on, F.explode(bigrams(F.col("blob"))).alias("b")).groupBy("verse_id", *on, "b").agg(F.count("*").alias("nv"))
     total = q.groupBy("quote_id").agg(F.sum("nq").alias("total"))
+    if least > 0:
+        spread = v.groupBy("b").agg(F.count("*").alias("df"))
+        before = F.coalesce(F.sum("nq").over(W.partitionBy("quote_id").orderBy("df", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rare = q.join(spread, "b", "left").fillna(0, ["df"]).join(total, "quote_id").withColumn("before", before).filter(F.col("before") <= (1 - least) * F.col("total"))
+        near = rare.select("quote_id", *on, "b").join(v.select("verse_id", *on, "b"), [*on, "b"]).select("quote_id", "verse_id").distinct()
+        hits = near.join(q, "quote_id").join(v, ["verse_id", *on, "b"]).groupBy("quote_id", "verse_id").agg(F.sum(F.least("nq", "nv")).alias("hits"))
+        return hits.join(total, "quote_id").select("quote_id", "verse_id", (F.col("hits") / F.col("total")).alias("coverage"))
     hits = q.join(v, [*on, "b"]).groupBy("quote_id", "verse_id").agg(F.sum(F.least("nq", "nv")).alias("hits"))
     return hits.join(total, "quote_id").select("quote_id", "verse_id", (F.col("hits") / F.col("total")).alias("coverage"))
 
@@ -155,7 +164,7 @@ def best_verse(quotes: DataFrame, verses: DataFrame, least: float = MATCH) -> Da
 
     verses: verse_id, seq, blob.
     """
-    found = coverage(quotes, verses).join(verses.select("verse_id", "seq"), "verse_id")
+    found = coverage(quotes, verses, least=least).join(verses.select("verse_id", "seq"), "verse_id")
     best = found.groupBy("quote_id").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "seq", "verse_id", "coverage")).alias("b"))
     return best.select("quote_id", "b.verse_id", "b.coverage").filter(F.col("coverage") >= least)
 

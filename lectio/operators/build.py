@@ -43,27 +43,28 @@ def segment(verses: DataFrame, is_word: Callable[[Column], Column] | None = None
     """Words of verses (division, slot, text and others): position, word, char_start, char_end, following_marks.
 
     The text is split at single spaces. Pieces that are no words are marks: they go to the word before
-    them; leading_marks has those before the first. Offsets count code points. No row leaves its task.
+    them; leading_marks has those before the first. Offsets count code points and are summed once for a
+    text. No row leaves its task.
     """
     is_word = is_word or (lambda p: (p != "") & ~X.is_mark_run(p))
     pieces = F.split("text", " ", -1)
-    words = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("word"), i.alias("at"))), lambda s: is_word(s["word"]))
-    start = F.transform(F.col("_words"), lambda s: s["at"])
-    spread = verses.withColumn("_pieces", pieces).withColumn("_words", words)
-    spread = spread.withColumn("leading_marks", F.slice("_pieces", F.lit(1), F.coalesce(F.get(start, F.lit(0)), F.size("_pieces")))).withColumn("_at", start)
-    keep = [c for c in verses.columns if c != "text"]
-    rows = spread.select(*keep, "leading_marks", "_pieces", "_at", F.posexplode("_words").alias("_k", "_w"))
-    following = F.coalesce(F.get("_at", F.col("_k") + 1), F.size("_pieces"))
-    char_start = F.length(F.array_join(F.slice("_pieces", F.lit(1), F.col("_w.at")), " ")) + F.when(F.col("_w.at") > 0, 1).otherwise(0)
-    return rows.select(
-        *keep,
-        "leading_marks",
-        (F.col("_k") + 1).alias("position"),
-        F.col("_w.word").alias("word"),
-        char_start.alias("char_start"),
-        (char_start + F.length("_w.word")).alias("char_end"),
-        F.slice("_pieces", F.col("_w.at") + 2, following - F.col("_w.at") - 1).alias("following_marks"),
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("_pieces", none, lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+    words = F.filter(F.transform("_pieces", lambda p, i: F.struct(p.alias("word"), i.alias("at"))), lambda s: is_word(s["word"]))
+    spread = verses.withColumn("_pieces", pieces).withColumn("_starts", starts).withColumn("_words", words)
+    after = lambda k: F.coalesce(F.get("_words", k)["at"], F.size("_pieces"))
+    whole = F.transform(
+        "_words",
+        lambda w, k: F.struct(
+            (k + 1).alias("position"),
+            w["word"].alias("word"),
+            F.get("_starts", w["at"]).alias("char_start"),
+            F.slice("_pieces", w["at"] + 2, after(k + 1) - w["at"] - 1).alias("following_marks"),
+        ),
     )
+    keep = [c for c in verses.columns if c != "text"]
+    rows = spread.select(*keep, F.slice("_pieces", F.lit(1), after(F.lit(0))).alias("leading_marks"), F.explode(whole).alias("_w"))
+    return rows.select(*keep, "leading_marks", "_w.position", "_w.word", "_w.char_start", (F.col("_w.char_start") + F.length("_w.word")).alias("char_end"), "_w.following_marks")
 
 
 def text_forms(df: DataFrame, source: str = "word") -> DataFrame:
@@ -114,7 +115,7 @@ def key_differences(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
 def build_divisions(verses: DataFrame, tokens: DataFrame, metadata: DataFrame) -> DataFrame:
     """Division records: metadata with the derived verse_count, which must agree, and the formula's token range."""
     counts = verses.groupBy("division").agg(F.count("*").alias("verse_count"))
-    own = tokens.filter("is_formula").groupBy("division").agg(F.min("token_id").alias("first_id"), F.max("token_id").alias("last_id"), F.count("*").alias("count"))
+    own = tokens.filter("is_formula").groupBy("division").agg(F.min_by("token_id", "position").alias("first_id"), F.max_by("token_id", "position").alias("last_id"), F.count("*").alias("count"))
     out = metadata.join(counts, "division", "left").join(own, "division", "left")
     refuse(out.filter(~F.col("verses").eqNullSafe(F.col("verse_count"))).select("division", "verses", "verse_count"), "verse counts differ")
     formula = F.when(F.col("count").isNotNull(), F.struct("first_id", "last_id", "count"))

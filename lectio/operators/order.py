@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,16 +11,22 @@ from pyspark.sql import functions as F
 RANGES = 1024
 
 
+def ranges(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add the number of the range that a numeric key falls into: RANGES ranges of about as many rows each, a key's rows in one."""
+    points = [(i + 1) / RANGES for i in range(RANGES - 1)]
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), points, 20 * RANGES)).first()[0] or []
+    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    out = df.withColumn("_key", F.col(key).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_key", outputCol=name).transform(out).withColumn(name, F.col(name).cast("int")).drop("_key")
+
+
 def running_before(df: DataFrame, key: str, amount: Column, name: str, then: list[str] | None = None) -> DataFrame:
-    """Add the sum of ``amount`` over the rows that come before in (key, then...); key is an integer.
+    """Add the sum of ``amount`` over the rows that come before in (key, then...); key is a number and not null.
 
-    The key's extent is cut into RANGES equal ranges. Their sums, RANGES rows at most, are accumulated
-    and broadcast; inside a range a window does the rest, so no task gets all rows.
+    Rows are dealt to ranges of the key of about equal size. Their sums, RANGES rows at most, are
+    accumulated and broadcast; inside a range a window does the rest, so no task gets all rows.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    low, high = low or 0, high or 0
-    place = F.floor((F.col(key) - F.lit(low)) * F.lit(RANGES) / F.lit(high - low + 1)).cast("int")
-    ranged = df.withColumn("_range", place).withColumn("_amount", amount)
+    ranged = ranges(df, key, "_range").withColumn("_amount", amount)
     sums = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
+from lectio.operators.order import running_before
 
 
 @dataclass(frozen=True)
@@ -257,9 +258,13 @@ class Search:
         return found.groupBy("segment_id").agg(F.min("handle").alias("first_handle"), F.count("*").alias("hits")).orderBy("first_handle")
 
     def page(self, node: Node, page: int = 1, per_page: int = 50) -> DataFrame:
-        """One page of hits; per_page is held to 1..500, a page past the end is empty."""
+        """One page of hits in corpus order; per_page is held to 1..500, a page past the end is empty.
+
+        Hits are numbered by running sums over ranges, so those before the page don't meet in one place.
+        """
         size, number = min(500, max(1, per_page)), max(1, page)
-        return self.hits(node).orderBy("handle").offset((number - 1) * size).limit(size)
+        numbered = running_before(self.hits(node), "handle", F.lit(1), "_nth")
+        return numbered.filter(F.col("_nth").between((number - 1) * size, number * size - 1)).drop("_nth").orderBy("handle")
 
     def count_queries(self, queries: dict[str, Node]) -> DataFrame:
         """(query_id, total) of many saved queries: one scan for all row trees, a union for positional ones."""
@@ -299,16 +304,18 @@ def suggest(typed: DataFrame, forms: DataFrame, roots: DataFrame, names: DataFra
     come before those that contain it. Three names, three roots and the best forms make up ``most``.
     """
     q = typed.select("prefix").distinct()
+    # How long prefixes are: a handful of numbers.
+    lengths = sorted(r[0] for r in q.select(F.length("prefix")).distinct().collect())
+    parts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
 
     def ranked(vocabulary: DataFrame, kind: str) -> DataFrame:
-        lengths = q.select(F.length("prefix").alias("n")).distinct()
-        keyed = vocabulary.crossJoin(F.broadcast(lengths)).filter(F.length("value") >= F.col("n")).withColumn("prefix", F.left("value", F.col("n")))
-        found = keyed.join(F.broadcast(q), "prefix")
+        keyed = vocabulary.withColumn("n", F.explode(parts)).filter(F.length("value") >= F.col("n"))
+        found = keyed.withColumn("prefix", F.left("value", F.col("n"))).join(q, "prefix")
         cut = found.withColumn("r", F.row_number().over(W.partitionBy("prefix").orderBy("value"))).filter(F.col("r") <= first)
         return cut.withColumn("r", F.row_number().over(W.partitionBy("prefix").orderBy(F.desc("count"), "value"))).select("prefix", F.lit(kind).alias("kind"), "value", "count", "r")
 
-    at = F.when(F.lower("value").startswith(F.col("prefix")), 0).when(F.lower("value").contains(F.col("prefix")), 1)
-    named = names.crossJoin(F.broadcast(q)).withColumn("at", at).filter("at is not null")
+    inside = F.flatten(F.transform(parts, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - n + 1, F.lit(1))), lambda i: F.lower("value").substr(i, n))))
+    named = names.withColumn("prefix", F.explode(F.array_distinct(inside))).join(q, "prefix").withColumn("at", F.when(F.lower("value").startswith(F.col("prefix")), 0).otherwise(1))
     named = named.withColumn("r", F.row_number().over(W.partitionBy("prefix").orderBy("at", "number"))).select("prefix", F.lit("name").alias("kind"), "value", F.lit(None).cast("bigint").alias("count"), "r")
     every = named.filter("r <= 3").withColumn("k", F.lit(0)).unionByName(ranked(roots, "root").filter("r <= 3").withColumn("k", F.lit(1))).unionByName(ranked(forms, "form").withColumn("k", F.lit(2)))
     out = every.withColumn("rank", F.row_number().over(W.partitionBy("prefix").orderBy("k", "r"))).filter(F.col("rank") <= most)

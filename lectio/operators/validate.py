@@ -35,9 +35,10 @@ def violations(checks: Sequence[DataFrame]) -> DataFrame:
 
 
 def checksum_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, bytes) of every file below a folder; each is read whole by one task."""
+    """(file, sha256, bytes) of every file below a folder, by its path from there; each is read whole by one task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    below = "/" + path.rstrip("/").rpartition("/")[2] + "/"
+    return files.select(F.substring_index("path", below, -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def verify_checksums(found: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -63,14 +64,15 @@ def resolve_ids(ids: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 
 
 def roundtrip_check(tokens: DataFrame, verses: DataFrame) -> DataFrame:
-    """(division, slot, problem): verses whose words and marks don't give the text back, or whose positions have gaps."""
+    """(division, slot, problem): verses whose words and marks don't give the text back, or whose positions have gaps; a verse without words has to be blank or marks alone."""
     parts = F.array_join(F.concat(F.array("word"), F.col("following_marks")), " ")
     own = tokens.withColumn("part", parts).groupBy("division", "slot").agg(
         F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"), F.max(F.when(F.col("position") == 1, F.col("leading_marks"))).alias("leading"), F.max("position").alias("last"), F.count("*").alias("n")
     )
     text = F.array_join(F.concat("leading", F.col("parts")["part"]), " ")
-    problem = F.when(F.col("n") != F.col("last"), "positions").when(text != F.col("text"), "text")
-    return verses.select("division", "slot", "text").join(own, ["division", "slot"]).withColumn("problem", problem).filter("problem is not null").select("division", "slot", "problem")
+    lost = F.col("n").isNull() & F.col("text").rlike(r"\p{L}")
+    problem = F.when(lost, "words").when(F.col("n") != F.col("last"), "positions").when(text != F.col("text"), "text")
+    return verses.select("division", "slot", "text").join(own, ["division", "slot"], "left").withColumn("problem", problem).filter("problem is not null").select("division", "slot", "problem")
 
 
 def licence_groups(files: DataFrame, rules: Sequence[tuple[str, str]], display_only: DataFrame | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def c11_key_differences(spark, sf_dir):
 
 
 @query(
-    f"WITH {TOKENS}, f AS (SELECT division, min(token_id) AS first_id, max(token_id) AS last_id, count(*) AS n FROM tokens WHERE is_formula GROUP BY division) "
+    f"WITH {TOKENS}, f AS (SELECT division, arg_min(token_id, position) AS first_id, arg_max(token_id, position) AS last_id, count(*) AS n FROM tokens WHERE is_formula GROUP BY division) "
     "SELECT v.division, v.n AS verse_count, f.first_id, f.last_id, coalesce(f.n, 0) AS formula_tokens FROM (SELECT division, count(*) AS n FROM verses GROUP BY division) v LEFT JOIN f ON v.division = f.division"
 )
 def c12_divisions(spark, sf_dir):
@@ -110,7 +110,28 @@ hits("q10_scope", S.scoped(S.normalised("the"), divisions=(3, 5, 8, 13)), "divis
 hits("q10_scope_range", S.scoped(S.or_(S.prefix("th"), S.root("t-h-n")), span=(12, 1, 6)), "division = 12 AND slot BETWEEN 1 AND 6 AND NOT is_formula AND (starts_with(form, 'th') OR coalesce(root = 't-h-n', false))")
 hits("q11_boolean", S.and_(S.or_(S.prefix("an"), S.root("t-h-n")), S.not_(S.pos("V")), S.not_(S.root("n-d"))), "(starts_with(form, 'an') OR coalesce(root = 't-h-n', false)) AND pos <> 'V' AND NOT coalesce(root = 'n-d', false)")
 hits("q11_not", S.not_(S.root("t-h-n")), "NOT coalesce(root = 't-h-n', false)")
-hits("q14_without_formula", S.and_(S.normalised("the"), S.all_()), "form = 'the'")
+
+
+@query(f"WITH {TOKENS} SELECT token_id, handle FROM tokens WHERE starts_with(form, 't') AND NOT is_formula")
+def q14_without_formula(spark, sf_dir):
+    return searcher(spark, sf_dir).search(S.prefix("T"), include_formula=False).select("token_id", "handle")
+
+
+@query(f"WITH {TOKENS} SELECT token_id, nfc_normalize(word) AS exact_key FROM tokens")
+def q1_search_table(spark, sf_dir):
+    return S.search_table(tokens(spark, sf_dir)).select("token_id", "exact_key")
+
+
+@query(f"WITH {TOKENS} SELECT token_id FROM tokens WHERE nfc_normalize(word) = 'The'")
+def q2_exact_key(spark, sf_dir):
+    table_ = S.search_table(tokens(spark, sf_dir))
+    return S.Search(table_, plain).hits(S.exact("The")).select("token_id")
+
+
+@query(f"WITH {TOKENS} SELECT token_id FROM tokens WHERE lemma = 'this' OR (NOT EXISTS (SELECT 1 FROM tokens WHERE lemma = 'this') AND form = 'this')")
+def q7_lemma_fallback(spark, sf_dir):
+    return searcher(spark, sf_dir).hits(S.lemma("this")).select("token_id")
+
 
 NEAR = f"""WITH {TOKENS}, a AS (SELECT * FROM tokens WHERE form = 'the'), b AS (SELECT * FROM tokens WHERE starts_with(form, 'ti') OR starts_with(form, 'inter')),
 pairs AS (SELECT a.handle AS x, b.handle AS y FROM a JOIN b ON a.handle <> b.handle AND abs(a.handle - b.handle) <= 5 AND SAME),
@@ -162,7 +183,7 @@ def q17_batch(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TOKENS}, typed AS (SELECT DISTINCT left(form, 2) AS prefix FROM tokens WHERE length(form) > 5 AND handle < 500),
+    f"""WITH {TOKENS}, typed AS (SELECT DISTINCT left(form, 2) AS prefix FROM tokens WHERE length(form) > 5),
 forms AS (SELECT form AS value, count(*) AS n FROM tokens GROUP BY 1), roots AS (SELECT root AS value, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1),
 both_ AS (SELECT 'form' AS kind, 2 AS k, * FROM forms UNION ALL SELECT 'root', 1, * FROM roots),
 cut AS (SELECT t.prefix, b.*, row_number() OVER (PARTITION BY t.prefix, kind ORDER BY value) AS r FROM typed t JOIN both_ b ON starts_with(b.value, t.prefix)),
@@ -173,7 +194,7 @@ SELECT prefix, kind, value, coalesce(n, 0) AS "count", CAST(rank AS INTEGER) AS
 )
 def q18_suggest(spark, sf_dir):
     t = tokens(spark, sf_dir)
-    typed = t.filter("length(form) > 5 and handle < 500").select(F.left("form", F.lit(2)).alias("prefix")).distinct()
+    typed = t.filter("length(form) > 5").select(F.left("form", F.lit(2)).alias("prefix")).distinct()
     forms, roots = t.groupBy(F.col("form").alias("value")).agg(F.count("*").alias("count")), t.filter("root is not null").groupBy(F.col("root").alias("value")).agg(F.count("*").alias("count"))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("value"))
     return S.suggest(typed, forms, roots, names).fillna(0, ["count"])
@@ -229,26 +250,29 @@ def n5_gloss_index(spark, sf_dir):
 
 @query(
     KEYED
-    + """, g AS (SELECT key, root, lemma, count(*) AS n FROM keyed WHERE key <> '' GROUP BY 1, 2, 3), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY key, root) AS BIGINT) AS root_total FROM g),
-f AS (SELECT key, root, lemma, string_agg(token_id, ',' ORDER BY handle) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY key, root, lemma ORDER BY handle) AS r FROM keyed WHERE key <> '') WHERE r <= 50 GROUP BY 1, 2, 3)
-SELECT t.key, t.root, t.lemma, t.n AS "count", root_total, refs, CAST(row_number() OVER (PARTITION BY t.key ORDER BY t.root IS NULL, root_total DESC, t.root, t.n DESC, t.lemma) AS INTEGER) AS rank
-FROM t JOIN f ON t.key = f.key AND t.root IS NOT DISTINCT FROM f.root AND t.lemma IS NOT DISTINCT FROM f.lemma"""
+    + """, g AS (SELECT key, root, lemma, count(*) AS n FROM keyed WHERE key <> '' GROUP BY 1, 2, 3), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY key, root) AS BIGINT) AS root_total FROM g)
+SELECT t.key, t.root, t.lemma, t.n AS "count", root_total, CAST(row_number() OVER (PARTITION BY t.key ORDER BY t.root IS NULL, root_total DESC, t.root, t.n DESC, t.lemma) AS INTEGER) AS rank FROM t"""
 )
 def n6_reverse_gloss(spark, sf_dir):
-    return N.gloss_groups(tokens(spark, sf_dir), "word")
+    return N.gloss_groups(tokens(spark, sf_dir, handles=False), "word")
+
+
+@query(KEYED + " SELECT key, root, lemma, token_id, handle FROM keyed WHERE key <> ''")
+def n6_occurrences(spark, sf_dir):
+    return N.gloss_occurrences(tokens(spark, sf_dir), "word")
 
 
 PAIRS = f"WITH {TOKENS}, pairs AS (SELECT DISTINCT segment_id AS verse, root FROM tokens WHERE root IS NOT NULL AND NOT is_formula), dfs AS (SELECT root, count(*) AS verses FROM pairs GROUP BY 1)"
 
 
-@query(PAIRS + " SELECT root, verses FROM dfs WHERE verses >= 100")
+@query(PAIRS + " SELECT root, verses FROM dfs WHERE verses >= 500")
 def n7_stoplist(spark, sf_dir):
     return N.stoplist(N.verse_roots(tokens(spark, sf_dir, handles=False)))
 
 
 @query(
     PAIRS
-    + """, kept AS (SELECT p.* FROM pairs p JOIN dfs d ON p.root = d.root WHERE d.verses < 40), sizes AS (SELECT verse, count(*) AS n FROM kept GROUP BY 1),
+    + """, kept AS (SELECT p.* FROM pairs p JOIN dfs d ON p.root = d.root WHERE d.verses < 500), sizes AS (SELECT verse, count(*) AS n FROM kept GROUP BY 1),
 shared AS (SELECT a.verse AS a, b.verse AS b, count(*) AS s FROM kept a JOIN kept b ON a.root = b.root AND a.verse <> b.verse GROUP BY 1, 2),
 scored AS (SELECT a, b, s, x.n + y.n - s AS u FROM shared JOIN sizes x ON a = x.verse JOIN sizes y ON b = y.verse)
 SELECT a AS verse, b AS other, s AS shared, u AS "union", round(s / u, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY CAST(s AS DOUBLE) / u DESC, s DESC, b) AS r FROM scored) WHERE r <= 8"""
@@ -259,7 +283,7 @@ def n8_similar_verses(spark, sf_dir):
 
 @query(
     PAIRS
-    + """, counts AS (SELECT a.root, b.root AS other, count(*) AS shared FROM pairs a JOIN pairs b ON a.verse = b.verse AND a.root <> b.root JOIN dfs d ON b.root = d.root WHERE d.verses < 100 GROUP BY 1, 2)
+    + """, counts AS (SELECT a.root, b.root AS other, count(*) AS shared FROM pairs a JOIN pairs b ON a.verse = b.verse AND a.root <> b.root JOIN dfs d ON b.root = d.root WHERE d.verses < 500 GROUP BY 1, 2)
 SELECT c.root, d.verses, c.other, c.shared, CAST(c.r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY shared DESC, other) AS r FROM counts) c JOIN dfs d ON c.root = d.root WHERE r <= 12"""
 )
 def n9_co_occurrence(spark, sf_dir):
@@ -303,6 +327,16 @@ def n14_frames(spark, sf_dir):
     return N.frames(tokens(spark, sf_dir, handles=False))
 
 
+@query(f"WITH {TOKENS}, n AS (SELECT root, coalesce(lead(form) OVER (PARTITION BY segment_id ORDER BY position), '—') AS following, segment_id, token_id FROM tokens) SELECT root, following, segment_id, token_id FROM n WHERE root IS NOT NULL")
+def n14_frame_refs(spark, sf_dir):
+    return N.frame_refs(tokens(spark, sf_dir, handles=False))
+
+
+@query(f"WITH {TOKENS} SELECT root, lemma, pos, count(*) AS \"count\" FROM tokens WHERE root IS NOT NULL GROUP BY 1, 2, 3")
+def n14_lemma_counts(spark, sf_dir):
+    return N.lemma_counts(tokens(spark, sf_dir, handles=False))
+
+
 @query(
     f"""WITH {TOKENS}, n AS (SELECT *, coalesce(lead(form) OVER w, '—') AS following, coalesce(lag(form) OVER w, '—') AS preceding FROM tokens WINDOW w AS (PARTITION BY segment_id ORDER BY position)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY handle) AS INTEGER) AS rank FROM n WHERE root IS NOT NULL AND (following IN ('not', 'or', 'but') OR preceding IN ('not', 'or', 'but'))) SELECT root, handle, segment_id, preceding, form, following, rank FROM r WHERE rank <= 10"""
@@ -441,10 +475,15 @@ def v4_resolve_ids(spark, sf_dir):
     return validate.resolve_ids(table(spark, sf_dir, "part").select(text(k).alias("id")), mapping, "id")
 
 
-@query(f"WITH {VERSES} SELECT division, slot, 'text' AS problem FROM verses WHERE false")
+@query(
+    f"""WITH {TOKENS}, n AS (SELECT division, slot, count(*) AS n FROM tokens GROUP BY 1, 2) SELECT division, slot, CASE WHEN slot % 5 = 0 THEN 'words' WHEN slot % 5 = 1 AND n > 1 THEN 'positions' ELSE 'text' END AS problem FROM n WHERE slot % 5 IN (0, 2) OR (slot % 5 = 1 AND n > 1)
+UNION ALL SELECT division, slot, 'words' FROM n WHERE slot % 5 = 1 AND n = 1"""
+)
 def v5_roundtrip(spark, sf_dir):
+    """Verses as they are, and damaged ones: without any word, without the first, with another text."""
     v = verses(spark, sf_dir)
-    return validate.roundtrip_check(tokens(spark, sf_dir, handles=False, of=v), v)
+    t = tokens(spark, sf_dir, handles=False, of=v).filter("slot % 5 != 0 and not (slot % 5 = 1 and position = 1)")
+    return validate.roundtrip_check(t.withColumn("word", F.when(F.col("slot") % 5 == 2, F.concat("word", F.lit("!"))).otherwise(F.col("word"))), v)
 
 
 @query("SELECT CASE WHEN p_type LIKE '%BRASS' THEN 'brass' WHEN p_type LIKE 'SMALL%' THEN 'small' ELSE 'other' END AS \"group\", CASE WHEN p_type LIKE '%BRASS' THEN 0 WHEN p_type LIKE 'SMALL%' THEN 1 ELSE 2 END AS rank, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1, 2")
@@ -498,14 +537,14 @@ def r3_citing(spark, sf_dir):
 
 @query(
     "WITH log AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS revision FROM events WHERE event_id % 3 = 0), last AS (SELECT user_id, max(revision) AS r FROM log GROUP BY 1) "
-    "SELECT * FROM log UNION ALL SELECT e.user_id, event_id, CAST(coalesce(r, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS INTEGER) FROM events e LEFT JOIN last ON e.user_id = last.user_id WHERE event_id % 3 = 1"
+    "SELECT * FROM log UNION ALL SELECT e.user_id, event_id, CAST(coalesce(r, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS INTEGER) FROM events e LEFT JOIN last ON e.user_id = last.user_id WHERE event_id % 3 <> 0"
 )
 def r4_revisions(spark, sf_dir):
     from pyspark.sql import Window as W
 
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("investigation_id"), F.col("event_id").alias("edit_id"), "ts")
     log = rows.filter("edit_id % 3 = 0").withColumn("revision", F.row_number().over(W.partitionBy("investigation_id").orderBy("ts", "edit_id")))
-    out = research.append_revisions(log, rows.filter("edit_id % 3 = 1"))
+    out = research.append_revisions(log, rows.filter("edit_id % 3 != 0"))
     return out.select(F.col("investigation_id").alias("user_id"), F.col("edit_id").alias("event_id"), F.col("revision").cast("int").alias("revision"))
 
 
@@ -587,6 +626,12 @@ v AS (SELECT division, slot, b[i:i + 1] AS g, count(*) AS nv FROM (SELECT divisi
 c AS (SELECT q.quote_id, v.division, v.slot, CAST(sum(least(nq, nv)) AS DOUBLE) AS hits FROM q JOIN v ON q.g = v.g GROUP BY 1, 2, 3), t AS (SELECT quote_id, sum(nq) AS total FROM q GROUP BY 1)"""
 
 
+#: A quote against the whole document that has its number.
+CITED_BIGRAMS = f"""q AS (SELECT item_id AS quote_id, b[i:i + 1] AS g, count(*) AS nq FROM (SELECT item_id, {BLOB} AS b FROM benchmark), unnest(range(1, length(b))) AS u(i) GROUP BY 1, 2),
+v AS (SELECT doc_id, b[i:i + 1] AS g, count(*) AS nv FROM (SELECT doc_id, {BLOB} AS b FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)), unnest(range(1, length(b))) AS u(i) GROUP BY 1, 2),
+c AS (SELECT q.quote_id, CAST(sum(least(nq, nv)) AS DOUBLE) AS hits FROM q JOIN v ON q.g = v.g AND q.quote_id = v.doc_id GROUP BY 1), t AS (SELECT quote_id, sum(nq) AS total FROM q GROUP BY 1)"""
+
+
 @query(
     f"WITH {VERSES}, {BIGRAMS} SELECT quote_id, division || ':' || slot AS verse_id, round(cover, 6) AS coverage FROM (SELECT c.quote_id, division, slot, hits / total AS cover, row_number() OVER (PARTITION BY c.quote_id ORDER BY hits DESC, division, slot) AS r FROM c JOIN t ON c.quote_id = t.quote_id) WHERE r = 1 AND cover >= 0.85"
 )
@@ -602,7 +647,7 @@ WORDS = "regexp_replace(lower(w), '[^\\p{L}]', '', 'g')"
 
 
 @query(
-    f"""WITH {TOKENS}, vocabulary AS (SELECT DISTINCT form, regexp_replace(form, '[aeiou]', '', 'g') AS skeleton FROM tokens WHERE division % 3 = 0), prints AS (SELECT DISTINCT skeleton FROM vocabulary WHERE length(skeleton) >= 2),
+    f"""WITH {TOKENS}, vocabulary AS (SELECT DISTINCT form, regexp_replace(form, '[aeiou]', '', 'g') AS skeleton FROM tokens), prints AS (SELECT DISTINCT skeleton FROM vocabulary WHERE length(skeleton) >= 2),
 w AS (SELECT item_id, {WORDS} AS form FROM benchmark, unnest(regexp_split_to_array(text, '\\s+')) AS u(w)), k AS (SELECT item_id, length(form) >= 3 AND form NOT IN (SELECT form FROM vocabulary) AND regexp_replace(form, '[aeiou]', '', 'g') NOT IN (SELECT skeleton FROM prints) AS absent FROM w WHERE form <> ''),
 s AS (SELECT item_id, count(*) AS words, count(*) FILTER (absent) AS absent FROM k GROUP BY 1) SELECT item_id AS quote_id, words, absent, CASE WHEN absent = 0 THEN 'verified' ELSE 'flagged' END AS status, CASE WHEN absent = 0 THEN 'low' WHEN absent = words THEN 'high' ELSE 'medium' END AS severity FROM s"""
 )
@@ -610,15 +655,15 @@ def u7_loose_quotes(spark, sf_dir):
     from lectio.operators import audit
 
     forms = lambda df: df.withColumn("skeleton", audit.skeleton(F.col("form"), "aeiou", ""))
-    vocabulary = forms(tokens(spark, sf_dir, handles=False).filter("division % 3 = 0").select("form").distinct())
+    vocabulary = forms(tokens(spark, sf_dir, handles=False).select("form").distinct())
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.explode(F.split("text", r"\s+")).alias("w")).select("quote_id", plain(F.col("w")).alias("form")).filter("form != ''")
     return audit.verify_loose(forms(words), vocabulary)
 
 
 @query(
-    f"""WITH {TOKENS}, {BIGRAMS}, w AS (SELECT item_id, w AS word, {WORDS} AS form FROM benchmark, unnest(regexp_split_to_array(text, '\\s+')) AS u(w)), own AS (SELECT *, division AS item_id, regexp_replace(form, '[aeiou]', '', 'g') AS skeleton FROM tokens WHERE slot = 1),
+    f"""WITH {TOKENS}, {CITED_BIGRAMS}, w AS (SELECT item_id, w AS word, {WORDS} AS form FROM benchmark, unnest(regexp_split_to_array(text, '\\s+')) AS u(w)), own AS (SELECT *, division AS item_id, regexp_replace(form, '[aeiou]', '', 'g') AS skeleton FROM tokens),
 k AS (SELECT w.item_id, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.item_id = w.item_id AND o.word = w.word) THEN 1 WHEN EXISTS (SELECT 1 FROM own o WHERE o.item_id = w.item_id AND o.form = w.form) THEN 2 WHEN length(regexp_replace(w.form, '[aeiou]', '', 'g')) >= 2 AND EXISTS (SELECT 1 FROM own o WHERE o.item_id = w.item_id AND o.skeleton = regexp_replace(w.form, '[aeiou]', '', 'g')) THEN 3 ELSE 4 END AS l FROM w WHERE form <> ''),
-s AS (SELECT item_id, count(*) AS words, count(*) FILTER (l < 4) AS matched, max(l) AS worst FROM k GROUP BY 1), d AS (SELECT s.*, matched / words AS ratio, coalesce(c.hits / t.total, 0) AS cover FROM s LEFT JOIN c ON c.quote_id = item_id AND c.division = item_id AND c.slot = 1 LEFT JOIN t ON t.quote_id = item_id)
+s AS (SELECT item_id, count(*) AS words, count(*) FILTER (l < 4) AS matched, max(l) AS worst FROM k GROUP BY 1), d AS (SELECT s.*, matched / words AS ratio, coalesce(c.hits / t.total, 0) AS cover FROM s LEFT JOIN c ON c.quote_id = item_id LEFT JOIN t ON t.quote_id = item_id)
 SELECT item_id AS quote_id, words, matched, round(ratio, 6) AS ratio, round(cover, 6) AS coverage, CASE WHEN ratio < 0.85 AND cover < 0.85 THEN 'none' WHEN worst >= 3 OR ratio < 0.85 THEN 'orthographic' WHEN worst = 2 THEN 'normalised' ELSE 'canonical' END AS level, CASE WHEN ratio < 0.85 AND cover < 0.85 THEN 'flagged' ELSE 'verified' END AS status FROM d"""
 )
 def u5_quotes(spark, sf_dir):
@@ -627,10 +672,10 @@ def u5_quotes(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     forms = lambda df: df.withColumn("skeleton", audit.skeleton(F.col("form"), "aeiou", ""))
     words = items.select(F.col("item_id").alias("quote_id"), F.col("item_id").alias("verse_id"), F.explode(F.split("text", r"\s+")).alias("word")).withColumn("form", plain(F.col("word"))).filter("form != ''")
-    v = verses(spark, sf_dir).filter("slot = 1")
-    own = tokens(spark, sf_dir, handles=False, of=v).select(F.col("division").alias("verse_id"), "word", "form")
+    own = tokens(spark, sf_dir, handles=False).select(F.col("division").alias("verse_id"), "word", "form")
+    cited = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("verse_id"), F.col("doc_id").alias("own"), blob(F.col("text")).alias("blob"))
     quotes = items.select(F.col("item_id").alias("quote_id"), F.col("item_id").alias("own"), blob(F.col("text")).alias("blob"))
-    cover = audit.coverage(quotes, v.select(F.col("division").alias("verse_id"), F.col("division").alias("own"), blob(F.col("text")).alias("blob")), ["own"])
+    cover = audit.coverage(quotes, cited, ["own"])
     out = audit.verify_quotes(forms(words), forms(own), cover.select("quote_id", "coverage"))
     return out.withColumns({c: F.round(c, 6) for c in ("ratio", "coverage")})
 

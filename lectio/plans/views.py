@@ -60,7 +60,7 @@ pieces AS (SELECT division, lang, slot, is_formula, string_split(text, ' ') AS p
 split_pieces AS (SELECT division, lang, slot, is_formula, i, p[i] AS word, len(p) AS n_pieces FROM pieces, unnest(range(1, len(p) + 1)) AS u(i)),
 words AS (SELECT division, lang, slot, is_formula, i, n_pieces, word, lower(regexp_replace(word, '[^\\p{L}]', '', 'g')) AS form FROM split_pieces WHERE regexp_matches(word, '\\p{L}')),
 rooted AS (SELECT *, substr(regexp_replace(form, '[^bcdfghjklmnpqrstvwxyz]', '', 'g'), 1, 3) AS hard FROM words),
-tokens AS (SELECT division, lang, slot, is_formula, word, form, i, n_pieces,
+tokens AS MATERIALIZED (SELECT division, lang, slot, is_formula, word, form, i, n_pieces,
   CAST(row_number() OVER (PARTITION BY division, slot ORDER BY i) AS INTEGER) AS position,
   CASE WHEN length(hard) >= 2 THEN array_to_string(string_split(hard, ''), '-') END AS root,
   CASE WHEN form LIKE '%eth' AND length(form) >= 5 THEN form[:-4] WHEN form LIKE '%est' AND length(form) >= 5 THEN form[:-4] WHEN form LIKE '%ing' AND length(form) >= 5 THEN form[:-4]
