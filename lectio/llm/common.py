@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd multiplier of the rolling polynomial, modulo 2**64.
@@ -45,6 +46,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_text(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, int]:
+    """The columns ``kept`` and the place among them of text as a string; it is added at the end if it isn't there as one."""
+    rows = [F.col(f"`{c}`") for c in kept]
+    if "text" in kept and docs.schema["text"].dataType == StringType():
+        return docs.select(*rows), kept.index("text")
+    return docs.select(*rows, F.col("text").cast("string").alias(free_name(docs, "_text"))), len(kept)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

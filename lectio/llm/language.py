@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.llm.common import few, free_name, mix, prefix_hash, range_hash
+from lectio.llm.common import few, mix, prefix_hash, range_hash, with_text
 
 #: The training sample's bounds: documents of each language, pieces of lines of each of them, words of a piece.
 TRAIN_DOCS, TRAIN_LINES, TRAIN_WORDS = 600, 6, 200
@@ -270,11 +270,10 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
     """
     kept = [c for c in docs.columns if c not in (pred, score)]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{pred}` string, `{score}` double"
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(free_name(docs, "_text")))
+    rows, at = with_text(docs, kept)
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("und").alias(pred), F.lit(0.0).alias(score))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash((sent.value.emit.tobytes(), sent.value.move.tobytes()))
@@ -288,7 +287,7 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
                 first, last = np.searchsorted(size, (part, part + 1))
                 own = batch.slice(first, last - first)
                 got = tagger.tag(own.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*own.columns[:at], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, pred, score])
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, pred, score])
 
     return rows.mapInArrow(run, schema)
 

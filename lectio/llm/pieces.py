@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import free_name, map_arrow
+from lectio.llm.common import map_arrow, with_text
 
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: str = "*", ids: str = "toke
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
     kept = [c for c in docs.columns if c not in (ids, decoded)] if keep == "*" else [keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{ids}` array<int>, `{decoded}` string"
-    at = len(kept)
+    rows, at = with_text(docs, kept)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = compiled(model.value)
@@ -269,10 +269,9 @@ def encode(docs: DataFrame, path: str = MODEL, keep: str = "*", ids: str = "toke
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in tokens]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(tokens), "<i4")))
         texts = pa.array([t.decode(np.frombuffer(x, "<i4").tolist()) for x in tokens], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns[:at], lists, texts], [*kept, ids, decoded])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists, texts], [*kept, ids, decoded])
 
-    text = F.col("text").cast("string").alias(free_name(docs, "_text"))
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in kept], text), run, schema, rows=500)
+    return map_arrow(rows, run, schema, rows=500)
 
 
 def digest(tokens: list[int]) -> str:
