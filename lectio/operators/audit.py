@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,107 +14,128 @@ from pyspark.sql import functions as F
 from lectio.functions import text as X
 
 # Patterns and thresholds.
-SCRIPT = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
-RUN = re.compile(f"[{SCRIPT}][{SCRIPT}\\s‌‍]*")
-REFERENCE = re.compile(r"(?:\b(?:Quran|Qur'an|Surah|Sura|Chapter)[ \t]+)?([A-Z][A-Za-z'’]+(?:-[A-Za-z'’]+)?(?:[ \t]+[A-Z][A-Za-z'’]+)?[ \t]+)?([0-9]{1,3}):([0-9]{1,3})(?:[-–]([0-9]{1,3}))?(?::([0-9]{1,4}))?")
-ROOT_CLAIM = re.compile(r"(?i)root\s+word\s+(?:for|of)\s+([\s\S]{0,60}?)\s+is\s+([\s\S]{0,80})")
-PAREN = re.compile(r"\b([A-Z][A-Za-z'’]{1,20})\s*\(([^)]{1,40})\)")
-ADJACENT = re.compile(f"\\b([A-Z][A-Za-z'’]{{1,20}})\\s+([{SCRIPT}]+)")
+SCRIPT = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
+RUN = f"[{SCRIPT}][{SCRIPT}\\s\u200c\u200d]*"
+PATTERNS = {
+    "reference": r"(?:\b(?:Quran|Qur'an|Surah|Sura|Chapter)[ \t]+)?([A-Z][A-Za-z'’]+(?:-[A-Za-z'’]+)?(?:[ \t]+[A-Z][A-Za-z'’]+)?[ \t]+)?([0-9]{1,3}):([0-9]{1,3})(?:[-–]([0-9]{1,3}))?(?::([0-9]{1,4}))?",
+    "run": f"({RUN})",
+    "root": r"(?i)root\s+word\s+(?:for|of)\s+([\s\S]{0,60}?)\s+is\s+([\s\S]{0,80})",
+    "paren": r"\b([A-Z][A-Za-z'’]{1,20})\s*\(([^)]{1,40})\)",
+    "adjacent": f"\\b([A-Z][A-Za-z'’]{{1,20}})\\s+([{SCRIPT}]+)",
+}
 NO_PAIR = {"the", "and", "is", "a", "of", "to", "in", "for", "word", "quran", "allah", "as", "or", "means", "meaning"}
 OTHER_SOURCES = "bukhari muslim tirmidhi dawud dawood majah nasai nasa ahmad malik muwatta mishkat bayhaqi tabari matthew mark luke john revelation genesis exodus isaiah psalms corinthians romans".split()
 GAP, MATCH, NAME, UNCHECKED_NAME, OVERLAP = 400, 0.85, 0.55, 0.45, 0.34
 WEAK = "اويهء"
 COARSE, COARSE_LATIN = "بتثجحخدذرزسشصضطظغفقكلمنهةوي", "bttjhkddrzsssdtzgfkklmnhhwy"
 WEIGHTS = {"high": 5, "medium": 2, "low": 1}
-CLAIMS = "article string, kind string, at int, line int, excerpt string, raw string, name string, division int, first int, last int, triple boolean, quote string, target string, latin string"
-
-
-def script_runs(text: str) -> list[tuple[int, str]]:
-    return [(m.start(), m[0].rstrip("‌‍ \t\r\n")) for m in RUN.finditer(text)]
-
-
-def claims_of(text: str) -> list[dict]:
-    """References (paired with the quote that follows without Latin letters between), loose quotes, root claims and transliterations of one article."""
-    out: list[dict] = []
-    refs = [dict(kind="reference", at=m.start(), end=m.end(), raw=m[0].strip(), name=(m[1] or "").strip() or None, division=int(m[2]), first=int(m[3]), last=int(m[4] or m[3]), triple=m[5] is not None) for m in REFERENCE.finditer(text)]
-    waiting = None
-    for at, what in sorted([(r["at"], r) for r in refs] + script_runs(text), key=lambda x: x[0]):
-        if isinstance(what, dict):
-            waiting = what
-            continue
-        between = text[waiting["end"] : at] if waiting else ""
-        prose = bool(re.search("[A-Za-z]", between))
-        if waiting and len(between) < GAP and not prose:
-            waiting["quote"], waiting = what, None
-        else:
-            out.append(dict(kind="loose", at=at, quote=what, raw=what))
-            waiting = None if prose else waiting
-    out += refs
-    for m in ROOT_CLAIM.finditer(text):
-        if claimed := script_runs(m[2]):
-            inside, before = script_runs(m[1]), script_runs(text[max(0, m.start() - 90) : m.start()])
-            target = inside[0][1] if inside else before[-1][1] if before else None
-            out.append(dict(kind="root", at=m.start(), raw=" ".join(m[0].split()), target=target, quote=claimed[0][1]))
-    pairs = [(m.start(), m[1], script_runs(m[2])[0][1]) for m in PAREN.finditer(text) if script_runs(m[2])]
-    for at, run in script_runs(text):
-        m = re.search(r"\(([^)]{1,40})\)", text[at + len(run) : at + len(run) + 44])
-        if m and re.search("[A-Za-z]", m[1]) and not RUN.search(m[1]):
-            pairs.append((at, m[1], run))
-    pairs += [(m.start(), m[1], m[2]) for m in ADJACENT.finditer(text) if m[1].lower() not in NO_PAIR]
-    seen = set()
-    for at, latin, own in pairs:
-        latin, own = latin.strip(), own.strip()
-        if not re.search(r"\s", latin + own.replace(" ", "\n")) and (at, own) not in seen:
-            seen.add((at, own))
-            out.append(dict(kind="translit", at=at, raw=latin, latin=latin, quote=own))
-    return out
+SPANS = "article string, what string, at int, end int, clear int, line int, excerpt string, before string, after string, groups array<string>"
 
 
-def extract_claims(articles: DataFrame) -> DataFrame:
-    """One row for each claim of articles (article, text), with its place in code points, line and excerpt."""
-    names = [f.split()[0] for f in CLAIMS.split(", ")]
+def excerpt(line: str, column: int, width: int = 90) -> str:
+    """A line, or so much of it around a column."""
+    if len(line) <= width:
+        return line
+    low = max(0, column - width // 2)
+    return "…" * (low > 0) + line[low : low + width].strip() + "…"
+
+
+def spans(articles: DataFrame) -> DataFrame:
+    """Every match of each of PATTERNS in articles (article, text), a row each, with its place in code points.
+
+    groups: the whole match, then its groups; clear: characters right before it without a Latin letter; before and after: 90 and 44 characters
+    around it. Spark's own functions give no places of matches, so these come from Python.
+    """
+    found = {what: re.compile(p) for what, p in PATTERNS.items()}
+    names = [f.split()[0] for f in SPANS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for article, text in zip(frame["article"], frame["text"], strict=True):
-                for c in claims_of(text or ""):
-                    start = text.rfind("\n", 0, c["at"]) + 1
-                    line = text[start : text.find("\n", start) if "\n" in text[start:] else len(text)].strip()
-                    from_ = max(0, c["at"] - start - 45)
-                    excerpt = line if len(line) <= 90 else ("…" if from_ else "") + line[from_ : from_ + 90].strip() + "…"
-                    rows.append(c | {"article": article, "line": text.count("\n", 0, c["at"]) + 1, "excerpt": excerpt})
-            yield pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in ("at", "line", "division", "first", "last")})
-
-    return articles.select("article", "text").mapInPandas(run, CLAIMS)
-
-
-def draft_claim(text: str, most: int = 280) -> str | None:
-    """The first declarative sentence of an article of 20 to ``most`` characters outside [box] blocks."""
-    boxed = False
-    for raw in text.split("\n"):
-        if boxed or "[box]" in raw:
-            boxed = "[/box]" not in raw
-            continue
-        line = raw.strip()
-        if re.search(r"(?i)^$|^#|^_.*_$|slug:|^in the name of allah|^under construction|^live chat|click here", line):
-            continue
-        clean = " ".join(re.sub(f"\\[[^\\]]*\\]|[{SCRIPT}]+", " ", line).split())
-        m = re.match(r".*?[.!](?=\s|$)", clean)
-        said = m[0] if m else clean
-        if len(clean) >= 20 and not said.endswith("?") and 20 <= len(said) <= most:
-            return said
-    return None
+            for article, text in zip(frame["article"], frame["text"].fillna(""), strict=True):
+                breaks = np.array([-1, *(m.start() for m in re.finditer("\n", text)), len(text)])
+                letters = np.array([-1, *(m.end() - 1 for m in re.finditer("[A-Za-z]+", text))])
+                for what, pattern in found.items():
+                    for m in pattern.finditer(text):
+                        at, end = m.span()
+                        line = int(np.searchsorted(breaks, at))
+                        low = int(breaks[line - 1]) + 1
+                        clear = at - 1 - int(letters[np.searchsorted(letters, at) - 1])
+                        said = excerpt(text[low : breaks[line]].strip(), at - low)
+                        rows.append((article, what, at, end, clear, line, said, text[max(0, at - 90) : at], text[end : end + 44], [m[0], *m.groups()]))
+            yield pd.DataFrame(rows, columns=names)
 
+    return articles.select("article", "text").mapInPandas(run, SPANS)
 
-def extract_draft_claims(articles: DataFrame) -> DataFrame:
-    """(article, claim); null where an article has none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"article": frame["article"], "claim": [draft_claim(t or "") for t in frame["text"]]})
+def _runs(c: Column) -> Column:
+    """The runs of script in a text, without white space and joiners at their ends."""
+    return F.transform(F.regexp_extract_all(c, F.lit(f"({RUN})"), 1), lambda r: F.regexp_replace(r, r"[\u200c\u200d\s]+$", ""))
 
-    return articles.select("article", "text").mapInPandas(run, "article string, claim string")
+
+def extract_claims(articles: DataFrame) -> DataFrame:
+    """References, loose quotes, root claims and transliterations of articles (article, text), a row each.
+
+    A run of script is the quote of the reference before it if nothing of both kinds stands between
+    them, and fewer than GAP characters, none of them a Latin letter; any other run is a loose quote.
+    """
+    every = spans(articles)
+    group = lambda i: F.get("groups", F.lit(i))
+    place = ["article", "at", "line", "excerpt"]
+    order = W.partitionBy("article").orderBy("at", "end")
+    row = every.filter("what in ('reference', 'run')").withColumn("quote", F.get(_runs(group(1)), F.lit(0)))
+    # A run that a reference owns: the next row of a reference, or the row before a run.
+    gap = lambda at, end, clear: (at - end < GAP) & (at - end <= clear)
+    then = lambda c: F.lead(c).over(order)
+    last = lambda c: F.lag(c).over(order)
+    row = row.withColumn("own", (then("what") == "run") & gap(then("at"), F.col("end"), then("clear"))).withColumn("next", then("quote"))
+    row = row.withColumn("owned", F.coalesce((last("what") == "reference") & gap(F.col("at"), last("end"), F.col("clear")), F.lit(False)))
+    number = lambda i: group(i).cast("int")
+    references = row.filter("what = 'reference'").select(
+        *place,
+        F.lit("reference").alias("kind"),
+        F.trim(group(0)).alias("raw"),
+        F.nullif(F.trim(group(1)), F.lit("")).alias("name"),
+        number(2).alias("division"),
+        number(3).alias("first"),
+        F.coalesce(number(4), number(3)).alias("last"),
+        group(5).isNotNull().alias("triple"),
+        F.when(F.col("own"), F.col("next")).alias("quote"),
+    )
+    loose = row.filter("what = 'run' and not owned").select(*place, F.lit("loose").alias("kind"), F.col("quote").alias("raw"), "quote")
+    target = F.coalesce(F.get(_runs(group(1)), F.lit(0)), F.try_element_at(_runs(F.col("before")), F.lit(-1)))
+    roots = every.filter("what = 'root'").withColumn("quote", F.get(_runs(group(2)), F.lit(0))).filter("quote is not null")
+    roots = roots.select(*place, F.lit("root").alias("kind"), F.trim(F.regexp_replace(group(0), r"\s+", " ")).alias("raw"), target.alias("target"), "quote")
+    # Three layouts: Word (run), run (word), Word run.
+    named = F.regexp_extract("after", r"\(([^)]{1,40})\)", 1)
+    pairs = every.filter("what = 'paren'").select(*place, group(1).alias("latin"), F.get(_runs(group(2)), F.lit(0)).alias("quote"), F.lit(0).alias("layout"))
+    pairs = pairs.unionByName(row.filter("what = 'run'").select(*place, named.alias("latin"), "quote", F.lit(1).alias("layout")).filter(F.col("latin").rlike("[A-Za-z]") & ~F.col("latin").rlike(f"[{SCRIPT}]")))
+    pairs = pairs.unionByName(every.filter("what = 'adjacent'").select(*place, group(1).alias("latin"), group(2).alias("quote"), F.lit(2).alias("layout")).filter(~F.lower("latin").isin(*NO_PAIR)))
+    pairs = pairs.withColumn("latin", F.trim("latin")).filter(F.col("quote").isNotNull() & ~F.concat("latin", "quote").rlike(r"\s"))
+    first = F.row_number().over(W.partitionBy("article", "at", "quote").orderBy("layout"))
+    translit = pairs.withColumn("nth", first).filter("nth = 1").select(*place, F.lit("translit").alias("kind"), F.col("latin").alias("raw"), "latin", "quote")
+    out = references
+    for other in (loose, roots, translit):
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out.select("article", "kind", "at", "line", "excerpt", "raw", "name", "division", "first", "last", "triple", "quote", "target", "latin")
+
+
+#: Lines that claim nothing: blank ones, headings, emphasis, and fixed openings.
+NO_CLAIM = r"(?i)^$|^#|^_.*_$|slug:|^in the name of allah|^under construction|^live chat|click here"
+
+
+def draft_claim(c: Column, most: int = 280) -> Column:
+    """The first declarative sentence of 20 to ``most`` characters in a text, of lines of 20 at least that stand outside [box] blocks; null if there is none."""
+    unboxed = F.regexp_replace(c, r"(?s)[^\n]*\[box\].*?(?:\[/box\][^\n]*|\z)", "")
+    lines = F.filter(F.transform(F.split(unboxed, "\n"), F.trim), lambda x: ~x.rlike(NO_CLAIM))
+    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, f"\\[[^\\]]*\\]|[{SCRIPT}]+", " "), r"\s+", " ")))
+    said = F.transform(F.filter(bare, lambda x: F.length(x) >= 20), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^(.*?[.!])(?=\s|$)", 1), F.lit("")), x))
+    return F.get(F.filter(said, lambda x: F.length(x).between(20, most) & ~x.endswith("?")), F.lit(0))
+
+
+def extract_draft_claims(articles: DataFrame) -> DataFrame:
+    """(article, claim); null where an article has none."""
+    return articles.select("article", draft_claim(F.col("text")).alias("claim"))
 
 
 def dedupe_claims(claims: DataFrame) -> DataFrame:
@@ -308,5 +330,5 @@ def verified_evidence(references: DataFrame, tokens: DataFrame) -> DataFrame:
 def draft_plan(evidence: DataFrame, references: DataFrame) -> DataFrame:
     """(article, segment_id, ref_id, token_id): one pin for each verse of an article, the first reference's first token."""
     own = evidence.join(references.select("ref_id", "article", "line"), "ref_id")
-    best = own.groupBy("article", "segment_id").agg(F.min(F.struct("line", "ref_id", F.split("token_id", ":")[2].cast("int").alias("p"), "token_id")).alias("b"))
+    best = own.groupBy("article", "segment_id").agg(F.min(F.struct("line", "ref_id", F.element_at(F.split("token_id", ":"), -1).cast("int").alias("p"), "token_id")).alias("b"))
     return best.select("article", "segment_id", "b.ref_id", "b.token_id")

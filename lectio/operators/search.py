@@ -121,6 +121,11 @@ def search_table(tokens: DataFrame, forms: dict[str, Column] | None = None) -> D
     return out.withColumns(forms or {})
 
 
+def write_search_table(table: DataFrame, path: str, files: int = 16) -> None:
+    """Write a search table in corpus order, so that searches scan it instead of building it."""
+    table.repartitionByRange(files, "handle").sortWithinPartitions("handle").write.mode("overwrite").parquet(path)
+
+
 def _fold_root(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s-]", ""))
 

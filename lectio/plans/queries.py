@@ -11,10 +11,13 @@ from lectio.functions import text as X
 from lectio.operators import analytics as N
 from lectio.operators import build, research, validate
 from lectio.operators import search as S
+from lectio.operators.audit import PATTERNS
 from lectio.plans.views import EDITIONS, TOKENS, VERSES, editions, plain, table, tokens, verses
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The trees of the registered searches.
+NODES: dict[str, S.Node] = {}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -93,7 +96,7 @@ def hits(name: str, node: S.Node, where: str, columns: str = "token_id, handle")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return searcher(spark, sf_dir).hits(node).select(*columns.split(", "))
 
-    FOUND[name] = run
+    FOUND[name], NODES[name] = run, node
     SQL[name] = f"WITH {TOKENS} SELECT {columns} FROM tokens WHERE {where}"
 
 
@@ -137,16 +140,17 @@ NEAR = f"""WITH {TOKENS}, a AS (SELECT * FROM tokens WHERE form = 'the'), b AS (
 pairs AS (SELECT a.handle AS x, b.handle AS y FROM a JOIN b ON a.handle <> b.handle AND abs(a.handle - b.handle) <= 5 AND SAME),
 found AS (SELECT x AS handle FROM pairs UNION SELECT y FROM pairs) SELECT t.token_id, t.handle FROM tokens t JOIN found f ON t.handle = f.handle"""
 _A, _B = S.normalised("the"), S.or_(S.prefix("ti"), S.prefix("inter"))
+NODES |= {"q12_near": S.near(_A, _B, 5), "q12_near_across": S.near(_A, _B, 5, cross_segment=True), "q13_followed_by": S.followed_by(S.normalised("of"), S.normalised("the"))}
 
 
 @query(NEAR.replace("SAME", "a.segment_id = b.segment_id"))
 def q12_near(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(S.near(_A, _B, 5)).select("token_id", "handle")
+    return searcher(spark, sf_dir).hits(NODES["q12_near"]).select("token_id", "handle")
 
 
 @query(NEAR.replace("SAME", "(a.handle // 6) BETWEEN (b.handle // 6) - 1 AND (b.handle // 6) + 1"))
 def q12_near_across(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(S.near(_A, _B, 5, cross_segment=True)).select("token_id", "handle")
+    return searcher(spark, sf_dir).hits(NODES["q12_near_across"]).select("token_id", "handle")
 
 
 @query(
@@ -154,7 +158,7 @@ def q12_near_across(spark, sf_dir):
     "found AS (SELECT x AS handle FROM pairs UNION SELECT y FROM pairs) SELECT t.token_id, t.handle FROM tokens t JOIN found f ON t.handle = f.handle"
 )
 def q13_followed_by(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(S.followed_by(S.normalised("of"), S.normalised("the"))).select("token_id", "handle")
+    return searcher(spark, sf_dir).hits(NODES["q13_followed_by"]).select("token_id", "handle")
 
 
 @query(f"WITH {TOKENS} SELECT segment_id, min(handle) AS first_handle, count(*) AS hits FROM tokens WHERE root = 't-h-n' AND NOT is_formula GROUP BY segment_id")
@@ -692,7 +696,11 @@ def u10_report(spark, sf_dir):
     return audit.audit_report(findings)
 
 
-@query()
+@query(
+    f"""SELECT CAST(doc_id AS VARCHAR) AS article, list_filter(list_transform(list_filter(list_transform(list_filter(list_transform(string_split(regexp_replace(text, '(?s)[^\\n]*\\[box\\].*?(?:\\[/box\\][^\\n]*|\\z)', '', 'g'), chr(10)), lambda x: trim(x)),
+lambda x: NOT regexp_matches(x, '(?i)^$|^#|^_.*_$|slug:|^in the name of allah|^under construction|^live chat|click here')), lambda x: trim(regexp_replace(regexp_replace(x, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) >= 20),
+lambda x: coalesce(nullif(regexp_extract(x, '^(.*?[.!])(\\s|$)', 1), ''), x)), lambda x: length(x) BETWEEN 20 AND 280 AND NOT suffix(x, '?'))[1] AS claim FROM documents"""
+)
 def u13_draft_claims(spark, sf_dir):
     from lectio.operators import audit
 
@@ -708,6 +716,45 @@ def u4_names(spark, sf_dir):
     return audit.verify_names(claimed, names).withColumns({c: F.round(c, 6) for c in ("score", "best_score")})
 
 
+REFERENCES = f"""refs AS (SELECT CAST(doc_id AS VARCHAR) AS article, unnest(regexp_extract_all(text, p, 1)) AS name, unnest(regexp_extract_all(text, p, 2)) AS d, unnest(regexp_extract_all(text, p, 3)) AS f, unnest(regexp_extract_all(text, p, 4)) AS l, unnest(regexp_extract_all(text, p, 5)) AS n
+FROM (SELECT doc_id, 'See Surah Doc ' || doc_id % 900 || ':' || n_chars % 40 || '-' || (n_chars % 40 + 3) || ' and ' || doc_id % 50 || ':' || n_chars % 9 || ', ' || doc_id % 7 || ':1:7. ' || coalesce(text, '') AS text FROM documents), (SELECT '{PATTERNS["reference"].replace("'", "''")}' AS p)), claims AS (SELECT article, nullif(trim(name), '') AS name, CAST(d AS INTEGER) AS division, CAST(f AS INTEGER) AS first, CAST(coalesce(nullif(l, ''), f) AS INTEGER) AS last, coalesce(n, '') <> '' AS triple FROM refs)"""
+
+
+def references(spark, sf_dir):
+    """Claims of documents that begin with references made from their numbers."""
+    from lectio.operators import audit
+
+    d, n = F.col("doc_id"), F.col("n_chars")
+    cites = F.concat(F.lit("See Surah Doc "), d % 900, F.lit(":"), n % 40, F.lit("-"), n % 40 + 3, F.lit(" and "), d % 50, F.lit(":"), n % 9, F.lit(", "), d % 7, F.lit(":1:7. "), F.coalesce("text", F.lit("")))
+    return audit.extract_claims(table(spark, sf_dir, "documents").select(d.cast("string").alias("article"), cites.alias("text")))
+
+
+@query(f"WITH {REFERENCES} SELECT * FROM claims")
+def u1_references(spark, sf_dir):
+    return references(spark, sf_dir).filter("kind = 'reference'").select("article", "name", "division", "first", "last", "triple")
+
+
+@query(f"WITH {REFERENCES} SELECT DISTINCT article, division, first, last, triple FROM claims")
+def u2_deduped_references(spark, sf_dir):
+    from lectio.operators import audit
+
+    return audit.dedupe_claims(references(spark, sf_dir)).filter("kind = 'reference'").select("article", "division", "first", "last", "triple")
+
+
+@query(
+    f"WITH {VERSES}, {REFERENCES}, reach AS (SELECT DISTINCT article, division, first, last, triple, (SELECT count(*) FROM verses v WHERE v.division = c.division AND v.slot BETWEEN c.first AND c.last) AS verses FROM claims c WHERE name IS NULL) "
+    "SELECT article, division, first, last, triple, verses, CASE WHEN triple THEN 'unchecked' WHEN verses = 0 THEN 'flagged' ELSE 'verified' END AS status FROM reach"
+)
+def u3_references(spark, sf_dir):
+    from lectio.operators import audit
+
+    found = audit.dedupe_claims(references(spark, sf_dir)).filter("kind = 'reference'")
+    unnamed = references(spark, sf_dir).filter("kind = 'reference' and name is null").select("article", "division", "first", "last", "triple", F.lit(None).cast("string").alias("name")).distinct()
+    rows = unnamed.withColumn("ref_id", F.concat_ws(":", "article", "division", "first", "last", "triple"))
+    out = audit.verify_references(rows, verses(spark, sf_dir), found.select("name", F.lit(1.0).alias("best_score")).filter("name is not null"))
+    return out.select("article", "division", "first", "last", "triple", "verses", "status")
+
+
 # Annotation
 
 

@@ -85,15 +85,43 @@ def test_rendering(spark):
 
 def test_claims(spark):
     text = "Intro line.\nQuran Al-Bakarah 2:43\nوَأَقِيمُوا الصَّلَاةَ\nIn 8:82:820 and 6:38-39 we read. The root word for Salat (صلاة) is (تصل) here.\nBaraka (بَرَكَة)"
-    claims = {(c["kind"], c.get("division")): c for c in audit.claims_of(text)}
+    rows = audit.extract_claims(spark.createDataFrame([("x", text), ("y", None)], "article string, text string"))
+    claims = {(c["kind"], c["division"]): c for c in rows.collect()}
     ref = claims["reference", 2]
-    assert (ref["name"], ref["first"], ref["last"], ref["triple"]) == ("Al-Bakarah", 43, 43, False) and ref["quote"].startswith("وَأَقِيمُوا")
-    assert claims["reference", 8]["triple"] and claims["reference", 6]["last"] == 39
+    assert (ref["raw"], ref["name"], ref["first"], ref["last"], ref["triple"], ref["line"]) == ("Quran Al-Bakarah 2:43", "Al-Bakarah", 43, 43, False, 2) and ref["quote"].startswith("وَأَقِيمُوا")
+    assert claims["reference", 8]["triple"] and claims["reference", 6]["last"] == 39 and claims["reference", 6]["quote"] is None
     assert claims["root", None]["target"] == "صلاة" and claims["root", None]["quote"] == "تصل"
-    rows = audit.extract_claims(spark.createDataFrame([("x", text), ("y", None)], "article string, text string"))
-    assert rows.filter("kind = 'reference' and division = 2").first()["line"] == 2
     assert {r["latin"] for r in rows.filter("kind = 'translit'").collect()} >= {"Baraka", "Salat"}
-    assert audit.draft_claim("# T\n[box]\nThis is quoted text in a box, skip it.\n[/box]\nIs this a real question here?\nThis line is a plain claim. More.") == "This line is a plain claim."
+    assert rows.filter("article = 'y'").count() == 0
+    once = audit.dedupe_claims(rows.unionByName(rows))
+    assert once.count() == rows.count()
+
+
+def test_pairing_of_quotes(spark):
+    """The quote of a reference follows it with fewer than 400 characters and no Latin letter between; the second is loose."""
+    run, other = "\u0628\u062a", "\u062b\u062c"
+    texts = {"near": f"2:1 - {run} 1 {other}", "prose": f"2:1 so {run}", "far": f"2:1 {'.' * 400}{run}", "between": f"2:1 2:2 {run}", "first": f"{run} 2:1"}
+    rows = audit.extract_claims(spark.createDataFrame(list(texts.items()), "article string, text string"))
+    got = sorted((r["article"], r["first"], r["quote"]) for r in rows.filter("kind = 'reference' and quote is not null").collect())
+    assert got == [("between", 2, run), ("near", 1, run)]
+    loose = sorted((r["article"], r["quote"]) for r in rows.filter("kind = 'loose'").collect())
+    assert loose == [("far", run), ("first", run), ("near", other), ("prose", run)]
+    long = "x" * 60 + " 2:43 " + "y" * 60
+    (row,) = audit.extract_claims(spark.createDataFrame([("a", "first\n" + long)], "article string, text string")).collect()
+    assert (row["line"], row["at"], row["excerpt"]) == (2, 67, "…" + long[16:106] + "…")
+
+
+def test_draft_claims(spark):
+    texts = {
+        "box": "# T\n[box]\nThis is quoted text in a box, skip it.\n[/box]\nIs this a real question here?\nThis line is a plain claim. More.",
+        "open": "[box] never closed\nThis line would be a claim if it stood outside.",
+        "short": "Too short.\n_All of this is emphasis and no claim._",
+        "code": "[gallery id=1] The claim of this article is \u0628\u062a stated without a stop",
+    }
+    rows = audit.extract_draft_claims(spark.createDataFrame([*texts.items(), ("none", None)], "article string, text string"))
+    assert {r["article"]: r["claim"] for r in rows.collect()} == {
+        "box": "This line is a plain claim.", "open": None, "short": None, "code": "The claim of this article is stated without a stop", "none": None,
+    }
 
 
 def test_names_and_overlap(spark):
