@@ -100,18 +100,18 @@ def scan(docs: DataFrame) -> DataFrame:
         .groupBy("key", "notice", "label", (F.col("pos") - F.col("at")).alias("start"))
         .agg(F.count("*").alias("votes"))
         .filter("votes > 1")
-        .join(hits, "key")
     )
-    good = None
+    # The notices' words at their places, met one by one in the files that have votes.
+    rows = []
     for i, (_, notice, phrase) in enumerate(NOTICES):
-        words = notice.split()
-        shift = next(j for j in range(len(words)) if words[j : j + len(phrase.split())] == phrase.split())
-        start = F.col("start")
-        keyed = F.array_contains(_places(F.col("hits"), phrase), start + shift)
-        held = sum((F.array_contains("hits", F.struct((start + p).alias("pos"), F.lit(w).alias("word"))).cast("int") for p, w in enumerate(words)), F.lit(0))
-        share = F.when(F.col("notice") == i, F.when(keyed, held / F.lit(len(words))))
-        good = share if good is None else F.coalesce(good, share)
-    placed = votes.withColumn("share", good).filter("share is not null").groupBy("key", "label").agg(F.max("share").alias("share"))
+        words, keyed = notice.split(), phrase.split()
+        shift = next(j for j in range(len(words)) if words[j : j + len(keyed)] == keyed)
+        rows += [(i, p, w, shift <= p < shift + len(keyed), len(words), len(keyed)) for p, w in enumerate(words)]
+    whole = spark.createDataFrame(rows, "notice int, at int, word string, keyed boolean, size int, n_keyed int")
+    asked = votes.select("key", "notice", "label", "start").join(F.broadcast(whole), "notice").withColumn("pos", F.col("start") + F.col("at"))
+    there = hits.join(votes.select("key").distinct(), "key", "left_semi").select("key", F.explode("hits").alias("h")).select("key", "h.pos", "h.word")
+    held = asked.join(there, ["key", "pos", "word"]).groupBy("key", "notice", "label", "start").agg(F.count("*").alias("n"), F.count_if("keyed").alias("k"), F.first("size").alias("size"), F.first("n_keyed").alias("n_keyed"))
+    placed = held.filter("k = n_keyed").groupBy("key", "label").agg(F.max(F.col("n") / F.col("size")).alias("share"))
     found = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "share"))).alias("notices"))
 
     based = hits.select("key", *[_places(F.col("hits"), phrase).alias(f"_{label}") for phrase, label in BASE_PHRASES.items()])

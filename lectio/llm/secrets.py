@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.common import cut, free_name, map_arrow
@@ -25,13 +25,15 @@ TRAINING_ROWS = 5_000
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z0-9_+/=.@-]*[0-9])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.@-]{14,}(?![A-Za-z0-9_+/=.@-])")
 #: An assignment sign inside a run; '=' at the end of a value is padding.
 ASSIGNMENT = re.compile(r"=(?=[^=])")
+#: A quoted value that is assigned to a name with a telling part, however short or plain it is.
+ASSIGNED = re.compile(r"""(?i:api|access|auth|bearer|client|credential|key|passphrase|passwd|password|private|pwd|secret|token)[A-Za-z0-9_.-]{0,40}["'`]?\s{0,3}[=:]\s{0,3}(["'`])(?P<value>[^\s"'`]{6,})\1""")
 #: Names between other characters than letters, or as parts of names like clientSecret.
 NAMES = re.compile(r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:api|access|auth|bearer|client|credential|key|passphrase|passwd|password|private|pwd|secret|token)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
 KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}")
 TYPICAL = re.compile(r"(?:[0-9a-f]{32,128}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})")
 #: Parts of common words, for dictionary coverage.
 WORDS = re.compile(r"(?i)access|account|admin|agent|animation|application|array|border|button|cache|client|color|config|content|context|control|count|data|default|demo|dev|document|dummy|element|error|event|example|field|file|font|format|function|group|handle|header|http|image|index|input|item|label|layer|layout|list|load|local|manager|message|model|module|name|node|number|object|option|output|package|page|param|path|person|point|port|project|property|query|record|release|request|response|result|sample|script|server|service|session|source|state|static|string|style|system|table|target|template|test|text|title|type|update|user|value|version|video|view|window|world|write|[aeiou][bcdfghlmnprst][aeiou]|tion|the|ing|ent|and|est")
-FIELDS = "doc_id bigint, start int, length int, candidate string, before string, label int, features array<double>"
+FIELDS = "doc_id bigint, text_key bigint, start int, length int, candidate string, before string, label int, features array<double>"
 
 
 def kind_of(c: str) -> str:
@@ -71,7 +73,19 @@ def rule(found: str, before: str) -> int | None:
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(start, candidate); a run with an assignment gives its sides that are candidates by themselves, if there are any."""
+    """(start, candidate); a run with an assignment gives its sides that are candidates by themselves, if there are any.
+
+    Quoted values of telling names are candidates too, if no run has them.
+    """
+    end = 0
+    runs = sorted([*_runs(text), *((m.start("value"), m["value"]) for m in ASSIGNED.finditer(text))], key=lambda x: (x[0], -len(x[1])))
+    for start, found in runs:
+        if start >= end:
+            yield start, found
+            end = start + len(found)
+
+
+def _runs(text: str) -> Iterator[tuple[int, str]]:
     for m in CANDIDATE.finditer(text):
         signs = [x.start() for x in ASSIGNMENT.finditer(m[0])]
         bounds = zip([0, *(x + 1 for x in signs)], [*signs, len(m[0])], strict=True)
@@ -80,27 +94,35 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """Candidates of all documents with their features and, where the rules tell, a label."""
+    """Candidates of all documents with their features and, where the rules tell, a label.
+
+    Null and empty texts have none; rows that share a doc_id, or have none, keep apart by text_key.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for start, found in candidates(text):
                 before, after = text[max(0, start - 60) : start], text[start + len(found) : start + len(found) + 20]
-                rows.append((doc_id, start, len(found), found, before, rule(found, before), features(found, before, after)))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "candidate", "before", "label", "features"])
+                rows.append((doc_id, key, start, len(found), found, before, rule(found, before), features(found, before, after)))
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "start", "length", "candidate", "before", "label", "features"])
 
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(texts.filter(F.col("text").rlike("[0-9]")), run, FIELDS)
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return map_arrow(texts.filter(F.col("text").rlike("[0-9]|[=:]\\s{0,3}[\"'`]")), run, FIELDS)
+
+
+def text_key() -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def train(labelled: DataFrame, trees: int = 20, rows: int = TRAINING_ROWS) -> RandomForestClassificationModel | None:
     """A forest from at most ``rows`` labelled findings of each class, or None if there is only one class."""
     picked = None
     for label in (0, 1):
-        own = labelled.filter(F.col("label") == label).select("label", "features").orderBy(F.xxhash64("candidate"), "start").limit(rows)
+        own = labelled.filter(F.col("label") == label).select("label", "features").orderBy(F.xxhash64("candidate"), "start", F.xxhash64("features")).limit(rows)
         picked = own if picked is None else picked.unionByName(own)
     picked = cut(picked.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector")))
     if picked.select("label").distinct().count() < 2:
@@ -109,12 +131,14 @@ def train(labelled: DataFrame, trees: int = 20, rows: int = TRAINING_ROWS) -> Ra
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """Findings with the forest's score and whether they are kept: doc_id, start, length, candidate, score, secret.
+    """Findings with the forest's score and whether they are kept: doc_id, text_key, start, length, candidate, score, secret.
 
     ``labelled`` has candidate, before, after, label and trains the forest. Without it, findings of
     documents whose hash is even are labelled by rule(), and the score is 1 where rule() says so. If only
     one class has labels, it is 0 elsewhere. Null and empty texts have no findings; repeated rows have theirs
-    each. Start counts code points. Columns beyond doc_id and text are not read.
+    each. Start counts code points. Columns beyond doc_id and text are not read. Texts are read whole and
+    candidates may be of any length; an empty table has no findings. The training sample is drawn by hashes
+    of candidate, place and features, so ties are equal rows.
     """
     found = cut(findings(docs))
     if labelled is None:
@@ -136,27 +160,36 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
         if labelled is None:
             # Known forms can be too few to be learned; what the rules take for a secret stays one.
             scored = scored.withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
-    return scored.select("doc_id", "start", "length", "candidate", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("secret"))
+    return scored.select("doc_id", "text_key", "start", "length", "candidate", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("secret"))
 
 
 def redact(docs: DataFrame, found: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """Documents with the secrets of ``found`` masked; other columns stay."""
-    name, key = free_name(docs, "_spans"), free_name(docs, "_doc")
-    spans = found.filter("secret").groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias(name))
+    """Documents with the secrets of ``found`` masked; other columns stay.
+
+    Findings go to the rows that have their doc_id, or none, and their text; null texts stay null.
+    """
+    name, key, own = free_name(docs, "_spans"), free_name(docs, "_doc"), free_name(docs, "_key")
+    spans = found.filter("secret").groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(own)).agg(F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias(name))
     put = F.aggregate(name, F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mask), F.substring(t, s["start"] + s["length"] + 1, F.length(t))))
-    joined = docs.join(spans, F.col("doc_id") == F.col(key), "left")
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(key)) & (text_key() == F.col(own)), "left")
     return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(put)).select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """For each document: n_candidates, n_secrets, top_score and the secrets' places as start+length, joined."""
+    """For each row of documents: n_candidates, n_secrets, top_score and the secrets' places as start+length, joined.
+
+    Null and empty texts have none and a top_score of 0; repeated rows get equal results; rows that
+    share a doc_id, or have none, get their own; an empty table gives an empty result.
+    """
     found = scan(docs)
-    per = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_candidates"),
-        F.count_if("secret").alias("n_secrets"),
+    place = F.struct("start", "length")
+    per = found.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(
+        F.size(F.collect_set(place)).cast("bigint").alias("n_candidates"),
+        F.size(F.collect_set(F.when(F.col("secret"), place))).cast("bigint").alias("n_secrets"),
         F.max("score").alias("top_score"),
         F.sort_array(F.collect_set(F.when(F.col("secret"), F.struct("start", "length")))).alias("places"),
     )
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(per, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"))
+    out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
     places = F.transform(F.coalesce("places", F.array().cast("array<struct<start:int,length:int>>")), lambda p: F.concat_ws("+", p["start"], p["length"]))
     return out.select("doc_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_secrets", F.lit(0)).alias("n_secrets"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), F.array_join(places, ",").alias("places"))

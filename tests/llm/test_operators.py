@@ -224,6 +224,42 @@ def test_licences(spark, docs):
     assert got[10_000]["score"] == 1.0 and got[10_004]["score"] == 0.0
 
 
+def test_licence_notices_are_those_of_brute_force(spark):
+    """Labels and scores against every placement of every notice, with the rarest words over these texts looked up."""
+    rng = np.random.default_rng(6)
+    notices = [n.split() for _, n, _ in licences.NOTICES]
+    texts = []
+    for k in range(160):
+        words = [f"f{rng.integers(60)}" for _ in range(rng.integers(0, 12))]
+        for _ in range(rng.integers(1, 4)):
+            own = list(notices[rng.integers(len(notices))])
+            for _ in range(rng.integers(0, 4)):
+                own[rng.integers(len(own))] = f"f{rng.integers(60)}"
+            words += own + ["x"] * int(rng.integers(0, 3))
+        texts.append(" ".join(words))
+    texts.append(" ".join(["released under the mit license"] * 400))
+    listed = {w for n in notices for w in n} - licences.FUNCTION_WORDS
+    df = collections.Counter(w for t in texts for w in set(t.split()) & listed)
+    want = {}
+    for k, t in enumerate(texts):
+        words, labels = t.split(), {}
+        for (label, _, phrase), notice in zip(licences.NOTICES, notices, strict=True):
+            phrase = phrase.split()
+            shift = next(j for j in range(len(notice)) if notice[j : j + len(phrase)] == phrase)
+            rare = sorted({w for w in words if w in listed and w in notice}, key=lambda w: (df[w], w))[: licences.RAREST]
+            for start in range(1 - len(notice), len(words)):
+                there = [0 <= start + p < len(words) and words[start + p] == w for p, w in enumerate(notice)]
+                votes = sum(x and notice[p] in rare for p, x in enumerate(there))
+                if votes > 1 and all(there[shift : shift + len(phrase)]):
+                    labels[label] = max(labels.get(label, 0), sum(there) / len(notice))
+        want[k] = labels
+    got = {r["doc_id"]: r for r in every(licences.scan(frame(spark, texts, extra=False)))}
+    for k, labels in want.items():
+        base = set(filter(None, got[k]["base_labels"].split(",")))
+        assert set(filter(None, got[k]["labels"].split(","))) == base | set(labels), texts[k]
+        assert np.isclose(got[k]["score"], max([0.5 if base else 0, *labels.values()]))
+
+
 def test_licence_edges(odd):
     got = every(licences.scan(odd))
     assert len(got) == odd.count()
@@ -612,6 +648,22 @@ def test_forms_of_secrets(spark, docs):
     assert found == {10_000 + k: v for k, (_, v, _) in enumerate(assigned + known)}
 
 
+def test_rows_have_their_own_secrets(spark, docs):
+    """Short, plain and long values of telling names are candidates; rows that share an id, or have none, keep apart."""
+    assert list(secrets.candidates('password = "correct-Horse-battery-staple"')) == [(12, "correct-Horse-battery-staple")]
+    assert list(secrets.candidates("db_passwd: 'hunter2!'")) == [(12, "hunter2!")] and list(secrets.candidates('title = "plain-words-here"')) == []
+    long = "aB3." + "x9Y" * 700
+    digest = hashlib.sha1(b"y").hexdigest()
+    rows = [(5, f'token = "{digest}"'), (5, "nothing here"), (None, f'api_key = "{digest}"'), (None, None), (6, f'token = "{digest}"'), (6, f'token = "{digest}"'), (7, f'secret = "{long}"')]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    both = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000).unionByName(own)
+    got = collections.Counter((r["doc_id"], r["n_candidates"]) for r in every(secrets.report(both)) if r["doc_id"] is None or r["doc_id"] < 1000)
+    assert got == {(5, 1): 1, (5, 0): 1, (None, 1): 1, (None, 0): 1, (6, 1): 2, (7, 1): 1}
+    masked = [r["text"] for r in every(secrets.redact(own, secrets.scan(both)))]
+    assert sorted(t for t in masked if t and "[secret]" in t) == ['api_key = "[secret]"', 'secret = "[secret]"', *['token = "[secret]"'] * 3]
+    assert "nothing here" in masked and None in masked
+
+
 def test_secret_edges(odd):
     got = every(secrets.report(odd))
     assert len(got) >= odd.count() and all(r["n_secrets"] == 0 for r in got)
