@@ -36,6 +36,11 @@ def same_form_tokens(tokens: DataFrame, k: int = 12) -> DataFrame:
     return top(tokens.select("form", "token_id", "handle"), ["form"], [F.col("handle")], k + 1)
 
 
+def same_root_tokens(tokens: DataFrame, k: int = 12) -> DataFrame:
+    """For each root its first k + 1 tokens in corpus order: enough for the first k others of any token."""
+    return top(tokens.filter("root is not null").select("root", "token_id", "handle"), ["root"], [F.col("handle")], k + 1)
+
+
 def root_profiles(tokens: DataFrame) -> DataFrame:
     """Per root: occurrences, distinct forms and lemmas, verses, first and last token, the division with most."""
     rooted = tokens.filter("root is not null")
@@ -60,6 +65,12 @@ def root_divisions(tokens: DataFrame) -> DataFrame:
     return tokens.filter("root is not null").groupBy("root", "division").agg(F.count("*").alias("count"))
 
 
+def root_lemmas(tokens: DataFrame) -> DataFrame:
+    """(root, lemma, count, rank), each root's lemmas by count and then by letters."""
+    counts = tokens.filter("root is not null").groupBy("root", "lemma").agg(F.count("*").alias("count"))
+    return counts.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy(F.desc("count"), "lemma")))
+
+
 def root_occurrences(tokens: DataFrame, root: str, page: int, per_page: int) -> DataFrame:
     """A page of the segments with a root, with their tokens; a page past the end is the last one."""
     own = tokens.filter(F.col("root") == root)
@@ -80,6 +91,15 @@ def gloss_index(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
     return best.join(roots, "key").withColumn("slug", X.gloss_slug(F.col("key")))
 
 
+def gloss_listing(index: DataFrame, part: str, k: int = 50) -> DataFrame:
+    """The first k glosses whose key holds ``part``, by distinct roots, total and key, with the numbers of all keys and of those found."""
+    found = index.filter(F.col("key").contains(part))
+    order = [F.desc("root_count"), F.desc("total"), F.col("key")]
+    totals = index.agg(F.count("*").alias("before"), F.count_if(F.col("key").contains(part)).alias("after"))
+    few = found.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return few.crossJoin(F.broadcast(totals))
+
+
 def gloss_groups(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
     """(key, root, lemma, count, root_total, rank): the reverse gloss; gloss_occurrences has the tokens of each group."""
     keyed = tokens.withColumn("key", X.gloss_key(F.col(gloss))).filter("key != ''").select("key", "root", "lemma")
@@ -159,6 +179,19 @@ def reverse_lookup(lines: DataFrame, query: str) -> DataFrame:
     return lines.filter(F.array_contains(X.latin_words(F.col("text")), word)).groupBy("verse_id").agg(F.array_sort(F.collect_set("edition")).alias("editions"))
 
 
+def reverse_lookup_page(lines: DataFrame, tokens: DataFrame, query: str, k: int = 50) -> DataFrame:
+    """The first k verses of reverse_lookup in corpus order with their words, and the number of all that were found.
+
+    tokens: segment_id, handle, word.
+    """
+    found = reverse_lookup(lines, query)
+    total = found.agg(F.count("*").alias("total"))
+    first = tokens.groupBy("segment_id").agg(F.min("handle").alias("first"))
+    few = found.join(first, F.col("verse_id") == F.col("segment_id")).orderBy("first").limit(k).drop("segment_id")
+    words = tokens.join(few.select(F.col("verse_id").alias("segment_id")), "segment_id", "left_semi").groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("handle", "word")))["word"].alias("words"))
+    return few.join(words, F.col("verse_id") == F.col("segment_id")).crossJoin(F.broadcast(total)).select("verse_id", "editions", "first", "words", "total")
+
+
 def word_index(lines: DataFrame) -> DataFrame:
     """(word, verses, editions): reverse lookup for all words at once."""
     words = lines.select("verse_id", "edition", F.explode(F.array_distinct(X.latin_words(F.col("text")))).alias("word")).distinct()
@@ -265,6 +298,11 @@ def decision_coverage(resolved: DataFrame, grades: Sequence[str] = ("A", "B", "C
     return by.agg(F.sum("tokens").alias("tokens"), F.sum("decided").alias("decided_tokens"), F.count("*").alias("verses"), F.count_if(F.col("tokens") == F.col("decided")).alias("decided_verses"))
 
 
+def decision_grades(table: DataFrame) -> DataFrame:
+    """(grade, keys): how many decisions have each grade."""
+    return table.groupBy("grade").agg(F.count("*").alias("keys"))
+
+
 def blocking_keys(resolved: DataFrame, k: int = 15) -> DataFrame:
     """The undecided keys that block most verses."""
     keys = F.when(F.col("root").isNotNull(), F.concat_ws("|", "root", "lemma", "pos")).otherwise(F.concat(F.lit("form:"), F.col("form")))

@@ -133,7 +133,8 @@ def q2_exact_key(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT token_id FROM tokens WHERE lemma = 'this' OR (NOT EXISTS (SELECT 1 FROM tokens WHERE lemma = 'this') AND form = 'this')")
 def q7_lemma_fallback(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(S.lemma("this")).select("token_id")
+    keyed = S.search_table(tokens(spark, sf_dir), {"lemma_key": F.col("form")})
+    return S.Search(keyed, plain).hits(S.lemma("this")).select("token_id")
 
 
 NEAR = f"""WITH {TOKENS}, a AS (SELECT * FROM tokens WHERE form = 'the'), b AS (SELECT * FROM tokens WHERE starts_with(form, 'ti') OR starts_with(form, 'inter')),
@@ -826,3 +827,127 @@ def r8_admission(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("subject"), "event_id", "ts")
     return events.admit(e, 3, 24 * 3600)
+
+
+# Text forms and ids: forms in another script, made from the tables' own
+
+
+#: The letters that stand for a to z; a vowel mark, a doubling mark and a stretching sign are put between them.
+_LATIN, _SCRIPT = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+_MADE = f"regexp_replace(regexp_replace(regexp_replace(translate(lower(p_name), '{_LATIN}', '{_SCRIPT}'), 'ا ', 'ة ', 'g'), 'ب(.)', '\u0622\\1\u064e', 'g'), '([دذ])(.)', '\\1\u0651\u0640\\2\u0649', 'g')"
+
+
+def scripted(spark, sf_dir):
+    """Part names in the other script, with marks."""
+    c = F.translate(F.lower("p_name"), _LATIN, _SCRIPT)
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "ا ", "ة "), "ب(.)", "\u0622$1\u064e"), "([دذ])(.)", "$1\u0651\u0640$2\u0649")
+    return table(spark, sf_dir, "part").select("p_partkey", c.alias("word"))
+
+
+_STRIPPED = f"regexp_replace(word, '{X.DIACRITICS}', '', 'g')"
+_FOLDED = lambda c: f"translate(regexp_replace({c}, '{X.DIACRITICS}', '', 'g'), '{X.ALEF_FORMS}ةىؤئ{X.TATWEEL} ء', '{X.ALEF * 4}هيوي')"
+
+
+@query(
+    f"WITH w AS (SELECT p_partkey, {_MADE} AS word FROM part) SELECT p_partkey, {_STRIPPED} AS text_no_tashkeel, translate(translate({_STRIPPED}, '{X.TATWEEL}', ''), '{X.ALEF_FORMS}ةى', '{X.ALEF * 4}هي') AS text_normalised, "
+    f"translate(regexp_replace(word, '{X.RECITATION}', '', 'g'), 'ٱ{X.TATWEEL}', '{X.ALEF}') AS text_simple, {_FOLDED('word')} AS folded, {_FOLDED("translate(word, 'ىٰ', '')")} AS folded_further FROM w"
+)
+def c6_text_forms(spark, sf_dir):
+    out = build.text_forms(scripted(spark, sf_dir))
+    return out.select("p_partkey", "text_no_tashkeel", "text_normalised", "text_simple", X.fold(F.col("word")).alias("folded"), X.fold_further(F.col("word")).alias("folded_further"))
+
+
+@query(f"WITH {TOKENS} SELECT 'w:full:' || division || ':' || slot AS segment, 'w:full:' || division || ':' || slot || ':' || position AS token FROM tokens")
+def c8_ids(spark, sf_dir):
+    segment = X.segment_id(F.lit("w"), F.lit("full"), F.col("division"), F.col("slot"))
+    return tokens(spark, sf_dir, handles=False).select(segment.alias("segment"), X.token_id(segment, F.col("position")).alias("token"))
+
+
+_CODES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in X.SLUG_CODES.items()) + "}"
+
+
+@query(
+    f"WITH r AS (SELECT p_partkey, translate(regexp_replace(lower(p_name), '[^a-z]', '', 'g')[1:4], '{_LATIN}', '{_SCRIPT}') AS root FROM part), s AS (SELECT *, list_transform(string_split(root, ''), lambda x: {_CODES}[x]) AS c FROM r) "
+    "SELECT p_partkey, array_to_string(string_split(root, ''), ' ') AS root, array_to_string(c, '-') AS slug, array_to_string(string_split(root, ''), ' ') AS back FROM s"
+)
+def a8_root_slugs(spark, sf_dir):
+    root = F.translate(F.substring(F.regexp_replace(F.lower("p_name"), "[^a-z]", ""), 1, 4), _LATIN, _SCRIPT)
+    out = table(spark, sf_dir, "part").select("p_partkey", X.spaced_root(root).alias("root"))
+    return out.withColumn("slug", X.root_slug(F.col("root"))).withColumn("back", X.root_from_slug(F.col("slug")))
+
+
+_KEYS = X.KEYBOARD.replace("'", "''")
+
+
+@query(f"SELECT p_partkey, translate(p_name || '''|>&<' || chr(125) || 'AbptvjHx', '{_KEYS}', '{X.KEYBOARD_LETTERS}') AS decoded FROM part")
+def a14_decoded_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.decode_keys(F.concat("p_name", F.lit("'|>&<}AbptvjHx"))).alias("decoded"))
+
+
+# Lists of profiles
+
+
+@query(f"WITH {TOKENS} SELECT form, token_id, handle, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY handle) AS r FROM tokens) WHERE r <= 13")
+def n1_same_form(spark, sf_dir):
+    return N.same_form_tokens(tokens(spark, sf_dir))
+
+
+@query(f"WITH {TOKENS} SELECT root, token_id, handle, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY handle) AS r FROM tokens WHERE root IS NOT NULL) WHERE r <= 13")
+def n1_same_root(spark, sf_dir):
+    return N.same_root_tokens(tokens(spark, sf_dir))
+
+
+@query(f'WITH {TOKENS} SELECT root, division, count(*) AS "count" FROM tokens WHERE root IS NOT NULL GROUP BY 1, 2')
+def n2_root_divisions(spark, sf_dir):
+    return N.root_divisions(tokens(spark, sf_dir, handles=False))
+
+
+@query(f'WITH {TOKENS}, c AS (SELECT root, lemma, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1, 2) SELECT root, lemma, n AS "count", CAST(row_number() OVER (PARTITION BY root ORDER BY n DESC, lemma) AS INTEGER) AS rank FROM c')
+def n2_root_lemmas(spark, sf_dir):
+    return N.root_lemmas(tokens(spark, sf_dir, handles=False))
+
+
+@query(
+    KEYED
+    + """, b AS (SELECT key, count(*) AS total, count(DISTINCT coalesce(root, '')) AS root_count FROM keyed WHERE key <> '' GROUP BY 1), c AS (SELECT count(*) AS before, count(*) FILTER (contains(key, 'th')) AS after FROM b)
+SELECT key, total, root_count, CAST(row_number() OVER (ORDER BY root_count DESC, total DESC, key) AS INTEGER) AS rank, before, after FROM b, c WHERE contains(key, 'th') ORDER BY rank LIMIT 50"""
+)
+def n5_gloss_listing(spark, sf_dir):
+    return N.gloss_listing(N.gloss_index(tokens(spark, sf_dir, handles=False), "word"), "th").select("key", "total", "root_count", "rank", "before", "after")
+
+
+@query(
+    f"""WITH {TOKENS}, own_lines AS (SELECT segment_id, coalesce(lang, '-') AS edition, string_agg(word, ' ' ORDER BY handle) AS text FROM tokens GROUP BY 1, 2), f AS (SELECT segment_id, edition FROM own_lines WHERE list_contains({LATIN}, 'the')),
+s AS (SELECT segment_id, min(handle) AS first, string_agg(word, ' ' ORDER BY handle) AS words FROM tokens GROUP BY 1) SELECT f.segment_id AS verse_id, edition AS editions, first, words, (SELECT count(*) FROM f) AS total FROM f JOIN s ON f.segment_id = s.segment_id ORDER BY first LIMIT 50"""
+)
+def n12_reverse_page(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    lines = t.groupBy(F.col("segment_id").alias("verse_id"), F.coalesce("lang", F.lit("-")).alias("edition")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("handle", "word")))["word"], " ").alias("text"))
+    out = N.reverse_lookup_page(lines, t.select("segment_id", "handle", "word"), "The")
+    return out.withColumns({"editions": F.array_join("editions", ","), "words": F.array_join("words", " ")})
+
+
+@query(f"WITH {TOKENS}{DECISIONS} SELECT grade, count(*) AS keys FROM decisions GROUP BY 1")
+def n18_grades(spark, sf_dir):
+    return N.decision_grades(decisions(tokens(spark, sf_dir, handles=False)))
+
+
+@query(
+    f"WITH {TOKENS}{DECISIONS}, o AS (SELECT DISTINCT segment_id, coalesce(root || '|' || lemma || '|' || pos, 'form:' || form) AS k FROM resolved WHERE english IS NULL) SELECT k AS key, count(*) AS verses FROM o GROUP BY 1 ORDER BY verses DESC, key LIMIT 15"
+)
+def n18_blocking(spark, sf_dir):
+    t = tokens(spark, sf_dir, handles=False)
+    return N.blocking_keys(N.resolve_decisions(t, decisions(t)))
+
+
+@query(
+    f"WITH {TOKENS}, {REFERENCES}, r AS (SELECT DISTINCT article, division, first, last FROM claims WHERE name IS NULL AND NOT triple), e AS (SELECT article, first, t.segment_id, t.token_id, t.position FROM r JOIN tokens t ON t.division = r.division AND t.slot BETWEEN r.first AND r.last) "
+    "SELECT article, segment_id, arg_min(token_id, position) AS token_id FROM e GROUP BY 1, 2"
+)
+def u12_draft_plan(spark, sf_dir):
+    from lectio.operators import audit
+
+    own = references(spark, sf_dir).filter("kind = 'reference' and name is null and not triple").select("article", "division", "first", "last").distinct()
+    own = own.withColumns({"ref_id": F.concat_ws(":", "article", "division", "first", "last"), "status": F.lit("verified"), "line": F.lit(1)})
+    evidence = audit.verified_evidence(own, tokens(spark, sf_dir, handles=False))
+    return audit.draft_plan(evidence, own).select("article", "segment_id", "token_id")
