@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +14,10 @@ def render_edition(resolved: DataFrame, overrides: DataFrame | None = None, infl
     """(segment_id, text, spans, words, undecided): a verse's english in order; verses with undecided words have no text.
 
     ``overrides`` (key, direction, neighbour, english) replaces a decision where the next or previous
-    form or lemma is the neighbour. A word's first english word is left out if it repeats the last one
-    of the word before and the two have different keys. ``inflect`` may change each english text.
+    form or lemma is the neighbour. Else a plural word (number = 'P') has its decision's plural, if both
+    columns are there and it has one. After a decision that is elative a leading "from" is "than". A
+    word's first english word is left out if it repeats the last one of the word before and the two have
+    different keys. ``inflect`` may change each english text.
     """
     order = W.partitionBy("segment_id").orderBy("position")
     rows = resolved
@@ -27,23 +29,46 @@ def render_edition(resolved: DataFrame, overrides: DataFrame | None = None, infl
             for c in ("form", "lemma"):
                 name = f"_{side}_{c}_e"
                 rows = rows.join(F.broadcast(own.withColumnsRenamed({"_n": f"_{side}_{c}", "_e": name})), ["key", f"_{side}_{c}"], "left")
-        rows = rows.withColumn("english", F.coalesce("_next_form_e", "_next_lemma_e", "_previous_form_e", "_previous_lemma_e", "english"))
+        rows = rows.withColumn("_override", F.coalesce("_next_form_e", "_next_lemma_e", "_previous_form_e", "_previous_lemma_e"))
+    said = F.col("english")
+    if {"plural", "number"} <= set(resolved.columns):
+        said = F.when((F.col("number") == "P") & (F.col("plural") != ""), F.col("plural")).otherwise(said)
+    if overrides is not None:
+        said = F.coalesce("_override", said)
+    rows = rows.withColumn("english", said)
+    if "elative" in resolved.columns:
+        than = F.coalesce(F.lag("elative").over(order), F.lit(False))
+        rows = rows.withColumn("_than", than).withColumn("english", F.when(F.col("_than"), F.regexp_replace("english", r"^from\b", "than")).otherwise(F.col("english")))
     kept = rows.select("segment_id", "position", "form", "key", "english", "grade")
+    names = ["segment_id", "text", "spans", "words", "undecided"]
 
-    def verse(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
-        own = words.sort_values("position").to_dict("records")
+    def verse(segment: str, own: list[dict]) -> tuple:
         undecided = [w["form"] for w in own if not w["english"]]
         out: list[str] = []
         spans, last = [], None
         for w in [] if undecided else own:
-            text = inflect(w["english"], w) if inflect else w["english"]
-            said = text.split()
+            said = (inflect(w["english"], w) if inflect else w["english"]).split()
             if last and said and out and out[-1].lower() == said[0].lower() and last != w["key"]:
                 said = said[1:]
             if w["grade"] and w["grade"] != "A":
                 spans.append([len(out), len(said)])
             out += said
             last = w["key"]
-        return pd.DataFrame([(key[0], " ".join(out) if not undecided else None, spans, len(out), undecided)], columns=["segment_id", "text", "spans", "words", "undecided"])
+        return segment, None if undecided else " ".join(out), spans, len(out), undecided
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for frame in frames:
+            done = []
+            for w in frame.to_dict("records"):
+                if held and held[-1]["segment_id"] != w["segment_id"]:
+                    done.append(verse(held[-1]["segment_id"], held))
+                    held = []
+                held.append(w)
+            yield pd.DataFrame(done, columns=names)
+        if held:
+            yield pd.DataFrame([verse(held[-1]["segment_id"], held)], columns=names)
 
-    return kept.groupBy("segment_id").applyInPandas(verse, "segment_id string, text string, spans array<array<int>>, words int, undecided array<string>")
+    # Whole verses stream through a task in order.
+    dealt = kept.repartition("segment_id").sortWithinPartitions("segment_id", "position")
+    return dealt.mapInPandas(run, "segment_id string, text string, spans array<array<int>>, words int, undecided array<string>")

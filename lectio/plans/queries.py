@@ -821,7 +821,12 @@ def n19_render(spark, sf_dir):
     return render.render_edition(N.resolve_decisions(t, decisions(t))).select("segment_id", "text", "words", F.size("undecided").alias("undecided"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type AS kind, user_id, event_id, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT kind, user_id, event_id, ts, n, [ts] AS held, true AS allowed FROM e WHERE n = 1
+UNION ALL SELECT e.kind, e.user_id, e.event_id, e.ts, e.n, CASE WHEN len(list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR)) < 3 THEN list_append(list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR), e.ts) ELSE list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR) END,
+len(list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR)) < 3 FROM s JOIN e ON e.kind = s.kind AND e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT kind, CAST(user_id AS VARCHAR) AS subject, event_id, ts, allowed, CAST(3 - len(held) AS INTEGER) AS remaining FROM s"""
+)
 def r8_admission(spark, sf_dir):
     from lectio.streaming import events
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,10 +35,31 @@ def _admitted(key: tuple, frame: pd.DataFrame, held: list[int], most: int, windo
 
 
 def admit(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Admission of a finite table of events (kind, subject, event_id, ts), in time order for each kind and subject."""
+    """Admission of a finite table of events (kind, subject, event_id, ts), in time order for each kind and subject.
+
+    Where a subject pauses for the window or longer nothing is held, so its events are cut there and the
+    pieces dealt out; a task streams through its pieces and holds at most ``most`` times.
+    """
     window = seconds * 1_000_000
-    rows = events.select(F.col("kind"), F.col("subject").cast("string").alias("subject"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("kind", "subject").applyInPandas(lambda key, frame: _admitted(key, frame, [], most, window)[0], ADMITTED)
+    rows = events.select("kind", F.col("subject").cast("string").alias("subject"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    order = W.partitionBy("kind", "subject").orderBy("ts", "event_id")
+    pause = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order) >= window
+    pieces = rows.withColumn("_pause", F.coalesce(pause, F.lit(False)).cast("int")).withColumn("_piece", F.sum("_pause").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    key = ["kind", "subject", "_piece"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for frame in frames:
+            allowed, remaining = [], []
+            for kind, subject, piece, ts in zip(frame["kind"], frame["subject"], frame["_piece"], frame["ts"], strict=True):
+                if (kind, subject, piece) != now:
+                    now, held = (kind, subject, piece), []
+                ((ok, left),), held = admit_times([int(ts.value // 1000)], held, most, window)
+                allowed.append(ok)
+                remaining.append(left)
+            yield frame[["kind", "subject", "event_id", "ts"]].assign(allowed=allowed, remaining=remaining)
+
+    return pieces.select(*key, "event_id", "ts").repartition(*key).sortWithinPartitions(*key, "ts", "event_id").mapInPandas(run, ADMITTED)
 
 
 def admit_stream(events: DataFrame, most: int, seconds: int, late: str = "10 minutes") -> DataFrame:

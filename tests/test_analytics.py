@@ -81,6 +81,9 @@ def test_rendering(spark):
     assert got["w"]["text"] is None and got["w"]["undecided"] == ["d"]
     other = spark.createDataFrame([("k2", "followed_by", "lc", "ruler of")], "key string, direction string, neighbour string, english string")
     assert render.render_edition(t, other).filter("segment_id = 'v'").first()["text"] == "the king ruler of men"
+    rows = [("v", 1, "a", "la", "k1", "greater", "A", None, None, True), ("v", 2, "b", "lb", "k2", "from king", "A", "from kings", "P", False), ("v", 3, "c", "lc", "k3", "from here", "A", "", "P", None)]
+    t = spark.createDataFrame(rows, "segment_id string, position int, form string, lemma string, key string, english string, grade string, plural string, number string, elative boolean")
+    assert render.render_edition(t).first()["text"] == "greater than kings from here"
 
 
 def test_claims(spark):
