@@ -21,14 +21,25 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name:
 def word_profiles(tokens: DataFrame, others: int = 12) -> DataFrame:
     """Per token: its neighbours in corpus order, and for its form and its root how many tokens and distinct forms.
 
-    Neighbours come by equi-joins on handle plus and minus one, so no window spans the corpus.
+    Neighbours come from windows inside a division; where one ends, from a table of the divisions' edges.
     """
-    near = tokens.select((F.col("handle") - 1).alias("handle"), F.col("token_id").alias("next_id"))
-    before = tokens.select((F.col("handle") + 1).alias("handle"), F.col("token_id").alias("previous_id"))
+    edges = tokens.groupBy("division").agg(F.min("handle").alias("low"), F.max("handle").alias("high"), F.min_by("token_id", "handle").alias("first_id"), F.max_by("token_id", "handle").alias("last_id"))
+    before, after = edges.select((F.col("high") + 1).alias("low"), F.col("last_id").alias("before_id")), edges.select((F.col("low") - 1).alias("high"), F.col("first_id").alias("after_id"))
+    outside = edges.join(before, "low", "left").join(after, "high", "left").select("division", "before_id", "after_id")
+    order = W.partitionBy("division").orderBy("handle")
+    near = tokens.select("division", "handle", "token_id", "form", "root", F.lag("token_id").over(order).alias("_previous"), F.lead("token_id").over(order).alias("_next")).join(outside, "division")
     forms = tokens.groupBy("form").agg(F.count("*").alias("form_total"))
     roots = tokens.filter("root is not null").groupBy("root", "form").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("root_total"), F.count("*").alias("root_forms"))
-    out = tokens.select("handle", "token_id", "form", "root").join(before, "handle", "left").join(near, "handle", "left").join(forms, "form", "left").join(roots, "root", "left")
-    return out.withColumn("has_more", F.col("form_total") > others + 1).select("token_id", "previous_id", "next_id", "form_total", "root_total", "root_forms", "has_more")
+    out = near.join(forms, "form", "left").join(roots, "root", "left")
+    return out.select(
+        "token_id",
+        F.coalesce("_previous", "before_id").alias("previous_id"),
+        F.coalesce("_next", "after_id").alias("next_id"),
+        "form_total",
+        "root_total",
+        "root_forms",
+        (F.col("form_total") > others + 1).alias("has_more"),
+    )
 
 
 def same_form_tokens(tokens: DataFrame, k: int = 12) -> DataFrame:
@@ -44,15 +55,17 @@ def same_root_tokens(tokens: DataFrame, k: int = 12) -> DataFrame:
 def root_profiles(tokens: DataFrame) -> DataFrame:
     """Per root: occurrences, distinct forms and lemmas, verses, first and last token, the division with most."""
     rooted = tokens.filter("root is not null")
-    by_division = rooted.groupBy("root", "division").agg(
-        F.count("*").alias("n"), F.min("handle").alias("first"), F.max("handle").alias("last"), F.min_by("token_id", "handle").alias("first_id"), F.max_by("token_id", "handle").alias("last_id"), F.count_distinct("segment_id").alias("verses")
+    # One pass over the tokens: all else is summed from (root, division, verse, form, lemma).
+    small = rooted.groupBy("root", "division", "segment_id", "form", "lemma").agg(
+        F.count("*").alias("n"), F.min(F.struct("handle", "token_id")).alias("first"), F.max(F.struct("handle", "token_id")).alias("last")
     )
-    whole = by_division.groupBy("root").agg(
-        F.sum("n").alias("occurrences"), F.count("*").alias("divisions"), F.sum("verses").alias("verses"), F.max("n").alias("most_in_division"), F.min_by("first_id", "first").alias("first_id"), F.max_by("last_id", "last").alias("last_id")
+    marks = F.posexplode(F.array(F.struct(F.col("division").cast("bigint").alias("division"), F.lit(None).cast("string").alias("of")), F.struct(F.lit(None).cast("bigint").alias("division"), F.col("segment_id").alias("of")), F.struct(F.lit(None).cast("bigint").alias("division"), F.col("form").alias("of")), F.struct(F.lit(None).cast("bigint").alias("division"), F.col("lemma").alias("of")))).alias("kind", "key")
+    each = small.select("root", "n", "first", "last", marks).groupBy("root", "kind", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    count = lambda k: F.count_if(F.col("kind") == k)
+    division = F.when(F.col("kind") == 0, F.col("n"))
+    return each.groupBy("root").agg(
+        F.sum(division).alias("occurrences"), count(0).alias("divisions"), count(1).alias("verses"), F.max(division).alias("most_in_division"), F.min("first")["token_id"].alias("first_id"), F.max("last")["token_id"].alias("last_id"), count(2).alias("forms"), count(3).alias("lemmas")
     )
-    forms = rooted.groupBy("root", "form").agg(F.count("*").alias("n")).groupBy("root").agg(F.count("*").alias("forms"))
-    lemmas = rooted.groupBy("root", "lemma").agg(F.count("*").alias("n")).groupBy("root").agg(F.count("*").alias("lemmas"))
-    return whole.join(forms, "root").join(lemmas, "root")
 
 
 def root_forms(tokens: DataFrame) -> DataFrame:
