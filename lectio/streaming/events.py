@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -89,23 +89,25 @@ def first_payments(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["ref", "status"])
 
 
-def apply_payments(table: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """A payments table (ref, status, first_success) after a batch: a success stays, and its first time never moves later."""
-    good = F.col("status") == "SUCCEEDED"
-    new = batch.select("ref", "status", F.when(good, F.col("ts")).alias("first_success"))
-    rows = new if table is None else table.unionByName(new)
-    return rows.groupBy("ref").agg(F.when(F.bool_or(good), "SUCCEEDED").otherwise("PENDING").alias("status"), F.min("first_success").alias("first_success"))
+def settled(payments: DataFrame) -> DataFrame:
+    """The payments table (ref, status, first_success) of rows (ref, status, first_success): a success stays, and its first time is the least."""
+    good = F.bool_or(F.col("status") == "SUCCEEDED")
+    return payments.groupBy("ref").agg(F.when(good, "SUCCEEDED").otherwise("PENDING").alias("status"), F.min("first_success").alias("first_success"))
 
 
 def payments_sink(path: str):
-    """A foreachBatch function that keeps the payments table below a folder, a version for each epoch.
+    """A foreachBatch function that adds each epoch's payments (ref, status, ts) to a table below a folder, a partition for each epoch.
 
-    An epoch that runs again writes the same version, so replays change nothing.
+    An epoch that runs again writes the same partition, so replays change nothing; others aren't touched.
     """
 
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        table = spark.read.parquet(f"{path}/{epoch - 1}") if epoch else None
-        apply_payments(table, batch).write.mode("overwrite").parquet(f"{path}/{epoch}")
+    def add(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select("ref", "status", F.when(F.col("status") == "SUCCEEDED", F.col("ts")).alias("first_success"))
+        settled(rows).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return upsert
+    return add
+
+
+def payments_table(spark: SparkSession, path: str) -> DataFrame:
+    """The payments table over all epochs of a sink."""
+    return settled(spark.read.parquet(path).drop("epoch"))

@@ -173,7 +173,7 @@ def test_payments_are_idempotent(spark):
     sink = E.payments_sink(folder)
     for epoch, batch in ((0, first), (1, again), (1, again)):
         sink(batch, epoch)
-    got = {r["ref"]: (r["status"], r["first_success"]) for r in spark.read.parquet(folder + "/1").collect()}
+    got = {r["ref"]: (r["status"], r["first_success"]) for r in E.payments_table(spark, folder).collect()}
     assert got == {"a": ("SUCCEEDED", t(3)), "b": ("SUCCEEDED", t(8))}
 
 
