@@ -424,7 +424,10 @@ def n21_urls(spark, sf_dir):
     return N.url_inventory(t, N.assign_pages(verses(spark, sf_dir), 20, 15), N.gloss_index(t, "word"), 1000)
 
 
-@query()
+@query(
+    f"""WITH {TOKENS} SELECT segment_id, '{{"division":' || division || ',"id":"' || segment_id || '","words":[' || string_agg('{{"position":' || position || ',"word":' || CAST(to_json(word) AS VARCHAR) || CASE WHEN root IS NULL THEN '' ELSE ',"root":"' || root || '"' END || '}}', ',' ORDER BY position) || ']}}' AS document
+FROM tokens GROUP BY segment_id, division"""
+)
 def n22_documents(spark, sf_dir):
     return N.export_verses(tokens(spark, sf_dir, handles=False))
 
@@ -813,7 +816,11 @@ def a5_alignment(spark, sf_dir):
     return annotate.alignment_stats(annotate.align(t.select("division", "slot", "position", F.col("form").alias("word")), words))
 
 
-@query()
+@query(
+    f"""WITH {TOKENS}{DECISIONS}, w AS (SELECT segment_id, position, english, coalesce(lag(english) OVER v = english AND lag(key) OVER v <> key, false) AS again FROM resolved WINDOW v AS (PARTITION BY segment_id ORDER BY position)),
+s AS (SELECT segment_id, string_agg(english, ' ' ORDER BY position) FILTER (NOT again) AS text, count(*) FILTER (NOT again) AS words, count(*) FILTER (english IS NULL) AS undecided FROM w GROUP BY 1)
+SELECT segment_id, CASE WHEN undecided = 0 THEN text END AS text, CAST(CASE WHEN undecided = 0 THEN words ELSE 0 END AS INTEGER) AS words, CAST(undecided AS INTEGER) AS undecided FROM s"""
+)
 def n19_render(spark, sf_dir):
     from lectio.operators import render
 
