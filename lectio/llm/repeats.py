@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     Removed is each byte that a 50-byte string covers which also starts in a document with a smaller
     doc_id. Null texts are empty; texts under 50 bytes, and rows with a null doc_id, lose nothing and
     take nothing from others. Rows that share a doc_id are one document: repeated rows take nothing
-    from each other. An empty table gives an empty result. Columns beyond doc_id and text are not read.
+    from each other, and rows of one doc_id with different texts each lose the places found in any of them. An empty table gives an empty result. Columns beyond doc_id and text are not read.
     """
     merged = spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     both = _texts(docs).join(merged, "doc_id", "left").select("doc_id", "text", "found")
