@@ -8,12 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectio.operators.validate import resolve_ids
+
 PUBLISHED = ("PUBLISHED", "REVISED")
 
 
-def resolve_pins(pins: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pins with resolved; none is dropped."""
+def resolve_pins(pins: DataFrame, tokens: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Pins with resolved; none is dropped.
+
+    With an id mapping between versions (see validate.resolve_ids) a pin is resolved if one of its token's successors is known.
+    """
     known = tokens.select(F.col("token_id").alias("_k")).distinct()
+    if mapping is not None:
+        after = resolve_ids(pins.select("token_id").distinct(), mapping, "token_id")
+        known = after.join(known, F.col("to") == F.col("_k"), "left_semi").select(F.col("from").alias("_k")).distinct()
     return pins.join(known, F.col("token_id") == F.col("_k"), "left").withColumn("resolved", F.col("_k").isNotNull()).drop("_k")
 
 

@@ -963,3 +963,53 @@ def u12_draft_plan(spark, sf_dir):
     own = own.withColumns({"ref_id": F.concat_ws(":", "article", "division", "first", "last"), "status": F.lit("verified"), "line": F.lit(1)})
     evidence = audit.verified_evidence(own, tokens(spark, sf_dir, handles=False))
     return audit.draft_plan(evidence, own).select("article", "segment_id", "token_id")
+
+
+@query(
+    f"""WITH {CITED}, after AS (SELECT p_partkey AS "from", unnest(CASE p_partkey % 5 WHEN 0 THEN [p_partkey + 1, p_partkey + 2] WHEN 1 THEN CAST([] AS BIGINT[]) ELSE [p_partkey] END) AS "to" FROM part), known AS (SELECT DISTINCT "from" AS k FROM after JOIN cited ON "to" = token_id)
+SELECT l_orderkey AS investigation_id, count(*) AS pins, count(*) FILTER (k IS NULL) AS unresolved, count(*) FILTER (k IS NULL) > 0 AS flagged FROM lineitem LEFT JOIN known ON l_partkey = k GROUP BY 1"""
+)
+def r1_mapped_pins(spark, sf_dir):
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    to = F.when(k % 5 == 0, F.array(text(k + 1), text(k + 2))).otherwise(F.array().cast("array<string>"))
+    mapping = table(spark, sf_dir, "part").filter(k % 5 < 2).select(text(k).alias("from"), F.when(k % 5 == 0, "split").otherwise("tombstone").alias("status"), to.alias("to"))
+    named = lambda df: df.withColumn("token_id", text(F.col("token_id")))
+    return research.flag_investigations(research.resolve_pins(named(pins(spark, sf_dir)), named(cited_tokens(spark, sf_dir)), mapping))
+
+
+@query(f"WITH {INVESTIGATIONS} SELECT investigation_id, CASE WHEN status = 'DRAFT' THEN status ELSE 'REVISED' END AS status FROM investigations")
+def r4_status(spark, sf_dir):
+    return investigations(spark, sf_dir).select("investigation_id", research.status_after_edit(F.col("status")).alias("status"))
+
+
+@query(
+    "WITH f AS (SELECT CAST(doc_id % 50 AS VARCHAR) AS article, doc_id AS finding_id, CASE WHEN toxic = 1 THEN 'flagged' WHEN quality = 1 THEN 'verified' ELSE 'unchecked' END AS status, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, doc_id % 7 AS line FROM labels) "
+    "SELECT article, finding_id, CAST(row_number() OVER (PARTITION BY article ORDER BY CASE status WHEN 'flagged' THEN 0 WHEN 'unchecked' THEN 1 ELSE 2 END, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, line, finding_id) AS INTEGER) AS rank FROM f"
+)
+def u10_ranked_findings(spark, sf_dir):
+    from lectio.operators import audit
+
+    k = F.col("doc_id") % 3
+    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "verified").otherwise("unchecked")
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).cast("string").alias("article"), F.col("doc_id").alias("finding_id"), status.alias("status"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("severity"), (F.col("doc_id") % 7).alias("line"))
+    return audit.rank_findings(rows).select("article", "finding_id", "rank")
+
+
+@query(
+    f"WITH {TOKENS}, t AS (SELECT position, word, root, lemma, pos FROM tokens WHERE is_formula AND division = (SELECT min(division) FROM tokens WHERE is_formula)), o AS (SELECT k.token_id, t.*, coalesce(k.word = t.word, false) AS same FROM tokens k LEFT JOIN t ON k.position = t.position WHERE k.is_formula) "
+    "SELECT token_id, CASE WHEN same THEN root END AS root, CASE WHEN same THEN lemma END AS lemma, CASE WHEN same THEN pos END AS pos, CASE WHEN same THEN 'copied' ELSE 'failed' END AS tier FROM o"
+)
+def a7_copied_template(spark, sf_dir):
+    from lectio.operators import annotate
+
+    t = tokens(spark, sf_dir, handles=False)
+    first = t.filter("is_formula").agg(F.min("division").alias("division"))
+    return annotate.copy_template(t, t.filter("is_formula").join(F.broadcast(first), "division"))
+
+
+@query("WITH r AS (SELECT DISTINCT p_name AS root, regexp_replace(lower(p_name), '[^bcdfghjklmnpqrstvwxyz]', '', 'g')[1:3] AS print FROM part) SELECT print, count(*) AS roots FROM r GROUP BY 1 HAVING count(*) > 1")
+def a15_print_collisions(spark, sf_dir):
+    from lectio.operators import annotate
+
+    hard = F.substring(F.regexp_replace(F.lower("p_name"), "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3)
+    return annotate.print_collisions(table(spark, sf_dir, "part").select(F.col("p_name").alias("root"), hard.alias("print")))
