@@ -15,7 +15,7 @@ def ranges(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add the number of the range that a numeric key falls into: RANGES ranges of about as many rows each, a key's rows in one."""
     points = [(i + 1) / RANGES for i in range(RANGES - 1)]
     found = df.agg(F.percentile_approx(F.col(key).cast("double"), points, 20 * RANGES)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(found)) or [0.0]), float("inf")]
     out = df.withColumn("_key", F.col(key).cast("double"))
     return Bucketizer(splits=splits, inputCol="_key", outputCol=name).transform(out).withColumn(name, F.col(name).cast("int")).drop("_key")
 

@@ -92,6 +92,7 @@ def test_patterns_and_references(table):
 def test_pages_and_counts(table):
     search = S.Search(table, lambda c: c)
     assert [r["handle"] for r in search.page(S.all_(), 2, 5).collect()] == [5, 6, 7, 8, 9]
+    assert search.page(S.and_(S.exact("nowhere at all")), 1, 5).count() == 0
     assert search.page(S.all_(), 99, 5).count() == 0 and search.page(S.all_(), 0, 0).count() == 1
     got = {r["query_id"]: r["total"] for r in search.count_queries({"a": S.exact("the"), "b": S.followed_by(S.exact("the"), S.exact("cat")), "c": S.and_()}).collect()}
     assert got == {"a": 6, "b": 6, "c": 0}
