@@ -711,7 +711,16 @@ def u13_draft_claims(spark, sf_dir):
     return audit.extract_draft_claims(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article"), "text"))
 
 
-@query()
+_NAME = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({c}), chr(39) || '’`-', '   '), '\\b(al|an|as|ash|ar|at|ath|ad|adh|az|el)\\b', ' ', 'g'), '[^a-z ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NEAR = lambda a, b: f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
+
+
+@query(
+    f"""WITH names AS (SELECT n_nationkey AS number, {_NAME("n_name")} AS p FROM nation), claimed AS (SELECT DISTINCT 'An-' || translate(n_name, 'AEIOU', 'EIOUA') AS name, n_nationkey AS number FROM customer JOIN nation ON c_nationkey = n_nationkey),
+c AS (SELECT DISTINCT name, {_NAME("name")} AS p FROM claimed), both_ AS (SELECT c.name, n.number, c.p AS a, n.p AS b, translate(c.p, 'aeiouy ', '') AS x, translate(n.p, 'aeiouy ', '') AS y FROM c, names n), scored AS (SELECT name, number, greatest({_NEAR("a", "b")}, {_NEAR("x", "y")}) AS score FROM both_),
+best AS (SELECT name, number AS best_number, score AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, number) AS r FROM scored) WHERE r = 1)
+SELECT k.name, k.number, round(coalesce(s.score, 0), 6) AS score, best_number, round(best_score, 6) AS best_score, CASE WHEN coalesce(s.score, 0) >= 0.55 THEN 'verified' ELSE 'flagged' END AS status FROM claimed k LEFT JOIN scored s ON k.name = s.name AND k.number = s.number JOIN best b ON k.name = b.name"""
+)
 def u4_names(spark, sf_dir):
     from lectio.operators import audit
 
