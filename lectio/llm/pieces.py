@@ -32,7 +32,7 @@ from lectio.llm.common import map_arrow, with_text
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts and neighbour tests that a task remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 PARTS = re.compile(" *[^ ]+| +")
 PACK = [struct.Struct(f"<{n}i").pack for n in range(41)]
 #: Of a character without a piece, in a unigram model.
@@ -218,15 +218,19 @@ class Transducer:
 
 
 class Parts(dict):
-    """Ids of the parts met so far; long parts aren't kept."""
+    """Ids of the parts met lately; long parts aren't kept, and others go once MEMORY / 2 more have been met without them."""
 
     def __init__(self, transducer: Transducer) -> None:
         self.transducer = transducer
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        got = self.transducer.part_ids(part)
+        got = self.before.get(part)
+        if got is None:
+            got = self.transducer.part_ids(part)
         if len(part) <= 64:
-            if len(self) >= MEMORY:
+            if len(self) >= MEMORY // 2:
+                self.before = dict(self)
                 self.clear()
             self[part] = got
         return got
