@@ -32,7 +32,7 @@ from lectio.llm.common import map_arrow, with_text
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts and neighbour tests that a task remembers.
-MEMORY = 500_000
+MEMORY = 700_000
 PARTS = re.compile(" *[^ ]+| +")
 PACK = [struct.Struct(f"<{n}i").pack for n in range(41)]
 #: Of a character without a piece, in a unigram model.
