@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, repeats, secrets, sharding
+from lectio.llm import decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, repeats, replies, secrets, sharding
 from lectio.llm.common import table
 
 
@@ -50,8 +50,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op7_repeats, op8_sharding, op9_pieces, op10_secrets)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op7_repeats, op8_sharding, op9_pieces, op10_secrets, op11_replies)}
 
 
 SQL = {
@@ -72,6 +76,11 @@ sums AS (SELECT doc_id, CAST(octet_length(encode(body)) + 1 AS BIGINT) AS size,
 costs AS (SELECT doc_id, s, -ln((CAST('0x' || substr(md5(doc_id || '/' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS cost FROM documents, range(17) AS r(s)),
 placed AS (SELECT doc_id, CAST(arg_min(s, cost) FILTER (s < 16) AS INTEGER) AS shard, CAST(arg_min(s, cost) AS INTEGER) AS grown_shard FROM costs GROUP BY 1)
 SELECT s.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(CAST(s.doc_id AS VARCHAR)), 1, 13) AS BIGINT), s.doc_id) - 1 AS slot, grown_shard FROM sums s JOIN placed p ON s.doc_id = p.doc_id""",
+    "op11_replies": r"""WITH turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, k, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(k, role)),
+ordered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM turns),
+written AS (SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<', '\l') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS piece FROM ordered)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM written GROUP BY conv_id""",
 }
 
 
