@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectio.llm import decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, repeats, replies, secrets, sharding
+from lectio.llm import alignment, decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, ranking, repeats, replies, secrets, sharding
 from lectio.llm.common import table
 
 
@@ -54,8 +54,16 @@ def op11_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.digests(table(spark, sf_dir, "conversations"))
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op7_repeats, op8_sharding, op9_pieces, op10_secrets, op11_replies)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_near_duplicates, op3_licences, op4_language, op5_decontamination, op6_pseudonyms, op7_repeats, op8_sharding, op9_pieces, op10_secrets, op11_replies, op12_ranking, op13_alignment)}
 
 
 SQL = {
@@ -81,6 +89,16 @@ ordered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS te
 written AS (SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<', '\l') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS piece FROM ordered)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM written GROUP BY conv_id""",
+    "op12_ranking": r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY 1, 2),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY 1),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+strata AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM sizes, totals),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY t, n_docs),
+wanted AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM wanted JOIN weights USING (t) JOIN tfs USING (t) JOIN strata USING (doc_id) GROUP BY 1, 2),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""",
 }
 
 
