@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
-from lectio.operators.order import running_before
+from lectio.operators.order import cut, running_before
 
 
 class BuildError(ValueError):
@@ -39,6 +39,22 @@ def split_opening(verses: DataFrame, formulas: Sequence[str], none: Sequence[int
     return out.withColumn("text", F.when(F.col("separated"), rest).otherwise(text))
 
 
+def _is_word(piece: Column) -> Column:
+    return (piece != "") & ~X.is_mark_run(piece)
+
+
+def running_sums(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it; chunk by chunk, so an array of n costs n ** 1.5 at most."""
+
+    def run(part: Column) -> Column:
+        none = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, none, lambda s, x: F.struct((s["all"] + x).alias("all"), F.concat(s["before"], F.array(s["all"])).alias("before")))
+
+    chunk = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(sizes))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int")), lambda k: run(F.slice(sizes, k * chunk + 1, chunk)))
+    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(parts, run(F.transform(parts, lambda p: p["all"]))["before"], lambda p, base: F.transform(p["before"], lambda x: x + base)))).otherwise(F.array().cast("array<int>"))
+
+
 def segment(verses: DataFrame, is_word: Callable[[Column], Column] | None = None) -> DataFrame:
     """Words of verses (division, slot, text and others): position, word, char_start, char_end, following_marks.
 
@@ -46,12 +62,10 @@ def segment(verses: DataFrame, is_word: Callable[[Column], Column] | None = None
     them; leading_marks has those before the first. Offsets count code points and are summed once for a
     text. No row leaves its task.
     """
-    is_word = is_word or (lambda p: (p != "") & ~X.is_mark_run(p))
-    pieces = F.split("text", " ", -1)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("_pieces", none, lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+    is_word = is_word or _is_word
+    spread = verses.withColumn("_pieces", F.split("text", " ", -1)).withColumn("_sizes", F.transform("_pieces", lambda p: F.length(p) + 1)).withColumn("_starts", running_sums(F.col("_sizes")))
     words = F.filter(F.transform("_pieces", lambda p, i: F.struct(p.alias("word"), i.alias("at"))), lambda s: is_word(s["word"]))
-    spread = verses.withColumn("_pieces", pieces).withColumn("_starts", starts).withColumn("_words", words)
+    spread = spread.withColumn("_words", words)
     after = lambda k: F.coalesce(F.get("_words", k)["at"], F.size("_pieces"))
     whole = F.transform(
         "_words",
@@ -89,12 +103,26 @@ def ordinals(segments: DataFrame, schemes: dict[str, dict]) -> DataFrame:
     return out.withColumn("ordinals", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))).drop(*[f"_n_{s}" for s in schemes])
 
 
+def with_offsets(verses: DataFrame, is_word: Callable[[Column], Column] | None = None, keys: Sequence[str] = ("division", "slot"), texts: DataFrame | None = None) -> DataFrame:
+    """Add before: the number of words in all verses that come before in corpus order, so a word's handle is before + position - 1.
+
+    Words are counted in each text without taking them apart; the counts, one short row a verse, are
+    written once (the one job that runs here) and summed. Words themselves never move for their handles. ``texts``: the
+    same verses' keys and texts alone, where they can be had without what else was joined to the verses.
+    """
+    words = F.size(F.filter(F.split("text", " ", -1), is_word or _is_word)).cast("bigint")
+    counts = cut((texts if texts is not None else verses).select(*keys, words.alias("_n")).filter("_n > 0"))
+    before = running_before(counts, keys[0], F.col("_n"), "before", list(keys[1:])).drop("_n")
+    return verses.join(before, list(keys))
+
+
 def with_handles(tokens: DataFrame, keys: Sequence[str] = ("division", "slot")) -> DataFrame:
     """Add handle: the 0-based place of a token in corpus order (division, slot, position).
 
-    Counts per segment are accumulated on the small segment table and joined back.
+    For tokens that come from elsewhere; with_offsets gives those of verses without a shuffle of tokens. Counts per
+    segment are summed on the segment table and joined back.
     """
-    counts = tokens.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = cut(tokens.groupBy(*keys).agg(F.count("*").alias("_n")))
     offsets = running_before(counts, keys[0], F.col("_n"), "_before", list(keys[1:])).drop("_n")
     return tokens.join(offsets, list(keys)).withColumn("handle", F.col("_before") + F.col("position") - 1).drop("_before")
 

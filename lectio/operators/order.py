@@ -1,35 +1,52 @@
-"""Global order without a global sort: running sums from bounded tables of partial sums."""
+"""Global order without a global sort: running sums from trees of partial sums."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of the leading key; their partial sums are the only rows that meet in one task.
-RANGES = 1024
+#: A block is a run of 2**STEP values of a key; blocks of blocks are made until at most 2**(64 - TOP) are left.
+STEP, TOP = 12, 48
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder that spark.checkpoint.dir names; unset, as in tests, a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
-def ranges(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Add the number of the range that a numeric key falls into: RANGES ranges of about as many rows each, a key's rows in one."""
-    points = [(i + 1) / RANGES for i in range(RANGES - 1)]
-    found = df.agg(F.percentile_approx(F.col(key).cast("double"), points, 20 * RANGES)).first()[0] or []
-    splits = [float("-inf"), *(sorted(set(found)) or [0.0]), float("inf")]
-    out = df.withColumn("_key", F.col(key).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_key", outputCol=name).transform(out).withColumn(name, F.col(name).cast("int")).drop("_key")
+def _offsets(sums: DataFrame, bits: int) -> DataFrame:
+    """(_block, _offset): the sum over all blocks before, from (_block, _sum), whose blocks drop ``bits`` bits of the key.
+
+    A window holds the 2**STEP blocks of one block of blocks; the last one the few that are left at the top.
+    """
+    before = W.orderBy("_block") if bits >= TOP else W.partitionBy("_above").orderBy("_block")
+    inside = F.coalesce(F.sum("_sum").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if bits >= TOP:
+        return sums.select("_block", inside.alias("_offset"))
+    keyed = sums.withColumn("_above", F.shiftright("_block", STEP))
+    above = _offsets(keyed.groupBy(F.col("_above").alias("_block")).agg(F.sum("_sum").alias("_sum")), bits + STEP)
+    joined = keyed.join(above.select(F.col("_block").alias("_above"), "_offset"), "_above")
+    return joined.select("_block", (F.col("_offset") + inside).alias("_offset"))
 
 
 def running_before(df: DataFrame, key: str, amount: Column, name: str, then: list[str] | None = None) -> DataFrame:
-    """Add the sum of ``amount`` over the rows that come before in (key, then...); key is a number and not null.
+    """Add the sum of ``amount`` over the rows that come before in (key, then...); key is a whole number and not null.
 
-    Rows are dealt to ranges of the key of about equal size. Their sums, RANGES rows at most, are
-    accumulated and broadcast; inside a range a window does the rest, so no task gets all rows.
+    Rows of a block of keys are summed by a window, and blocks by a tree of sums whose levels shrink by up to
+    2**STEP each, so no task gets all rows, whatever the keys. Nothing runs before the plan is asked for. The
+    rows of one key are ordered in one task. ``df`` is read for the rows and for the sums.
     """
-    ranged = ranges(df, key, "_range").withColumn("_amount", amount)
-    sums = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy("_range").orderBy(key, *(then or [])).rowsBetween(W.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    return out.drop("_range", "_amount", "_offset")
+    keyed = df.withColumn("_amount", amount).withColumn("_block", F.shiftright(F.col(key).cast("bigint"), STEP))
+    offsets = _offsets(keyed.groupBy("_block").agg(F.sum("_amount").alias("_sum")), STEP)
+    inside = W.partitionBy("_block").orderBy(key, *(then or [])).rowsBetween(W.unboundedPreceding, -1)
+    out = keyed.join(offsets, "_block").withColumn(name, F.col("_offset") + F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+    return out.drop("_block", "_amount", "_offset")

@@ -12,6 +12,7 @@ from lectio.operators import analytics as N
 from lectio.operators import build, research, validate
 from lectio.operators import search as S
 from lectio.operators.audit import PATTERNS
+from lectio.operators.order import cut
 from lectio.plans.views import EDITIONS, TOKENS, VERSES, editions, plain, table, tokens, verses
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,26 +138,26 @@ def q7_lemma_fallback(spark, sf_dir):
     return S.Search(keyed, plain).hits(S.lemma("this")).select("token_id")
 
 
-NEAR = f"""WITH {TOKENS}, a AS (SELECT * FROM tokens WHERE form = 'the'), b AS (SELECT * FROM tokens WHERE starts_with(form, 'ti') OR starts_with(form, 'inter')),
-pairs AS (SELECT a.handle AS x, b.handle AS y FROM a JOIN b ON a.handle <> b.handle AND abs(a.handle - b.handle) <= 5 AND SAME),
-found AS (SELECT x AS handle FROM pairs UNION SELECT y FROM pairs) SELECT t.token_id, t.handle FROM tokens t JOIN found f ON t.handle = f.handle"""
+NEAR = f"""WITH {TOKENS}, flags AS (SELECT token_id, handle, segment_id, CAST(form = 'the' AS INTEGER) AS a, CAST(starts_with(form, 'ti') OR starts_with(form, 'inter') AS INTEGER) AS b FROM tokens),
+counted AS (SELECT token_id, handle, a, b, sum(a) OVER w - a AS more_a, sum(b) OVER w - b AS more_b FROM flags WINDOW w AS (PER_SEGMENT ORDER BY handle RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+SELECT token_id, handle FROM counted WHERE (a = 1 AND more_b > 0) OR (b = 1 AND more_a > 0)"""
 _A, _B = S.normalised("the"), S.or_(S.prefix("ti"), S.prefix("inter"))
 NODES |= {"q12_near": S.near(_A, _B, 5), "q12_near_across": S.near(_A, _B, 5, cross_segment=True), "q13_followed_by": S.followed_by(S.normalised("of"), S.normalised("the"))}
 
 
-@query(NEAR.replace("SAME", "a.segment_id = b.segment_id"))
+@query(NEAR.replace("PER_SEGMENT", "PARTITION BY segment_id"))
 def q12_near(spark, sf_dir):
     return searcher(spark, sf_dir).hits(NODES["q12_near"]).select("token_id", "handle")
 
 
-@query(NEAR.replace("SAME", "(a.handle // 6) BETWEEN (b.handle // 6) - 1 AND (b.handle // 6) + 1"))
+@query(NEAR.replace("PER_SEGMENT", ""))
 def q12_near_across(spark, sf_dir):
     return searcher(spark, sf_dir).hits(NODES["q12_near_across"]).select("token_id", "handle")
 
 
 @query(
-    f"WITH {TOKENS}, pairs AS (SELECT a.handle AS x, b.handle AS y FROM tokens a JOIN tokens b ON b.handle = a.handle + 1 AND a.segment_id = b.segment_id WHERE a.form = 'of' AND b.form = 'the'), "
-    "found AS (SELECT x AS handle FROM pairs UNION SELECT y FROM pairs) SELECT t.token_id, t.handle FROM tokens t JOIN found f ON t.handle = f.handle"
+    f"WITH {TOKENS}, beside AS (SELECT token_id, handle, form, lag(form) OVER w AS before, lead(form) OVER w AS after FROM tokens WINDOW w AS (PARTITION BY segment_id ORDER BY handle)) "
+    "SELECT token_id, handle FROM beside WHERE (form = 'of' AND after = 'the') OR (form = 'the' AND before = 'of')"
 )
 def q13_followed_by(spark, sf_dir):
     return searcher(spark, sf_dir).hits(NODES["q13_followed_by"]).select("token_id", "handle")
@@ -179,30 +180,59 @@ def q16_params(spark, sf_dir):
     return out.withColumn("numbering", S.parse_params(F.col("params"))["numbering"])
 
 
+#: Saved queries of all kinds; two can't be evaluated.
+SAVED = {
+    "the": S.normalised("the"),
+    "verbs": S.pos("V"),
+    "none": S.exact("nowhere"),
+    "lemma": S.lemma("this"),
+    "of the": NODES["q13_followed_by"],
+    "near": NODES["q12_near"],
+    "near across": NODES["q12_near_across"],
+    "near without verbs": S.and_(NODES["q12_near"], S.not_(S.pos("V"))),
+    "not near": S.not_(NODES["q12_near"]),
+    "near what is followed": S.near(NODES["q13_followed_by"], S.prefix("in"), 3),
+    "scoped": S.scoped(NODES["q12_near_across"], divisions=(1, 2, 3, 4, 5, 6, 7, 8)),
+    "no distance": S.near(_A, _B, -1),
+    "no kind": S.Node("sounds like", "the"),
+}
+
+
 @query(
-    f"WITH {TOKENS} SELECT 'the' AS query_id, count(*) AS total FROM tokens WHERE form = 'the' UNION ALL SELECT 'verbs', count(*) FROM tokens WHERE pos = 'V' UNION ALL SELECT 'none', count(*) FROM tokens WHERE form = 'nowhere' "
-    "UNION ALL SELECT 'of the', 2 * count(*) FROM tokens a JOIN tokens b ON b.handle = a.handle + 1 AND a.segment_id = b.segment_id WHERE a.form = 'of' AND b.form = 'the'"
+    NEAR.split("counted AS")[0].replace("FROM tokens)", "")
+    + """form, pos, lemma, division, starts_with(form, 'in') AS c, coalesce((form = 'of' AND lead(form) OVER s = 'the') OR (form = 'the' AND lag(form) OVER s = 'of'), false) AS f FROM tokens WINDOW s AS (PARTITION BY segment_id ORDER BY handle)),
+w AS (SELECT *, (a = 1 AND sum(b) OVER n - b > 0) OR (b = 1 AND sum(a) OVER n - a > 0) AS near, (a = 1 AND sum(b) OVER x - b > 0) OR (b = 1 AND sum(a) OVER x - a > 0) AS across,
+  (f AND sum(CAST(c AS INTEGER)) OVER t - CAST(c AS INTEGER) > 0) OR (c AND sum(CAST(f AS INTEGER)) OVER t - CAST(f AS INTEGER) > 0) AS beside FROM flags
+  WINDOW n AS (PARTITION BY segment_id ORDER BY handle RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING), x AS (ORDER BY handle RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING), t AS (PARTITION BY segment_id ORDER BY handle RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+c AS (SELECT count(*) FILTER (form = 'the') AS c1, count(*) FILTER (pos = 'V') AS c2, 0 AS c3, count(*) FILTER (lemma = 'this') AS c4, count(*) FILTER (f) AS c5,
+  count(*) FILTER (near) AS c6, count(*) FILTER (across) AS c7, count(*) FILTER (near AND pos <> 'V') AS c8, count(*) FILTER (NOT near) AS c9, count(*) FILTER (beside) AS c10, count(*) FILTER (across AND division BETWEEN 1 AND 8) AS c11 FROM w)
+SELECT unnest(['the', 'verbs', 'none', 'lemma', 'of the', 'near', 'near across', 'near without verbs', 'not near', 'near what is followed', 'scoped', 'no distance', 'no kind']) AS query_id,
+  unnest([true, true, true, true, true, true, true, true, true, true, true, false, false]) AS ok, unnest([c1, c2, c3, c4, c5, c6, c7, c8, c9, c10, c11, -1, -1]) AS total FROM c"""
 )
 def q17_batch(spark, sf_dir):
-    return searcher(spark, sf_dir).count_queries({"the": S.normalised("the"), "verbs": S.pos("V"), "none": S.exact("nowhere"), "of the": S.followed_by(S.normalised("of"), S.normalised("the"))})
+    return searcher(spark, sf_dir).count_queries(SAVED).fillna(-1, ["total"])
 
 
 @query(
-    f"""WITH {TOKENS}, typed AS (SELECT DISTINCT left(form, 2) AS prefix FROM tokens WHERE length(form) > 5),
-forms AS (SELECT form AS value, count(*) AS n FROM tokens GROUP BY 1), roots AS (SELECT root AS value, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1),
+    f"""WITH {TOKENS}, forms AS (SELECT form AS value, count(*) AS n FROM tokens WHERE form <> '' GROUP BY 1), roots AS (SELECT root AS value, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1),
 both_ AS (SELECT 'form' AS kind, 2 AS k, * FROM forms UNION ALL SELECT 'root', 1, * FROM roots),
-cut AS (SELECT t.prefix, b.*, row_number() OVER (PARTITION BY t.prefix, kind ORDER BY value) AS r FROM typed t JOIN both_ b ON starts_with(b.value, t.prefix)),
+keyed AS (SELECT left(value, i) AS prefix, kind, k, value, n FROM both_, unnest(range(1, length(value) + 1)) AS u(i)),
+typed AS (SELECT DISTINCT prefix FROM keyed WHERE kind = 'form'),
+cut AS (SELECT *, row_number() OVER (PARTITION BY prefix, kind ORDER BY value) AS r FROM keyed WHERE prefix IN (SELECT prefix FROM typed)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY prefix, kind ORDER BY n DESC, value) AS s FROM cut WHERE r <= 32),
 named AS (SELECT prefix, 'name' AS kind, 0 AS k, n_name AS value, CAST(NULL AS BIGINT) AS n, row_number() OVER (PARTITION BY prefix ORDER BY CASE WHEN starts_with(lower(n_name), prefix) THEN 0 ELSE 1 END, n_nationkey) AS s FROM typed JOIN nation ON contains(lower(n_name), prefix)),
 every AS (SELECT prefix, kind, k, value, n, s FROM named WHERE s <= 3 UNION ALL SELECT prefix, kind, k, value, n, s FROM ranked WHERE kind = 'form' OR s <= 3)
 SELECT prefix, kind, value, coalesce(n, 0) AS "count", CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY k, s) AS rank FROM every) WHERE rank <= 8"""
 )
 def q18_suggest(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    typed = t.filter("length(form) > 5").select(F.left("form", F.lit(2)).alias("prefix")).distinct()
-    forms, roots = t.groupBy(F.col("form").alias("value")).agg(F.count("*").alias("count")), t.filter("root is not null").groupBy(F.col("root").alias("value")).agg(F.count("*").alias("count"))
+    """Every prefix of every form, as if each were typed."""
+    counts = cut(tokens(spark, sf_dir, handles=False).groupBy("form", "root").agg(F.count("*").alias("n")))
+    forms, roots = (counts.filter(f"{c} <> ''").groupBy(F.lit(c).alias("kind"), F.col(c).alias("value")).agg(F.sum("n").alias("count")) for c in ("form", "root"))
+    vocabulary = cut(forms.unionByName(roots))
+    table_ = cut(S.completions(vocabulary))
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("value"))
-    return S.suggest(typed, forms, roots, names).fillna(0, ["count"])
+    typed = vocabulary.filter("kind = 'form'").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("value")), lambda n: F.left("value", n))).alias("prefix"))
+    return S.suggest(typed, table_, names, vocabulary).fillna(0, ["count"])
 
 
 # Analytics

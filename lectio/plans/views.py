@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 
 from lectio.functions import text as X
 from lectio.operators import build
-from lectio.operators.order import running_before
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """division = doc_id; slot = 1-based place among the non-empty lines; is_formula: a first line that others have too."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("division"), "lang", F.filter(F.split("text", "\n", -1), lambda x: x != "").alias("lines"))
-    rows = docs.select("division", "lang", F.posexplode("lines").alias("at", "text")).select("division", "lang", (F.col("at") + 1).alias("slot"), "text")
-    openings = docs.select(F.get("lines", F.lit(0)).alias("text")).groupBy("text").agg(F.count("*").alias("n")).filter("n > 1 and text is not null").select("text", F.lit(1).alias("slot"), F.lit(True).alias("recurs"))
-    marked = rows.join(openings, ["text", "slot"], "left")
-    return marked.select("division", "lang", "slot", F.coalesce("recurs", F.lit(False)).alias("is_formula"), "text")
+    return docs.filter(F.size("lines") > 0)
+
+
+def _by_line(lines: DataFrame, *others: str) -> DataFrame:
+    return lines.select("division", *others, F.posexplode("lines").alias("at", "text")).withColumn("slot", F.col("at") + 1).drop("at")
+
+
+def verses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """division = doc_id; slot = 1-based place among the non-empty lines; is_formula: a first line that others have too."""
+    lines = (lines if lines is not None else _lines(spark, sf_dir)).withColumn("first", F.col("lines")[0])
+    recurring = lines.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first", F.lit(True).alias("recurs"))
+    rows = _by_line(lines.join(recurring, "first", "left"), "lang", "recurs")
+    return rows.select("division", "lang", "slot", (F.coalesce("recurs", F.lit(False)) & (F.col("slot") == 1)).alias("is_formula"), "text")
 
 
 def plain(c):
@@ -29,16 +36,24 @@ def plain(c):
     return F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))
 
 
+def has_letter(piece):
+    return piece.rlike(r"\p{L}")
+
+
 def tokens(spark: SparkSession, sf_dir: str, handles: bool = True, of: DataFrame | None = None) -> DataFrame:
     """Words of verses with form, root, lemma, pos and gloss by simple rules, and their handle."""
-    words = build.segment(of if of is not None else verses(spark, sf_dir), lambda p: p.rlike(r"\p{L}"))
+    lines = _lines(spark, sf_dir) if of is None else None
+    source = of if of is not None else verses(spark, sf_dir, lines)
+    if handles:
+        source = build.with_offsets(source, has_letter, texts=_by_line(lines) if of is None else None)
+    words = build.segment(source, has_letter)
     form = F.col("form")
     hard = F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3)
     out = words.withColumn("form", plain(F.col("word")))
     out = out.withColumn("root", F.when(F.length(hard) >= 2, F.array_join(F.filter(F.split(hard, ""), lambda x: x != ""), "-"))).withColumn("lemma", X.stem(form))
     pos = F.when(F.length(form) <= 3, "P").when(form.endswith("ing") | form.endswith("ed"), "V").otherwise("N")
     out = out.withColumn("pos", pos).withColumn("segment_id", F.concat_ws(":", "division", "slot")).withColumn("token_id", F.concat_ws(":", "division", "slot", "position"))
-    return build.with_handles(out) if handles else out
+    return out.withColumn("handle", F.col("before") + F.col("position") - 1).drop("before") if handles else out
 
 
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
