@@ -43,26 +43,35 @@ def _is_word(piece: Column) -> Column:
     return (piece != "") & ~X.is_mark_run(piece)
 
 
+#: Pieces up to which their places are summed in one run.
+RUN = 512
+
+
 def running_sums(sizes: Column) -> Column:
-    """For each number of an array the sum of those before it; chunk by chunk, so an array of n costs n ** 1.5 at most."""
+    """For each number of an array the sum of those before it; long arrays chunk by chunk, so n numbers cost n ** 1.5 at most."""
 
     def run(part: Column) -> Column:
         none = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
         return F.aggregate(part, none, lambda s, x: F.struct((s["all"] + x).alias("all"), F.concat(s["before"], F.array(s["all"])).alias("before")))
 
-    chunk = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(sizes))).cast("int"))
+    chunk = F.floor(F.sqrt(F.size(sizes))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int")), lambda k: run(F.slice(sizes, k * chunk + 1, chunk)))
-    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(parts, run(F.transform(parts, lambda p: p["all"]))["before"], lambda p, base: F.transform(p["before"], lambda x: x + base)))).otherwise(F.array().cast("array<int>"))
+    long = F.flatten(F.zip_with(parts, run(F.transform(parts, lambda p: p["all"]))["before"], lambda p, base: F.transform(p["before"], lambda x: x + base)))
+    return F.when(F.size(sizes) <= RUN, run(sizes)["before"]).otherwise(long)
 
 
-def segment(verses: DataFrame, is_word: Callable[[Column], Column] | None = None) -> DataFrame:
+def segment(verses: DataFrame, is_word: Callable[[Column], Column] | None = None, places: bool = True) -> DataFrame:
     """Words of verses (division, slot, text and others): position, word, char_start, char_end, following_marks.
 
     The text is split at single spaces. Pieces that are no words are marks: they go to the word before
     them; leading_marks has those before the first. Offsets count code points and are summed once for a
-    text. No row leaves its task.
+    text. No row leaves its task. Without ``places`` there are just position and word, which is much less work.
     """
     is_word = is_word or _is_word
+    keep = [c for c in verses.columns if c != "text"]
+    if not places:
+        rows = verses.select(*keep, F.posexplode(F.filter(F.split("text", " ", -1), is_word)).alias("_at", "word"))
+        return rows.select(*keep, (F.col("_at") + 1).alias("position"), "word")
     spread = verses.withColumn("_pieces", F.split("text", " ", -1)).withColumn("_sizes", F.transform("_pieces", lambda p: F.length(p) + 1)).withColumn("_starts", running_sums(F.col("_sizes")))
     words = F.filter(F.transform("_pieces", lambda p, i: F.struct(p.alias("word"), i.alias("at"))), lambda s: is_word(s["word"]))
     spread = spread.withColumn("_words", words)
@@ -76,7 +85,6 @@ def segment(verses: DataFrame, is_word: Callable[[Column], Column] | None = None
             F.slice("_pieces", w["at"] + 2, after(k + 1) - w["at"] - 1).alias("following_marks"),
         ),
     )
-    keep = [c for c in verses.columns if c != "text"]
     rows = spread.select(*keep, F.slice("_pieces", F.lit(1), after(F.lit(0))).alias("leading_marks"), F.explode(whole).alias("_w"))
     return rows.select(*keep, "leading_marks", "_w.position", "_w.word", "_w.char_start", (F.col("_w.char_start") + F.length("_w.word")).alias("char_end"), "_w.following_marks")
 

@@ -46,7 +46,7 @@ def searcher(spark: SparkSession, sf_dir: str) -> S.Search:
     "CAST(coalesce(lead(t.i) OVER (PARTITION BY t.division, t.slot ORDER BY t.i), t.n_pieces + 1) - t.i - 1 AS INTEGER) AS n_following FROM tokens t JOIN pieces p ON t.division = p.division AND t.slot = p.slot"
 )
 def c2_segment(spark, sf_dir):
-    out = tokens(spark, sf_dir, handles=False)
+    out = tokens(spark, sf_dir, handles=False, places=True)
     return out.select("token_id", "word", "form", "char_start", "char_end", F.size("following_marks").alias("n_following"))
 
 
@@ -85,7 +85,7 @@ def c12_divisions(spark, sf_dir):
 )
 def c13_counts(spark, sf_dir):
     v = verses(spark, sf_dir)
-    return build.manifest_counts(v, tokens(spark, sf_dir, handles=False, of=v))
+    return build.manifest_counts(v, tokens(spark, sf_dir, handles=False, of=v, places=True))
 
 
 # Search
@@ -520,7 +520,7 @@ UNION ALL SELECT division, slot, 'words' FROM n WHERE slot % 5 = 1 AND n = 1"""
 def v5_roundtrip(spark, sf_dir):
     """Verses as they are, and damaged ones: without any word, without the first, with another text."""
     v = verses(spark, sf_dir)
-    t = tokens(spark, sf_dir, handles=False, of=v).filter("slot % 5 != 0 and not (slot % 5 = 1 and position = 1)")
+    t = tokens(spark, sf_dir, handles=False, of=v, places=True).filter("slot % 5 != 0 and not (slot % 5 = 1 and position = 1)")
     return validate.roundtrip_check(t.withColumn("word", F.when(F.col("slot") % 5 == 2, F.concat("word", F.lit("!"))).otherwise(F.col("word"))), v)
 
 

@@ -40,17 +40,17 @@ def has_letter(piece):
     return piece.rlike(r"\p{L}")
 
 
-def tokens(spark: SparkSession, sf_dir: str, handles: bool = True, of: DataFrame | None = None) -> DataFrame:
-    """Words of verses with form, root, lemma, pos and gloss by simple rules, and their handle."""
+def tokens(spark: SparkSession, sf_dir: str, handles: bool = True, of: DataFrame | None = None, places: bool = False) -> DataFrame:
+    """Words of verses with form, root, lemma and pos by simple rules, their handle, and their places in the text if asked for."""
     lines = _lines(spark, sf_dir) if of is None else None
     source = of if of is not None else verses(spark, sf_dir, lines)
     if handles:
         source = build.with_offsets(source, has_letter, texts=_by_line(lines) if of is None else None)
-    words = build.segment(source, has_letter)
+    words = build.segment(source, has_letter, places)
     form = F.col("form")
-    hard = F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3)
-    out = words.withColumn("form", plain(F.col("word")))
-    out = out.withColumn("root", F.when(F.length(hard) >= 2, F.array_join(F.filter(F.split(hard, ""), lambda x: x != ""), "-"))).withColumn("lemma", X.stem(form))
+    out = words.withColumn("form", plain(F.col("word"))).withColumn("_hard", F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3))
+    letters = [F.nullif(F.substring("_hard", k, 1), F.lit("")) for k in (1, 2, 3)]
+    out = out.withColumn("root", F.when(F.length("_hard") >= 2, F.concat_ws("-", *letters))).drop("_hard").withColumn("lemma", X.stem(form))
     pos = F.when(F.length(form) <= 3, "P").when(form.endswith("ing") | form.endswith("ed"), "V").otherwise("N")
     out = out.withColumn("pos", pos).withColumn("segment_id", F.concat_ws(":", "division", "slot")).withColumn("token_id", F.concat_ws(":", "division", "slot", "position"))
     return out.withColumn("handle", F.col("before") + F.col("position") - 1).drop("before") if handles else out
