@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
-from lectio.operators.order import running_before
+from lectio.operators.order import cut, running_before
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -134,33 +134,77 @@ def verse_roots(tokens: DataFrame) -> DataFrame:
     return tokens.filter("root is not null and not is_formula").select(F.col("segment_id").alias("verse"), "root").distinct()
 
 
-def stoplist(pairs: DataFrame, min_df: int = 500) -> DataFrame:
-    """Roots in at least min_df verses."""
-    return pairs.groupBy("root").agg(F.count("*").alias("verses")).filter(F.col("verses") >= min_df)
+def stoplist(pairs: DataFrame, min_df: int = 500, share: float | None = None) -> DataFrame:
+    """Roots in at least min_df verses, or in at least a share of the verses that have a root."""
+    counts = pairs.groupBy("root").agg(F.count("*").alias("verses"))
+    if share is None:
+        return counts.filter(F.col("verses") >= min_df)
+    all_ = pairs.agg(F.count_distinct("verse").alias("_all"))
+    return counts.join(F.broadcast(all_), F.col("verses") >= F.col("_all") * share).drop("_all")
 
 
-def similar_verses(pairs: DataFrame, k: int = 8, min_df: int = 500) -> DataFrame:
-    """For each verse the k most similar by Jaccard over roots that aren't stoplisted.
+def split_roots(pairs: DataFrame, min_df: int = 500, share: float | None = None) -> DataFrame:
+    """Each verse's kept and excluded roots, sorted."""
+    marked = pairs.join(stoplist(pairs, min_df, share).select("root", F.lit(True).alias("stop")), "root", "left")
+    own = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("root"))))
+    return marked.groupBy("verse").agg(own(F.col("stop").isNull()).alias("kept"), own(F.col("stop")).alias("excluded"))
 
-    An inverted index joins verses on shared roots; the stoplist bounds each root's verses below
-    min_df, so a root gives fewer than min_df rows for each of its verses, and pairs are counted
-    once (a < b) and mirrored only after scoring. Ties: larger intersection, then verse.
+
+#: Roots of a set up to which its pairs of roots are listed.
+PAIRED = 48
+
+
+def _near_sets(sets: DataFrame, k: int) -> DataFrame:
+    """(a, b, shared, union) for at least the k most similar other sets of each set (id, first, size, roots); never all sets that share a root.
+
+    Sets that share two roots or more meet on pairs of roots: s shared roots give s(s-1)/2 shared pairs. Of
+    those that share just one with a set, only the k smallest sets of that root can be among its best: a
+    smaller one scores no less, and has an equal or better claim on a tie. Sets of over PAIRED roots,
+    whose pairs would be many, meet all others on single roots instead.
+    """
+    small, large = sets.filter(F.size("roots") <= PAIRED), sets.filter(F.size("roots") > PAIRED)
+    listed = lambda df: df.select("id", "size", "first", F.explode("roots").alias("root"))
+    twos = F.flatten(F.transform("roots", lambda x, i: F.transform(F.slice("roots", i + 2, F.size("roots")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keyed = small.filter("size > 1").select("id", F.explode(twos).alias("two"))
+    met = keyed.select(F.col("id").alias("a"), "two").join(keyed.select(F.col("id").alias("b"), "two"), "two").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    met = met.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("bigint").alias("shared"))
+    big = listed(large).select(F.col("id").alias("a"), "root").join(listed(sets).select(F.col("id").alias("b"), "root"), "root").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    both = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    shortest = top(listed(sets), ["root"], [F.col("size"), F.col("first")], k + 1).select(F.col("id").alias("b"), "root")
+    one = listed(sets).select(F.col("id").alias("a"), "root").join(shortest, "root").filter("a <> b").select("a", "b", F.lit(1).cast("bigint").alias("shared"))
+    shared = both(met).unionByName(both(big)).unionByName(one).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    size = lambda name: sets.select(F.col("id").alias(name), F.col("size").alias(f"size_{name}"))
+    out = shared.join(size("a"), "a").join(size("b"), "b")
+    return out.select("a", "b", "shared", (F.col("size_a") + F.col("size_b") - F.col("shared")).alias("union"))
+
+
+def similar_verses(pairs: DataFrame, k: int = 8, min_df: int = 500, share: float | None = None) -> DataFrame:
+    """For each verse the k most similar by Jaccard over roots that aren't stoplisted. Ties: larger intersection, then verse.
+
+    Verses of equal root sets are one class: classes are compared once, whatever their size, and of each only
+    its first k + 1 verses can be among anyone's best. What a class's verses have in common is ranked once and
+    joined to them.
     """
-    kept = pairs.join(stoplist(pairs, min_df).select("root"), "root", "left_anti")
-    sizes = kept.groupBy("verse").agg(F.count("*").alias("size"))
-    sized = kept.join(sizes, "verse")
-    a, b = (sized.select("root", F.col("verse").alias(s), F.col("size").alias(f"size_{s}")) for s in "ab")
-    shared = a.join(b, "root").filter("a < b").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
-    union = F.col("size_a") + F.col("size_b") - F.col("shared")
-    scored = shared.select("a", "b", "shared", union.alias("union"), (F.col("shared") / union).alias("score"))
-    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "union", "score"))
-    best = top(both, ["a"], [F.desc("score"), F.desc("shared"), F.col("b")], k)
-    return best.select(F.col("a").alias("verse"), F.col("b").alias("other"), "shared", "union", "score", "rank")
-
-
-def shared_roots(similar: DataFrame, pairs: DataFrame, min_df: int = 500) -> DataFrame:
+    kept = pairs.join(stoplist(pairs, min_df, share).select("root"), "root", "left_anti")
+    verses = cut(kept.groupBy("verse").agg(F.array_sort(F.collect_list("root")).alias("roots")))
+    classes = cut(verses.groupBy("roots").agg(F.min("verse").alias("first"))).select(F.monotonically_increasing_id().alias("id"), "first", F.size("roots").cast("bigint").alias("size"), "roots")
+    members = verses.join(classes.select("roots", "id", "size"), "roots").select("id", "size", "verse")
+    leading = top(members, ["id"], [F.col("verse")], k + 1).select("id", "size", F.col("verse").alias("other"))
+    score = F.col("shared") / F.col("union")
+    near = _near_sets(classes, k).withColumn("score", score).join(classes.select(F.col("id").alias("b"), "first"), "b")
+    near = top(near, ["a"], [F.desc("score"), F.desc("shared"), F.col("first")], k).drop("rank")
+    others = near.join(leading.select(F.col("id").alias("b"), "other"), "b").select("a", "other", "shared", "union", "score")
+    own = leading.select(F.col("id").alias("a"), "other", F.col("size").alias("shared"), F.col("size").alias("union"), F.lit(1.0).alias("score"))
+    order = [F.desc("score"), F.desc("shared"), F.col("other")]
+    # One place more than asked for, since a verse isn't among its own best.
+    best = top(own.unionByName(others), ["a"], order, k + 1, "_place")
+    mine = members.select(F.col("id").alias("a"), "verse").join(best, "a").filter("verse <> other")
+    return top(mine, ["verse"], [F.col("_place")], k).select("verse", "other", "shared", "union", "score", "rank")
+
+
+def shared_roots(similar: DataFrame, pairs: DataFrame, min_df: int = 500, share: float | None = None) -> DataFrame:
     """Add shared_roots to the pairs that similar_verses kept."""
-    kept = pairs.join(stoplist(pairs, min_df).select("root"), "root", "left_anti")
+    kept = pairs.join(stoplist(pairs, min_df, share).select("root"), "root", "left_anti")
     sets = kept.groupBy("verse").agg(F.array_sort(F.collect_set("root")).alias("roots"))
     out = similar.join(sets, "verse").join(sets.withColumnsRenamed({"verse": "other", "roots": "other_roots"}), "other")
     return out.withColumn("shared_roots", F.array_intersect("roots", "other_roots")).drop("roots", "other_roots")

@@ -313,7 +313,13 @@ scored AS (SELECT a, b, s, x.n + y.n - s AS u FROM shared JOIN sizes x ON a = x.
 SELECT a AS verse, b AS other, s AS shared, u AS "union", round(s / u, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY CAST(s AS DOUBLE) / u DESC, s DESC, b) AS r FROM scored) WHERE r <= 8"""
 )
 def n8_similar_verses(spark, sf_dir):
-    return N.similar_verses(N.verse_roots(tokens(spark, sf_dir, handles=False))).withColumn("score", F.round("score", 6))
+    return N.similar_verses(cut(N.verse_roots(tokens(spark, sf_dir, handles=False)))).withColumn("score", F.round("score", 6))
+
+
+@query(PAIRS + """ SELECT verse, coalesce(string_agg(p.root, ',' ORDER BY p.root) FILTER (verses < 500), '') AS kept, coalesce(string_agg(p.root, ',' ORDER BY p.root) FILTER (verses >= 500), '') AS excluded FROM pairs p JOIN dfs d ON p.root = d.root GROUP BY 1""")
+def n8_kept_roots(spark, sf_dir):
+    out = N.split_roots(N.verse_roots(tokens(spark, sf_dir, handles=False)))
+    return out.select("verse", F.array_join("kept", ",").alias("kept"), F.array_join("excluded", ",").alias("excluded"))
 
 
 @query(

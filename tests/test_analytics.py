@@ -1,5 +1,6 @@
 import collections
 import datetime as dt
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -21,6 +22,26 @@ def test_similar_verses(spark):
     assert sorted(shared["shared_roots"]) == ["salah", "zakah"]
 
 
+def test_similar_verses_by_brute_force(spark, monkeypatch):
+    """Classes of equal sets, sets that share one root, two or more, and large sets, against all pairs."""
+    draw = random.Random(4)
+    sets = {f"v{i:03}": {f"r{int(draw.paretovariate(0.7)) % 40}" for _ in range(draw.choice([1, 1, 2, 3, 8]))} for i in range(160)}
+    pairs = spark.createDataFrame([(v, r) for v, rs in sets.items() for r in rs], "verse string, root string")
+    df = collections.Counter(r for rs in sets.values() for r in rs)
+    for paired, k, stop in ((48, 3, {"min_df": 30}), (2, 3, {"min_df": 30}), (1, 8, {"share": 0.5}), (4, 1, {"min_df": 1000})):
+        monkeypatch.setattr(N, "PAIRED", paired)
+        limit = stop.get("min_df") or 0.5 * len(sets)
+        kept = {v: {r for r in rs if df[r] < limit} for v, rs in sets.items()}
+        got = collections.defaultdict(dict)
+        for r in N.similar_verses(pairs, k, **stop).collect():
+            got[r["verse"]][r["rank"]] = (r["other"], r["shared"], r["union"])
+        for v, own in kept.items():
+            near = [(o, len(own & x), len(own | x)) for o, x in kept.items() if o != v and own & x]
+            assert got.get(v, {}) == dict(enumerate(sorted(near, key=lambda x: (-x[1] / x[2], -x[1], x[0]))[:k], 1)), (v, stop)
+        split = {r["verse"]: (set(r["kept"]), set(r["excluded"])) for r in N.split_roots(pairs, **stop).collect()}
+        assert split == {v: (kept[v], rs - kept[v]) for v, rs in sets.items()}
+
+
 def test_registered_verse_queries_keep_roots_of_fewer_than_500_verses(spark, sf):
     sets = collections.defaultdict(set)
     for r in N.verse_roots(tokens(spark, sf, handles=False)).collect():
