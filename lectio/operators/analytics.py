@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
-from lectio.operators.order import cut, running_before
+from lectio.operators.order import cut, few, running_before
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -145,7 +145,7 @@ def stoplist(pairs: DataFrame, min_df: int = 500, share: float | None = None) ->
 
 def split_roots(pairs: DataFrame, min_df: int = 500, share: float | None = None) -> DataFrame:
     """Each verse's kept and excluded roots, sorted."""
-    marked = pairs.join(stoplist(pairs, min_df, share).select("root", F.lit(True).alias("stop")), "root", "left")
+    marked = pairs.join(few(stoplist(pairs, min_df, share).select("root", F.lit(True).alias("stop"))), "root", "left")
     own = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("root"))))
     return marked.groupBy("verse").agg(own(F.col("stop").isNull()).alias("kept"), own(F.col("stop")).alias("excluded"))
 
@@ -185,7 +185,7 @@ def similar_verses(pairs: DataFrame, k: int = 8, min_df: int = 500, share: float
     its first k + 1 verses can be among anyone's best. What a class's verses have in common is ranked once and
     joined to them.
     """
-    kept = pairs.join(stoplist(pairs, min_df, share).select("root"), "root", "left_anti")
+    kept = pairs.join(few(stoplist(pairs, min_df, share).select("root")), "root", "left_anti")
     verses = cut(kept.groupBy("verse").agg(F.array_sort(F.collect_list("root")).alias("roots")))
     classes = cut(verses.groupBy("roots").agg(F.min("verse").alias("first"))).select(F.monotonically_increasing_id().alias("id"), "first", F.size("roots").cast("bigint").alias("size"), "roots")
     members = verses.join(classes.select("roots", "id", "size"), "roots").select("id", "size", "verse")
@@ -212,7 +212,7 @@ def shared_roots(similar: DataFrame, pairs: DataFrame, min_df: int = 500, share:
 
 def co_occurrence(pairs: DataFrame, k: int = 12, min_df: int = 500) -> DataFrame:
     """For each root the k others that share most verses with it; stoplisted roots are no results."""
-    stop = stoplist(pairs, min_df).select(F.col("root").alias("other"))
+    stop = few(stoplist(pairs, min_df).select(F.col("root").alias("other")))
     totals = pairs.groupBy("root").agg(F.count("*").alias("verses"))
     a, b = pairs.select("verse", "root"), pairs.select("verse", F.col("root").alias("other"))
     counts = a.join(b.join(stop, "other", "left_anti"), "verse").filter("root != other").groupBy("root", "other").agg(F.count("*").alias("shared"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectio.functions import text as X
 from lectio.operators.build import refuse
+from lectio.operators.order import few
 
 # The tag vocabulary.
 NOMINAL = ["PN", "PRON", "DEM", "REL", "T", "LOC", "NV", "COND", "INTG"]
@@ -113,6 +114,30 @@ def align(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return fast.select(*keys, F.col("position").cast("int").alias("position"), F.col("word").cast("int").alias("word"), "tier").unionByName(slow)
 
 
+def attach_parts(aligned: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(division, slot, position, word, tier, parts): what align found, with each token's own parts.
+
+    ``words``: division, slot, word and parts, an array of structs with a text. A word on one token gives it all
+    its parts. A merged word's parts are divided where those before reproduce the first token under the fold; if no
+    place does and its first part has one space, both halves of that part keep its analysis; else both
+    tokens are ``failed`` and get none, and so do failed and unaligned rows.
+    """
+    keys = ["division", "slot"]
+    rows = aligned.join(words.select(*keys, "word", "parts"), [*keys, "word"], "left").select(*keys, "position", "word", "tier", "parts")
+    merged = rows.filter("tier = 'merged'").join(tokens.select(*keys, "position", F.col("word").alias("token")), [*keys, "position"])
+    order = W.partitionBy(*keys, "word").orderBy("position")
+    merged = merged.withColumns({"first": F.first("token").over(order), "second": F.row_number().over(order) == 2})
+    upto = lambda k: F.array_join(F.transform(F.slice("parts", 1, k), lambda p: p["text"]), "")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda k: (k < F.size("parts")) & (X.fold(upto(k)) == X.fold(F.col("first"))))
+    merged = merged.withColumns({"k": F.get(places, F.lit(0)), "halves": F.split(F.get("parts", F.lit(0))["text"], " ", -1)})
+    cut_parts = F.when(F.col("second"), F.slice("parts", F.col("k") + 1, F.size("parts"))).otherwise(F.slice("parts", F.lit(1), F.col("k")))
+    half = F.array(F.get("parts", F.lit(0)).withField("text", F.get("halves", F.col("second").cast("int"))))
+    own = F.when(F.col("k").isNotNull(), cut_parts).when(F.size("halves") == 2, half)
+    merged = merged.withColumn("parts", own).withColumn("tier", F.when(F.col("parts").isNull(), "failed").otherwise("merged"))
+    others = rows.filter("tier <> 'merged'").withColumn("parts", F.when(~F.col("tier").isin("failed", "unaligned"), F.col("parts")))
+    return others.unionByName(merged.select(others.columns))
+
+
 def alignment_stats(aligned: DataFrame) -> DataFrame:
     """Tokens of each tier and the rate that is aligned, one row."""
     tiers = ["exact", "normalised", "extended", "merged", "failed", "unaligned"]
@@ -127,7 +152,7 @@ def alignment_exceptions(aligned: DataFrame) -> DataFrame:
 def copy_template(tokens: DataFrame, template: DataFrame) -> DataFrame:
     """Formula tokens with the analysis of the template's token at the same position, where folds agree; else ``failed``."""
     t = template.select("position", F.col("word").alias("_word"), F.col("root").alias("_root"), F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"))
-    own = tokens.filter("is_formula").join(F.broadcast(t), "position", "left")
+    own = tokens.filter("is_formula").join(few(t), "position", "left")
     agree = X.fold(F.col("word")) == X.fold(F.col("_word"))
     kept = lambda c: F.when(agree, F.col(c))
     return own.select("token_id", kept("_root").alias("root"), kept("_lemma").alias("lemma"), kept("_pos").alias("pos"), F.when(agree, "copied").otherwise("failed").alias("tier"))

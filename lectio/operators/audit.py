@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
+from lectio.operators.order import cut
 
 # Patterns and thresholds.
 SCRIPT = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
@@ -158,37 +160,108 @@ def bigrams(c: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: c.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def coverage(quotes: DataFrame, verses: DataFrame, on: list[str] | None = None, least: float = 0.0) -> DataFrame:
+def coverage(quotes: DataFrame, verses: DataFrame, on: list[str] | None = None) -> DataFrame:
     """(quote_id, verse_id, coverage): the share of a quote's bigrams, as a multiset, that a verse has.
 
-    quotes: quote_id, blob; verses: verse_id, blob; ``on`` names columns that must agree too. Only pairs
-    that share a bigram come out: an inverted index on bigrams makes them. With ``least``, pairs below
-    it may be missing: a verse is compared only if it has one of so many of a quote's rarest bigrams
-    that the others alone fall short.
+    quotes: quote_id, blob; verses: verse_id, blob; ``on`` names columns that must agree too, such as the
+    verse that a quote cites. Only pairs that share a bigram come out.
     """
     on = on or []
     q = quotes.select("quote_id", *on, F.explode(bigrams(F.col("blob"))).alias("b")).groupBy("quote_id", *on, "b").agg(F.count("*").alias("nq"))
     v = verses.select("verse_id", *on, F.explode(bigrams(F.col("blob"))).alias("b")).groupBy("verse_id", *on, "b").agg(F.count("*").alias("nv"))
     total = q.groupBy("quote_id").agg(F.sum("nq").alias("total"))
-    if least > 0:
-        spread = v.groupBy("b").agg(F.count("*").alias("df"))
-        before = F.coalesce(F.sum("nq").over(W.partitionBy("quote_id").orderBy("df", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        rare = q.join(spread, "b", "left").fillna(0, ["df"]).join(total, "quote_id").withColumn("before", before).filter(F.col("before") <= (1 - least) * F.col("total"))
-        near = rare.select("quote_id", *on, "b").join(v.select("verse_id", *on, "b"), [*on, "b"]).select("quote_id", "verse_id").distinct()
-        hits = near.join(q, "quote_id").join(v, ["verse_id", *on, "b"]).groupBy("quote_id", "verse_id").agg(F.sum(F.least("nq", "nv")).alias("hits"))
-        return hits.join(total, "quote_id").select("quote_id", "verse_id", (F.col("hits") / F.col("total")).alias("coverage"))
     hits = q.join(v, [*on, "b"]).groupBy("quote_id", "verse_id").agg(F.sum(F.least("nq", "nv")).alias("hits"))
     return hits.join(total, "quote_id").select("quote_id", "verse_id", (F.col("hits") / F.col("total")).alias("coverage"))
 
 
+#: Quotes that are held against all verses in one pass; tasks hold their bigrams. Cells of a block of verses' counts.
+QUOTES, CELLS = 512, 4_000_000
+
+
+def bigram_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All bigrams of texts as numbers, and the text that each is of."""
+    codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in texts]
+    sizes = np.array([max(0, len(c) - 1) for c in codes], np.int64)
+    keys = np.concatenate([(c[:-1] << 21) | c[1:] for c in codes]) if codes else np.zeros(0, np.int64)
+    return keys, np.repeat(np.arange(len(texts)), sizes)
+
+
+class Covered:
+    """A block of quotes as counts of their bigrams, to be held against blocks of verses."""
+
+    def __init__(self, blobs: list[str]) -> None:
+        keys, owner = bigram_keys(blobs)
+        self.known = np.unique(keys)
+        self.counts = np.bincount(owner * len(self.known) + np.searchsorted(self.known, keys), minlength=len(blobs) * len(self.known)).reshape(len(blobs), -1).astype(np.float32)
+        self.total = self.counts.sum(axis=1, dtype=np.float64)  # at least 1
+        #: Pairs whose bound was high enough, and all pairs, of this process.
+        self.tried, self.pairs = 0, 0
+
+    def by_enough(self, blobs: list[str | None], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(quote, verse, coverage) of the pairs that reach ``least``.
+
+        First by length: a verse of fewer bigrams than ``least`` of a quote's can't. Then by an upper bound, which counts
+        a quote's bigrams that the verse has at all. Only what is left is counted as multisets.
+        """
+        keys, owner = bigram_keys(blobs)
+        size, own = len(self.known), np.bincount(owner, minlength=len(blobs))
+        kept = np.flatnonzero(own / self.total.min() >= least)
+        number = np.full(len(blobs), -1)
+        number[kept] = np.arange(len(kept))
+        at = np.minimum(np.searchsorted(self.known, keys), size - 1)
+        good = (self.known[at] == keys) & (number[owner] >= 0) if size else np.zeros(len(keys), bool)
+        at, owner = at[good], number[owner[good]]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, CELLS // max(1, size))
+        for a in range(0, len(kept), step):
+            b = min(len(kept), a + step)
+            here = (owner >= a) & (owner < b)
+            has = np.bincount((owner[here] - a) * size + at[here], minlength=(b - a) * size).reshape(b - a, size).astype(np.float32)
+            bound = self.counts @ (has > 0).T.astype(np.float32)
+            q, v = np.nonzero((np.minimum(bound, own[kept[a:b]]) / self.total[:, None]) >= least)
+            self.tried, self.pairs = self.tried + len(q), self.pairs + bound.size
+            for k in range(0, len(q), step):
+                some_q, some_v = q[k : k + step], v[k : k + step]
+                share = np.minimum(self.counts[some_q], has[some_v]).sum(axis=1, dtype=np.float64) / self.total[some_q]
+                reach = share >= least
+                found.append((some_q[reach], kept[a + some_v[reach]], share[reach]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def best_verse(quotes: DataFrame, verses: DataFrame, least: float = MATCH) -> DataFrame:
     """(quote_id, verse_id, coverage): the verse that covers a quote best, the first in order on ties, if by enough.
 
-    verses: verse_id, seq, blob.
+    verses: verse_id, seq, blob. The quotes are the asked-for set: blocks of about QUOTES of them are sent to the verses,
+    which stay where they are. Quotes without a bigram are covered by nothing; repeated rows of a quote count once.
     """
-    found = coverage(quotes, verses, least=least).join(verses.select("verse_id", "seq"), "verse_id")
-    best = found.groupBy("quote_id").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "seq", "verse_id", "coverage")).alias("b"))
-    return best.select("quote_id", "b.verse_id", "b.coverage").filter(F.col("coverage") >= least)
+    spark = quotes.sparkSession
+    asked = cut(quotes.select("quote_id", "blob").filter(F.length("blob") >= 2).distinct().withColumn("_block", F.xxhash64("quote_id", "blob")))
+    n = max(1, -(-asked.count() // QUOTES))
+    kinds = {c: verses.schema[c].dataType.simpleString() for c in ("verse_id", "seq")}
+    kind = quotes.schema["quote_id"].dataType.simpleString()
+    out = spark.createDataFrame([], f"quote_id {kind}, verse_id {kinds['verse_id']}, coverage double")
+    for k in range(n):
+        rows = asked.filter(F.pmod("_block", F.lit(n)) == k).collect()
+        if not rows:
+            continue
+        block = spark.sparkContext.broadcast(Covered([r["blob"] for r in rows]))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2000):
+                    part = batch.slice(a, 2000)
+                    q, v, share = block.value.by_enough(part.column(2).to_pylist(), least)
+                    if len(q):
+                        at = pa.array(v)
+                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array(share)], ["q", "verse_id", "seq", "coverage"])
+
+        found = verses.select("verse_id", "seq", "blob").mapInArrow(run, f"q int, verse_id {kinds['verse_id']}, seq {kinds['seq']}, coverage double")
+        best = found.groupBy("q").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "seq", "verse_id", "coverage")).alias("b"))
+        names = spark.createDataFrame([(i, r["quote_id"]) for i, r in enumerate(rows)], f"q int, quote_id {kind}")
+        out = out.unionByName(best.join(F.broadcast(names), "q").select("quote_id", "b.verse_id", "b.coverage"))
+    return out
 
 
 def verify_quotes(words: DataFrame, verse_words: DataFrame, covered: DataFrame) -> DataFrame:

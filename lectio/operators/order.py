@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,17 +13,40 @@ from pyspark.sql import functions as F
 STEP, TOP = 12, 48
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that spark.checkpoint.dir names; unset, as in tests, a temporary one."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; unset, as in tests, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a compressed table in the shared folder: smaller than a checkpoint where values recur."""
+    path = f"{_shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows, of a short value each, that may be broadcast; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows, cut from their lineage and marked for a broadcast if there are at most FEW."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def _offsets(sums: DataFrame, bits: int) -> DataFrame:
     """(_block, _offset): the sum over all blocks before, from (_block, _sum), whose blocks drop ``bits`` bits of the key.
 

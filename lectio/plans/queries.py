@@ -12,8 +12,8 @@ from lectio.operators import analytics as N
 from lectio.operators import build, research, validate
 from lectio.operators import search as S
 from lectio.operators.audit import PATTERNS
-from lectio.operators.order import cut
-from lectio.plans.views import EDITIONS, TOKENS, VERSES, editions, plain, table, tokens, verses
+from lectio.operators.order import cut, written
+from lectio.plans.views import EDITIONS, TOKENS, VERSES, editions, plain, root_pairs, root_sets, table, tokens, verses
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -302,7 +302,7 @@ PAIRS = f"WITH {TOKENS}, pairs AS (SELECT DISTINCT segment_id AS verse, root FRO
 
 @query(PAIRS + " SELECT root, verses FROM dfs WHERE verses >= 500")
 def n7_stoplist(spark, sf_dir):
-    return N.stoplist(N.verse_roots(tokens(spark, sf_dir, handles=False)))
+    return N.stoplist(root_pairs(spark, sf_dir))
 
 
 @query(
@@ -313,12 +313,12 @@ scored AS (SELECT a, b, s, x.n + y.n - s AS u FROM shared JOIN sizes x ON a = x.
 SELECT a AS verse, b AS other, s AS shared, u AS "union", round(s / u, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY CAST(s AS DOUBLE) / u DESC, s DESC, b) AS r FROM scored) WHERE r <= 8"""
 )
 def n8_similar_verses(spark, sf_dir):
-    return N.similar_verses(cut(N.verse_roots(tokens(spark, sf_dir, handles=False)))).withColumn("score", F.round("score", 6))
+    return N.similar_verses(written(root_sets(spark, sf_dir)).select("verse", F.explode("roots").alias("root"))).withColumn("score", F.round("score", 6))
 
 
 @query(PAIRS + """ SELECT verse, coalesce(string_agg(p.root, ',' ORDER BY p.root) FILTER (verses < 500), '') AS kept, coalesce(string_agg(p.root, ',' ORDER BY p.root) FILTER (verses >= 500), '') AS excluded FROM pairs p JOIN dfs d ON p.root = d.root GROUP BY 1""")
 def n8_kept_roots(spark, sf_dir):
-    out = N.split_roots(N.verse_roots(tokens(spark, sf_dir, handles=False)))
+    out = N.split_roots(written(root_sets(spark, sf_dir)).select("verse", F.explode("roots").alias("root")))
     return out.select("verse", F.array_join("kept", ",").alias("kept"), F.array_join("excluded", ",").alias("excluded"))
 
 
@@ -328,7 +328,7 @@ def n8_kept_roots(spark, sf_dir):
 SELECT c.root, d.verses, c.other, c.shared, CAST(c.r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY shared DESC, other) AS r FROM counts) c JOIN dfs d ON c.root = d.root WHERE r <= 12"""
 )
 def n9_co_occurrence(spark, sf_dir):
-    return N.co_occurrence(N.verse_roots(tokens(spark, sf_dir, handles=False)))
+    return N.co_occurrence(written(root_sets(spark, sf_dir)).select("verse", F.explode("roots").alias("root")))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -861,6 +861,35 @@ def a5_alignment(spark, sf_dir):
     return annotate.alignment_stats(annotate.align(t.select("division", "slot", "position", F.col("form").alias("word")), words))
 
 
+@query(
+    f"""WITH {TOKENS}, k AS (SELECT *, lead(form) OVER v AS after, lag(form) OVER v AS before, count(*) OVER (PARTITION BY segment_id) AS n FROM tokens WINDOW v AS (PARTITION BY segment_id ORDER BY position)),
+j AS (SELECT *, CASE WHEN position % 7 = 3 AND position < n THEN 1 WHEN position % 7 = 4 THEN 2 ELSE 0 END AS side FROM k)
+SELECT token_id, CASE WHEN side > 0 AND slot % 3 <> 2 THEN 'merged' WHEN side > 0 OR position % 11 = 5 THEN 'failed' ELSE 'exact' END AS tier,
+  CASE WHEN side > 0 AND slot % 3 = 0 AND side = 1 THEN form || '/x' WHEN side > 0 AND slot % 3 = 0 THEN form[1:1] || '/y+' || form[2:] || '/z' WHEN side > 0 AND slot % 3 = 1 THEN form || '/s'
+    WHEN side > 0 OR position % 11 = 5 THEN '' ELSE form || '/w' END AS parts FROM j"""
+)
+def a5_parts(spark, sf_dir):
+    """Verses whose words are joined in places, as parts that can be divided, as one with a space, or as one without; others are changed."""
+    from pyspark.sql import Window as W
+
+    from lectio.operators import annotate
+
+    t = tokens(spark, sf_dir, handles=False).select("division", "slot", "position", "form", "token_id")
+    w = W.partitionBy("division", "slot").orderBy("position")
+    rows = t.withColumn("after", F.lead("form").over(w)).filter("position % 7 <> 4")
+    joined, kind = (F.col("position") % 7 == 3) & F.col("after").isNotNull(), F.col("slot") % 3
+    part = lambda text, name: F.struct(text.alias("text"), F.lit(name).alias("kind"))
+    form, after = F.col("form"), F.col("after")
+    divided = F.array(part(form, "x"), part(F.left(after, F.lit(1)), "y"), part(F.substring(after, 2, 1 << 20), "z"))
+    parts = F.when(joined & (kind == 0), divided).when(joined & (kind == 1), F.array(part(F.concat_ws(" ", form, after), "s"))).when(joined, F.array(part(F.concat(form, after), "n"))).otherwise(F.array(part(form, "w")))
+    surface = F.when(joined, F.concat(form, after)).when(F.col("position") % 11 == 5, F.lit("?")).otherwise(form)
+    words = cut(rows.select("division", "slot", F.col("position").alias("word"), surface.alias("surface"), parts.alias("parts")))
+    own = t.withColumnRenamed("form", "word")
+    out = annotate.attach_parts(cut(annotate.align(own.select("division", "slot", "position", "word"), words)), own, words)
+    told = F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["text"], p["kind"])), "+")
+    return out.select(F.concat_ws(":", "division", "slot", "position").alias("token_id"), "tier", F.coalesce(told, F.lit("")).alias("parts"))
+
+
 @query(
     f"""WITH {TOKENS}{DECISIONS}, w AS (SELECT segment_id, position, english, coalesce(lag(english) OVER v = english AND lag(key) OVER v <> key, false) AS again FROM resolved WINDOW v AS (PARTITION BY segment_id ORDER BY position)),
 s AS (SELECT segment_id, string_agg(english, ' ' ORDER BY position) FILTER (NOT again) AS text, count(*) FILTER (NOT again) AS words, count(*) FILTER (english IS NULL) AS undecided FROM w GROUP BY 1)

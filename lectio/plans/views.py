@@ -56,6 +56,19 @@ def tokens(spark: SparkSession, sf_dir: str, handles: bool = True, of: DataFrame
     return out.withColumn("handle", F.col("before") + F.col("position") - 1).drop("before") if handles else out
 
 
+def root_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(verse, roots): the different roots of tokens, for verses that aren't formulas; no word leaves its text."""
+    bare = F.split(F.regexp_replace(F.lower("text"), "[^bcdfghjklmnpqrstvwxyz ]", ""), " ", -1)
+    hard = F.filter(F.array_distinct(F.transform(bare, lambda w: F.left(w, F.lit(3)))), lambda h: F.length(h) >= 2)
+    root = F.transform(hard, lambda h: F.concat_ws("-", F.substring(h, 1, 1), F.substring(h, 2, 1), F.nullif(F.substring(h, 3, 1), F.lit(""))))
+    return verses(spark, sf_dir).filter("not is_formula").select(F.concat_ws(":", "division", "slot").alias("verse"), root.alias("roots"))
+
+
+def root_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (verse, root) pairs."""
+    return root_sets(spark, sf_dir).select("verse", F.explode("roots").alias("root"))
+
+
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """verse_id = conversation and pair of turns; edition = role; text."""
     turns = table(spark, sf_dir, "conversations")

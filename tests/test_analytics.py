@@ -201,3 +201,30 @@ def test_payments_are_idempotent(spark):
 def test_gate_order(spark):
     f = spark.createDataFrame([(None, True), (True, True), (False, False)], "a boolean, b boolean").select(research.first_failure(("x", F.col("a")), ("y", F.col("b"))).alias("f"))
     assert [r["f"] for r in f.collect()] == ["y", "x", None]
+
+
+def test_best_verse_by_brute_force(spark, sf, monkeypatch):
+    draw = random.Random(6)
+    base = ["".join(draw.choice("bcdfg") for _ in range(draw.randint(0, 60))) for _ in range(150)] + [None, "", "b", "漢字漢字", "b\U0001f600c" * 5]
+    near = [t[: len(t) // 2] + "bd" + t[len(t) // 2 :] for t in base[:20]]
+    verses = spark.createDataFrame([(f"v{i}", (i % 7, i), t) for i, t in enumerate(base + near + base[:3])], "verse_id string, seq struct<a: int, b: int>, blob string")
+    quotes = spark.createDataFrame([(i, t) for i, t in enumerate(near + base + ["xyz" * 9, "b", near[0]])], "quote_id int, blob string")
+    place = {r["verse_id"]: tuple(r["seq"]) for r in verses.collect()}
+    cover = audit.coverage(quotes, verses).collect()
+    for least, quotes_, cells in ((0.85, 512, 4_000_000), (0.85, 7, 90), (0.4, 50, 4_000_000)):
+        monkeypatch.setattr(audit, "QUOTES", quotes_)
+        monkeypatch.setattr(audit, "CELLS", cells)
+        want = {}
+        for r in cover:
+            if r["coverage"] >= least:
+                want.setdefault(r["quote_id"], []).append((-r["coverage"], place[r["verse_id"]], r["verse_id"]))
+        got = {r["quote_id"]: (-r["coverage"], place[r["verse_id"]], r["verse_id"]) for r in audit.best_verse(quotes, verses, least).collect()}
+        assert got == {q: min(rows) for q, rows in want.items()}
+    assert audit.best_verse(quotes.limit(0), verses).count() == 0
+
+
+def test_bounds_leave_few_verses_to_count(spark, sf):
+    blobs = lambda name: [r[0] for r in spark.read.parquet(f"{sf}/{name}.parquet").select(F.explode(F.split("text", "\n")).alias("t")).select(queries.blob(F.col("t"))).collect()]
+    block = audit.Covered([b for b in blobs("benchmark") if len(b) > 40])
+    block.by_enough(blobs("documents"), audit.MATCH)
+    assert 0 < block.tried < block.pairs / 3
