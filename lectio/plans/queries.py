@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectio.functions import text as X
 from lectio.operators import analytics as N
-from lectio.operators import build, research, validate
+from lectio.operators import build, exports, research, validate
 from lectio.operators import search as S
 from lectio.operators.audit import PATTERNS
 from lectio.operators.order import cut, written
@@ -468,6 +468,47 @@ def n22_documents(spark, sf_dir):
     return N.export_verses(tokens(spark, sf_dir, handles=False))
 
 
+@query(
+    f"""WITH {TOKENS}, {EDITIONS.strip()}, w AS (SELECT division, slot, string_agg('{{"position":' || position || ',"word":' || CAST(to_json(word) AS VARCHAR) || CASE WHEN root IS NULL THEN '' ELSE ',"root":"' || root || '"' END || '}}', ',' ORDER BY position) AS t FROM tokens GROUP BY 1, 2),
+l AS (SELECT verse_id, string_agg('{{' || CASE WHEN edition IS NULL THEN '' ELSE '"edition":' || CAST(to_json(edition) AS VARCHAR) END || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || '}}', ',' ORDER BY edition NULLS FIRST, text NULLS FIRST) AS t FROM editions GROUP BY 1),
+d AS (SELECT division, count(*) AS n FROM verses GROUP BY 1)
+SELECT v.division, CAST((v.slot - 1) // 50 AS INTEGER) AS page, '{{"division":' || v.division || ',"page":' || (v.slot - 1) // 50 || ',"verse_count":' || any_value(n) || ',"verses":[' ||
+  string_agg('{{"id":"' || v.division || ':' || v.slot || '","slot":' || v.slot || ',"text":' || CAST(to_json(v.text) AS VARCHAR) || ',"tokens":[' || coalesce(w.t, '') || '],"translations":[' || coalesce(l.t, '') || ']}}', ',' ORDER BY v.slot) || ']}}' AS document
+FROM verses v JOIN d ON v.division = d.division LEFT JOIN w ON v.division = w.division AND v.slot = w.slot LEFT JOIN l ON l.verse_id = v.division || ':' || v.slot GROUP BY v.division, (v.slot - 1) // 50"""
+)
+def n22_divisions(spark, sf_dir):
+    v = verses(spark, sf_dir)
+    return exports.division_documents(v, tokens(spark, sf_dir, handles=False, of=v), editions(spark, sf_dir), per_page=50)
+
+
+def _root_part(name: str, key: str, text: str, order: str) -> str:
+    return f"""SELECT root, '{name}', CAST(r // 20 AS INTEGER), '{{{{"root":"' || root || '","page":' || r // 20 || ',"{name}":[' || string_agg('{{{{"{key}":' || {text} || ',"count":' || n || '}}}}', ',' ORDER BY r) || ']}}}}'
+FROM (SELECT root, {key}, count(*) AS n, row_number() OVER (PARTITION BY root ORDER BY {order}) - 1 AS r FROM tokens WHERE root IS NOT NULL GROUP BY 1, 2) GROUP BY root, r // 20""".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    f"""WITH {TOKENS} SELECT root, 'summary' AS part, 0 AS page, '{{"root":"' || root || '","occurrences":' || count(*) || ',"distinct_forms":' || count(DISTINCT form) || ',"verse_count":' || count(DISTINCT segment_id) || '}}' AS document FROM tokens WHERE root IS NOT NULL GROUP BY root
+UNION ALL {_root_part("divisions", "division", "division", "division")} UNION ALL {_root_part("forms", "form", "CAST(to_json(form) AS VARCHAR)", "count(*) DESC, form")} UNION ALL {_root_part("lemmas", "lemma", "CAST(to_json(lemma) AS VARCHAR)", "count(*) DESC, lemma")}"""
+)
+def n22_roots(spark, sf_dir):
+    return exports.root_documents(tokens(spark, sf_dir, handles=False), per_page=20)
+
+
+_LD = '\'{"@context":"https://schema.org","@type":"'
+
+
+@query(
+    f"""WITH {TOKENS} SELECT 'word' AS kind, token_id AS id, {_LD}DefinedTerm","name":' || CAST(to_json(word) AS VARCHAR) || ',"alternateName":' || CAST(to_json(form) AS VARCHAR) || ',"identifier":"' || token_id || '","url":"https://example.org/word/' || token_id || '","isPartOf":{{"@type":"WebPage","url":"https://example.org/' || division || '/' || slot || '"}}'
+  || CASE WHEN root IS NULL THEN '' ELSE ',"inDefinedTermSet":{{"@type":"DefinedTermSet","name":"Root ' || root || '","url":"https://example.org/root/' || root || '"}}' END || '}}' AS document FROM tokens
+UNION ALL SELECT 'root', root, {_LD}DefinedTermSet","name":"Root ' || root || '","identifier":"' || root || '","url":"https://example.org/root/' || root || '","description":"Root ' || root || ': ' || count(*) || ' occurrences."}}' FROM tokens WHERE root IS NOT NULL GROUP BY root
+UNION ALL SELECT 'verse', division || ':' || slot, {_LD}CreativeWork","name":"Work ' || division || ':' || slot || '","identifier":"' || division || ':' || slot || '","isPartOf":{{"@type":"CreativeWork","name":"Work ' || division || '","url":"https://example.org/' || division || '"}},"url":"https://example.org/' || division || '/' || slot || '","text":' || CAST(to_json(text) AS VARCHAR) || '}}' FROM verses
+UNION ALL SELECT 'division', CAST(division AS VARCHAR), {_LD}CreativeWork","name":"Work ' || division || '","position":' || division || ',"url":"https://example.org/' || division || '","hasPart":{{"@type":"CreativeWorkSeries","numberOfItems":' || count(*) || '}}}}' FROM verses GROUP BY division"""
+)
+def n22_json_ld(spark, sf_dir):
+    v = verses(spark, sf_dir)
+    return exports.json_ld(v, tokens(spark, sf_dir, handles=False, of=v), "https://example.org", "Work")
+
+
 @query(
     """WITH RECURSIVE s AS (SELECT c_custkey, c_name, 0 AS i, CAST(2166136261 AS BIGINT) AS h FROM customer
 UNION ALL SELECT c_custkey, c_name, i + 1, (xor(h, CAST(unicode(c_name[i + 1]) AS BIGINT)) * 16777619) % 4294967296 FROM s WHERE i < length(c_name)) SELECT c_custkey, CAST(h % 1000 AS BIGINT) AS pick FROM s WHERE i = length(c_name)"""
