@@ -219,12 +219,25 @@ def co_occurrence(pairs: DataFrame, k: int = 12, min_df: int = 500) -> DataFrame
     return top(counts, ["root"], [F.desc("shared"), F.col("other")], k).join(totals, "root").select("root", "verses", "other", "shared", "rank")
 
 
-def divergence(lines: DataFrame, below: float = 0.4) -> DataFrame:
-    """Per verse: Jaccard of significant stems for each pair of editions, the least, and whether it is divergent."""
-    stems = lines.groupBy("verse_id", "edition").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text")).withColumn("stems", X.significant_stems(F.col("text")))
+def _edition_stems(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("verse_id", "edition").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text")).withColumn("stems", X.significant_stems(F.col("text")))
+
+
+def _edition_pairs(stems: DataFrame) -> DataFrame:
     a, b = (stems.select("verse_id", F.col("edition").alias(f"edition_{s}"), F.col("stems").alias(s)) for s in "ab")
-    pairs = a.join(b, "verse_id").filter("edition_a < edition_b").withColumn("score", X.jaccard(F.col("a"), F.col("b"), 1.0))
-    least = pairs.groupBy("verse_id").agg(F.min("score").alias("least"), F.count("*").alias("pairs"))
+    return a.join(b, "verse_id").filter("edition_a < edition_b").select("verse_id", "edition_a", "edition_b", X.jaccard(F.col("a"), F.col("b"), 1.0).alias("score"))
+
+
+def divergence_pairs(lines: DataFrame) -> DataFrame:
+    """(verse_id, edition_a, edition_b, score, rank): each verse's pairs of editions by Jaccard of significant stems, most divergent first."""
+    order = W.partitionBy("verse_id").orderBy("score", "edition_a", "edition_b")
+    return _edition_pairs(_edition_stems(lines)).withColumn("rank", F.row_number().over(order))
+
+
+def divergence(lines: DataFrame, below: float = 0.4) -> DataFrame:
+    """Per verse: the least Jaccard of significant stems over the pairs of editions, and whether it is divergent."""
+    stems = _edition_stems(lines)
+    least = _edition_pairs(stems).groupBy("verse_id").agg(F.min("score").alias("least"))
     editions = stems.groupBy("verse_id").agg(F.count("*").alias("editions"))
     out = editions.join(least, "verse_id", "left")
     return out.select("verse_id", "editions", F.coalesce("least", F.lit(1.0)).alias("least"), ((F.col("editions") >= 2) & F.coalesce(F.col("least") < below, F.lit(False))).alias("divergent"))
@@ -256,11 +269,17 @@ def word_index(lines: DataFrame) -> DataFrame:
     return by.groupBy("word").agg(F.count("*").alias("verses"), F.sum("n").alias("lines"))
 
 
-def verse_editions(lines: DataFrame, chosen: Sequence[str]) -> DataFrame:
-    """The chosen editions of each verse, in their order, as an array; missing lines are left out."""
-    rank = F.create_map(*[F.lit(x) for i, e in enumerate(chosen) for x in (e, i)])
-    own = lines.filter(F.col("edition").isin(*chosen)).withColumn("rank", F.element_at(rank, F.col("edition")))
-    return own.groupBy("verse_id").agg(F.array_sort(F.collect_list(F.struct("rank", "edition", "text"))).alias("editions"))
+def verse_editions(lines: DataFrame, catalogue: Sequence[str | tuple[str, bool]], chosen: Sequence[str] | None = None, redistributable: bool = False) -> DataFrame:
+    """The editions of each verse in the catalogue's order, as an array; missing lines are left out.
+
+    The catalogue lists editions, or (edition, whether it may be redistributed). ``chosen`` takes some of them, still in
+    that order; with ``redistributable`` only those that may be passed on come out.
+    """
+    known = [e if isinstance(e, tuple) else (e, True) for e in catalogue]
+    own = [e for e, free in known if (chosen is None or e in chosen) and (free or not redistributable)]
+    rank = F.create_map(*[F.lit(x) for i, e in enumerate(own) for x in (e, i)]) if own else F.lit(None).cast("map<string,int>")
+    rows = lines.filter(F.col("edition").isin(*own)).withColumn("rank", F.element_at(rank, F.col("edition")))
+    return rows.groupBy("verse_id").agg(F.array_sort(F.collect_list(F.struct("rank", "edition", "text"))).alias("editions"))
 
 
 def frames(tokens: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectio.functions import text as X
 from lectio.operators.build import refuse
-from lectio.operators.order import few
+from lectio.operators.order import few, running_before
 
 # The tag vocabulary.
 NOMINAL = ["PN", "PRON", "DEM", "REL", "T", "LOC", "NV", "COND", "INTG"]
@@ -61,8 +61,6 @@ def head_block(words: DataFrame) -> DataFrame:
 
 def attach_positional(words: DataFrame, glosses: DataFrame, translit: DataFrame) -> DataFrame:
     """Join the i-th word in corpus order to line i of both files; different counts are refused. Empty lines give null."""
-    from lectio.operators.order import running_before
-
     counts = words.count(), glosses.count(), translit.count()
     if len(set(counts)) != 1:
         raise ValueError(f"words, glosses and transliterations differ: {counts}")
@@ -145,6 +143,20 @@ def alignment_stats(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("rate", F.round(1 - (F.col("failed") + F.col("unaligned")) / F.col("rows"), 6))
 
 
+def alignment_report(annotated: DataFrame) -> DataFrame:
+    """One row from one pass over annotated tokens (tier, gloss, transliteration, roots): tiers, rate, coverage of glosses and transliterations, tokens of several roots."""
+    has = lambda c: F.count_if(F.col(c).isNotNull() & (F.col(c) != ""))
+    tiers = ["exact", "normalised", "extended", "merged", "copied", "failed", "unaligned"]
+    counts = annotated.agg(F.count("*").alias("tokens"), *[F.count_if(F.col("tier") == t).alias(t) for t in tiers], has("gloss").alias("glossed"), has("transliteration").alias("transliterated"), F.count_if(F.size(F.array_distinct("roots")) > 1).alias("several_roots"))
+    share = lambda c: F.when(F.col("tokens") > 0, F.round(c / F.col("tokens"), 6))
+    return counts.withColumns({"rate": share(F.col("tokens") - F.col("failed") - F.col("unaligned")), "gloss_coverage": share(F.col("glossed")), "transliteration_coverage": share(F.col("transliterated"))})
+
+
+def top_roots(tokens: DataFrame, k: int = 10) -> DataFrame:
+    """The most frequent roots: (root, occurrences), ties by root."""
+    return tokens.filter("root is not null").groupBy("root").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "root").limit(k)
+
+
 def alignment_exceptions(aligned: DataFrame) -> DataFrame:
     return aligned.filter(F.col("tier").isin("failed", "unaligned", "merged", "extended"))
 
@@ -164,6 +176,26 @@ def build_roots(tokens: DataFrame) -> DataFrame:
     return counts.groupBy("root").agg(F.sum("n").alias("occurrences"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "lemma"))), lambda s: s["lemma"]).alias("lemmas"))
 
 
+def rank_roots(roots: DataFrame) -> DataFrame:
+    """Roots with place: the most frequent first, then by slug (the root's own text here); places are running sums."""
+    keyed = roots.withColumn("_n", -F.col("occurrences"))
+    return running_before(keyed, "_n", F.lit(1), "place", ["root"]).withColumn("place", F.col("place") + 1).drop("_n")
+
+
+def root_token_pages(tokens: DataFrame, per_page: int = 1000) -> DataFrame:
+    """(root, page, token_ids): each root's tokens in corpus order, in pages, so that a frequent root is no single row.
+
+    Tokens are numbered inside (root, block of handles) and blocks by their sums, so no task sorts a whole root.
+    """
+    own = tokens.filter("root is not null").select("root", "handle", "token_id").withColumn("_block", F.shiftright("handle", 16))
+    sizes = own.groupBy("root", "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("root").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("root", "_block").orderBy("handle")) - 1
+    numbered = own.join(sizes.select("root", "_block", before.alias("_before")), ["root", "_block"]).withColumn("_k", F.col("_before") + inside)
+    paged = numbered.groupBy("root", F.floor(F.col("_k") / per_page).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("_k", "token_id"))).alias("t"))
+    return paged.select("root", "page", F.col("t.token_id").alias("token_ids"))
+
+
 def with_root_occurrences(tokens: DataFrame) -> DataFrame:
     counts = tokens.filter("root is not null").groupBy("root").agg(F.count("*").alias("root_occurrences"))
     return tokens.join(counts, "root", "left")

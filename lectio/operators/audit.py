@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
-from lectio.operators.order import cut
+from lectio.operators.order import cut, running_before
 
 # Patterns and thresholds.
 SCRIPT = "\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
@@ -394,6 +394,18 @@ def audit_report(findings: DataFrame) -> DataFrame:
     return findings.groupBy("article").agg(F.count("*").alias("checked"), count("verified"), count("flagged"), count("unchecked"), work)
 
 
+def rank_articles(reports: DataFrame) -> DataFrame:
+    """Reports with rank: the most work first, then the most flags, then by name. Ranks are running sums over scores."""
+    keyed = reports.withColumns({"_work": -F.col("work"), "_flagged": -F.col("flagged")})
+    return running_before(keyed, "_work", F.lit(1), "rank", ["_flagged", "article"]).withColumn("rank", F.col("rank") + 1).drop("_work", "_flagged")
+
+
+def audit_totals(reports: DataFrame) -> DataFrame:
+    """One row: articles and the sums of their counts and work; zeros without any."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("checked", "verified", "flagged", "unchecked", "work")]
+    return reports.agg(F.count("*").alias("articles"), *sums)
+
+
 def verified_evidence(references: DataFrame, tokens: DataFrame) -> DataFrame:
     """(ref_id, segment_id, token_id) of verified references."""
     own = tokens.select(F.col("division").alias("_d"), F.col("slot").alias("_s"), "segment_id", "token_id")

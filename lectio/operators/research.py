@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectio.operators.order import cut, few
 from lectio.operators.validate import resolve_ids
 
 PUBLISHED = ("PUBLISHED", "REVISED")
@@ -40,6 +41,39 @@ def project_citations(pins: DataFrame, tokens: DataFrame) -> DataFrame:
     return joined.select("investigation_id", F.explode(cited).alias("c")).select("investigation_id", "c.kind", "c.key").distinct()
 
 
+#: Buckets of a stored citation table.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("investigation_id"), F.lit(BUCKETS)).cast("int")
+
+
+def replace_citations(path: str, replaced: DataFrame, citations: DataFrame) -> None:
+    """Replace all citations of the investigations in ``replaced`` in a stored table by those in ``citations``.
+
+    Investigations are dealt to buckets, which are the table's partitions; only buckets of replaced
+    investigations are written, by dynamic partition overwrite, from what they hold of others and what is new. Doing it
+    again changes nothing. A bucket that loses its last row keeps a row without a kind, which stored_citations leaves out.
+    """
+    spark = citations.sparkSession
+    ids = replaced.select("investigation_id").distinct()
+    touched = few(ids.select(_bucket().alias("bucket")).distinct())
+    new = citations.join(ids, "investigation_id", "left_semi").select("investigation_id", "kind", "key").distinct().withColumn("bucket", _bucket())
+    empty = touched.select(F.lit(None).cast(citations.schema["investigation_id"].dataType).alias("investigation_id"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key"), "bucket")
+    out = new.unionByName(empty)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        held = spark.read.parquet(path).join(touched, "bucket", "left_semi").filter("kind is not null")
+        out = out.unionByName(held.join(ids, "investigation_id", "left_anti").select(out.columns))
+    # What is read is cut from the files before they are overwritten.
+    cut(out).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def stored_citations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("kind is not null").select("investigation_id", "kind", "key")
+
+
 def citing(citations: DataFrame, investigations: DataFrame, authors: DataFrame) -> DataFrame:
     """Citations of published investigations, with their author; newest first within (kind, key) by rank."""
     shown = investigations.filter(F.col("status").isin(*PUBLISHED)).join(authors, "author_id", "left")

@@ -347,6 +347,17 @@ def n11_divergence(spark, sf_dir):
     return N.divergence(editions(spark, sf_dir)).withColumn("least", F.round("least", 6))
 
 
+@query(
+    f"""WITH {EDITIONS}, joined AS (SELECT verse_id, edition, string_agg(text, ' ' ORDER BY text) AS text FROM editions GROUP BY 1, 2),
+stems AS (SELECT verse_id, edition, list_distinct(list_transform(list_filter({LATIN}, lambda w: w NOT IN ({_STOP})), lambda w: {_STEM})) AS s FROM joined),
+pairs AS (SELECT a.verse_id, a.edition AS edition_a, b.edition AS edition_b, len(list_intersect(a.s, b.s)) AS i, len(list_distinct(list_concat(a.s, b.s))) AS u FROM stems a JOIN stems b ON a.verse_id = b.verse_id AND a.edition < b.edition),
+scored AS (SELECT verse_id, edition_a, edition_b, CASE WHEN u = 0 THEN 1.0 ELSE CAST(i AS DOUBLE) / u END AS score FROM pairs)
+SELECT verse_id, edition_a, edition_b, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY verse_id ORDER BY score, edition_a, edition_b) AS INTEGER) AS rank FROM scored"""
+)
+def n11_pairs(spark, sf_dir):
+    return N.divergence_pairs(editions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {EDITIONS} SELECT verse_id, string_agg(DISTINCT edition, ',' ORDER BY edition) AS editions FROM editions WHERE list_contains({LATIN}, 'the') GROUP BY 1")
 def n12_reverse_lookup(spark, sf_dir):
     return N.reverse_lookup(editions(spark, sf_dir), "The others").withColumn("editions", F.array_join("editions", ","))
@@ -363,6 +374,13 @@ def n13_verse_editions(spark, sf_dir):
     return out.select("verse_id", F.array_join(F.transform("editions", lambda e: F.concat(e["edition"], F.lit("="), e["text"])), "|").alias("editions"))
 
 
+@query(f"WITH {EDITIONS} SELECT verse_id, string_agg(edition || '=' || text, '|' ORDER BY CASE edition WHEN 'system' THEN 0 ELSE 1 END, text) AS editions FROM editions WHERE edition IN ('system', 'user') GROUP BY 1")
+def n13_redistributable(spark, sf_dir):
+    """Editions asked for in another order than the catalogue's, one of which may not be passed on."""
+    out = N.verse_editions(editions(spark, sf_dir), [("system", True), ("assistant", False), ("user", True)], ["user", "assistant", "system"], redistributable=True)
+    return out.select("verse_id", F.array_join(F.transform("editions", lambda e: F.concat(e["edition"], F.lit("="), e["text"])), "|").alias("editions"))
+
+
 @query(f"WITH {TOKENS}, n AS (SELECT root, coalesce(lead(form) OVER (PARTITION BY segment_id ORDER BY position), '—') AS following FROM tokens) SELECT root, following, count(*) AS \"count\" FROM n WHERE root IS NOT NULL GROUP BY 1, 2")
 def n14_frames(spark, sf_dir):
     return N.frames(tokens(spark, sf_dir, handles=False))
@@ -765,16 +783,34 @@ def u5_quotes(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("ratio", "coverage")})
 
 
-@query(
-    "SELECT CAST(doc_id % 50 AS VARCHAR) AS article, count(*) AS checked, count(*) FILTER (quality = 1 AND toxic = 0) AS verified, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (quality = 0 AND toxic = 0) AS unchecked, CAST(sum(CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 5 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS work FROM labels GROUP BY 1"
-)
+def _findings(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "verified").otherwise("unchecked")
+    return table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).cast("string").alias("article"), F.col("doc_id").alias("finding_id"), status.alias("status"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("severity"), (F.col("doc_id") % 7).alias("line"))
+
+
+REPORT = "SELECT CAST(doc_id % 50 AS VARCHAR) AS article, count(*) AS checked, count(*) FILTER (quality = 1 AND toxic = 0) AS verified, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (quality = 0 AND toxic = 0) AS unchecked, CAST(sum(CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 5 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS work FROM labels GROUP BY 1"
+
+
+@query(f"SELECT article, work, row_number() OVER (ORDER BY work DESC, flagged DESC, article) AS rank FROM ({REPORT})")
+def u10_articles(spark, sf_dir):
+    from lectio.operators import audit
+
+    return audit.rank_articles(cut(audit.audit_report(_findings(spark, sf_dir)))).select("article", "work", "rank")
+
+
+@query(f"SELECT count(*) AS articles, CAST(sum(checked) AS BIGINT) AS checked, CAST(sum(verified) AS BIGINT) AS verified, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(unchecked) AS BIGINT) AS unchecked, CAST(sum(work) AS BIGINT) AS work FROM ({REPORT})")
+def u10_totals(spark, sf_dir):
+    from lectio.operators import audit
+
+    return audit.audit_totals(audit.audit_report(_findings(spark, sf_dir)))
+
+
+@query(REPORT)
 def u10_report(spark, sf_dir):
     from lectio.operators import audit
 
-    k = F.col("doc_id") % 3
-    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "verified").otherwise("unchecked")
-    findings = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).cast("string").alias("article"), status.alias("status"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("severity"))
-    return audit.audit_report(findings)
+    return audit.audit_report(_findings(spark, sf_dir))
 
 
 @query(
@@ -857,6 +893,44 @@ def a10_roots(spark, sf_dir):
     return annotate.build_roots(tokens(spark, sf_dir, handles=False)).withColumn("lemmas", F.array_join("lemmas", ","))
 
 
+@query(f"WITH {TOKENS}, c AS (SELECT root, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1) SELECT root, n AS occurrences, row_number() OVER (ORDER BY n DESC, root) AS place FROM c")
+def a10_places(spark, sf_dir):
+    from lectio.operators import annotate
+
+    return annotate.rank_roots(cut(annotate.build_roots(tokens(spark, sf_dir, handles=False)).select("root", "occurrences")))
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT root, token_id, row_number() OVER (PARTITION BY root ORDER BY handle) - 1 AS k FROM tokens WHERE root IS NOT NULL) SELECT root, CAST(k // 100 AS INTEGER) AS page, string_agg(token_id, ',' ORDER BY k) AS token_ids FROM n GROUP BY 1, 2")
+def a10_token_pages(spark, sf_dir):
+    from lectio.operators import annotate
+
+    return annotate.root_token_pages(tokens(spark, sf_dir), per_page=100).withColumn("token_ids", F.array_join("token_ids", ","))
+
+
+@query(
+    f"""WITH {TOKENS}, k AS (SELECT *, CASE WHEN position % 11 = 5 THEN 'failed' WHEN position % 13 = 4 THEN 'extended' ELSE 'exact' END AS tier, CASE WHEN length(form) > 2 THEN word END AS gloss, CASE WHEN position % 3 > 0 THEN form ELSE '' END AS translit, lead(root) OVER (PARTITION BY segment_id ORDER BY position) AS after FROM tokens)
+SELECT count(*) AS tokens, count(*) FILTER (tier = 'exact') AS exact, 0 AS normalised, count(*) FILTER (tier = 'extended') AS extended, 0 AS merged, 0 AS copied, count(*) FILTER (tier = 'failed') AS failed, 0 AS unaligned, count(gloss) AS glossed, count(*) FILTER (translit <> '') AS transliterated,
+  count(*) FILTER (root <> after) AS several_roots, round((count(*) - count(*) FILTER (tier = 'failed')) / count(*), 6) AS rate, round(count(gloss) / count(*), 6) AS gloss_coverage, round(count(*) FILTER (translit <> '') / count(*), 6) AS transliteration_coverage FROM k"""
+)
+def a12_report(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    from lectio.operators import annotate
+
+    t = tokens(spark, sf_dir, handles=False)
+    tier = F.when(F.col("position") % 11 == 5, "failed").when(F.col("position") % 13 == 4, "extended").otherwise("exact")
+    roots = F.filter(F.array("root", F.lead("root").over(W.partitionBy("division", "slot").orderBy("position"))), lambda r: r.isNotNull())
+    own = {"tier": tier, "gloss": F.when(F.length("form") > 2, F.col("word")), "transliteration": F.when(F.col("position") % 3 > 0, F.col("form")).otherwise(""), "roots": roots}
+    return annotate.alignment_report(t.select(*[c.alias(n) for n, c in own.items()]))
+
+
+@query(f"WITH {TOKENS} SELECT root, count(*) AS occurrences FROM tokens WHERE root IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def a12_top_roots(spark, sf_dir):
+    from lectio.operators import annotate
+
+    return annotate.top_roots(tokens(spark, sf_dir, handles=False))
+
+
 @query(f"WITH {TOKENS}, c AS (SELECT root, count(*) AS n FROM tokens WHERE root IS NOT NULL GROUP BY 1) SELECT t.token_id, coalesce(c.n, 0) AS root_occurrences FROM tokens t LEFT JOIN c ON t.root = c.root")
 def a11_root_occurrences(spark, sf_dir):
     from lectio.operators import annotate
@@ -1104,10 +1178,7 @@ def r4_status(spark, sf_dir):
 def u10_ranked_findings(spark, sf_dir):
     from lectio.operators import audit
 
-    k = F.col("doc_id") % 3
-    status = F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, "verified").otherwise("unchecked")
-    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).cast("string").alias("article"), F.col("doc_id").alias("finding_id"), status.alias("status"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("severity"), (F.col("doc_id") % 7).alias("line"))
-    return audit.rank_findings(rows).select("article", "finding_id", "rank")
+    return audit.rank_findings(_findings(spark, sf_dir)).select("article", "finding_id", "rank")
 
 
 @query(
