@@ -2,8 +2,9 @@
 
 Every shingle of SHINGLE code points is hashed to 32 bits and its hash is retained if it lies below
 2**32 / SCALE. The retained set grows with the document, so sketches of very unequal documents still
-estimate containment, and the sketch of a union is the union of the sketches. A text of which no hash
-lies below has its least hash for a sketch; in a union that one stays only if none lies below.
+estimate containment, and the sketch of a union comes from the sketches alone. So that short texts have
+something to compare, the FLOOR least hashes stay too, wherever they lie. A sketch thus tells up to which
+hash it is complete, and two sketches are compared up to the smaller of these limits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lectio.llm.common import mix, prefix_hash, range_hash, shuffle_width
 
-SHINGLE, SCALE = 8, 16
+SHINGLE, SCALE, FLOOR = 8, 16, 16
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
 
 
@@ -27,14 +28,14 @@ def code_points(text: str) -> np.ndarray:
 
 
 def sketch(points: np.ndarray, scale: int = SCALE, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct retained hashes of a text's code points, or else the least; a text shorter than k is one shingle."""
+    """Sorted distinct retained hashes of a text's code points; a text shorter than k is one shingle."""
     if not len(points):
         return np.zeros(0, np.uint32)
     prefix = prefix_hash(mix(points.astype(np.uint64) + np.uint64(1)))
     start = np.arange(max(1, len(points) - k + 1))
     hashes = (range_hash(prefix, start, np.minimum(start + k, len(points))) >> np.uint64(32)).astype(np.uint32)
     kept = np.unique(hashes[hashes < 2**32 // scale])
-    return kept if len(kept) else hashes.min(keepdims=True)
+    return kept if len(kept) >= FLOOR else np.unique(hashes)[:FLOOR]
 
 
 def as_text(hashes: np.ndarray) -> str:
@@ -49,27 +50,31 @@ def from_text(text: str) -> np.ndarray:
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of two documents together."""
     both = np.union1d(a, b)
-    kept = both[both < 2**32 // scale]
-    return kept if len(kept) else both[:1]
+    return both[: max(FLOOR, int(np.searchsorted(both, 2**32 // scale)))]
+
+
+def limit(hashes: np.ndarray, scale: int = SCALE) -> int:
+    """The hash below which a sketch has all: no bound if it has fewer than FLOOR, which are all there are."""
+    if len(hashes) < FLOOR:
+        return 2**32
+    return max(2**32 // scale, int(hashes[-1]) + 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Containment of the smaller sketch in the larger, and the Jaccard similarity; equal sketches give 1, an empty one against another 0."""
+    """Containment of the smaller document in the larger, and the Jaccard similarity, as the sketches tell them.
+
+    Equal sketches give 1. Where a sketch has nothing below the limit of both, nothing is known to be shared, which gives 0.
+    """
     if np.array_equal(a, b):
         return 1.0, 1.0
+    most = min(limit(a), limit(b))
+    a, b = a[: np.searchsorted(a, most)], b[: np.searchsorted(b, most)]
     if not len(a) or not len(b):
         return 0.0, 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / min(len(a), len(b)), both / (len(a) + len(b) - both)
 
 
-def compare(points: np.ndarray, own: np.ndarray, other_points: np.ndarray, other: np.ndarray) -> tuple[float, float]:
-    """likeness of two texts by their sketches; where one of them is only a least hash, by all shingles."""
-    if any(len(s) == 1 and s[0] >= 2**32 // SCALE for s in (own, other)):
-        return likeness(sketch(points, 1), sketch(other_points, 1))
-    return likeness(own, other)
-
-
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of range and descending doc_id; each is finished when the next one is seen."""
     last = None
@@ -89,9 +94,8 @@ def _finish(row: tuple, following: tuple) -> dict:
     _, doc_id, text, _, points, own = row
     cut_at = len(text) - len(text) // 3
     edited = text[:cut_at] + following[2][: len(text) // 3]
-    edited_points = code_points(edited)
-    changed = sketch(edited_points)
-    near_edited, near_next = compare(points, own, edited_points, changed), compare(points, own, following[4], following[5])
+    changed = sketch(code_points(edited))
+    near_edited, near_next = likeness(own, changed), likeness(own, following[5])
     return {
         "doc_id": doc_id,
         "n_chars": len(text),
