@@ -1,15 +1,18 @@
 """Secret scan: candidates by their looks, false positives removed by a random forest.
 
 The forest reads a candidate's length, character transitions, share covered by dictionary words, path
-looks and neighbouring words. It is trained from labelled findings; where none are given, findings on
-a fixed part of the documents are labelled by rules: a known form, or a typical one that is assigned to a
-telling name, is a secret, and what has neither a typical form nor such a name is none.
+looks and neighbouring words. It is trained from labelled findings. Where none are given, secrets and
+look-alikes of random making are planted between the words of a half of the documents, so labels are
+known from the planting and don't follow from features; the forest alone decides. The dictionary is the corpus'
+own words by document frequency.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,69 +25,158 @@ from lectio.llm.common import cut, free_name, map_arrow
 
 #: At most so many labelled findings of each class train the forest.
 TRAINING_ROWS = 5_000
+#: Documents whose passages carry planted findings, characters of a passage, and the seed of what is planted.
+CARRIERS, PASSAGE, SEED = 1_000, 240, 11
+#: Size of the dictionary: the words of most documents, of at least two.
+DICTIONARY = 20_000
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z0-9_+/=.@-]*[0-9])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.@-]{14,}(?![A-Za-z0-9_+/=.@-])")
 #: An assignment sign inside a run; '=' at the end of a value is padding.
 ASSIGNMENT = re.compile(r"=(?=[^=])")
-#: A quoted value that is assigned to a name with a telling part, however short or plain it is.
-ASSIGNED = re.compile(r"""(?i:api|access|auth|bearer|client|credential|key|passphrase|passwd|password|private|pwd|secret|token)[A-Za-z0-9_.-]{0,40}["'`]?\s{0,3}[=:]\s{0,3}(["'`])(?P<value>[^\s"'`]{6,})\1""")
+#: A name with what is assigned to it: quoted, blanks included, or up to a blank. Each run of name characters is tried once.
+ASSIGNED = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)["'`]?[^\S\n]*+(?:[=:]|=>|:=)[^\S\n]*+(?:"(?P<a>[^"\n]{6,})"|'(?P<b>[^'\n]{6,})'|`(?P<c>[^`\n]{6,})`|(?P<d>[^\s"'`,;=:][^\s"'`,;]{5,}))""")
+#: The body of a private key.
+PRIVATE = re.compile(r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----\s*+(?P<value>[^-]++)(?=-----END )")
+TELLING = re.compile(r"(?i:api|access|auth|bearer|client|credential|key|pass|private|pwd|secret|token)")
 #: Names between other characters than letters, or as parts of names like clientSecret.
 NAMES = re.compile(r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:api|access|auth|bearer|client|credential|key|passphrase|passwd|password|private|pwd|secret|token)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
 KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}")
-TYPICAL = re.compile(r"(?:[0-9a-f]{32,128}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})")
-#: Parts of common words, for dictionary coverage.
-WORDS = re.compile(r"(?i)access|account|admin|agent|animation|application|array|border|button|cache|client|color|config|content|context|control|count|data|default|demo|dev|document|dummy|element|error|event|example|field|file|font|format|function|group|handle|header|http|image|index|input|item|label|layer|layout|list|load|local|manager|message|model|module|name|node|number|object|option|output|package|page|param|path|person|point|port|project|property|query|record|release|request|response|result|sample|script|server|service|session|source|state|static|string|style|system|table|target|template|test|text|title|type|update|user|value|version|video|view|window|world|write|[aeiou][bcdfghlmnprst][aeiou]|tion|the|ing|ent|and|est")
-FIELDS = "doc_id bigint, text_key bigint, start int, length int, candidate string, before string, label int, features array<double>"
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Whole words of prose, for the dictionary: no parts of runs with digits or signs.
+PROSE = r"(?<![a-z0-9_+/=.@-])[a-z]{3,20}(?![a-z0-9_+/=@-])"
+FIELDS = "doc_id bigint, text_key bigint, start int, length int, candidate string, before string, features array<double>"
 
 
 def kind_of(c: str) -> str:
     return "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s"
 
 
-def features(found: str, before: str, after: str) -> list[float]:
+def coverage(found: str, words: frozenset[str]) -> float:
+    """The share of a candidate's characters in dictionary words: whole parts, or longest words from the left."""
+    total = 0
+    for part in PARTS.findall(found):
+        part, k = part.lower(), 0
+        while k + 3 <= len(part):
+            n = next((n for n in range(min(20, len(part) - k), 2, -1) if part[k : k + n] in words), 0)
+            total, k = total + n, k + max(1, n)
+    return total / len(found)
+
+
+def features(found: str, before: str, after: str, words: frozenset[str]) -> list[float]:
     n = len(found)
     kinds = [kind_of(c) for c in found]
     moves = [a + b for a, b in zip(kinds, kinds[1:], strict=False)]
     share = lambda m: sum(x == m for x in moves) / max(1, len(moves))
     counts = [found.count(c) / n for c in set(found)]
-    words = sum(len(m) for m in WORDS.findall(found)) / n
+    near = re.findall(r"[a-z]+", before[-40:].lower())
     return [
         float(n),
         -sum(p * math.log2(p) for p in counts),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         *(share(m) for m in ("dd", "dl", "ld", "ll", "lu", "ul", "uu")),
         *(kinds.count(k) / n for k in "dlus"),
-        words,
-        float(found.count("/")) / n,
+        coverage(found, words),
+        found.count("/") / n,
         float("@" in found),
         float(found.count(".")),
+        float(found.count(" ")),
         float(bool(re.search(r"\.\w{1,4}$", found))),
         float(bool(re.fullmatch(r"[0-9a-fA-F-]+", found))),
         float(bool(KNOWN.fullmatch(found))),
+        float(bool(re.search(r"[(){}<>\[\]$]", found))),
         float(bool(NAMES.search(before[-40:]))),
+        float(bool(near) and bool(NAMES.search(near[-1]))),
+        float(sum(w in words for w in near[-3:])),
         float(bool(re.search(r"""[=:]\s*["'`]?$""", before))),
         float(bool(re.search(r"""["'`]$""", before)) and bool(re.match(r"""["'`]""", after))),
+        float(before.rstrip().endswith("PRIVATE KEY-----")),
     ]
 
 
-def rule(found: str, before: str) -> int | None:
-    """A label for training: 1 with a known form, or a typical one that is assigned to a telling name, 0 with neither."""
-    typical, named = bool(TYPICAL.fullmatch(found)), bool(NAMES.search(before[-40:]) and re.search(r"""[=:]\s*["'`]?$""", before))
-    return 1 if KNOWN.fullmatch(found) or typical and named else 0 if not typical and not named else None
+def planted_secret(rng: random.Random, words: list[str]) -> tuple[str, str, str]:
+    """(before, value, after) of a secret: keys of known services, random values of telling names, passwords and private keys."""
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    alnum = string.ascii_letters + string.digits
+    form = rng.randrange(-1, 10)
+    if form < 1:
+        return _planted_known(rng, pick, alnum)
+    if form == 1:
+        return "-----BEGIN RSA PRIVATE KEY-----\n", "\n".join(pick(alnum + "+/", 64) for _ in range(rng.randrange(2, 12))) + "\n", "-----END RSA PRIVATE KEY-----"
+    value = pick("0123456789abcdef", rng.choice((32, 40, 48, 64))) if form < 5 else pick(alnum + rng.choice(("", "+/", "-_", "+/-_")), rng.randrange(18, 60)) + rng.choice(("", "", "=", "=="))
+    if form == 8:
+        value = "".join(rng.choice(words).capitalize() if rng.random() < 0.5 else rng.choice(words) for _ in range(rng.randrange(1, 3))) + pick(string.digits, rng.randrange(1, 5)) + pick("!#$%", rng.randrange(2))
+    if form == 9:
+        value = rng.choice("- _").join(rng.choice((w, w.capitalize())) for w in rng.choices(words, k=rng.randrange(3, 6)))
+    name = rng.choice(("password", "passphrase", "db_passwd", "PWD", "DB_PASSWORD") if form > 7 else ("token", "api_key", "API_KEY", "client_secret", "clientSecret", "access_token", "AWS_SECRET_ACCESS_KEY", "aws_secret_access_key", "auth_token", "AUTH_TOKEN_2", "private_key", "secret", "apiKey"))
+    before, after = rng.choice(((f"{name}=", "\n"), (f'{name} = "', '"'), (f"{name}: '", "'"), (f'"{name}": "', '"'), (f"export {name}=", "\n"), (f"{name}: ", "\n")))
+    if " " in value:
+        before, after = f'{name} = "', '"'
+    return before, value, after
+
+
+def _planted_known(rng: random.Random, pick, alnum: str) -> tuple[str, str, str]:
+    value = rng.choice((rng.choice(("AKIA", "ASIA")) + pick(string.ascii_uppercase + string.digits, 16), f"gh{rng.choice('pousr')}_" + pick(alnum, 36), f"xox{rng.choice('abprs')}-{pick(string.digits, rng.randrange(9, 13))}-{pick(rng.choice((alnum, '0123456789abcdef', string.ascii_lowercase)), rng.randrange(6, 26))}"))
+    before, after = rng.choice((("", "\n"), ("", " "), ("key ", "."), ('= "', '"'), ("at ", ","), ("token: ", "\n")))
+    return before, value, after
+
+
+def planted_lookalike(rng: random.Random, words: list[str]) -> tuple[str, str, str]:
+    """(before, value, after) of what looks like a secret and is none: digests, ids, paths, names, dates, placeholders, code and prose."""
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    some = lambda low, high: rng.choices(words, k=rng.randrange(low, high))
+    hexa, digits = "0123456789abcdef", string.digits
+    form = rng.randrange(12)
+    name = rng.choice(("token", "api_key", "password", "secret", "client_secret", "access_token", "key", "DB_PASSWORD", "passphrase"))
+    if form == 0:
+        return rng.choice(("commit ", "sha256:", "checksum: ", "md5 = ", "revision ", 'etag: "', "tree ", "digest ")), pick(hexa, rng.choice((32, 40, 64))), rng.choice((" ", "\n", ".", '"'))
+    if form == 1:
+        return rng.choice(("id ", "request ", 'uuid = "', "", "session: ")), "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), rng.choice((" ", '"', "\n"))
+    if form == 2:
+        return rng.choice(("", "in ", "from ", 'path = "')), "/" + "/".join(some(2, 6)) + f"{pick(digits, 2)}.{rng.choice(('py', 'txt', 'html', 'so', 'json'))}", " "
+    if form == 3:
+        return rng.choice(("", "see ", "the ", 'class="')), rng.choice("-_").join([*some(2, 5), pick(digits, rng.randrange(1, 5))]), rng.choice((" ", ".", '"', ","))
+    if form == 4:
+        return rng.choice(("", "no. ", "order ", "call ", "card ")), pick(digits + rng.choice(("", "-", "-")), rng.randrange(15, 24)).strip("-") + "0", " "
+    if form == 5:
+        return rng.choice(("on ", "at ", "")), f"20{pick(digits, 2)}-0{rng.randrange(1, 10)}-1{pick(digits, 1)}T0{pick(digits, 1)}:00:00.{pick(digits, 6)}", " "
+    if form == 6:
+        value = rng.choice((f"your-{name}-here", f"your_{name}", f"<{name}>", "${" + name.upper() + "}", "{{ " + name + " }}", "xxxxxxxxxxxx", "************", f"example-{name}", "not-set", "REPLACE_ME"))
+        return f'{name} = "', value, '"'
+    if form == 7:
+        value = rng.choice((f"os.environ[{name}]", f"get_{rng.choice(words)}()", f"config.{rng.choice(words)}.{name}", f"self._{rng.choice(words)}", f"process.env.{name.upper()}", f"request.{rng.choice(words)}"))
+        return f"{name}{rng.choice((' = ', '=', ': '))}", value, "\n"
+    if form == 8:
+        return f"the {name}: ", rng.choice([w for w in words if len(w) > 5] or ["nothing"]), " " + " ".join(some(2, 5))
+    if form == 9:
+        return f'{rng.choice(("token_type", "key_name", "access_level", "client_name", "auth_mode"))} = "', "_".join(some(2, 4)), '"'
+    if form == 10:
+        return rng.choice(("", "see ", 'href="')), f"www.{rng.choice(words)}.org/{rng.choice(words)}/{rng.choice(words)}-{pick(digits, rng.randrange(3, 8))}", " "
+    return rng.choice(("", "mail ", "write to ")), f"{rng.choice(words)}.{rng.choice(words)}{pick(digits, 2)}@{rng.choice(words)}.example.org", " "
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
     """(start, candidate); a run with an assignment gives its sides that are candidates by themselves, if there are any.
 
-    Quoted values of telling names are candidates too, if no run has them.
+    Values of telling names and bodies of private keys are candidates too, however short, plain or long they are.
+    Of candidates that overlap, the one that starts first stays, and of those the longest.
     """
     end = 0
-    runs = sorted([*_runs(text), *((m.start("value"), m["value"]) for m in ASSIGNED.finditer(text))], key=lambda x: (x[0], -len(x[1])))
-    for start, found in runs:
+    for start, found in sorted([*_runs(text), *_assigned(text)], key=lambda x: (x[0], -len(x[1]))):
         if start >= end:
             yield start, found
             end = start + len(found)
 
 
+def _assigned(text: str) -> Iterator[tuple[int, str]]:
+    for m in ASSIGNED.finditer(text):
+        if TELLING.search(m["name"]):
+            kind = m.lastgroup
+            value = m[kind].rstrip(".)]}>") if kind == "d" and not m[kind].startswith(("$", "<", "{", "[", "(")) else m[kind]
+            if len(value) >= 6:
+                yield m.start(kind), value
+    if "PRIVATE KEY-----" in text:
+        yield from ((m.start("value"), m["value"]) for m in PRIVATE.finditer(text))
+
+
 def _runs(text: str) -> Iterator[tuple[int, str]]:
     for m in CANDIDATE.finditer(text):
         signs = [x.start() for x in ASSIGNMENT.finditer(m[0])]
@@ -93,8 +185,15 @@ def _runs(text: str) -> Iterator[tuple[int, str]]:
         yield from sides or [(m.start(), m[0])]
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """Candidates of all documents with their features and, where the rules tell, a label.
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
+    """The ``size`` words that most documents have, of those that two or more have; ties by the word."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(PROSE), F.lit(0)))
+    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
+    return frozenset(r["word"] for r in counts.orderBy(F.desc("df"), "word").limit(size).collect())
+
+
+def findings(docs: DataFrame, words: frozenset[str]) -> DataFrame:
+    """Candidates of all documents with their features.
 
     Null and empty texts have none; rows that share a doc_id, or have none, keep apart by text_key.
     """
@@ -104,13 +203,57 @@ def findings(docs: DataFrame) -> DataFrame:
         for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for start, found in candidates(text):
                 before, after = text[max(0, start - 60) : start], text[start + len(found) : start + len(found) + 20]
-                rows.append((doc_id, key, start, len(found), found, before, rule(found, before), features(found, before, after)))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "start", "length", "candidate", "before", "label", "features"])
+                rows.append((doc_id, key, start, len(found), found, before, features(found, before, after, words)))
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "start", "length", "candidate", "before", "features"])
 
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return map_arrow(texts.filter(F.col("text").rlike("[0-9]|[=:]\\s{0,3}[\"'`]")), run, FIELDS)
+    return map_arrow(texts.filter(F.col("text").rlike("[0-9=:]|-----BEGIN ")), run, FIELDS)
+
+
+LABELLED = "candidate string, start int, label int, features array<double>"
+
+
+def _labelled(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["candidate", "start", "label", "features"])
+
+
+def planted(docs: DataFrame, words: frozenset[str], half: int = 0, rows: int = TRAINING_ROWS, seed: int = SEED) -> DataFrame:
+    """Labelled findings (candidate, start, label, features): secrets and look-alikes planted in passages of a half of the documents.
+
+    At most CARRIERS documents, those of the least hashes, give a passage each from a place by its hash; a passage
+    takes as many of either class as make up ``rows``. The other ``half`` serves to measure.
+    """
+    own = docs.filter(F.length(F.col("text").cast("string")) > 0).filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half)
+    text = F.col("text").cast("string")
+    order = F.xxhash64("doc_id", text)
+    at = F.pmod(order, F.length(text)).cast("int") + 1
+    passages = cut(own.select(order.alias("order"), text.substr(at, F.lit(PASSAGE)).alias("passage")).orderBy("order", "passage").limit(CARRIERS))
+    n = passages.count()
+    if not n:
+        passages, n = docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("order"), F.lit("").alias("passage")), 1
+    known = sorted(words) or ["value", "example"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for order, passage, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rng = random.Random(f"{seed}/{half}/{order}/{k}")
+            for label, make in enumerate((planted_lookalike, planted_secret)):
+                before, value, after = make(rng, known)
+                gaps = [i for i, c in enumerate(passage) if c.isspace()] or [len(passage)]
+                place = rng.choice(gaps)
+                left = passage[:place] + rng.choice((" ", "\n")) + before
+                whole = left + value + after + passage[place:]
+                for start, found in candidates(whole):
+                    if start < len(left) + len(value) and start + len(found) > len(left):
+                        out.append((found, start, label, features(found, whole[max(0, start - 60) : start], whole[start + len(found) : start + len(found) + 20], words)))
+        return _labelled(out)
+
+    dealt = passages.select("order", "passage", F.explode(F.sequence(F.lit(1), F.lit(-(-rows // n)))).alias("k"))
+    return map_arrow(dealt, run, LABELLED)
 
 
 def text_key() -> Column:
@@ -118,7 +261,7 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def train(labelled: DataFrame, trees: int = 20, rows: int = TRAINING_ROWS) -> RandomForestClassificationModel | None:
+def train(labelled: DataFrame, trees: int = 40, rows: int = TRAINING_ROWS) -> RandomForestClassificationModel | None:
     """A forest from at most ``rows`` labelled findings of each class, or None if there is only one class."""
     picked = None
     for label in (0, 1):
@@ -127,42 +270,48 @@ def train(labelled: DataFrame, trees: int = 20, rows: int = TRAINING_ROWS) -> Ra
     picked = cut(picked.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("vector")))
     if picked.select("label").distinct().count() < 2:
         return None
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=6, seed=7).fit(picked)
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=10, featureSubsetStrategy="onethird", seed=7).fit(picked)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Findings with the forest's score and whether they are kept: doc_id, text_key, start, length, candidate, score, secret.
 
-    ``labelled`` has candidate, before, after, label and trains the forest. Without it, findings of
-    documents whose hash is even are labelled by rule(), and the score is 1 where rule() says so. If only
-    one class has labels, it is 0 elsewhere. Null and empty texts have no findings; repeated rows have theirs
-    each. Start counts code points. Columns beyond doc_id and text are not read. Texts are read whole and
-    candidates may be of any length; an empty table has no findings. The training sample is drawn by hashes
-    of candidate, place and features, so ties are equal rows.
+    ``labelled`` has candidate, before, after, label and trains the forest. Without it, planted() does, from
+    documents whose hash is even. If only one class is labelled, scores are 0. Null and empty texts have no
+    findings; repeated rows have theirs each. Start counts code points. Columns beyond doc_id and text are not read.
+    Texts are read whole and candidates may be of any length; an empty table has no findings. The training
+    sample is drawn by hashes of candidate, place and features, so ties are equal rows.
     """
-    found = cut(findings(docs))
+    words = dictionary(docs)
+    found = cut(findings(docs, words))
     if labelled is None:
-        known = found.filter("label is not null and pmod(xxhash64(doc_id), 2) = 0")
+        known = planted(docs, words)
     else:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(c, int(y), features(c, b or "", a or "")) for c, b, a, y in zip(*(x.to_pylist() for x in batch.columns), strict=True) if c]
-            c, y, f = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()), pa.array([0] * len(c), pa.int32()), pa.array(y, pa.int32()), pa.array(f, pa.list_(pa.float64()))], ["candidate", "start", "label", "features"])
+            rows = zip(*(x.to_pylist() for x in batch.columns), strict=True)
+            return _labelled([(c, 0, int(y), features(c, b or "", a or "", words)) for c, b, a, y in rows if c])
 
-        known = map_arrow(labelled.select("candidate", "before", "after", F.col("label").cast("int")), run, "candidate string, start int, label int, features array<double>")
-    model = train(known)
-    if model is None:
-        scored = found.withColumn("score", F.coalesce(F.col("label"), F.lit(0)).cast("double"))
-    else:
-        vectors = found.withColumn("vector", array_to_vector("features"))
-        scored = model.transform(vectors).withColumn("score", F.element_at(vector_to_array("probability"), 2))
-        if labelled is None:
-            # Known forms can be too few to be learned; what the rules take for a secret stays one.
-            scored = scored.withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
+        known = map_arrow(labelled.select("candidate", "before", "after", F.col("label").cast("int")), run, LABELLED)
+    scored = _scored(train(known), found)
     return scored.select("doc_id", "text_key", "start", "length", "candidate", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("secret"))
 
 
+def _scored(model: RandomForestClassificationModel | None, found: DataFrame) -> DataFrame:
+    if model is None:
+        return found.withColumn("score", F.lit(0.0))
+    return model.transform(found.withColumn("vector", array_to_vector("features"))).withColumn("score", F.element_at(vector_to_array("probability"), 2))
+
+
+def measure(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(precision, recall, findings) of the forest of scan() on what is planted, by another seed, in the other half of the documents."""
+    words = dictionary(docs)
+    held = _scored(train(planted(docs, words)), planted(docs, words, half=1, seed=SEED + 1))
+    said, is_one = F.col("score") >= threshold, F.col("label") == 1
+    hit = F.count_if(said & is_one)
+    return held.agg(F.round(hit / F.count_if(said), 4).alias("precision"), F.round(hit / F.count_if(is_one), 4).alias("recall"), F.count("*").alias("findings"))
+
+
 def redact(docs: DataFrame, found: DataFrame, mask: str = "[secret]") -> DataFrame:
     """Documents with the secrets of ``found`` masked; other columns stay.
 
