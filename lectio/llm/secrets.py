@@ -9,6 +9,7 @@ own words by document frequency.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -157,10 +158,13 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
     """(start, candidate); a run with an assignment gives its sides that are candidates by themselves, if there are any.
 
     Values of telling names and bodies of private keys are candidates too, however short, plain or long they are.
-    Of candidates that overlap, the one that starts first stays, and of those the longest.
+    A run that such a value begins in gives way to it. Of others that overlap, the one that starts first stays, and of those the longest.
     """
-    end = 0
-    for start, found in sorted([*_runs(text), *_assigned(text)], key=lambda x: (x[0], -len(x[1]))):
+    end, values = 0, sorted(_assigned(text))
+    starts = [start for start, _ in values]
+    inside = lambda start, found: bisect.bisect_right(starts, start) < bisect.bisect_left(starts, start + len(found))
+    runs = [x for x in _runs(text) if not inside(*x)]
+    for start, found in sorted([*runs, *values], key=lambda x: (x[0], -len(x[1]))):
         if start >= end:
             yield start, found
             end = start + len(found)
