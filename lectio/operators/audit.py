@@ -417,3 +417,21 @@ def draft_plan(evidence: DataFrame, references: DataFrame) -> DataFrame:
     own = evidence.join(references.select("ref_id", "article", "line"), "ref_id")
     best = own.groupBy("article", "segment_id").agg(F.min(F.struct("line", "ref_id", F.element_at(F.split("token_id", ":"), -1).cast("int").alias("p"), "token_id")).alias("b"))
     return best.select("article", "segment_id", "b.ref_id", "b.token_id")
+
+
+def audit_annotations(findings: DataFrame, verses: DataFrame) -> DataFrame:
+    """(article, segment_id, value) for each verse that a flagged finding's reference reaches, once for each summary.
+
+    findings: article, status, summary, division, first, last; verses: division, slot, segment_id. Findings that
+    resolve to no verse, or have no reference, give none.
+    """
+    own = verses.select(F.col("division").alias("_d"), F.col("slot").alias("_s"), "segment_id").distinct()
+    flagged = findings.filter("status = 'flagged'").select("article", "summary", "division", "first", "last").distinct()
+    met = flagged.join(own, (F.col("division") == F.col("_d")) & F.col("_s").between(F.col("first"), F.col("last")))
+    return met.select("article", "segment_id", F.concat(F.lit("["), "article", F.lit("] "), "summary").alias("value")).distinct()
+
+
+def draft_totals(pins: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(article, pins, annotations) for each article with either; every such draft is flagged for review."""
+    rows = pins.select("article", F.lit(1).alias("p"), F.lit(0).alias("a")).unionByName(annotations.select("article", F.lit(0).alias("p"), F.lit(1).alias("a")))
+    return rows.groupBy("article").agg(F.sum("p").alias("pins"), F.sum("a").alias("annotations"), F.lit(True).alias("review"))

@@ -10,14 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def render_edition(resolved: DataFrame, overrides: DataFrame | None = None, inflect: Callable[[str, dict], str] | None = None) -> DataFrame:
+PARTS = "array<struct<position:int,form:string,english:string,grade:string>>"
+
+
+def render_edition(resolved: DataFrame, overrides: DataFrame | None = None, inflect: Callable[[str, dict], str] | None = None, parts: bool = False) -> DataFrame:
     """(segment_id, text, spans, words, undecided): a verse's english in order; verses with undecided words have no text.
 
     ``overrides`` (key, direction, neighbour, english) replaces a decision where the next or previous
     form or lemma is the neighbour. Else a plural word (number = 'P') has its decision's plural, if both
     columns are there and it has one. After a decision that is elative a leading "from" is "than". A
     word's first english word is left out if it repeats the last one of the word before and the two have
-    different keys. ``inflect`` may change each english text.
+    different keys. ``inflect`` may change each english text. With ``parts``, the words that gave english
+    come too, with what each one gave: parts of position, form, english, grade.
     """
     order = W.partitionBy("segment_id").orderBy("position")
     rows = resolved
@@ -40,21 +44,23 @@ def render_edition(resolved: DataFrame, overrides: DataFrame | None = None, infl
         than = F.coalesce(F.lag("elative").over(order), F.lit(False))
         rows = rows.withColumn("_than", than).withColumn("english", F.when(F.col("_than"), F.regexp_replace("english", r"^from\b", "than")).otherwise(F.col("english")))
     kept = rows.select("segment_id", "position", "form", "key", "english", "grade")
-    names = ["segment_id", "text", "spans", "words", "undecided"]
+    names = ["segment_id", "text", "spans", "words", "undecided", *(["parts"] if parts else [])]
 
     def verse(segment: str, own: list[dict]) -> tuple:
         undecided = [w["form"] for w in own if not w["english"]]
         out: list[str] = []
-        spans, last = [], None
+        spans, given, last = [], [], None
         for w in [] if undecided else own:
             said = (inflect(w["english"], w) if inflect else w["english"]).split()
             if last and said and out and out[-1].lower() == said[0].lower() and last != w["key"]:
                 said = said[1:]
-            if w["grade"] and w["grade"] != "A":
+            if said and w["grade"] and w["grade"] != "A":
                 spans.append([len(out), len(said)])
+            if said and parts:
+                given.append({"position": w["position"], "form": w["form"], "english": " ".join(said), "grade": w["grade"]})
             out += said
             last = w["key"]
-        return segment, None if undecided else " ".join(out), spans, len(out), undecided
+        return segment, None if undecided else " ".join(out), spans, len(out), undecided, *([given] if parts else [])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
@@ -71,4 +77,21 @@ def render_edition(resolved: DataFrame, overrides: DataFrame | None = None, infl
 
     # Whole verses stream through a task in order.
     dealt = kept.repartition("segment_id").sortWithinPartitions("segment_id", "position")
-    return dealt.mapInPandas(run, "segment_id string, text string, spans array<array<int>>, words int, undecided array<string>")
+    return dealt.mapInPandas(run, "segment_id string, text string, spans array<array<int>>, words int, undecided array<string>" + (f", parts {PARTS}" if parts else ""))
+
+
+def review_words(rendered: DataFrame) -> DataFrame:
+    """(segment_id, position, form, english, grade): the words of a rendered edition, with its parts, that were judged; for review in reading order."""
+    return rendered.select("segment_id", F.inline("parts")).filter("grade <> 'A'")
+
+
+def coverage(rendered: DataFrame) -> DataFrame:
+    """One row: verses in all, rendered and with judged words, and the words rendered; zeros for an edition without verses."""
+    done = F.col("text").isNotNull()
+    words = F.coalesce(F.sum(F.when(done, F.size("parts"))), F.lit(0)).alias("words_rendered")
+    return rendered.agg(F.count("*").alias("verses_total"), F.count_if(done).alias("verses_rendered"), F.count_if(done & (F.size("spans") > 0)).alias("verses_judged"), words)
+
+
+def grade_totals(rendered: DataFrame) -> DataFrame:
+    """(grade, words): how many rendered words have each grade."""
+    return rendered.select(F.inline("parts")).groupBy("grade").agg(F.count("*").alias("words"))

@@ -1017,6 +1017,40 @@ def n19_render(spark, sf_dir):
     return render.render_edition(N.resolve_decisions(t, decisions(t))).select("segment_id", "text", "words", F.size("undecided").alias("undecided"))
 
 
+RENDERED = f"""WITH {TOKENS}{DECISIONS}, w AS (SELECT segment_id, position, form, english, grade, coalesce(lag(english) OVER v = english AND lag(key) OVER v <> key, false) AS again, count(*) FILTER (english IS NULL) OVER (PARTITION BY segment_id) AS undecided FROM resolved WINDOW v AS (PARTITION BY segment_id ORDER BY position)),
+parts AS (SELECT * FROM w WHERE undecided = 0 AND NOT again)"""
+
+
+def _rendered(spark, sf_dir):
+    from lectio.operators import render
+
+    t = tokens(spark, sf_dir, handles=False)
+    return render.render_edition(N.resolve_decisions(t, decisions(t)), parts=True)
+
+
+@query(f"{RENDERED} SELECT segment_id, CAST(position AS INTEGER) AS position, form, english, grade FROM parts WHERE grade <> 'A'")
+def n19_review(spark, sf_dir):
+    from lectio.operators import render
+
+    return render.review_words(_rendered(spark, sf_dir))
+
+
+@query(
+    f"{RENDERED} SELECT count(DISTINCT segment_id) AS verses_total, count(DISTINCT segment_id) FILTER (undecided = 0) AS verses_rendered, count(DISTINCT segment_id) FILTER (undecided = 0 AND NOT again AND grade <> 'A') AS verses_judged, count(*) FILTER (undecided = 0 AND NOT again) AS words_rendered FROM w"
+)
+def n19_coverage(spark, sf_dir):
+    from lectio.operators import render
+
+    return render.coverage(_rendered(spark, sf_dir))
+
+
+@query(f"{RENDERED} SELECT grade, count(*) AS words FROM parts GROUP BY 1")
+def n19_grades(spark, sf_dir):
+    from lectio.operators import render
+
+    return render.grade_totals(_rendered(spark, sf_dir))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT event_type AS kind, user_id, event_id, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT kind, user_id, event_id, ts, n, [ts] AS held, true AS allowed FROM e WHERE n = 1
 UNION ALL SELECT e.kind, e.user_id, e.event_id, e.ts, e.n, CASE WHEN len(list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR)) < 3 THEN list_append(list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR), e.ts) ELSE list_filter(s.held, lambda h: h > e.ts - INTERVAL 24 HOUR) END,
@@ -1154,6 +1188,35 @@ def u12_draft_plan(spark, sf_dir):
     return audit.draft_plan(evidence, own).select("article", "segment_id", "token_id")
 
 
+FLAGGED = f"""WITH {TOKENS}, {REFERENCES}, r AS (SELECT DISTINCT article, division, first, last FROM claims WHERE name IS NULL AND NOT triple), s AS (SELECT DISTINCT division, slot, segment_id FROM tokens),
+notes AS (SELECT DISTINCT article, segment_id, '[' || article || '] cites ' || r.division || ':' || first || '-' || last AS value FROM r JOIN s ON s.division = r.division AND s.slot BETWEEN r.first AND r.last WHERE (r.division + r.first) % 2 = 0)"""
+
+
+def _annotations(spark, sf_dir):
+    """Each second reference counts as flagged."""
+    from lectio.operators import audit
+
+    own = references(spark, sf_dir).filter("kind = 'reference' and name is null and not triple").select("article", "division", "first", "last")
+    summary = F.concat(F.lit("cites "), "division", F.lit(":"), "first", F.lit("-"), "last")
+    found = own.withColumns({"status": F.when((F.col("division") + F.col("first")) % 2 == 0, "flagged").otherwise("verified"), "summary": summary})
+    return audit.audit_annotations(found, tokens(spark, sf_dir, handles=False))
+
+
+@query(f"{FLAGGED} SELECT * FROM notes")
+def u12_annotations(spark, sf_dir):
+    return _annotations(spark, sf_dir)
+
+
+@query(
+    f"{FLAGGED}, pins AS (SELECT DISTINCT article, segment_id FROM r JOIN s ON s.division = r.division AND s.slot BETWEEN r.first AND r.last), p AS (SELECT article, count(*) AS pins FROM pins GROUP BY 1), a AS (SELECT article, count(*) AS annotations FROM notes GROUP BY 1) "
+    "SELECT article, coalesce(pins, 0) AS pins, coalesce(annotations, 0) AS annotations, true AS review FROM p FULL JOIN a USING (article)"
+)
+def u12_totals(spark, sf_dir):
+    from lectio.operators import audit
+
+    return audit.draft_totals(u12_draft_plan(spark, sf_dir), _annotations(spark, sf_dir))
+
+
 @query(
     f"""WITH {CITED}, after AS (SELECT p_partkey AS "from", unnest(CASE p_partkey % 5 WHEN 0 THEN [p_partkey + 1, p_partkey + 2] WHEN 1 THEN CAST([] AS BIGINT[]) ELSE [p_partkey] END) AS "to" FROM part), known AS (SELECT DISTINCT "from" AS k FROM after JOIN cited ON "to" = token_id)
 SELECT l_orderkey AS investigation_id, count(*) AS pins, count(*) FILTER (k IS NULL) AS unresolved, count(*) FILTER (k IS NULL) > 0 AS flagged FROM lineitem LEFT JOIN known ON l_partkey = k GROUP BY 1"""

@@ -107,6 +107,27 @@ def test_rendering(spark):
     assert render.render_edition(t).first()["text"] == "greater than kings from here"
 
 
+def test_review_of_an_edition(spark):
+    rows = [("v", 1, "a", "k1", "to come", "A"), ("v", 2, "b", "k2", "come", "B"), ("v", 3, "c", "k3", "near it", "C"), ("w", 1, "d", None, None, None), ("w", 2, "e", "k1", "x", "B"), ("x", 1, "a", "k1", "x", "A")]
+    t = spark.createDataFrame(rows, "segment_id string, position int, form string, key string, english string, grade string").withColumn("lemma", F.lit("l"))
+    got = render.render_edition(t, parts=True)
+    verse = got.filter("segment_id = 'v'").first()
+    assert (verse["text"], verse["spans"], verse["words"]) == ("to come near it", [[2, 2]], 4)
+    assert [tuple(r) for r in render.review_words(got).collect()] == [("v", 3, "c", "near it", "C")]
+    assert tuple(render.coverage(got).first()) == (3, 2, 1, 3)
+    assert {tuple(r) for r in render.grade_totals(got).collect()} == {("A", 2), ("C", 1)}
+    assert tuple(render.coverage(got.limit(0)).first()) == (0, 0, 0, 0) and render.review_words(got.limit(0)).count() == 0
+
+
+def test_draft_annotations(spark):
+    verses = spark.createDataFrame([(2, 1, "2:1"), (2, 2, "2:2"), (2, 2, "2:2")], "division int, slot int, segment_id string")
+    rows = [("p", "flagged", "s", 2, 1, 2), ("p", "flagged", "s", 2, 2, 2), ("p", "flagged", "t", 2, 2, 9), ("p", "verified", "u", 2, 1, 1), ("q", "flagged", "s", 9, 1, 1), ("q", "flagged", "s", None, None, None)]
+    got = audit.audit_annotations(spark.createDataFrame(rows, "article string, status string, summary string, division int, first int, last int"), verses)
+    assert sorted(tuple(r) for r in got.collect()) == [("p", "2:1", "[p] s"), ("p", "2:2", "[p] s"), ("p", "2:2", "[p] t")]
+    pins = spark.createDataFrame([("p", "2:1"), ("r", "2:2")], "article string, segment_id string")
+    assert {r["article"]: (r["pins"], r["annotations"]) for r in audit.draft_totals(pins, got).collect()} == {"p": (1, 3), "r": (1, 0)}
+
+
 def test_claims(spark):
     text = "Intro line.\nQuran Al-Bakarah 2:43\nوَأَقِيمُوا الصَّلَاةَ\nIn 8:82:820 and 6:38-39 we read. The root word for Salat (صلاة) is (تصل) here.\nBaraka (بَرَكَة)"
     rows = audit.extract_claims(spark.createDataFrame([("x", text), ("y", None)], "article string, text string"))
