@@ -193,7 +193,8 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
     """The ``size`` words that most documents have, of those that two or more have; ties by the word."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(PROSE), F.lit(0)))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
-    return frozenset(r["word"] for r in counts.orderBy(F.desc("df"), "word").limit(size).collect())
+    # Picked by a task, not by the driver, which would get as many words of each partition.
+    return frozenset(r["word"] for r in cut(counts.orderBy(F.desc("df"), "word").limit(size)).select("word").collect())
 
 
 def findings(docs: DataFrame, words: frozenset[str]) -> DataFrame:
