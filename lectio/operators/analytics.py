@@ -84,6 +84,16 @@ def root_lemmas(tokens: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy(F.desc("count"), "lemma")))
 
 
+def root_entries(profiles: DataFrame, matches: DataFrame, articles: DataFrame) -> DataFrame:
+    """Root profiles with their lexicon entry: entry_key, entry and match; a root that no article matches has a null entry.
+
+    matches: root, key, match as match_lexicon gives them; articles: key, seq, entry. Of articles of one key the first is taken.
+    """
+    first = articles.groupBy(F.col("key").alias("entry_key")).agg(F.min_by("entry", "seq").alias("entry"))
+    found = matches.select("root", F.col("key").alias("entry_key"), "match").join(first, "entry_key", "left")
+    return profiles.join(found, "root", "left").withColumn("match", F.coalesce("match", F.lit("missing")))
+
+
 def root_occurrences(tokens: DataFrame, root: str, page: int, per_page: int) -> DataFrame:
     """A page of the segments with a root, with their tokens; a page past the end is the last one."""
     own = tokens.filter(F.col("root") == root)

@@ -232,3 +232,17 @@ def align_edition(edition: DataFrame, verses: DataFrame, keys: Sequence[str] = (
     refuse(verses.join(edition, list(keys), "left_anti").select(*keys), "missing verses")
     refuse(edition.join(verses, list(keys), "left_anti").select(*keys), "extra verses")
     return verses.select(*keys).join(edition, list(keys))
+
+
+def transliterate(words: DataFrame, source: str, computed: str = "computed") -> DataFrame:
+    """Add transliteration and transliteration_source to words (surface, given): what the source gives, else the surface's romanisation.
+
+    The source column is ``source`` or ``computed``; a word that neither gives, or whose romanisation is empty, has
+    null for both. Distinct surfaces without a given form are romanised once each.
+    """
+    asked = (F.coalesce("given", F.lit("")) == "") & F.col("surface").isNotNull()
+    forms = words.filter(asked).select("surface").distinct().withColumn("_made", X.romanise(F.col("surface")))
+    out = words.withColumn("_asked", F.when(asked, F.col("surface"))).join(forms.withColumnRenamed("surface", "_asked"), "_asked", "left")
+    told, made = F.nullif("given", F.lit("")), F.nullif("_made", F.lit(""))
+    which = F.when(told.isNotNull(), F.lit(source)).when(made.isNotNull(), F.lit(computed))
+    return out.withColumns({"transliteration": F.coalesce(told, made), "transliteration_source": which}).drop("_asked", "_made")

@@ -1262,3 +1262,32 @@ def a15_print_collisions(spark, sf_dir):
 
     hard = F.substring(F.regexp_replace(F.lower("p_name"), "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3)
     return annotate.print_collisions(table(spark, sf_dir, "part").select(F.col("p_name").alias("root"), hard.alias("print")))
+
+
+@query(
+    f"""WITH {TOKENS}, w AS (SELECT token_id, position, form, regexp_replace(form, '[^btdrzsfqklmn]', '', 'g') AS hard FROM tokens), o AS (SELECT token_id, CASE position % 3 WHEN 0 THEN form WHEN 1 THEN '' END AS given, CASE WHEN position % 2 = 0 THEN hard || hard[-1:] ELSE hard END AS made FROM w)
+SELECT token_id, coalesce(nullif(given, ''), nullif(made, '')) AS transliteration, CASE WHEN given <> '' THEN 'edition' WHEN made <> '' THEN 'computed' END AS transliteration_source FROM o"""
+)
+def a9_transliteration(spark, sf_dir):
+    """Words of which a third have a given form; the surfaces are their consonants in another script, each second one doubled at its end."""
+    from lectio.operators import annotate
+
+    hard = F.translate(F.regexp_replace("form", "[^btdrzsfqklmn]", ""), "btdrzsfqklmn", "بتدرزسفقكلمن")
+    at = F.col("position")
+    words = tokens(spark, sf_dir, handles=False).select("token_id", F.when(at % 2 == 0, F.concat(hard, F.lit(X.SHADDA))).otherwise(hard).alias("surface"), F.when(at % 3 == 0, F.col("form")).when(at % 3 == 1, F.lit("")).alias("given"))
+    return annotate.transliterate(words, "edition").drop("surface", "given")
+
+
+@query(
+    f"""WITH {TOKENS}, p AS (SELECT root, count(*) AS occurrences, regexp_replace(root, '[^a-z]', '', 'g') AS print FROM tokens WHERE root IS NOT NULL GROUP BY 1), a AS (SELECT p_partkey AS seq, p_name AS key, regexp_replace(lower(p_name), '[^bcdfghjklmnpqrstvwxyz]', '', 'g')[1:3] AS print FROM part), f AS (SELECT print, arg_min(key, seq) AS key FROM a WHERE print <> '' GROUP BY 1), e AS (SELECT key, min(seq) AS seq FROM a GROUP BY 1),
+m AS (SELECT root, occurrences, coalesce(d.key, g.key) AS key, CASE WHEN d.key IS NOT NULL THEN 'direct' WHEN g.key IS NOT NULL THEN 'geminate' ELSE 'missing' END AS match FROM p LEFT JOIN f d ON p.print = d.print LEFT JOIN f g ON length(p.print) >= 2 AND p.print[-1:] = p.print[-2:-2] AND p.print[:-2] = g.print)
+SELECT root, occurrences, m.key AS entry_key, match, p_brand || ' ' || p_type AS entry FROM m LEFT JOIN e ON m.key = e.key LEFT JOIN part ON p_partkey = seq"""
+)
+def n2_root_entries(spark, sf_dir):
+    from lectio.operators import annotate
+
+    hard = F.substring(F.regexp_replace(F.lower("p_name"), "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3)
+    articles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("key"), hard.alias("print"), F.concat_ws(" ", "p_brand", "p_type").alias("entry"))
+    profiles = tokens(spark, sf_dir, handles=False).filter("root is not null").groupBy("root").agg(F.count("*").alias("occurrences"))
+    roots = profiles.select("root", F.regexp_replace("root", "[^a-z]", "").alias("print"))
+    return N.root_entries(profiles, annotate.match_lexicon(roots, articles), articles)

@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from lectio.operators import analytics as N
-from lectio.operators import audit, render, research
+from lectio.operators import annotate, audit, render, research
 from lectio.plans import queries
 from lectio.plans.views import tokens
 from lectio.streaming import events as E
@@ -249,3 +249,17 @@ def test_bounds_leave_few_verses_to_count(spark, sf):
     block = audit.Covered([b for b in blobs("benchmark") if len(b) > 40])
     block.by_enough(blobs("documents"), audit.MATCH)
     assert 0 < block.tried < block.pairs / 3
+
+
+def test_transliteration_sources(spark):
+    rows = [(1, "كتّب", None), (2, "كتب", "kataba"), (3, "كتب", ""), (4, "ـ", None), (5, None, None), (6, None, "x")]
+    got = annotate.transliterate(spark.createDataFrame(rows, "id int, surface string, given string"), "edition")
+    assert {r["id"]: (r["transliteration"], r["transliteration_source"]) for r in got.collect()} == {1: ("kttb", "computed"), 2: ("kataba", "edition"), 3: ("ktb", "computed"), 4: (None, None), 5: (None, None), 6: ("x", "edition")}
+
+
+def test_root_entries(spark):
+    profiles = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "root string, occurrences long")
+    matches = spark.createDataFrame([("a", "k", "direct"), ("b", None, "missing")], "root string, key string, match string")
+    articles = spark.createDataFrame([("k", 2, "later"), ("k", 1, "first"), ("z", 0, "other")], "key string, seq int, entry string")
+    got = {r["root"]: (r["occurrences"], r["entry_key"], r["match"], r["entry"]) for r in N.root_entries(profiles, matches, articles).collect()}
+    assert got == {"a": (3, "k", "direct", "first"), "b": (1, None, "missing", None), "c": (2, None, "missing", None)}
