@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
-from lectio.operators.order import cut, few, running_before
+from lectio.operators.order import FEW, cut, few, running_before
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -353,27 +353,36 @@ def decision_keys() -> list[Column]:
     ]
 
 
-def resolve_decisions(tokens: DataFrame, table: DataFrame) -> DataFrame:
+def resolve_decisions(tokens: DataFrame, table: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     """Add key, english and grade: the first key of a token whose decision has an english text.
 
-    Keys are looked up once for each different (root, lemma, pos, form).
+    Up to FEW decisions are broadcast and each token looks its keys up where it is. More are looked up once for each
+    different (root, lemma, pos, form), which the tokens are joined with; ``forms``: these, where they are at hand.
     """
     parts = ["root", "lemma", "pos", "form"]
-    known = table.filter("english is not null and english != ''").select("key", "english", "grade")
+    known = table.filter("english is not null and english != ''").groupBy("key").agg(F.min(F.struct("english", "grade")).alias("d"))
+    known = cut(known.select("key", "d.english", "d.grade"))
     keys = decision_keys()
     keys = [F.when(F.col("root").isNotNull(), k) for k in keys[:3]] + [F.when(F.col("root").isNull(), k) for k in keys[3:]]
+    if known.count() <= FEW:
+        out = tokens
+        for i, k in enumerate(keys):
+            own = known.select(F.col("key").alias(f"_key_{i}"), F.struct("key", "english", "grade").alias(f"_d_{i}"))
+            out = out.join(F.broadcast(own), k == F.col(f"_key_{i}"), "left").drop(f"_key_{i}")
+        first = F.coalesce(*[F.col(f"_d_{i}") for i in range(len(keys))])
+        return out.select(*tokens.columns, *[first[c].alias(c) for c in ("key", "english", "grade")])
     items = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), k.alias("key")) for i, k in enumerate(keys)]), lambda s: s["key"].isNotNull())
-    asked = tokens.select(*parts).distinct().select(*parts, F.explode(items).alias("s")).select(*parts, "s.i", "s.key")
+    asked = (forms if forms is not None else tokens).select(*parts).distinct().select(*parts, F.explode(items).alias("s")).select(*parts, "s.i", "s.key")
     found = asked.join(known, "key").groupBy(*parts).agg(F.min(F.struct("i", "key", "english", "grade")).alias("d"))
     found = found.select(*[F.col(p).alias(f"_{p}") for p in parts], "d.key", "d.english", "d.grade")
     same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts])
     return tokens.join(found, same, "left").drop(*[f"_{p}" for p in parts])
 
 
-def decision_init(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """The decision table with each key's number of tokens; new keys come with blanks."""
+def decision_init(tokens: DataFrame, table: DataFrame, times: Column | None = None) -> DataFrame:
+    """The decision table with each key's number of tokens; new keys come with blanks. ``times``: how many tokens a row stands for."""
     keys = F.when(F.col("root").isNotNull(), F.concat_ws("|", "root", "lemma", "pos")).otherwise(F.concat(F.lit("form:"), F.col("form")))
-    counts = tokens.groupBy(keys.alias("key")).agg(F.count("*").alias("tokens"))
+    counts = tokens.groupBy(keys.alias("key")).agg((F.count("*") if times is None else F.sum(times)).alias("tokens"))
     return table.drop("tokens").join(counts, "key", "full_outer").withColumn("english", F.coalesce("english", F.lit(""))).withColumn("grade", F.coalesce("grade", F.lit(""))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
 
 

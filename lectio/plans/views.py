@@ -40,15 +40,33 @@ def has_letter(piece):
     return piece.rlike(r"\p{L}")
 
 
+def _bare(c):
+    """A text with the letters of its words alone, in lower case; spaces stay, so its pieces are those of the text."""
+    return F.lower(F.regexp_replace(c, r"[^\p{L} ]", ""))
+
+
+def _words(source: DataFrame) -> DataFrame:
+    """(position, word, form, _hard) of verses: each pattern runs once over a text, not once over each of its words."""
+    pieces = lambda c: F.split(c, " ", -1)
+    rows = source.withColumn("_bare", _bare(F.col("text")))
+    whole = F.arrays_zip(pieces("text").alias("word"), pieces("_bare").alias("form"), pieces(F.regexp_replace("_bare", "[^bcdfghjklmnpqrstvwxyz ]", "")).alias("hard"))
+    keep = [c for c in source.columns if c != "text"]
+    rows = rows.select(*keep, F.posexplode(F.filter(whole, lambda s: s["form"] != "")).alias("_at", "_w"))
+    return rows.select(*keep, (F.col("_at") + 1).alias("position"), "_w.word", "_w.form", F.substring("_w.hard", 1, 3).alias("_hard"))
+
+
 def tokens(spark: SparkSession, sf_dir: str, handles: bool = True, of: DataFrame | None = None, places: bool = False) -> DataFrame:
     """Words of verses with form, root, lemma and pos by simple rules, their handle, and their places in the text if asked for."""
     lines = _lines(spark, sf_dir) if of is None else None
     source = of if of is not None else verses(spark, sf_dir, lines)
     if handles:
-        source = build.with_offsets(source, has_letter, texts=_by_line(lines) if of is None else None)
-    words = build.segment(source, has_letter, places)
+        texts = (_by_line(lines) if of is None else of).select("division", "slot", _bare(F.col("text")).alias("text"))
+        source = build.with_offsets(source, lambda piece: piece != "", texts=texts)
     form = F.col("form")
-    out = words.withColumn("form", plain(F.col("word"))).withColumn("_hard", F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3))
+    if places:
+        out = build.segment(source, has_letter, places).withColumn("form", plain(F.col("word"))).withColumn("_hard", F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3))
+    else:
+        out = _words(source)
     letters = [F.nullif(F.substring("_hard", k, 1), F.lit("")) for k in (1, 2, 3)]
     out = out.withColumn("root", F.when(F.length("_hard") >= 2, F.concat_ws("-", *letters))).drop("_hard").withColumn("lemma", X.stem(form))
     pos = F.when(F.length(form) <= 3, "P").when(form.endswith("ing") | form.endswith("ed"), "V").otherwise("N")

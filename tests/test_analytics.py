@@ -263,3 +263,33 @@ def test_root_entries(spark):
     articles = spark.createDataFrame([("k", 2, "later"), ("k", 1, "first"), ("z", 0, "other")], "key string, seq int, entry string")
     got = {r["root"]: (r["occurrences"], r["entry_key"], r["match"], r["entry"]) for r in N.root_entries(profiles, matches, articles).collect()}
     assert got == {"a": (3, "k", "direct", "first"), "b": (1, None, "missing", None), "c": (2, None, "missing", None)}
+
+
+def test_decisions_move_no_token(spark, monkeypatch):
+    """Tokens meet their decisions where they are; many decisions give the same by a shuffle."""
+    rows = [(1, "a-b", "ab", "N", "abx"), (2, "a-b", "abe", "N", "abey"), (3, None, "o", "P", "o"), (4, None, "io", "P", "io"), (5, "c-d", "cd", "N", "cd"), (6, None, None, None, None)]
+    t = spark.createDataFrame(rows, "token_id int, root string, lemma string, pos string, form string")
+    table = spark.createDataFrame([("a-b", "x", "A"), ("a-b|ab|N", "y", "B"), ("a-b|abe", "", "B"), ("form:o", "z", "C"), ("form:io|io", "w", "D"), ("form:io", "v", None)], "key string, english string, grade string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.resolve_decisions(t, table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        found = sorted(map(tuple, out.select("token_id", "key", "english", "grade").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == [(1, "a-b|ab|N", "y", "B"), (2, "a-b", "x", "A"), (3, "form:o", "z", "C"), (4, "form:io|io", "w", "D"), (5, None, None, None), (6, None, None, None)]
+    monkeypatch.setattr(N, "FEW", 0)
+    assert sorted(map(tuple, N.resolve_decisions(t, table).select("token_id", "key", "english", "grade").collect())) == found
+
+
+def test_words_of_a_text_at_once(spark, tmp_path):
+    """Patterns that run over whole texts give each word what they give it alone."""
+    from lectio.plans import views
+
+    texts = ["Ab  c-D 12 ΟΔΟΣ. ΣΑΣ­, İx 𝐀b", " lead\tTab  \nthe THÉing's", "\n\n", "", None, "- -- 7"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' as lang")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["division", "slot", "position", "word", "form", "root", "lemma", "pos", "token_id"]
+    own, alone = (sorted(map(tuple, views.tokens(spark, str(tmp_path), handles=False, places=p).select(*names).fillna("-").collect())) for p in (False, True))
+    assert own == alone and len(own) == 9
