@@ -293,3 +293,19 @@ def test_words_of_a_text_at_once(spark, tmp_path):
     names = ["division", "slot", "position", "word", "form", "root", "lemma", "pos", "token_id"]
     own, alone = (sorted(map(tuple, views.tokens(spark, str(tmp_path), handles=False, places=p).select(*names).fillna("-").collect())) for p in (False, True))
     assert own == alone and len(own) == 9
+
+
+def test_documents_move_no_word(spark):
+    """Words come from the text or from a table, with the same documents; from the text nothing but pages of texts moves."""
+    from lectio.operators import exports
+    from lectio.plans.views import words_of
+
+    verses = spark.createDataFrame([(1, 1, "The big dog"), (1, 2, "- 3"), (1, 3, "in thE end"), (2, 1, "so")], "division bigint, slot int, text string")
+    lines = spark.createDataFrame([("1:3", "b", "two"), ("1:3", "a", "one"), ("01:1", "a", "no verse"), ("9:9", "a", "none"), ("x", "a", "none")], "verse_id string, edition string, text string")
+    words = verses.select("division", "slot", F.inline(words_of(F.col("text"))))
+    both = [sorted(map(tuple, exports.division_documents(verses, w, lines, 2).collect())) for w in (words_of, words)]
+    assert both[0] == both[1] and [r[:2] for r in both[0]] == [(1, 0), (1, 1), (2, 0)]
+    assert both[0][1][2] == '{"division":1,"page":1,"verse_count":3,"verses":[{"id":"1:3","slot":3,"text":"in thE end","tokens":[{"position":1,"word":"in"},{"position":2,"word":"thE","root":"t-h"},{"position":3,"word":"end","root":"n-d"}],"translations":[{"edition":"a","text":"one"},{"edition":"b","text":"two"}]}]}'
+    assert '"id":"1:1","slot":1' in both[0][0][2] and "no verse" not in both[0][0][2] and '"tokens":[],"translations":[]' in both[0][0][2]
+    plan = exports.division_documents(verses, words_of, lines, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
