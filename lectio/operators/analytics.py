@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectio.functions import text as X
-from lectio.operators.order import FEW, cut, few, running_before
+from lectio.operators.order import FEW, cut, few, running_before, written
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -320,18 +320,23 @@ def collisions(tokens: DataFrame, weak: str, k: int = 14) -> DataFrame:
     """(root, form): forms that hold a root's radicals in order, with only weak letters between, but belong to another root.
 
     Distinct forms meet distinct roots on the form's hard letters: each run of them that is no longer than
-    the longest root's is a key, so no root is compared with all forms.
+    the longest root's is a key, so no root is compared with all forms. Tokens are read once; the pairs of a form and a root
+    stay where they are, and only the first k of a root in each task are sent.
     """
-    forms = tokens.filter("root is not null").select("form", F.col("root").alias("other")).distinct()
+    pairs = written(tokens.filter("root is not null").select("form", "root").distinct())
+    forms = pairs.groupBy("form").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     strip = lambda c: F.regexp_replace(c, f"[{weak}]", "")
-    roots = tokens.filter("root is not null").select("root").distinct().withColumn("core", F.regexp_replace("root", r"[\s-]", "")).withColumn("hard", strip(F.col("core")))
+    roots = pairs.select("root").distinct().withColumn("core", F.regexp_replace("root", r"[\s-]", "")).withColumn("hard", strip(F.col("core")))
+    roots = few(roots)
     hard = strip(F.col("form"))
     longest = roots.agg(F.max(F.length("hard"))).first()[0] or 1
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hard), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: hard.substr(i, n))))
     keyed = forms.withColumn("hard", F.explode(F.array_distinct(spans)))
-    joined = roots.filter("length(core) >= 2").join(keyed, "hard").filter("root != other")
+    # A form of several roots belongs to another one than any of them.
+    joined = keyed.join(roots.filter("length(core) >= 2"), "hard").filter("root != low or root != high")
     wanted = F.array_join(F.filter(F.split("core", ""), lambda x: x != ""), f"[{weak}]*")
-    found = joined.filter(F.rlike(F.col("form"), wanted)).select("root", "form").distinct()
+    # A run of hard letters is a root without weak ones already.
+    found = joined.filter(F.when(F.col("core") == F.col("hard"), True).otherwise(F.rlike(F.col("form"), wanted))).select("root", "form")
     return top(found, ["root"], [F.col("form")], k)
 
 

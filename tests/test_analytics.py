@@ -309,3 +309,13 @@ def test_documents_move_no_word(spark):
     assert '"id":"1:1","slot":1' in both[0][0][2] and "no verse" not in both[0][0][2] and '"tokens":[],"translations":[]' in both[0][0][2]
     plan = exports.division_documents(verses, words_of, lines, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_collisions_send_the_first_of_each_task(spark):
+    """Only the first k forms of a root leave a task; a form of two roots counts for both."""
+    t = spark.createDataFrame([("tan", "t-n"), ("ton", "t-n"), ("tin", "x-y"), ("tin", "t-n"), ("atena", "z-z"), ("tena", "z-z"), ("tarn", "z-z")], "form string, root string")
+    out = N.collisions(t, "aeiou", 2)
+    assert sorted(map(tuple, out.collect())) == [("t-n", "atena", 1), ("t-n", "tena", 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "keys=[root" not in plan
+    assert N.collisions(t, "aeiou", 9).filter("root = 't-n' and form = 'tin'").count() == 1
