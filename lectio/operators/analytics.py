@@ -97,8 +97,9 @@ def root_entries(profiles: DataFrame, matches: DataFrame, articles: DataFrame) -
 def root_occurrences(tokens: DataFrame, root: str, page: int, per_page: int) -> DataFrame:
     """A page of the segments with a root, with their tokens; a page past the end is the last one."""
     own = tokens.filter(F.col("root") == root)
-    segments = own.groupBy("segment_id").agg(F.min("handle").alias("first"), F.array_sort(F.collect_list(F.struct("handle", "token_id")))["token_id"].alias("token_ids"))
-    total = own.agg(F.count_distinct("segment_id")).first()[0]
+    # Written once: they are counted, summed and read.
+    segments = written(own.groupBy("segment_id").agg(F.min("handle").alias("first"), F.array_sort(F.collect_list(F.struct("handle", "token_id")))["token_id"].alias("token_ids")))
+    total = segments.count()
     pages = max(1, -(-total // per_page))
     number = min(max(1, page), pages)
     numbered = running_before(segments, "first", F.lit(1), "_nth").filter(F.col("_nth").between((number - 1) * per_page, number * per_page - 1)).drop("_nth")

@@ -331,3 +331,12 @@ def test_draft_claims_agree_with_their_sql(spark, tmp_path):
     sql = queries.SQL["u13_draft_claims"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     own = sorted(map(tuple, queries.FOUND["u13_draft_claims"](spark, str(tmp_path)).collect()))
     assert own == sorted(duckdb.connect().execute(sql).fetchall()) and own[0] == ("0", "A word of the other script.")
+
+
+def test_a_root_page_reads_tokens_once(spark):
+    """Counting, numbering and the page itself read the root's segments, not the tokens."""
+    t = spark.createDataFrame([(f"1:{k // 2}", k, f"t{k}", "a-b" if k % 3 else "c-d") for k in range(30)], "segment_id string, handle bigint, token_id string, root string")
+    out = N.root_occurrences(t, "a-b", 9, 4)
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert [r["segment_id"] for r in rows] == ["1:12", "1:13", "1:14"] and rows[0]["pages"] == 4 and rows[0]["token_ids"] == ["t25"]
