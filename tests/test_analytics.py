@@ -340,3 +340,13 @@ def test_a_root_page_reads_tokens_once(spark):
     assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
     rows = out.collect()
     assert [r["segment_id"] for r in rows] == ["1:12", "1:13", "1:14"] and rows[0]["pages"] == 4 and rows[0]["token_ids"] == ["t25"]
+
+
+def test_a_lemma_is_looked_up_in_words_alone(spark):
+    """Tokens that cost a join aren't made to see whether a lemma is known."""
+    from lectio.operators import search as S
+
+    t = spark.createDataFrame([(1, "on")], "handle bigint, lemma string")
+    costly = t.withColumn("handle", F.raise_error(F.lit("made")).cast("bigint") + F.col("handle")).filter("handle > 0")
+    search = S.Search(costly, lambda c: c, words=t)
+    assert search._lemma_known("on") and not search._lemma_known("off")
