@@ -5,6 +5,7 @@ One definition serves both stored tokens and query literals.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -78,6 +79,13 @@ def fold_further(c: Column) -> Column:
     return fold(F.translate(c, "ىٰ", ""))
 
 
+def folds_of(text: str) -> tuple[str, str]:
+    """fold and fold_further of one text, for rules that go through words in order."""
+    plain = str.maketrans(ALEF_FORMS + "ةىؤئ", ALEF * 4 + "هيوي", TATWEEL + " ء")
+    one, two = (re.sub(DIACRITICS, "", t).translate(plain) for t in (text, re.sub("[ىٰ]", "", text)))
+    return one, two
+
+
 def _by_value(c: Column, fn: Callable[[str], str | None]) -> Column:
     """A vectorised function of strings; null gives null."""
 

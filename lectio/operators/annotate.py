@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,47 +70,99 @@ def attach_positional(words: DataFrame, glosses: DataFrame, translit: DataFrame)
     return numbered.join(line(glosses, "gloss"), "line_no").join(line(translit, "transliteration"), "line_no").drop("line_no")
 
 
-def _tier(token: Column, word: Column) -> Column:
-    return F.when(token == word, "exact").when(X.fold(token) == X.fold(word), "normalised").when(X.fold_further(token) == X.fold_further(word), "extended")
+#: What a word can be to a token, by its number.
+TIERS = ["exact", "normalised", "extended", "merged", "failed", "unaligned"]
 
 
-def align(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(division, slot, position, word, tier): source words on tokens of a verse.
+def _walk(token: list[str | None], word: list[str | None], folds: dict[str | None, tuple]) -> list[int]:
+    """Words on tokens in order; each pair as the places from 1 (0: none) and the tier in one number."""
+    out, i = [], 0
+    for j, text in enumerate(word, 1):
+        if i >= len(token):
+            out.append(j << 4 | 4)
+            continue
+        x, tier = token[i], 0
+        if x != text:
+            (f, g), (own_f, own_g) = folds[text], folds[x]
+            tier = 1 if own_f == f else 2 if own_g == g else 4
+            if tier == 4 and i + 1 < len(token) and None not in (own_f, after := folds[token[i + 1]][0]) and own_f + after == f:
+                out += [i + 1 << 34 | j << 4 | 3, i + 2 << 34 | j << 4 | 3]
+                i += 2
+                continue
+        i += 1
+        out.append(i << 34 | j << 4 | tier)
+    return out + [k << 34 | 5 for k in range(i + 1, len(token) + 1)]
+
+
+class _Folds(dict):
+    def __missing__(self, text: str | None) -> tuple:
+        got = self[text] = (None, None) if text is None else X.folds_of(text)
+        return got
 
-    Verses in which every word fits the token at its place are one join. Only the rest is walked in
-    order, a verse at a time: a word may fit two tokens together (``merged``, one row each); a word
-    that fits nothing is ``failed`` and moves on by one token, and tokens left over are ``unaligned``.
+
+def _walks(tokens: pa.Array, words: pa.Array) -> pa.Array:
+    """_walk for each verse that has lists, null for others."""
+    token, word, folds = tokens.flatten().to_pylist(), words.flatten().to_pylist(), _Folds()
+    out: list[list[int] | None] = []
+    i = j = 0
+    for n, m in zip(pc.list_value_length(tokens).to_pylist(), pc.list_value_length(words).to_pylist(), strict=True):
+        out.append(None if n is None else _walk(token[i : i + n], word[j : j + m], folds))
+        i, j = i + (n or 0), j + (m or 0)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def align_verses(verses: DataFrame) -> DataFrame:
+    """Add aligned to verses: array<struct<at, of, tier>>, for each pair the places of the token and the word, -1 where there is none.
+
+    verses: tokens, an array of structs of position and token in order, and words, one of word and surface (and
+    others). Nothing leaves its row. Only a verse whose words aren't its tokens as they are is walked in
+    order: a word may fit two tokens together (``merged``, one pair each); a word that fits nothing is ``failed`` and
+    moves on by one token, and tokens left over are ``unaligned``.
     """
+    token, word = F.col("tokens")["token"], F.col("words")["surface"]
+    rows = verses.withColumn("_walked", token != word)
+    rows = rows.withColumn("_pairs", F.arrow_udf(_walks, "array<bigint>")(F.when(F.col("_walked"), token), F.when(F.col("_walked"), word)))
+    pair = lambda at, of, tier: F.struct(at.cast("int").alias("at"), of.cast("int").alias("of"), tier.alias("tier"))
+    names = F.array(*[F.lit(t) for t in TIERS])
+    walked = F.transform("_pairs", lambda p: pair(F.shiftright(p, 34) - 1, F.shiftright(p, 4).bitwiseAND(F.lit((1 << 30) - 1)) - 1, F.get(names, p.bitwiseAND(F.lit(15)).cast("int"))))
+    fitting = F.transform("tokens", lambda _, i: pair(i, i, F.lit("exact")))
+    return rows.withColumn("aligned", F.when(F.col("_walked"), walked).otherwise(fitting)).drop("_walked", "_pairs")
+
+
+def align(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(division, slot, position, word, tier): source words on tokens of a verse, by align_verses; each side moves once, to its verse's row."""
     keys = ["division", "slot"]
-    t = tokens.select(*keys, "position", F.col("word").alias("token"))
-    w = words.select(*keys, F.col("word"), "surface").withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy("word")))
-    joined = t.join(w, [*keys, "position"], "full_outer").withColumn("tier", _tier(F.col("token"), F.col("surface")))
-    bad = joined.groupBy(*keys).agg(F.bool_or(F.col("tier").isNull()).alias("bad")).filter("bad").select(*keys)
-    fast = joined.join(bad, keys, "left_anti").select(*keys, "position", "word", "tier")
-    folds = lambda df, c: df.withColumns({"f": X.fold(F.col(c)), "g": X.fold_further(F.col(c))})
-    left, right = folds(t.join(bad, keys, "left_semi"), "token"), folds(w.join(bad, keys, "left_semi"), "surface").select(*[F.col(c).alias(c) for c in (*keys, "position", "word", "surface", "f", "g")])
-
-    def walk(key: tuple, ts: pd.DataFrame, ws: pd.DataFrame) -> pd.DataFrame:
-        own = ts.sort_values("position").to_dict("records")
-        rows, i = [], 0
-        for word in ws.sort_values("position").to_dict("records"):
-            if i >= len(own):
-                rows.append((*key, None, word["word"], "failed"))
-                continue
-            x = own[i]
-            tier = "exact" if x["token"] == word["surface"] else "normalised" if x["f"] == word["f"] else "extended" if x["g"] == word["g"] else None
-            if tier is None and i + 1 < len(own) and x["f"] + own[i + 1]["f"] == word["f"]:
-                rows += [(*key, x["position"], word["word"], "merged"), (*key, own[i + 1]["position"], word["word"], "merged")]
-                i += 2
-                continue
-            rows.append((*key, x["position"], word["word"], tier or "failed"))
-            i += 1
-        rows += [(*key, x["position"], None, "unaligned") for x in own[i:]]
-        return pd.DataFrame(rows, columns=[*keys, "position", "word", "tier"]).astype({"position": "Int32", "word": "Int32"})
+    one = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", F.col("word").alias("token")))).alias("tokens"))
+    two = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word", "surface"))).alias("words"))
+    none = lambda c, side: F.coalesce(c, F.array().cast(side.schema[c].dataType)).alias(c)
+    return aligned_tokens(align_verses(one.join(two, keys, "full_outer").select(*keys, none("tokens", one), none("words", two))))
+
+
+def aligned_tokens(verses: DataFrame, parts: bool = False) -> DataFrame:
+    """(division, slot, position, word, tier) of align_verses' rows, with attach_parts' parts if asked for; words have parts then."""
+
+    def row(p: Column, i: Column) -> Column:
+        position, word = F.get("tokens", p["at"])["position"].cast("int").alias("position"), F.get("words", p["of"])["word"].cast("int").alias("word")
+        if not parts:
+            return F.struct(position, word, p["tier"].alias("tier"))
+        before = F.get("aligned", i - 1)
+        second = F.coalesce((before["of"] == p["of"]) & (before["tier"] == "merged"), F.lit(False))
+        whole = F.get("words", p["of"])["parts"]
+        cut = _own_parts(whole, F.get("tokens", p["at"] - second.cast("int"))["token"], second)
+        own = F.when(p["tier"] == "merged", cut).when(~p["tier"].isin("failed", "unaligned"), whole)
+        return F.struct(position, word, F.when((p["tier"] == "merged") & own.isNull(), "failed").otherwise(p["tier"]).alias("tier"), own.alias("parts"))
+
+    return verses.select("division", "slot", F.explode(F.transform("aligned", row)).alias("_a")).select("division", "slot", "_a.*")
+
 
-    schema = f"division {tokens.schema['division'].dataType.simpleString()}, slot {tokens.schema['slot'].dataType.simpleString()}, position int, word int, tier string"
-    slow = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(walk, schema)
-    return fast.select(*keys, F.col("position").cast("int").alias("position"), F.col("word").cast("int").alias("word"), "tier").unionByName(slow)
+def _own_parts(parts: Column, first: Column, second: Column) -> Column:
+    """The parts of one of a merged word's two tokens (``first``: the first one's text), null if they can't be divided; see attach_parts."""
+    upto = lambda k: F.array_join(F.transform(F.slice(parts, 1, k), lambda p: p["text"]), "")
+    k = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: (k < F.size(parts)) & (X.fold(upto(k)) == X.fold(first))), F.lit(0))
+    halves = F.split(F.get(parts, F.lit(0))["text"], " ", -1)
+    cut_parts = F.when(second, F.slice(parts, k + 1, F.size(parts))).otherwise(F.slice(parts, F.lit(1), k))
+    half = F.array(F.get(parts, F.lit(0)).withField("text", F.get(halves, second.cast("int"))))
+    return F.when(k.isNotNull(), cut_parts).when(F.size(halves) == 2, half)
 
 
 def attach_parts(aligned: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -125,12 +178,7 @@ def attach_parts(aligned: DataFrame, tokens: DataFrame, words: DataFrame) -> Dat
     merged = rows.filter("tier = 'merged'").join(tokens.select(*keys, "position", F.col("word").alias("token")), [*keys, "position"])
     order = W.partitionBy(*keys, "word").orderBy("position")
     merged = merged.withColumns({"first": F.first("token").over(order), "second": F.row_number().over(order) == 2})
-    upto = lambda k: F.array_join(F.transform(F.slice("parts", 1, k), lambda p: p["text"]), "")
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda k: (k < F.size("parts")) & (X.fold(upto(k)) == X.fold(F.col("first"))))
-    merged = merged.withColumns({"k": F.get(places, F.lit(0)), "halves": F.split(F.get("parts", F.lit(0))["text"], " ", -1)})
-    cut_parts = F.when(F.col("second"), F.slice("parts", F.col("k") + 1, F.size("parts"))).otherwise(F.slice("parts", F.lit(1), F.col("k")))
-    half = F.array(F.get("parts", F.lit(0)).withField("text", F.get("halves", F.col("second").cast("int"))))
-    own = F.when(F.col("k").isNotNull(), cut_parts).when(F.size("halves") == 2, half)
+    own = _own_parts(F.col("parts"), F.col("first"), F.col("second"))
     merged = merged.withColumn("parts", own).withColumn("tier", F.when(F.col("parts").isNull(), "failed").otherwise("merged"))
     others = rows.filter("tier <> 'merged'").withColumn("parts", F.when(~F.col("tier").isin("failed", "unaligned"), F.col("parts")))
     return others.unionByName(merged.select(others.columns))
@@ -138,8 +186,7 @@ def attach_parts(aligned: DataFrame, tokens: DataFrame, words: DataFrame) -> Dat
 
 def alignment_stats(aligned: DataFrame) -> DataFrame:
     """Tokens of each tier and the rate that is aligned, one row."""
-    tiers = ["exact", "normalised", "extended", "merged", "failed", "unaligned"]
-    counts = aligned.agg(F.count("*").alias("rows"), *[F.count_if(F.col("tier") == t).alias(t) for t in tiers])
+    counts = aligned.agg(F.count("*").alias("rows"), *[F.count_if(F.col("tier") == t).alias(t) for t in TIERS])
     return counts.withColumn("rate", F.round(1 - (F.col("failed") + F.col("unaligned")) / F.col("rows"), 6))
 
 

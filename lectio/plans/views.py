@@ -31,6 +31,11 @@ def verses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
     return rows.select("division", "lang", "slot", (F.coalesce("recurs", F.lit(False)) & (F.col("slot") == 1)).alias("is_formula"), "text")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """division, slot and text of verses; no text is joined with anything."""
+    return _by_line(_lines(spark, sf_dir))
+
+
 def plain(c):
     """Lower case, letters only."""
     return F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))
@@ -83,6 +88,11 @@ def words_of(text):
     return F.transform(F.filter(whole, lambda s: s["form"] != ""), lambda s, i: F.struct((i + 1).alias("position"), s["word"].alias("word"), root(s["hard"]).alias("root")))
 
 
+def forms_of(text):
+    """The words of a text, an array of structs of position and form, as tokens gives them."""
+    return F.transform(F.filter(F.split(_bare(text), " ", -1), lambda x: x != ""), lambda x, i: F.struct((i + 1).alias("position"), x.alias("token")))
+
+
 def root_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(verse, roots): the different roots of tokens, for verses that aren't formulas; no word leaves its text."""
     bare = F.split(F.regexp_replace(F.lower("text"), "[^bcdfghjklmnpqrstvwxyz ]", ""), " ", -1)

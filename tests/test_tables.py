@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from lectio.operators import annotate, build, exports, research
+from lectio.plans import queries
 
 
 def test_replacing_citations_rewrites_their_buckets_only(spark):
@@ -74,3 +75,12 @@ def test_exports(spark):
     assert roots["forms", 0]["forms"] == [{"form": "b", "count": 1}] and roots["forms", 1]["forms"] == [{"form": "bb", "count": 1}]
     ld = {(r["kind"], r["id"]): json.loads(r["document"]) for r in exports.json_ld(v, t, "https://x.org", "W").collect()}
     assert len(ld) == 3 + 1 + 3 + 1 and "inDefinedTermSet" not in ld["word", "1:1:1"] and ld["division", "1"]["hasPart"]["numberOfItems"] == 3
+
+
+def test_alignment_stays_in_its_verse(spark, sf):
+    for name in ("a5_alignment", "a5_parts"):
+        plan = queries.FOUND[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan and "hashpartitioning" not in plan, name
+    none = spark.createDataFrame([(1, 1, [], [(1, "a")]), (1, 2, [(1, "a"), (2, None)], [(1, "a"), (2, None)]), (1, 3, [(1, "x"), (2, "b")], [])], "division int, slot int, tokens array<struct<position int, token string>>, words array<struct<word int, surface string>>")
+    got = [tuple(r) for r in annotate.aligned_tokens(annotate.align_verses(none)).collect()]
+    assert sorted(got, key=str) == [(1, 1, None, 1, "failed"), (1, 2, 1, 1, "exact"), (1, 2, 2, 2, "exact"), (1, 3, 1, None, "unaligned"), (1, 3, 2, None, "unaligned")]

@@ -65,3 +65,9 @@ def test_seeded_pick(spark):
 
     assert one(spark, X.fnv1a, "", "a", "2024-01-01") == [fnv(""), fnv("a"), fnv("2024-01-01")]
     assert one(spark, lambda c: X.seeded_pick(c, F.lit(0)), "a") == [-1]
+
+
+def test_folds_of_one_text(spark):
+    texts = ["", "abc d", "أَحَدٌ", "مُوسَىٰ", "ٱلرَّحْمَـٰنِ", "شَيْءٌ مَّا", "ؤئةآإـ", "\u0670\u06d6x\u0653"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.fold(F.col("t")).alias("f"), X.fold_further(F.col("t")).alias("g")).collect()
+    assert [X.folds_of(r["t"]) for r in rows] == [(r["f"], r["g"]) for r in rows]
