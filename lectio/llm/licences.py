@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import cut
+from lectio.llm.common import cut, few, written
 
 #: The phrases whose every place is reported, and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -76,12 +76,13 @@ def scan(docs: DataFrame) -> DataFrame:
     are not read. Texts are scanned whole, however long; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    vocabulary = spark.createDataFrame([(w,) for w in _vocabulary()], "word string")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(body))
-    files = docs.select("doc_id", key.alias("key"), words_of(body).alias("words"))
-    at = files.select("key", F.posexplode("words").alias("pos", "word")).join(F.broadcast(vocabulary), "word")
-    hits = at.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("pos", "word"))).alias("hits"))
+    split = docs.select("doc_id", words_of(body).alias("words"))
+    placed_words = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    known = F.filter(placed_words, lambda h: h["word"].isin(_vocabulary()))
+    # Texts are taken apart once: a row's words that any notice has are written, and all else reads them.
+    files = written(split.select("doc_id", F.monotonically_increasing_id().alias("key"), F.size("words").cast("bigint").alias("n_words"), known.alias("hits")))
+    hits = files.filter(F.size("hits") > 0).select("key", "hits")
 
     # Of each notice, the words of the file that are rarest over all files.
     total = docs.agg(F.count("*").alias("files"))
@@ -113,7 +114,7 @@ def scan(docs: DataFrame) -> DataFrame:
         rows += [(i, p, w, shift <= p < shift + len(keyed), len(words), len(keyed)) for p, w in enumerate(words)]
     whole = spark.createDataFrame(rows, "notice int, at int, word string, keyed boolean, size int, n_keyed int")
     asked = votes.select("key", "notice", "label", "start").join(F.broadcast(whole), "notice").withColumn("pos", F.col("start") + F.col("at"))
-    there = hits.join(votes.select("key").distinct(), "key", "left_semi").select("key", F.explode("hits").alias("h")).select("key", "h.pos", "h.word")
+    there = hits.join(few(votes.select("key").distinct()), "key", "left_semi").select("key", F.explode("hits").alias("h")).select("key", "h.pos", "h.word")
     held = asked.join(there, ["key", "pos", "word"]).groupBy("key", "notice", "label", "start").agg(F.count("*").alias("n"), F.count_if("keyed").alias("k"), F.first("size").alias("size"), F.first("n_keyed").alias("n_keyed"))
     placed = held.filter("k = n_keyed").groupBy("key", "label").agg(F.max(F.col("n") / F.col("size")).alias("share"))
     found = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "share"))).alias("notices"))
@@ -123,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = based.select("key", places.alias("places"), F.filter(F.array(*[F.when(F.size(F.col(f"_{label}")) > 0, F.lit(label)) for label in BASE_PHRASES.values()]), lambda x: x.isNotNull()).alias("base"))
     marks = base.filter(F.size("places") > 0).join(found, "key", "full_outer")
 
-    out = files.select("doc_id", "key", F.size("words").cast("bigint").alias("n_words")).join(marks, "key", "left")
+    out = files.select("doc_id", "key", "n_words").join(marks, "key", "left")
     none = F.array().cast("array<string>")
     base_labels, notices = F.coalesce("base", none), F.coalesce(F.transform("notices", lambda n: n["label"]), none)
     share = F.coalesce(F.array_max(F.transform("notices", lambda n: n["share"])), F.lit(0.0))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -769,3 +770,21 @@ def test_pipeline_stage_edges(spark, odd, stage):
     else:
         assert texts == before
     assert every(f(spark, extra.limit(0), base)) == []
+
+
+def test_a_worker_keeps_one_operators_memory():
+    from lectio.llm import common
+
+    model = pieces.read_model(pieces.MODEL)
+    first = pieces.compiled(model)
+    assert pieces.compiled(model) is first
+    seen = weakref.ref(first)
+    del first
+    common.kept(("language", 0), dict)
+    assert seen() is None and list(common._kept) == [("language", 0)]
+
+
+def test_licence_texts_are_taken_apart_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plan = licences.scan(docs.unionByName(docs.limit(3)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and plan.count("regexp_replace") == 0
