@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectio.llm.common import few, mix, prefix_hash, range_hash, with_text
+from lectio.llm.common import few, kept, mix, prefix_hash, range_hash, with_text
 
 #: The training sample's bounds: documents of each language, pieces of lines of each of them, words of a piece.
 TRAIN_DOCS, TRAIN_LINES, TRAIN_WORDS = 600, 6, 200
@@ -268,34 +268,26 @@ def identify(docs: DataFrame, model: Model | None, pred: str = "lang_pred", scor
     letter, or if nothing was learned. Equal texts get equal results, also repeated rows. An empty table
     gives an empty result. Texts are read whole, however long.
     """
-    kept = [c for c in docs.columns if c not in (pred, score)]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{pred}` string, `{score}` double"
-    rows, at = with_text(docs, kept)
+    own_columns = [c for c in docs.columns if c not in (pred, score)]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own_columns) + f", `{pred}` string, `{score}` double"
+    rows, at = with_text(docs, own_columns)
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("und").alias(pred), F.lit(0.0).alias(score))
+        return docs.select(*[F.col(f"`{c}`") for c in own_columns], F.lit("und").alias(pred), F.lit(0.0).alias(score))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((sent.value.emit.tobytes(), sent.value.move.tobytes()))
-        if key not in _taggers:
-            _taggers.clear()
-            _taggers[key] = Tagger(sent.value)
-        tagger = _taggers[key]
+        tagger = kept(("language", hash((sent.value.emit.tobytes(), sent.value.move.tobytes()))), lambda: Tagger(sent.value))
         for batch in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)) // (6 * TAGGED)
             for part in np.unique(size):
                 first, last = np.searchsorted(size, (part, part + 1))
                 own = batch.slice(first, last - first)
                 got = tagger.tag(own.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*kept, pred, score])
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(own_columns)], pa.array([x for x, _ in got]), pa.array([s for _, s in got], pa.float64())], [*own_columns, pred, score])
 
     return rows.mapInArrow(run, schema)
 
 
-#: The tagger of the last model that this worker has had.
-_taggers: dict[int, Tagger] = {}
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, learned from the other fold.
 

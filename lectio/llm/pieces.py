@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import map_arrow, with_text
+from lectio.llm.common import kept, map_arrow, with_text
 
 MODEL = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts and neighbour tests that a task remembers.
-MEMORY = 700_000
+MEMORY = 500_000
 PARTS = re.compile(" *[^ ]+| +")
 PACK = [struct.Struct(f"<{n}i").pack for n in range(41)]
 #: Of a character without a piece, in a unigram model.
@@ -236,15 +236,9 @@ class Parts(dict):
         return got
 
 
-_compiled: dict[int, Transducer] = {}
-
-
 def compiled(model: bytes) -> Transducer:
-    """One transducer for each worker process and model."""
-    key = hash(model)
-    if key not in _compiled:
-        _compiled[key] = Transducer(model)
-    return _compiled[key]
+    """One transducer for each worker process, as long as the worker encodes by that model."""
+    return kept(("pieces", hash(model)), lambda: Transducer(model))
 
 
 def read_model(path: str) -> bytes:
@@ -263,9 +257,9 @@ def encode(docs: DataFrame, path: str = MODEL, keep: str = "*", ids: str = "toke
     part without any space is composed whole too, at a cost in proportion to its length.
     """
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
-    kept = [c for c in docs.columns if c not in (ids, decoded)] if keep == "*" else [keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{ids}` array<int>, `{decoded}` string"
-    rows, at = with_text(docs, kept)
+    own_columns = [c for c in docs.columns if c not in (ids, decoded)] if keep == "*" else [keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own_columns) + f", `{ids}` array<int>, `{decoded}` string"
+    rows, at = with_text(docs, own_columns)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = compiled(model.value)
@@ -273,7 +267,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: str = "*", ids: str = "toke
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in tokens]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(tokens), "<i4")))
         texts = pa.array([t.decode(np.frombuffer(x, "<i4").tolist()) for x in tokens], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], lists, texts], [*kept, ids, decoded])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(own_columns)], lists, texts], [*own_columns, ids, decoded])
 
     return map_arrow(rows, run, schema, rows=500)
 
