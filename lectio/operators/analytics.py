@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -429,10 +429,17 @@ def url_inventory(tokens: DataFrame, pages: DataFrame, glosses: DataFrame, shard
     return divisions.unionByName(later).unionByName(verses).unionByName(roots).unionByName(gloss).unionByName(words)
 
 
-def export_verses(tokens: DataFrame) -> DataFrame:
-    """(segment_id, document): a verse with its words as JSON."""
-    words = tokens.groupBy("division", "segment_id").agg(F.array_sort(F.collect_list(F.struct("position", "word", "root"))).alias("words"))
-    return words.select("segment_id", F.to_json(F.struct("division", F.col("segment_id").alias("id"), "words")).alias("document"))
+def export_verses(tokens: DataFrame, words: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(segment_id, document): a verse with its words as JSON.
+
+    With ``words``, a function from a text to its words (an array of structs of position, word and root), ``tokens`` are
+    verses (division, segment_id, text) that have words, and no word leaves its verse.
+    """
+    if words is not None:
+        rows = tokens.select("division", "segment_id", words(F.col("text")).alias("words"))
+    else:
+        rows = tokens.groupBy("division", "segment_id").agg(F.array_sort(F.collect_list(F.struct("position", "word", "root"))).alias("words"))
+    return rows.select("segment_id", F.to_json(F.struct("division", F.col("segment_id").alias("id"), "words")).alias("document"))
 
 
 def citation_lines(tokens: DataFrame, version: str, sha: str) -> DataFrame:
