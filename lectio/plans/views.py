@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("division"), "lang", F.filter(F.split("text", "\n", -1), lambda x: x != "").alias("lines"))
+def _lines(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = (docs if only is None else docs.join(only, "doc_id", "left_semi")).select(F.col("doc_id").alias("division"), "lang", F.filter(F.split("text", "\n", -1), lambda x: x != "").alias("lines"))
     return docs.filter(F.size("lines") > 0)
 
 
@@ -31,9 +32,9 @@ def verses(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
     return rows.select("division", "lang", "slot", (F.coalesce("recurs", F.lit(False)) & (F.col("slot") == 1)).alias("is_formula"), "text")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """division, slot and text of verses; no text is joined with anything."""
-    return _by_line(_lines(spark, sf_dir))
+def texts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """division, slot and text of verses; no text is joined with anything. ``only``: the documents (doc_id) that are asked for."""
+    return _by_line(_lines(spark, sf_dir, only))
 
 
 def plain(c):

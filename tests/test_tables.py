@@ -84,3 +84,11 @@ def test_alignment_stays_in_its_verse(spark, sf):
     none = spark.createDataFrame([(1, 1, [], [(1, "a")]), (1, 2, [(1, "a"), (2, None)], [(1, "a"), (2, None)]), (1, 3, [(1, "x"), (2, "b")], [])], "division int, slot int, tokens array<struct<position int, token string>>, words array<struct<word int, surface string>>")
     got = [tuple(r) for r in annotate.aligned_tokens(annotate.align_verses(none)).collect()]
     assert sorted(got, key=str) == [(1, 1, None, 1, "failed"), (1, 2, 1, 1, "exact"), (1, 2, 2, 2, "exact"), (1, 3, 1, None, "unaligned"), (1, 3, 2, None, "unaligned")]
+
+
+def test_words_stay_in_their_verse_and_only_cited_documents_are_read(spark, sf):
+    plan = lambda name: queries.FOUND[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    documents = plan("n22_documents")
+    assert "Aggregate" not in documents and "Join" not in documents
+    quotes = plan("u5_quotes")
+    assert quotes.count("documents") == 0 and quotes.count("LeftSemi") == 4
