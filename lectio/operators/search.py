@@ -369,6 +369,31 @@ class Batch:
             return ~own[0]
         return own[0] & self.bits[Node("scoped", node.value, (all_(),))]
 
+    def may(self, node: Node) -> Column | None:
+        """Whether a row can be a hit of a tree, from row predicates alone; None if any row can."""
+        if node.kind == "not" and self.search.positional(node):
+            return None
+        if node in self.bits or not self.search.positional(node):
+            return self.flag(node)
+        own = [self.may(n) for n in node.of]
+        if node.kind in ("and", "scoped"):
+            known = [c for c in own if c is not None]
+            return reduce(lambda a, b: a & b, known) if known else None
+        return None if any(c is None for c in own) else reduce(lambda a, b: a | b, own)
+
+    def apart(self, df: DataFrame, placed: list[Node]) -> DataFrame:
+        """Rows with _times: those that no positional node can hit are counted by their bits, without a place.
+
+        Such a row is in neither operand of any node, so windows over the others come out the same without it. A
+        written table keeps its rows: they lie by segments already.
+        """
+        ways = [self.may(n) for n in placed]
+        if not placed or self.search.regions is not None or any(w is None for w in ways):
+            return df.withColumn("_times", F.lit(1).cast("bigint"))
+        at = reduce(lambda a, b: a | b, ways)
+        own = [F.when(at, F.col(c)).alias(c) for c in ("handle", "segment_id")]
+        return df.groupBy(*own, *[c for c in df.columns if c not in ("handle", "segment_id")]).agg(F.count("*").alias("_times"))
+
     def pack(self, df: DataFrame, tests: dict[Node, Column], name: str) -> DataFrame:
         """Add the tests as bits of long columns."""
         nodes, columns = list(tests), {}
@@ -391,7 +416,7 @@ class Batch:
     def counts(self, queries: dict[str, Node]) -> DataFrame:
         table = self.search.table
         lemmas = sorted({n.value for q in queries.values() for n in self.walk(q) if n.kind == "lemma" and isinstance(n.value, str)})
-        self.search.known_lemmas = {r[0]: True for r in table.filter(F.col("lemma").isin(lemmas)).select("lemma").distinct().collect()} if lemmas else {}
+        self.search.known_lemmas = {r[0]: True for r in self.search.words.filter(F.col("lemma").isin(lemmas)).select("lemma").distinct().collect()} if lemmas else {}
         self.search.known_lemmas |= {x: x in self.search.known_lemmas for x in lemmas}
         good: dict[str, Node] = {}
         tests: dict[Node, Column] = {}
@@ -409,6 +434,7 @@ class Batch:
             tests |= made
         df = self.pack(table.select("handle", "segment_id", *[c for c in table.columns if c not in ("handle", "segment_id")]), tests, "_row").select("handle", "segment_id", *[f"_row_{k}" for k in range(-(-len(tests) // BITS))])
         placed: dict[Node, None] = dict.fromkeys(n for q in good.values() for n in self.walk(q) if n.kind in ("near", "followed_by"))
+        df = self.apart(df, list(placed))
         for level in range(1, max(map(self.depth, placed), default=0) + 1):
             own = [n for n in placed if self.depth(n) == level]
             across = [n for n in own if n.kind == "near" and n.options["cross"]]
@@ -416,7 +442,7 @@ class Batch:
                 df = self.across(df, across, level)
             if inside := [n for n in own if n not in across]:
                 df = self.inside(df, inside, level)
-        totals = [F.count_if(self.flag(q)) for q in good.values()]
+        totals = [F.coalesce(F.sum(F.when(self.flag(q), F.col("_times"))), F.lit(0)) for q in good.values()]
         rows = [F.struct(F.lit(k).alias("query_id"), F.lit(True).alias("ok"), F.col(f"_t{i}").alias("total")) for i, k in enumerate(good)]
         rows += [F.struct(F.lit(k).alias("query_id"), F.lit(False).alias("ok"), F.lit(None).cast("bigint").alias("total")) for k in queries if k not in good]
         one = df.agg(F.count("*").alias("_n"), *[t.alias(f"_t{i}") for i, t in enumerate(totals)])

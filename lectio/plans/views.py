@@ -39,7 +39,7 @@ def texts(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> Da
 
 def plain(c):
     """Lower case, letters only."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))
+    return F.lower(F.regexp_replace(c, r"[^\p{L}]+", ""))
 
 
 def has_letter(piece):
@@ -48,14 +48,14 @@ def has_letter(piece):
 
 def _bare(c):
     """A text with the letters of its words alone, in lower case; spaces stay, so its pieces are those of the text."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L} ]", ""))
+    return F.lower(F.regexp_replace(c, r"[^\p{L} ]+", ""))
 
 
 def _words(source: DataFrame) -> DataFrame:
     """(position, word, form, _hard) of verses: each pattern runs once over a text, not once over each of its words."""
     pieces = lambda c: F.split(c, " ", -1)
     rows = source.withColumn("_bare", _bare(F.col("text")))
-    whole = F.arrays_zip(pieces("text").alias("word"), pieces("_bare").alias("form"), pieces(F.regexp_replace("_bare", "[^bcdfghjklmnpqrstvwxyz ]", "")).alias("hard"))
+    whole = F.arrays_zip(pieces("text").alias("word"), pieces("_bare").alias("form"), pieces(F.regexp_replace("_bare", "[^bcdfghjklmnpqrstvwxyz ]+", "")).alias("hard"))
     keep = [c for c in source.columns if c != "text"]
     rows = rows.select(*keep, F.posexplode(F.filter(whole, lambda s: s["form"] != "")).alias("_at", "_w"))
     return rows.select(*keep, (F.col("_at") + 1).alias("position"), "_w.word", "_w.form", F.substring("_w.hard", 1, 3).alias("_hard"))
@@ -70,7 +70,7 @@ def tokens(spark: SparkSession, sf_dir: str, handles: bool = True, of: DataFrame
         source = build.with_offsets(source, lambda piece: piece != "", texts=texts)
     form = F.col("form")
     if places:
-        out = build.segment(source, has_letter, places).withColumn("form", plain(F.col("word"))).withColumn("_hard", F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]", ""), 1, 3))
+        out = build.segment(source, has_letter, places).withColumn("form", plain(F.col("word"))).withColumn("_hard", F.substring(F.regexp_replace(form, "[^bcdfghjklmnpqrstvwxyz]+", ""), 1, 3))
     else:
         out = _words(source)
     letters = [F.nullif(F.substring("_hard", k, 1), F.lit("")) for k in (1, 2, 3)]
@@ -84,7 +84,7 @@ def words_of(text):
     """The words of a text, an array of structs of position, word and root, as tokens gives them."""
     pieces = lambda c: F.split(c, " ", -1)
     bare = _bare(text)
-    whole = F.arrays_zip(pieces(text).alias("word"), pieces(bare).alias("form"), pieces(F.regexp_replace(bare, "[^bcdfghjklmnpqrstvwxyz ]", "")).alias("hard"))
+    whole = F.arrays_zip(pieces(text).alias("word"), pieces(bare).alias("form"), pieces(F.regexp_replace(bare, "[^bcdfghjklmnpqrstvwxyz ]+", "")).alias("hard"))
     root = lambda h: F.when(F.length(h) >= 2, F.concat_ws("-", F.substring(h, 1, 1), F.substring(h, 2, 1), F.nullif(F.substring(h, 3, 1), F.lit(""))))
     return F.transform(F.filter(whole, lambda s: s["form"] != ""), lambda s, i: F.struct((i + 1).alias("position"), s["word"].alias("word"), root(s["hard"]).alias("root")))
 
@@ -96,7 +96,7 @@ def forms_of(text):
 
 def root_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(verse, roots): the different roots of tokens, for verses that aren't formulas; no word leaves its text."""
-    bare = F.split(F.regexp_replace(F.lower("text"), "[^bcdfghjklmnpqrstvwxyz ]", ""), " ", -1)
+    bare = F.split(F.regexp_replace(F.lower("text"), "[^bcdfghjklmnpqrstvwxyz ]+", ""), " ", -1)
     hard = F.filter(F.array_distinct(F.transform(bare, lambda w: F.left(w, F.lit(3)))), lambda h: F.length(h) >= 2)
     root = F.transform(hard, lambda h: F.concat_ws("-", F.substring(h, 1, 1), F.substring(h, 2, 1), F.nullif(F.substring(h, 3, 1), F.lit(""))))
     return verses(spark, sf_dir).filter("not is_formula").select(F.concat_ws(":", "division", "slot").alias("verse"), root.alias("roots"))
