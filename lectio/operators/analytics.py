@@ -52,20 +52,35 @@ def same_root_tokens(tokens: DataFrame, k: int = 12) -> DataFrame:
     return top(tokens.filter("root is not null").select("root", "token_id", "handle"), ["root"], [F.col("handle")], k + 1)
 
 
+def root_kinds(tokens: DataFrame) -> DataFrame:
+    """(root, form, lemma, n): what kinds of tokens roots have."""
+    return tokens.filter("root is not null").groupBy("root", "form", "lemma").agg(F.count("*").alias("n"))
+
+
+def root_places(tokens: DataFrame) -> DataFrame:
+    """(root, division, n, verses, first, last): tokens and verses of a root in a division, and the places of its first and last token there.
+
+    A place is slot * 2**32 + position. Of tokens that are dealt by division none moves.
+    """
+    rooted = tokens.filter("root is not null").withColumn("_at", F.shiftleft(F.col("slot").cast("bigint"), 32) + F.col("position"))
+    by_verse = rooted.groupBy("root", "division", "slot").agg(F.count("*").alias("n"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+    return by_verse.groupBy("root", "division").agg(F.sum("n").alias("n"), F.count("*").alias("verses"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def root_profiles(tokens: DataFrame) -> DataFrame:
-    """Per root: occurrences, distinct forms and lemmas, verses, first and last token, the division with most."""
-    rooted = tokens.filter("root is not null")
-    # One pass over the tokens: all else is summed from (root, division, verse, form, lemma).
-    small = rooted.groupBy("root", "division", "segment_id", "form", "lemma").agg(
-        F.count("*").alias("n"), F.min(F.struct("handle", "token_id")).alias("first"), F.max(F.struct("handle", "token_id")).alias("last")
-    )
-    marks = F.posexplode(F.array(F.struct(F.col("division").cast("bigint").alias("division"), F.lit(None).cast("string").alias("of")), F.struct(F.lit(None).cast("bigint").alias("division"), F.col("segment_id").alias("of")), F.struct(F.lit(None).cast("bigint").alias("division"), F.col("form").alias("of")), F.struct(F.lit(None).cast("bigint").alias("division"), F.col("lemma").alias("of")))).alias("kind", "key")
-    each = small.select("root", "n", "first", "last", marks).groupBy("root", "kind", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    count = lambda k: F.count_if(F.col("kind") == k)
-    division = F.when(F.col("kind") == 0, F.col("n"))
-    return each.groupBy("root").agg(
-        F.sum(division).alias("occurrences"), count(0).alias("divisions"), count(1).alias("verses"), F.max(division).alias("most_in_division"), F.min("first")["token_id"].alias("first_id"), F.max("last")["token_id"].alias("last_id"), count(2).alias("forms"), count(3).alias("lemmas")
-    )
+    """Per root: occurrences, distinct forms and lemmas, verses, first and last token, the division with most.
+
+    A token's id is ``division:slot:position``, and their order that of the corpus. Tokens are best dealt by division
+    (see root_places): all that moves then is a row for each root and division, and kind of token.
+    """
+    name = lambda division, at: F.concat_ws(":", division, F.shiftright(at, 32), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)))
+    places = root_places(tokens).groupBy("root").agg(
+        F.sum("n").alias("occurrences"), F.count("*").alias("divisions"), F.sum("verses").alias("verses"), F.max("n").alias("most_in_division"),
+        F.min("division").alias("_low"), F.min_by("first", "division").alias("_first"), F.max("division").alias("_high"), F.max_by("last", "division").alias("_last"),
+    )
+    kinds = root_kinds(tokens).groupBy("root").agg(F.count_distinct("form").alias("forms"), F.count_distinct("lemma").alias("lemmas"))
+    out = places.join(kinds, "root")
+    return out.select("root", "occurrences", "divisions", "verses", "most_in_division", name("_low", "_first").alias("first_id"), name("_high", "_last").alias("last_id"), "forms", "lemmas")
 
 
 def root_forms(tokens: DataFrame) -> DataFrame:
