@@ -21,20 +21,32 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name:
 def word_profiles(tokens: DataFrame, others: int = 12) -> DataFrame:
     """Per token: its neighbours in corpus order, and for its form and its root how many tokens and distinct forms.
 
-    Neighbours come from windows inside a division; where one ends, from a table of the divisions' edges.
+    A token's id is ``division:slot:position``. Neighbours come from windows inside a division, where tokens dealt by division
+    stay, and where one ends from a table of the divisions' edges. Tokens move once, to the total of their form, as
+    numbers; ids are made after that. There it is only the totals that are held.
     """
-    edges = tokens.groupBy("division").agg(F.min("handle").alias("low"), F.max("handle").alias("high"), F.min_by("token_id", "handle").alias("first_id"), F.max_by("token_id", "handle").alias("last_id"))
-    before, after = edges.select((F.col("high") + 1).alias("low"), F.col("last_id").alias("before_id")), edges.select((F.col("low") - 1).alias("high"), F.col("first_id").alias("after_id"))
-    outside = edges.join(before, "low", "left").join(after, "high", "left").select("division", "before_id", "after_id")
-    order = W.partitionBy("division").orderBy("handle")
-    near = tokens.select("division", "handle", "token_id", "form", "root", F.lag("token_id").over(order).alias("_previous"), F.lead("token_id").over(order).alias("_next")).join(outside, "division")
-    forms = tokens.groupBy("form").agg(F.count("*").alias("form_total"))
-    roots = tokens.filter("root is not null").groupBy("root", "form").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("root_total"), F.count("*").alias("root_forms"))
-    out = near.join(forms, "form", "left").join(roots, "root", "left")
+    name = lambda slot, position: F.concat_ws(":", "division", slot, position)
+    low, position = (lambda at: F.shiftright(at, 32)), (lambda at: F.col(at).bitwiseAND(F.lit((1 << 32) - 1)))
+    at = F.shiftleft(F.col("slot").cast("bigint"), 32) + F.col("position")
+    edges = cut(tokens.groupBy("division").agg(F.min(at).alias("_low"), F.max(at).alias("_high")))
+    edges = edges.select("division", name(low("_low"), position("_low")).alias("first_id"), name(low("_high"), position("_high")).alias("last_id"))
+    placed = cut(running_before(edges, "division", F.lit(1), "_nth"))
+    before, after = placed.select((F.col("_nth") + 1).alias("_nth"), F.col("last_id").alias("before_id")), placed.select((F.col("_nth") - 1).alias("_nth"), F.col("first_id").alias("after_id"))
+    outside = few(placed.join(before, "_nth", "left").join(after, "_nth", "left").select("division", "before_id", "after_id"))
+    kinds = written(tokens.groupBy("form", "root").agg(F.count("*").alias("n")))
+    forms = kinds.groupBy("form").agg(F.sum("n").alias("form_total"))
+    roots = few(kinds.filter("root is not null").groupBy("root").agg(F.sum("n").alias("root_total"), F.count("*").alias("root_forms")))
+    order = W.partitionBy("division").orderBy("slot", "position")
+    # Null beside a token of the next number in its verse, -1 where the division ends.
+    beside = lambda fn, by: F.when(fn("_at").over(order).isNull(), F.lit(-1).cast("bigint")).when(fn("_at").over(order) != F.col("_at") + by, fn("_at").over(order))
+    near = tokens.select("division", "slot", "position", "form", "root", at.alias("_at")).withColumns({"_previous": beside(F.lag, -1), "_next": beside(F.lead, 1)}).drop("_at").join(outside, "division")
+    near = near.withColumn("before_id", F.when(F.col("_previous") == -1, F.col("before_id"))).withColumn("after_id", F.when(F.col("_next") == -1, F.col("after_id")))
+    out = near.join(roots, "root", "left").drop("root").join(forms.hint("shuffle_hash"), "form", "left")
+    own = lambda c, by: F.when(F.col(c).isNull(), name("slot", F.col("position") + by)).when(F.col(c) >= 0, name(low(c), position(c)))
     return out.select(
-        "token_id",
-        F.coalesce("_previous", "before_id").alias("previous_id"),
-        F.coalesce("_next", "after_id").alias("next_id"),
+        name("slot", "position").alias("token_id"),
+        F.coalesce(own("_previous", -1), "before_id").alias("previous_id"),
+        F.coalesce(own("_next", 1), "after_id").alias("next_id"),
         "form_total",
         "root_total",
         "root_forms",
@@ -123,8 +135,10 @@ def root_occurrences(tokens: DataFrame, root: str, page: int, per_page: int) ->
 
 def gloss_index(tokens: DataFrame, gloss: str = "gloss") -> DataFrame:
     """Per gloss key: total, distinct roots (no root counts as one), the most common verbatim form and the slug."""
-    keyed = tokens.withColumn("key", X.gloss_key(F.col(gloss))).filter("key != ''")
-    variants = keyed.groupBy("key", F.col(gloss).alias("display")).agg(F.count("*").alias("n"))
+    # Written once; keys are made of different glosses, not of each token's.
+    counts = written(tokens.groupBy(gloss, "root").agg(F.count("*").alias("n")))
+    keyed = counts.withColumn("key", X.gloss_key(F.col(gloss))).filter("key != ''")
+    variants = keyed.groupBy("key", F.col(gloss).alias("display")).agg(F.sum("n").alias("n"))
     best = variants.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("variants"), F.min(F.struct((-F.col("n")).alias("n"), "display"))["display"].alias("display"))
     roots = keyed.groupBy("key", F.coalesce("root", F.lit("")).alias("root")).agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("root_count"))
     return best.join(roots, "key").withColumn("slug", X.gloss_slug(F.col("key")))
@@ -432,16 +446,19 @@ def assign_pages(verses: DataFrame, one_page: int = 60, per_page: int = 40) -> D
     return verses.join(counts, "division").withColumn("page", F.when(F.col("_n") > one_page, F.ceil(F.col("slot") / per_page)).otherwise(F.lit(1)).cast("int")).drop("_n")
 
 
-def url_inventory(tokens: DataFrame, pages: DataFrame, glosses: DataFrame, shard: int = 45_000) -> DataFrame:
-    """Every addressable unit: (kind, path, priority, shard); words are sharded in corpus order."""
+def url_inventory(tokens: DataFrame, pages: DataFrame, glosses: DataFrame, shard: int = 45_000, words: DataFrame | None = None) -> DataFrame:
+    """Every addressable unit: (kind, path, priority, shard); words are sharded in corpus order.
+
+    ``words``: the same tokens without handles, to look roots up in.
+    """
     row = lambda df, kind, path, priority, at=None: df.select(F.lit(kind).alias("kind"), path.alias("path"), F.lit(priority).alias("priority"), (at if at is not None else F.lit(0)).cast("bigint").alias("shard"))
     divisions = row(pages.select("division").distinct(), "division", F.concat(F.lit("/read/"), F.col("division")), 0.9)
     later = row(pages.filter("page >= 2").select("division", "page").distinct(), "page", F.concat(F.lit("/read/"), F.col("division"), F.lit("?page="), F.col("page")), 0.5)
     verses = row(pages, "verse", F.concat(F.lit("/verse/"), F.col("division"), F.lit(":"), F.col("slot")), 0.7)
-    roots = row(tokens.filter("root is not null").select("root").distinct(), "root", F.concat(F.lit("/root/"), F.col("root")), 0.8)
+    roots = row((tokens if words is None else words).filter("root is not null").select("root").distinct(), "root", F.concat(F.lit("/root/"), F.col("root")), 0.8)
     gloss = row(glosses.filter("root_count > 1"), "gloss", F.concat(F.lit("/gloss/"), F.col("slug")), 0.6)
-    words = row(tokens, "word", F.concat(F.lit("/word/"), F.col("token_id")), 0.4, F.floor(F.col("handle") / shard))
-    return divisions.unionByName(later).unionByName(verses).unionByName(roots).unionByName(gloss).unionByName(words)
+    every = row(tokens, "word", F.concat(F.lit("/word/"), F.col("token_id")), 0.4, F.floor(F.col("handle") / shard))
+    return divisions.unionByName(later).unionByName(verses).unionByName(roots).unionByName(gloss).unionByName(every)
 
 
 def export_verses(tokens: DataFrame, words: Callable[[Column], Column] | None = None) -> DataFrame:
