@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of words. A distributed randomised SVD of their TF-IDF rows gives a latent space,
-in which a document's windows are compared with benchmark passages by cosine. Candidates are verified by
+Passages are windows of words. A distributed randomised SVD of the TF-IDF rows of all documents' windows
+gives a latent space, in which a document's windows are compared with benchmark passages by cosine. Candidates are verified by
 the longest common subsequence of words and by a check of the item's answer, so that reworded copies are
 found too. Windows are left out of the comparison only if they can't be accepted: with m words of an
 item's n asked for at least, the words around a window must hold NEED of its n - m + NEED rarest ones.
@@ -10,19 +10,22 @@ item's n asked for at least, the words around a window must hold NEED of its n -
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import cut, map_arrow, with_text
+from lectio.llm.common import map_arrow, with_text, written
 
 WORD = re.compile(r"\w+")
-#: Latent dimensions, power iterations, and the bound on documents that the space is fitted on.
-RANK, ITERATIONS, FIT_DOCS = 64, 2, 2_000
+#: Latent dimensions and power iterations over all documents.
+RANK, ITERATIONS = 64, 2
+#: Words whose windows are multiplied at a time, and vectors that are summed at a time; they bound memory, not what is read.
+WORDS, VECTORS = 600_000, 65_536
 #: How many of an item's rarest words must be near a window; any number loses nothing.
 NEED = 4
 #: Benchmark items whose terms are broadcast at a time; more items are taken in blocks.
@@ -42,19 +45,19 @@ def answer_of(text: str) -> list[str]:
     return words_of(next((s for s in reversed(re.split(r"[.!?]\s+|\n", text.strip())) if words_of(s)), ""))
 
 
-def common(pattern: list[str], words: list[str]) -> int:
+def common(pattern: Sequence[Hashable], words: Sequence[Hashable]) -> int:
     """Length of the longest common subsequence, a bit for each word of the pattern."""
     return common_by(masks_of(pattern), len(pattern), words)
 
 
-def masks_of(pattern: list[str]) -> dict[str, int]:
-    masks: dict[str, int] = {}
+def masks_of(pattern: Sequence[Hashable]) -> dict[Hashable, int]:
+    masks: dict[Hashable, int] = {}
     for i, w in enumerate(pattern):
         masks[w] = masks.get(w, 0) | 1 << i
     return masks
 
 
-def common_by(masks: dict[str, int], n: int, words: list[str]) -> int:
+def common_by(masks: dict[Hashable, int], n: int, words: Sequence[Hashable]) -> int:
     every = (1 << n) - 1
     row = every
     for m in filter(None, map(masks.get, words)):
@@ -81,11 +84,12 @@ class Index:
     first: np.ndarray
     count: np.ndarray
     listed: np.ndarray
-    #: Of each item: words asked for at least, rare words asked for near a window, words, masks, passages.
+    #: Of each item: words asked for at least, rare words asked for near a window, words, masks by term, terms of the answer, passages.
     least: np.ndarray
     need: np.ndarray
     length: np.ndarray
-    masks: list[dict[str, int]]
+    masks: list[dict[Hashable, int]]
+    asked: list[list[int]]
     owned: list[np.ndarray]
 
     def term_ids(self, words: list[str]) -> np.ndarray:
@@ -107,7 +111,8 @@ class Index:
         self.count = np.bincount([t for t, _ in pairs], minlength=len(self.terms) + 1)
         self.first = np.cumsum(self.count) - self.count
         self.listed = np.array([k for _, k in pairs], np.int64)
-        self.masks = [masks_of(w) for w in self.words]
+        self.masks = [masks_of(self.term_ids(w).tolist()) for w in self.words]
+        self.asked = [self.term_ids(a).tolist() for a in self.answers]
         self.owned = [np.flatnonzero(self.owner == k) for k in range(len(self.words))]
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
@@ -139,20 +144,21 @@ class Index:
         return out
 
 
-def latent(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray, space: np.ndarray | None = None) -> np.ndarray:
+def latent(index: Index, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Unit vectors of windows in the latent space."""
-    space = index.space if space is None else space
-    sums = np.concatenate((np.zeros((1, space.shape[1])), np.cumsum((space * index.idf[:, None])[ids], 0)))
+    sums = np.concatenate((np.zeros((1, index.space.shape[1])), np.cumsum((index.space * index.idf[:, None])[ids], 0)))
     out = sums[end] - sums[start]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
     """(item id, cosine, share of the item's words in order) of the items that a text holds."""
-    words = words_of(text)
-    if not words:
-        return []
-    ids = index.term_ids(words)
+    return matches_of(index, index.term_ids(words_of(text)))
+
+
+def matches_of(index: Index, ids: np.ndarray) -> list[tuple[int, float, float]]:
+    """The matches of a text by the terms of its words; words of no item are all alike, since none is asked for."""
+    words = ids.tolist()
     best: dict[int, tuple[float, float]] = {}
     # Windows as rows of words, the last ones filled up with words without weight.
     padded = np.append(ids, np.full(index.window, len(index.terms), np.int32))
@@ -177,7 +183,7 @@ def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
             region = around(x, x)
             share = common_by(masks, n, region) / n
             if share < SHARE:
-                answer = index.answers[item]
+                answer = index.asked[item]
                 if share < SHARE_WITH_ANSWER or not answer or common(answer, region) < ANSWER * len(answer):
                     continue
             if item not in best or share > best[item][1]:
@@ -185,73 +191,136 @@ def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
     return [(index.ids[i], round(c, 6), round(s, 6)) for i, (c, s) in sorted(best.items())]
 
 
-def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents that have each term, and all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def _tokens(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id and the terms of all words, 32-bit numbers in a row, of each row of documents: texts are taken apart once."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, counts = sent.value, np.zeros(len(sent.value), np.int64)
-        for text in batch.column(0).to_pylist():
-            for w in known.keys() & set(words_of(text)):
-                counts[known[w]] += 1
-        some = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["term", "n"])
+        tokens = [sent.value.term_ids(words_of(text)).tobytes() for text in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
+
+    return written(map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, tokens binary"))
 
-    out = np.zeros(len(terms) + 1)
-    for r in map_arrow(docs.select("text"), run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
-        out[r["term"]] = r["n"]
-    return out, docs.count()
 
+def terms_in(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.int32) for t in column.to_pylist()]
 
-def _svd(index: Index, docs: DataFrame) -> np.ndarray:
-    """A basis of the leading right singular vectors of the passages' TF-IDF rows.
+
+def _sums(tokens: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray, list[np.ndarray]], None]) -> np.ndarray:
+    """The sum over all documents of what ``add`` puts into an array with a row for each term.
+
+    A task gives its sums once and Spark adds them up by term; only terms x columns numbers, a bounded
+    block, come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2_000):
+                add(total, terms_in(batch.column(0).slice(k, 2_000)))
+        some = np.flatnonzero(total.any(1))
+        for k in range(0, len(some), 10_000):
+            at = some[k : k + 10_000]
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * shape[1], shape[1]), pa.int32()), pa.array(total[at].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), rows], ["term", "v"])
+
+    out = np.zeros(shape)
+    parts = tokens.select("tokens").mapInArrow(run, "term int, v array<double>")
+    for r in parts.groupBy("term").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(shape[1])]).collect():  # one row a term
+        out[r["term"]] = r[1:]
+    return out
+
+
+def _frequencies(tokens: DataFrame, n: int) -> np.ndarray:
+    """Documents that have each of n terms."""
+
+    def add(total: np.ndarray, docs: list[np.ndarray]) -> None:
+        for ids in docs:
+            total[np.unique(ids), 0] += 1
+
+    return _sums(tokens, (n + 1, 1), add)[:, 0]
+
+
+def side_by_side(docs: list[np.ndarray], window: int, none: int) -> np.ndarray:
+    """Rows of ``window`` terms, each word in one of them; a document's last row is filled up with ``none``."""
+    ends = np.cumsum([-(-len(ids) // window) * window for ids in docs])
+    out = np.full(ends[-1], none, np.int32)
+    for ids, end in zip(docs, ends.tolist(), strict=True):
+        begin = end - -(-len(ids) // window) * window
+        out[begin : begin + len(ids)] = ids
+    return out.reshape(-1, window)
+
+
+def add_products(total: np.ndarray, rows: np.ndarray, weighted: np.ndarray) -> None:
+    """Add each row's unit vector, that of the sum of its terms' vectors, to all of its terms; the last term has none."""
+    none, n = len(weighted) - 1, len(rows)
+    # Terms to the left, rows with most terms first: those with more than j are the first ones.
+    left = np.sort(rows, 1)
+    many = (left != none).sum(1)
+    order = np.argsort(-many, kind="stable")
+    left, many = np.ascontiguousarray(left[order].T), many[order]
+    y = np.zeros((n, weighted.shape[1]))
+    for j, terms in enumerate(left):
+        if not (m := int(np.searchsorted(-many, -j))):
+            break
+        y[:m] += weighted[terms[:m]]
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    known = np.flatnonzero(left.ravel() != none)
+    terms = left.ravel()[known]
+    # Numbers of 16 bits are sorted by their digits.
+    order = np.argsort(terms.astype(np.uint16) if none < 1 << 16 else terms, kind="stable")
+    terms, row = terms[order], known[order] % n
+    for a, b in pairwise(np.flatnonzero(np.diff(terms, prepend=-1, append=-1)).tolist()):
+        for k in range(a, b, VECTORS):
+            total[terms[a]] += y[row[k : min(b, k + VECTORS)]].sum(0)
+
+
+def _svd(index: Index, tokens: DataFrame) -> np.ndarray:
+    """A basis of the leading right singular vectors of the TF-IDF rows of all documents' windows and all passages.
 
     Randomised range finding: each task multiplies its rows A by the current basis and back, and Spark
-    sums A'(A basis) by term; only terms x RANK numbers, a bounded block, come to the driver.
+    sums A'(A basis) by term. Passages weigh as much as all documents, so that a space of any number of
+    documents tells items apart.
     """
-    spark = docs.sparkSession
-    rank = min(RANK, len(index.terms))
-    basis = np.linalg.qr(np.random.default_rng(11).standard_normal((len(index.terms), rank)))[0]
-    few = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(FIT_DOCS).select("doc_id").distinct()
-    fit = cut(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text"))
+    rank, none = min(RANK, len(index.terms)), len(index.terms)
+    basis = np.linalg.qr(np.random.default_rng(11).standard_normal((none, rank)))[0]
+    passages = side_by_side(index.parts, index.window, none)
     for _ in range(ITERATIONS):
-        sent = spark.sparkContext.broadcast((index, basis))
-
-        def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            at, now = sent.value
-            total = np.zeros((len(at.terms) + 1, now.shape[1]))
-            wide = np.vstack((now, np.zeros((1, now.shape[1]))))
-            for text in batch.column(0).to_pylist():
-                # Windows side by side: each word is in one row of the matrix.
-                if len(ids := at.term_ids(words_of(text))):
-                    start = np.arange(0, len(ids), at.window)
-                    y = latent(at, ids, start, np.minimum(start + at.window, len(ids)), wide)
-                    np.add.at(total, ids, at.idf[ids, None] * y[np.arange(len(ids)) // at.window])
-            some = np.flatnonzero(total[:-1].any(1))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], ["term", "v"])
-
-        summed = map_arrow(fit, run, "term int, v array<double>").groupBy("term").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(rank)])
-        z = np.zeros((len(index.terms), rank))
-        for r in summed.collect():
-            z[r["term"]] = r[1:]
-        wide = np.vstack((basis, np.zeros((1, rank))))
-        for ids in index.parts:
-            np.add.at(z, ids, index.idf[ids, None] * latent(index, ids, np.array([0]), np.array([len(ids)]), wide)[0])
-        basis = np.linalg.qr(z)[0]
+        weighted = np.vstack((basis, np.zeros((1, rank)))) * index.idf[:, None]
+        sent = tokens.sparkSession.sparkContext.broadcast(weighted)
+
+        def add(total: np.ndarray, docs: list[np.ndarray], sent=sent, window=index.window, none=none) -> None:
+            # Windows side by side: each word is in one row of the matrix.
+            rows = side_by_side(docs, window, none)
+            step = max(1, WORDS // window)
+            for a in range(0, len(rows), step):
+                add_products(total, rows[a : a + step], sent.value)
+
+        z, own = _sums(tokens, (none + 1, rank), add), np.zeros((none + 1, rank))
+        add_products(own, passages, weighted)
+        # The lengths of the rows in the present space, of documents and of items, get equal sums.
+        z += own * ((weighted * z).sum() / (weighted * own).sum() or 1.0)
+        basis = np.linalg.qr((z * index.idf[:, None])[:-1])[0]
     return np.vstack((basis, np.zeros((1, rank))))
 
 
 def build(docs: DataFrame, items: list[tuple[int, str]]) -> Index | None:
-    """The index of a block of items, with frequencies over all documents; None if no item has words."""
+    """The index of a block of items, with frequencies and space over all documents; None if no item has words."""
+    return built[0] if (built := _build(docs, items)) is not None else None
+
+
+def _build(docs: DataFrame, items: list[tuple[int, str]]) -> tuple[Index, DataFrame] | None:
+    """The index and the documents by the terms of its items."""
     kept = [(i, words_of(t), answer_of(t)) for i, t in items if words_of(t)]
     if not kept:
         return None
-    terms = {w: k for k, w in enumerate(sorted({w for _, words, _ in kept for w in words}))}
+    terms = {w: k for k, w in enumerate(sorted({w for _, words, answer in kept for w in (*words, *answer)}))}
     lengths = sorted(len(w) for _, w, _ in kept)
     window = max(8, lengths[len(lengths) // 2])
     none = np.zeros(0)
-    index = Index([i for i, _, _ in kept], [w for _, w, _ in kept], [a for _, _, a in kept], terms, window, none, none, [], none, none, none, none, none, none, none, none, [], [])
-    df, n = _frequencies(docs, terms)
+    index = Index([i for i, _, _ in kept], [w for _, w, _ in kept], [a for _, _, a in kept], terms, window, none, none, [], none, none, none, none, none, none, none, none, [], [], [])
+    tokens = _tokens(docs, index)
+    n, df = tokens.count(), _frequencies(tokens, len(terms))
     index.idf = np.log((1 + n) / (1 + df)) + 0.01
     index.idf[-1] = 0
     owner = []
@@ -261,19 +330,19 @@ def build(docs: DataFrame, items: list[tuple[int, str]]) -> Index | None:
             index.parts.append(index.term_ids(words[a : a + window]))
     index.owner = np.array(owner)
     index.list_terms()
-    index.space = _svd(index, docs).astype(np.float32)
+    index.space = _svd(index, tokens).astype(np.float32)
     index.passages = np.vstack([latent(index, p, np.array([0]), np.array([len(p)])) for p in index.parts])
-    return index
+    return index, tokens
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """The indexes of the benchmark's items, of at most about BLOCK of them each."""
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index, DataFrame]]:
+    """The indexes of the benchmark's items, of at most about BLOCK of them each, with the documents by their terms."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
     blocks = max(1, -(-items.count() // BLOCK))
     for b in range(blocks):
         own = sorted((r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
-        if (index := build(docs, own)) is not None:
-            yield index
+        if (built := _build(docs, own)) is not None:
+            yield built
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -290,16 +359,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = texts.select(F.array().cast("array<struct<item:bigint,cosine:double,share:double>>").alias("found"), "doc_id", "text")
     indexes = _indexes(texts, benchmark)
-    then = next(indexes, None)
+    first = then = next(indexes, None)
     while then is not None:
-        index, then = then, next(indexes, None)
+        (index, tokens), before, then = then, then, next(indexes, None)
+        if before is first and then is None:
+            # One block, as a rule: its terms are there already.
+            out = tokens.select(F.array().cast("array<struct<item:bigint,cosine:double,share:double>>").alias("found"), "doc_id", "tokens")
         # Texts go on to the next block; the last one leaves them out.
         keep = ["found", "doc_id"] if then is None else ["found", "doc_id", "text"]
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, sent=sent, keep=keep) -> pa.RecordBatch:
-            before, texts = (batch.column(i).to_pylist() for i in (0, 2))
-            found = [old + [{"item": i, "cosine": c, "share": s} for i, c, s in matches(sent.value, text)] for text, old in zip(texts, before, strict=True)]
+            index, old, own = sent.value, batch.column(0).to_pylist(), batch.column(2)
+            docs = terms_in(own) if pa.types.is_binary(own.type) else [index.term_ids(words_of(text)) for text in own.to_pylist()]
+            found = [f + [{"item": i, "cosine": c, "share": s} for i, c, s in matches_of(index, ids)] for ids, f in zip(docs, old, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(found, kind), *batch.columns[1 : len(keep)]], keep)
 
         out = map_arrow(out, run, schema + ", text string" * (len(keep) > 2))
@@ -319,7 +392,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     out, at = with_text(docs, docs.columns)
     schema = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in out.columns)
-    for index in _indexes(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark):
+    for index, _ in _indexes(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:

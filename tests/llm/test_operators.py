@@ -414,6 +414,32 @@ def test_decontamination_compares_every_window_that_can_be_accepted(spark, docs,
     assert got_own >= 0.95 * asked
 
 
+def test_decontamination_space_is_that_of_all_documents(spark):
+    """Power iterations over every window of every document, here as one matrix; no document is left out."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ant", "bee", "cat", "dog", "eel", "fox", "gnu", "hen", "no", "item", "has"], rng.integers(0, 90))) for _ in range(2_500)] + [None]
+    docs = frame(spark, texts)
+    index = decontamination.build(docs.select("doc_id", "text"), [(1, "ant bee cat dog eel fox gnu hen"), (2, "dog eel fox ant ant")])
+    def matrix(docs):
+        rows = []
+        for words in docs:
+            for a in range(0, len(words), index.window):
+                row = np.zeros(len(index.terms))
+                for w in words[a : a + index.window]:
+                    if w in index.terms:
+                        row[index.terms[w]] += index.idf[index.terms[w]]
+                rows.append(row)
+        return np.array(rows)
+
+    sides, rank = [matrix(map(decontamination.words_of, texts)), matrix(index.words)], len(index.terms)
+    basis = np.linalg.qr(np.random.default_rng(11).standard_normal((rank, rank)))[0]
+    for _ in range(decontamination.ITERATIONS):
+        ys = [m @ basis for m in sides]
+        lengths = [np.linalg.norm(y, axis=1, keepdims=True) for y in ys]
+        basis = np.linalg.qr(sum(m.T @ (y / np.maximum(n, 1e-12)) / n.sum() for m, y, n in zip(sides, ys, lengths, strict=True)))[0]
+    assert np.allclose(index.space[:-1], basis, atol=1e-6) and not index.space[-1].any()
+
+
 def test_decontamination_by_blocks_and_rows(spark, docs, monkeypatch):
     """Blocks of items give what one index gives, and every row has its own findings."""
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
