@@ -1,3 +1,7 @@
+import gzip
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +97,28 @@ def test_editions(spark):
             annotate.align_edition(bad, v)
 
 
+def test_checksums_of_files_in_pieces(spark, tmp_path, monkeypatch):
+    """Files beyond a piece: any bytes, with and without a last line end or a byte order mark; no task reads one whole."""
+    monkeypatch.setattr(validate, "PIECE", 4_000)
+    data = np.random.default_rng(3).bytes(30_000)
+    (tmp_path / "deep er").mkdir()
+    files = {"bytes": data, "end": data[:9_999] + b"\n", "ends": b"\n" * 5_000, "mark": b"\xef\xbb\xbf" + data[:8_000], "marked": b"\xef\xbb\xbf\r\n" * 1_000, "deep er/[a] b": data[7:9_000] + b"\r\r\n", "one line": b"x" * 9_000, "least": data[:4_000], "packed.gz": gzip.compress(data)}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("1500", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            got = {r["file"]: (r["sha256"], r["bytes"]) for r in validate.checksum_inventory(spark, str(tmp_path)).collect()}
+            assert got == {name: (hashlib.sha256(content).hexdigest(), len(content)) for name, content in files.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Only the small ones and the packed one are left to whole reads.
+    fed = []
+    monkeypatch.setattr(validate, "_in_pieces", lambda spark, path, large: fed.extend(name for name, _ in large.values()) or spark.createDataFrame([], "file string, sha256 string, bytes long"))
+    assert validate.checksum_inventory(spark, str(tmp_path)).count() == 2 and set(fed) == set(files) - {"least", "packed.gz"}
+
+
 def test_checks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one")
     (tmp_path / "b.txt").write_text("two")
