@@ -130,7 +130,8 @@ def draft_claim(c: Column, most: int = 280) -> Column:
     """The first declarative sentence of 20 to ``most`` characters in a text, of lines of 20 at least that stand outside [box] blocks; null if there is none."""
     # The pattern takes the square of a line's length where it finds nothing, so only texts with a box meet it.
     unboxed = F.when(c.contains("[box]"), F.regexp_replace(c, r"(?s)[^\n]*\[box\].*?(?:\[/box\][^\n]*|\z)", "")).otherwise(c)
-    lines = F.filter(F.transform(F.split(unboxed, "\n"), F.trim), lambda x: ~x.rlike(NO_CLAIM))
+    # A lambda, since F.trim by itself would take a line's place in the array for the characters to trim.
+    lines = F.filter(F.transform(F.split(unboxed, "\n"), lambda x: F.trim(x)), lambda x: ~x.rlike(NO_CLAIM))
     bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, f"\\[[^\\]]*\\]|[{SCRIPT}]+", " "), r"\s+", " ")))
     said = F.transform(F.filter(bare, lambda x: F.length(x) >= 20), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^(.*?[.!])(?=\s|$)", 1), F.lit("")), x))
     return F.get(F.filter(said, lambda x: F.length(x).between(20, most) & ~x.endswith("?")), F.lit(0))

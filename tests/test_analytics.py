@@ -333,6 +333,18 @@ def test_draft_claims_agree_with_their_sql(spark, tmp_path):
     assert own == sorted(duckdb.connect().execute(sql).fetchall()) and own[0] == ("0", "A word of the other script.")
 
 
+def test_draft_claims_keep_their_digits(spark, tmp_path):
+    """Lines lose spaces at their ends, not the digits of their place among the lines."""
+    import duckdb
+
+    texts = ["0997 was the first line of all. So", "Too short.\n1219538 words and a line. So", "Too short.\n  # a line of spaces before its mark\n  A line of spaces around it goes on  ", "Too short.\nThe line that ends in a number 1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sql = queries.SQL["u13_draft_claims"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    own = sorted(map(tuple, queries.FOUND["u13_draft_claims"](spark, str(tmp_path)).collect()))
+    assert own == sorted(duckdb.connect().execute(sql).fetchall())
+    assert [r[1] for r in own] == ["0997 was the first line of all.", "1219538 words and a line.", "A line of spaces around it goes on", "The line that ends in a number 1"]
+
+
 def test_a_root_page_reads_tokens_once(spark):
     """Counting, numbering and the page itself read the root's segments, not the tokens."""
     t = spark.createDataFrame([(f"1:{k // 2}", k, f"t{k}", "a-b" if k % 3 else "c-d") for k in range(30)], "segment_id string, handle bigint, token_id string, root string")
