@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from lectio.llm import components, decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, repeats, secrets, sharding
+from lectio.llm import common, components, decontamination, fingerprints, language, licences, near_duplicates, pieces, pseudonyms, repeats, secrets, sharding
 
 LONG = " ".join(f"word{i % 97}x{i % 89}" for i in range(6000))
 #: Null, empty, blank, tiny, repeated, tied and very long texts.
@@ -198,6 +198,22 @@ def test_near_duplicates_branch_at_the_default_node_size(spark, monkeypatch):
     assert sum(got[2200 + k] == k for k in range(300)) >= 270
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_near_duplicates_broadcast_little(spark, monkeypatch, most):
+    """Of 1,200 texts with a near copy each, what goes out by way of the driver for their texts is a row for 64 of them; by shuffles the result is the same."""
+    if most is not None:
+        monkeypatch.setattr(near_duplicates, "FEW", most)
+    sent, few = [], common.few
+    monkeypatch.setattr(common, "few", lambda df, *a: sent.append(df.count()) or few(df, *a))
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(1200)]
+    df = frame(spark, texts + [f"{t} more" for t in texts], extra=False)
+    df = df.withColumn("doc_id", F.col("doc_id") - 700).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
+    want = {k - 700: k % 1200 - 700 for k in range(2400)}
+    assert {r["doc_id"]: r["component_id"] for r in every(near_duplicates.link_components(df))} == want | {None: None}
+    assert sent and max(sent) <= 2400 // 64 + 2
+    assert sorted((r["doc_id"] for r in every(near_duplicates.keep_one(df))), key=str) == sorted([*range(-700, 500), None], key=str)
+
+
 @pytest.mark.parametrize("piece", [1, 7, 200_000])
 def test_components(spark, monkeypatch, piece):
     monkeypatch.setattr(components, "PIECE", piece)
