@@ -18,30 +18,52 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def word_profiles(tokens: DataFrame, others: int = 12) -> DataFrame:
+#: Forms whose totals are broadcast: the most common ones, some 97 in 100 tokens of a large corpus.
+COMMON = 250_000
+
+
+def _least_common(totals: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` rows' n reach; a count for each power comes to the driver."""
+    bits = {r["bits"]: r["rows"] for r in totals.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("rows")).collect()}
+    least = max(bits, default=0) + 1
+    while least > 1 and (most := most - bits.get(least - 1, 0)) >= 0:
+        least -= 1
+    return 1 << (least - 1)
+
+
+def word_profiles(tokens: DataFrame, others: int = 12, counted: DataFrame | None = None) -> DataFrame:
     """Per token: its neighbours in corpus order, and for its form and its root how many tokens and distinct forms.
 
     A token's id is ``division:slot:position``. Neighbours come from windows inside a division, where tokens dealt by division
-    stay, and where one ends from a table of the divisions' edges. Tokens move once, to the total of their form, as
-    numbers; ids are made after that. There it is only the totals that are held.
+    stay, and where one ends from a table of the divisions' edges. No token moves: totals of common forms are
+    broadcast, and those of other forms come to each division that has them, as a map in a row of its own. ``counted``: the
+    same tokens as they lie, which are counted without being dealt.
     """
+    counted = tokens if counted is None else counted
     name = lambda slot, position: F.concat_ws(":", "division", slot, position)
     low, position = (lambda at: F.shiftright(at, 32)), (lambda at: F.col(at).bitwiseAND(F.lit((1 << 32) - 1)))
     at = F.shiftleft(F.col("slot").cast("bigint"), 32) + F.col("position")
-    edges = cut(tokens.groupBy("division").agg(F.min(at).alias("_low"), F.max(at).alias("_high")))
+    kinds = written(counted.groupBy("form", "root").agg(F.count("*").alias("n")))
+    forms = written(kinds.groupBy("form").agg(F.sum("n").alias("n")))
+    least = _least_common(forms, COMMON)
+    common = F.broadcast(forms.filter(F.col("n") >= least).withColumnRenamed("n", "_common"))
+    # One pass for the edges and the rarer forms of divisions.
+    seen = counted.join(common, "form", "left").groupBy("division", F.when(F.col("_common").isNull(), F.col("form")).alias("form")).agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    seen = written(seen)
+    rare = seen.join(forms.filter(F.col("n") < least), "form").groupBy("division").agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("_rare"))
+    edges = cut(seen.groupBy("division").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")))
     edges = edges.select("division", name(low("_low"), position("_low")).alias("first_id"), name(low("_high"), position("_high")).alias("last_id"))
     placed = cut(running_before(edges, "division", F.lit(1), "_nth"))
     before, after = placed.select((F.col("_nth") + 1).alias("_nth"), F.col("last_id").alias("before_id")), placed.select((F.col("_nth") - 1).alias("_nth"), F.col("first_id").alias("after_id"))
     outside = few(placed.join(before, "_nth", "left").join(after, "_nth", "left").select("division", "before_id", "after_id"))
-    kinds = written(tokens.groupBy("form", "root").agg(F.count("*").alias("n")))
-    forms = kinds.groupBy("form").agg(F.sum("n").alias("form_total"))
     roots = few(kinds.filter("root is not null").groupBy("root").agg(F.sum("n").alias("root_total"), F.count("*").alias("root_forms")))
     order = W.partitionBy("division").orderBy("slot", "position")
     # Null beside a token of the next number in its verse, -1 where the division ends.
     beside = lambda fn, by: F.when(fn("_at").over(order).isNull(), F.lit(-1).cast("bigint")).when(fn("_at").over(order) != F.col("_at") + by, fn("_at").over(order))
     near = tokens.select("division", "slot", "position", "form", "root", at.alias("_at")).withColumns({"_previous": beside(F.lag, -1), "_next": beside(F.lead, 1)}).drop("_at").join(outside, "division")
     near = near.withColumn("before_id", F.when(F.col("_previous") == -1, F.col("before_id"))).withColumn("after_id", F.when(F.col("_next") == -1, F.col("after_id")))
-    out = near.join(roots, "root", "left").drop("root").join(forms.hint("shuffle_hash"), "form", "left")
+    out = near.join(rare.hint("shuffle_hash"), "division", "left").join(roots, "root", "left").drop("root").join(common, "form", "left")
+    out = out.withColumn("form_total", F.coalesce("_common", F.try_element_at("_rare", F.col("form"))))
     own = lambda c, by: F.when(F.col(c).isNull(), name("slot", F.col("position") + by)).when(F.col(c) >= 0, name(low(c), position(c)))
     return out.select(
         name("slot", "position").alias("token_id"),

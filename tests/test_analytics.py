@@ -3,6 +3,7 @@ import datetime as dt
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectio.operators import analytics as N
@@ -406,3 +407,20 @@ def test_neighbours_and_urls_without_handles(spark, sf):
         assert (p["root_total"], p["root_forms"]) == ((None, None) if r["root"] is None else (len(own[r["root"]]), len(set(own[r["root"]]))))
     index = N.gloss_index(t, "word")
     assert "posexplode" not in index._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 40, 250_000])
+def test_word_profiles_move_no_token(spark, sf, monkeypatch, most):
+    """Totals of rarer forms come by division, those of common ones are broadcast; no token goes to its form."""
+    from lectio.plans.views import texts, tokens
+
+    monkeypatch.setattr(N, "COMMON", most)
+    v = texts(spark, sf)
+    profiles = N.word_profiles(tokens(spark, sf, handles=False, of=v.repartition("division")), counted=tokens(spark, sf, handles=False, of=v))
+    plan = profiles._jdf.queryExecution().optimizedPlan().toString().split("posexplode")[0]
+    assert "rightHint=(strategy=shuffle_hash)" in plan and plan.count("strategy=broadcast") >= 2
+    rows = tokens(spark, sf, handles=False, of=v).select("token_id", "form").collect()
+    forms = collections.Counter(r["form"] for r in rows)
+    got = profiles.select("token_id", "form_total").collect()
+    assert len(got) == len(rows) and dict(map(tuple, got)) == {r["token_id"]: forms[r["form"]] for r in rows}
+    assert [N._least_common(spark.createDataFrame([(n,) for n in (1, 1, 2, 3, 4, 9)], "n long"), k) for k in (0, 1, 2, 3, 4, 9)] == [16, 8, 4, 4, 2, 1]
